@@ -156,7 +156,7 @@ def f05(spark, d):
         "match_id", "minute", "control", "outlook", "next_goal_line")
 
 
-@query("m12_leakage_audit", """SELECT m.match_id, c AS minute, 1::BIGINT AS variants, 2::BIGINT AS n
+@query("m12_leakage_audit", """SELECT m.match_id, c::BIGINT AS minute, 1::BIGINT AS variants, 2::BIGINT AS n
   FROM matches m, unnest([10, 20, 30, 40, 50, 60, 70, 80, 90]) u(c)""", ("matches",))
 def m12(spark, d):
     heads = matches(spark, d).select("match_id", "duration")
