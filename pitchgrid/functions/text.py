@@ -49,21 +49,20 @@ def fold_accents_exact(text: Column) -> Column:
     return nfkd(text)
 
 
-def _tokens(text: Column) -> Column:
-    clean = F.translate(F.lower(fold_accents(F.coalesce(text, F.lit("")))), ".-", "  ")
-    return F.filter(F.split(clean, r"\s+"), lambda t: t != "")
+def _words(text: Column) -> Column:
+    """Lower-case words without diacritics; '.', '-' and white space separate."""
+    plain = F.lower(fold_accents(F.coalesce(text, F.lit(""))))
+    return F.split(F.translate(plain, ".-\t\n\r\f\u00a0", "       "), " ")
 
 
 def entity_key(name: Column) -> Column:
     """Provider-independent key of a team name, before aliases."""
-    kept = F.filter(
-        _tokens(name), lambda t: ~t.rlike(r"^[0-9]+$") & ~t.isin(*STRUCTURAL_TOKENS)
-    )
-    return F.array_join(kept, " ")
+    return F.array_join(F.filter(
+        _words(name), lambda w: ~w.isin("", *STRUCTURAL_TOKENS) & ~w.rlike("^[0-9]+$")), " ")
 
 
 def person_key(name: Column) -> Column:
-    return F.array_join(_tokens(name), " ")
+    return F.array_join(F.filter(_words(name), lambda w: w != ""), " ")
 
 
 def apply_aliases(df: DataFrame, column: str, aliases: DataFrame | None) -> DataFrame:

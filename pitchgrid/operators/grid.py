@@ -28,8 +28,13 @@ def event_weight(kind: Column) -> Column:
     return expr.otherwise(0.0)
 
 
-def cell_aggregates(step: int, taus: tuple, targets: dict) -> list[Column]:
-    """Aggregates of one cell; usable in batch and in a streaming groupBy alike."""
+def cell_aggregates(step: int, taus: tuple, targets: dict, decayed: dict | None = None,
+                    local: dict | None = None) -> list[Column]:
+    """Aggregates of one cell; usable in batch and in a streaming groupBy alike.
+
+    ``decayed`` maps name -> (value, tau) for further decayed sums over the whole past,
+    ``local`` maps name -> value for plain sums that stay with their cell.
+    """
     m, kind, side = F.col("minute"), F.col("type"), F.col("team")
     cell = F.col("cell")
     home = side == "HOME"
@@ -47,24 +52,29 @@ def cell_aggregates(step: int, taus: tuple, targets: dict) -> list[Column]:
     ]
     w = event_weight(kind)
     for i, tau in enumerate(taus):
-        decayed = w * F.exp((m - cell) / tau)
-        aggs.append(F.sum(F.when(home, decayed).otherwise(0.0)).alias(f"press_home_{i}"))
-        aggs.append(F.sum(F.when(side == "AWAY", decayed).otherwise(0.0)).alias(f"press_away_{i}"))
+        faded = w * F.exp((m - cell) / tau)
+        aggs.append(F.sum(F.when(home, faded).otherwise(0.0)).alias(f"press_home_{i}"))
+        aggs.append(F.sum(F.when(side == "AWAY", faded).otherwise(0.0)).alias(f"press_away_{i}"))
     for name, types in targets.items():
         aggs.append(F.min(F.when(kind.isin(*types), m)).alias(f"first_{name}"))
+    for name, (value, tau) in (decayed or {}).items():
+        aggs.append(F.coalesce(F.sum(value * F.exp((m - cell) / tau)), F.lit(0.0)).alias(name))
+    for name, value in (local or {}).items():
+        aggs.append(F.coalesce(F.sum(value), F.lit(0)).alias(name))
     return aggs
 
 
-def game_cells(events: DataFrame, step: int, taus: tuple, targets: dict) -> DataFrame:
+def game_cells(events: DataFrame, step: int, taus: tuple, targets: dict, decayed: dict | None = None,
+               local: dict | None = None) -> DataFrame:
     return (
         events.withColumn("cell", cell_of(F.col("minute"), step))
-        .groupBy("match_id", "cell").agg(*cell_aggregates(step, taus, targets))
+        .groupBy("match_id", "cell").agg(*cell_aggregates(step, taus, targets, decayed, local))
     )
 
 
 def game_grid(
     cells: DataFrame, step: int, taus: tuple, targets: dict, last: Column | None = None,
-    headers: DataFrame | None = None,
+    headers: DataFrame | None = None, decayed: dict | None = None, local: dict | None = None,
 ) -> DataFrame:
     """One row per (match, grid minute t) with everything known at t.
 
@@ -73,12 +83,16 @@ def game_grid(
     with them, matches without events get a grid too.
     """
     sums = ["n_events", "home_goals", "away_goals", "reds_home", "reds_away"]
+    here = ["shots", "edge_shots", *(local or {})]
+    fading = {n: tau for n, (_, tau) in (decayed or {}).items()}
+    for i, tau in enumerate(taus):
+        fading.update({f"press_home_{i}": tau, f"press_away_{i}": tau})
     if headers is not None:
         cells = cells.unionByName(
             headers.select("match_id", F.lit(0).alias("cell"), "duration"), allowMissingColumns=True)
         cells = cells.groupBy("match_id", "cell").agg(
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
-              for c in [*sums, "shots", "edge_shots", *[f"press_{s}_{i}" for i in range(len(taus)) for s in ("home", "away")]]],
+              for c in [*sums, *here, *fading]],
             *[F.max(c).alias(c) for c in ("last_minute", "last_goal", "last_red", "duration")],
             *[F.min(f"first_{n}").alias(f"first_{n}") for n in targets])
     match = Window.partitionBy("match_id")
@@ -93,11 +107,8 @@ def game_grid(
         cols.append(F.max("duration").over(match).alias("duration"))
     cols += [F.sum(c).over(upto).alias(c) for c in sums]
     cols += [F.max(c).over(upto).alias(c) for c in ("last_goal", "last_red")]
-    cols += [F.col("shots").alias("__shots"), F.col("edge_shots").alias("__edge")]
-    for i, tau in enumerate(taus):
-        for s in ("home", "away"):
-            scaled = F.col(f"press_{s}_{i}") * F.exp(F.col("cell") / tau)
-            cols.append(F.sum(scaled).over(upto).alias(f"press_{s}_{i}"))
+    cols += [F.col(c).alias(f"__{c}") for c in here]
+    cols += [F.sum(F.col(c) * F.exp(F.col("cell") / tau)).over(upto).alias(c) for c, tau in fading.items()]
     for n in targets:
         cols.append(F.col(f"first_{n}").alias(f"__first_{n}"))
         cols.append(F.min(f"first_{n}").over(after).alias(f"next_{n}"))
@@ -116,11 +127,8 @@ def game_grid(
     out = [F.col("match_id"), F.col("t"), F.col("duration"), F.col("last_event")]
     out += [F.when(active, F.col(c)).otherwise(0).cast("bigint").alias(c) for c in sums]
     out += [F.when(active, F.col(c)).alias(c) for c in ("last_goal", "last_red")]
-    out += [F.when(F.col("t") == F.col("cell"), F.col(c)).otherwise(0).alias(c) for c in ("__shots", "__edge")]
-    for i, tau in enumerate(taus):
-        out += [
-            F.when(active, F.col(f"press_{s}_{i}") * F.exp(-F.col("t") / tau)).otherwise(0.0)
-            .alias(f"press_{s}_{i}") for s in ("home", "away")]
+    out += [F.when(F.col("t") == F.col("cell"), F.col(f"__{c}")).otherwise(0).alias(f"__{c}") for c in here]
+    out += [F.when(active, F.col(c) * F.exp(-F.col("t") / tau)).otherwise(0.0).alias(c) for c, tau in fading.items()]
     for n in targets:
         out.append(F.when(active, F.col(f"next_{n}")).otherwise(
             F.least(f"__first_{n}", f"next_{n}")).alias(f"next_{n}"))
@@ -133,5 +141,5 @@ def with_recent_shots(grid: DataFrame, step: int, minutes: int) -> DataFrame:
         raise ValueError("the trailing window must be a multiple of the grid step")
     along = Window.partitionBy("match_id").orderBy("t")
     recent = F.sum("__shots").over(along.rangeBetween(-(minutes - step), 0))
-    edge = F.coalesce(F.sum("__edge").over(along.rangeBetween(-minutes, -minutes)), F.lit(0))
+    edge = F.coalesce(F.sum("__edge_shots").over(along.rangeBetween(-minutes, -minutes)), F.lit(0))
     return grid.withColumn("recent_shots", (recent + edge).cast("bigint"))

@@ -153,3 +153,15 @@ def multiset_digest(df: DataFrame, keys: list[str], fields: list[Column]) -> Dat
         F.count("*").alias("n_rows"),
         F.substring(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *words), 256), 1, 16).alias("digest"),
     )
+
+
+def carried(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """Last non-null ``value`` at or before each row along ``order``."""
+    src = df.withColumn("__b", bucket)
+    known = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+    edges = src.groupBy(*keys, "__b").agg(known.alias("__e"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(*keys, "__b", F.last("__e", ignorenulls=True).over(before).alias("__p"))
+    joined = _join_back(src, edges, [*keys, "__b"])
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("__p"))).drop("__b", "__p")

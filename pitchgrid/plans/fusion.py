@@ -79,7 +79,16 @@ def fuse(resolved: DataFrame, priors: dict[str, float] | None = None,
                                  F.array(c.source).alias("sources"), c.value.alias("total")))
         return F.when(at > 0, grown).otherwise(F.concat(acc, fresh))
 
-    cells = cells.withColumn("clusters", F.aggregate("claims", empty, place))
+    # all values within tolerance of each other: one cluster, no fold needed
+    values = F.col("claims.value")
+    single = F.array(F.struct(
+        F.element_at(values, 1).alias("ref"),
+        F.aggregate("claims.prior", F.lit(0.0), lambda acc, v: acc + v).alias("weight"),
+        F.array_max("claims.prior").alias("top"), F.col("claims.source").alias("sources"),
+        F.aggregate("claims.value", F.lit(0.0), lambda acc, v: acc + v).alias("total")))
+    cells = cells.withColumn("clusters", F.when(F.size("claims") == 0, empty).when(
+        F.array_max(values) - F.array_min(values) <= F.col("tol"), single
+    ).otherwise(F.aggregate("claims", empty, place)))
     ranked = F.array_max(F.transform("clusters", lambda k: F.struct(
         k.weight.alias("weight"), k.top.alias("top"), k.sources.alias("sources"), k.total.alias("total"))))
     cells = cells.withColumn("win", ranked)
