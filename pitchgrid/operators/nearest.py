@@ -59,12 +59,12 @@ def nearest(targets: DataFrame, candidates: DataFrame, k: int, *, same: bool = T
         slices = max(1, -(-candidates.count() // slice_rows))
         left = targets.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("tb"),
                               F.explode(F.expr(f"sequence(0L, {slices - 1}L)")).alias("cs"))
-        right = candidates.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("cs"),
+        right = candidates.select(F.col("id").alias("cid"), F.col("vec").alias("cvec"), F.pmod(F.xxhash64("id"), F.lit(slices)).alias("cs"),
                                   F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("tb"))
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame(columns=["target", "candidate", "similarity"])
-            return _block_best(list(a["id"]), _unit(a["vec"]), b["id"], _unit(b["vec"]), k, same)
+            return _block_best(list(a["id"]), _unit(a["vec"]), b["cid"], _unit(b["cvec"]), k, same)
         best = left.groupBy("tb", "cs").cogroup(right.groupBy("tb", "cs")).applyInPandas(meet, SCHEMA)
     return top_k(best, ["target"], [F.round("similarity", 12).desc(), F.col("candidate")], k)

@@ -165,3 +165,14 @@ def carried(df: DataFrame, keys: list[str], bucket: Column, order: list[str], va
     joined = _join_back(src, edges, [*keys, "__b"])
     inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("__p"))).drop("__b", "__p")
+
+
+def running_max(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: str, name: str) -> DataFrame:
+    """Largest ``value`` so far along ``order``."""
+    src = df.withColumn("__b", bucket)
+    tops = src.groupBy(*keys, "__b").agg(F.max(value).alias("__m"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "__b", F.max("__m").over(before).alias("__t"))
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _join_back(src, tops, [*keys, "__b"]).withColumn(
+        name, F.greatest("__t", F.max(value).over(inside))).drop("__b", "__t")
