@@ -241,3 +241,11 @@ def j18(spark, d):
     name = lambda c: F.concat_ws(" ", F.lit("Atlético"), "league", c)
     m = fx.select("seq", "date", name("home").alias("home"), name("away").alias("away"), "home_goals", "away_goals")
     return U.crosscheck(m, _cells(spark, d)).select("seq", "status")
+
+
+@query("p05_fused_list", CELLS + """, u AS (SELECT date, home_key, away_key, string_agg(field, '|' ORDER BY field) FILTER (NOT agreed) AS conflicts FROM cells GROUP BY ALL)
+  SELECT date::VARCHAR AS date, home_key, away_key, conflicts FROM u WHERE conflicts IS NOT NULL AND contains(home_key, 'l1 ') ORDER BY u.date DESC, home_key, away_key LIMIT 100""", PR)
+def p05(spark, d):
+    rows = _resolved(spark, d)
+    listed = U.unified(U.fuse(rows, PRIORS), rows).where(F.contains("home_key", F.lit("l1 ")) & (F.size("conflicts") > 0))
+    return listed.orderBy(F.col("date").desc(), "home_key", "away_key").limit(100).select(*U.FIXTURE, "conflicts")

@@ -249,7 +249,7 @@ TIMES = [900.0, 2700.0, 4000.0, 5400.0]
 def _est(name, use_velocity, xy, vxy):
     sql = OBS + f""" SELECT entity, at_t AS instant, name, {xy}, {vxy}, R(CASE WHEN age <= 0 THEN 1 ELSE 0.5 ** (age / 20) END) AS confidence, R(age) AS age, (age < 0.05)::BIGINT AS observed FROM (
       SELECT entity, at_t, at_t - max(t) AS age, arg_max(x, (t, seq)) AS x, arg_max(y, (t, seq)) AS y, arg_max(vx, (t, seq)) AS vx, arg_max(vy, (t, seq)) AS vy,
-        arg_max(name, (t, seq)) FILTER (name IS NOT NULL) AS name FROM v, (VALUES (900.0::DOUBLE), (2700.0::DOUBLE), (4000.0::DOUBLE), (5400.0::DOUBLE)) a(at_t) WHERE t <= at_t GROUP BY ALL) WHERE age <= 120"""
+        arg_max(name, (t, seq)) FILTER (name IS NOT NULL) AS name FROM v, (VALUES (900.0::DOUBLE), (2700.0::DOUBLE), (4000.0::DOUBLE), (5400.0::DOUBLE)) a(at_t) WHERE t <= at_t GROUP BY entity, at_t) WHERE age <= 120"""
     query(name, sql, EV)(lambda spark, d: V.estimate(_observations(spark, d), TIMES, use_velocity=use_velocity).withColumnRenamed("at", "instant"))
 
 

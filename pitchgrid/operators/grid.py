@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchgrid.settings import EVENT_WEIGHTS, SHOT_TYPES
+from pitchgrid.settings import EVENT_WEIGHTS, SHOT_TYPES, TICK
 
 
 def cell_of(minute: Column, step: int) -> Column:
@@ -39,7 +39,7 @@ def cell_aggregates(step: int, taus: tuple, targets: dict, decayed: dict | None
     cell = F.col("cell")
     home = side == "HOME"
     aggs = [
-        F.count("*").alias("n_events"),
+        F.count_if(~kind.eqNullSafe(F.lit(TICK))).alias("n_events"),
         F.max(m).alias("last_minute"),
         F.count_if((kind == "goal") & home).alias("home_goals"),
         F.count_if((kind == "goal") & (side == "AWAY")).alias("away_goals"),

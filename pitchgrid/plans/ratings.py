@@ -10,6 +10,7 @@ from pitchgrid.functions.scoring import (
     implied_probabilities, multiclass_brier, multiclass_log_loss, outcome_index, poisson_pmf,
 )
 from pitchgrid.operators.ordered import numbered, running_sums
+from pitchgrid.shared import shared_folder
 from pitchgrid.settings import (
     BURN_IN, ELO_BASE, ELO_HOME, ELO_K, LEAGUE_AWAY_GOALS, LEAGUE_HOME_GOALS, MAX_GOALS, PRIOR_MATCHES,
 )
@@ -98,6 +99,7 @@ def elo(fixtures: DataFrame, block_rows: int = 50_000, *, k: float = ELO_K, home
         return pd.DataFrame(rows, columns=["league", "season", "seq", "team", "value"]).astype({"seq": "Int64"})
 
     spark = fixtures.sparkSession
+    shared_folder(spark)
     state = spark.createDataFrame([], "league string, season string, team string, value double")
     blocks = ranked.agg(F.max("block").alias("b")).first()["b"]
     if blocks is None:
