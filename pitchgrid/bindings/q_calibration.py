@@ -148,7 +148,7 @@ def m07(spark, d):
     return C.recalibrate(_scores(spark, d, parts, ["part"], also=(Params(0.012, 12.0),)))
 
 
-@query("m16_competition_cross_fit", CAND + f""",
+@query("m16_j16_competition_cross_fit", CAND + f""",
 per AS (SELECT competition, candidate, base_rate, tau, count(*) AS n, avg({LL.format(p='p')}) AS ll
   FROM cscore JOIN ordered USING (match_id) WHERE candidate >= 0 GROUP BY ALL),
 fit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY competition ORDER BY ll, candidate) AS rk FROM per) WHERE rk = 1)

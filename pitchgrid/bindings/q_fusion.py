@@ -218,12 +218,25 @@ def _streams(spark, d):
         .unionByName(base.where(drop != 7).withColumn("minute", F.col("minute") - 0.5).withColumn("source", F.lit("gamma"))))
 
 
-@query("j11_clock_offsets")
+STREAMS = """
+streams AS (SELECT 'alpha' AS source, match_id, event_id, minute, type FROM match_events
+  UNION ALL SELECT 'beta', match_id, event_id, minute + 0.75, type FROM match_events WHERE event_id % 9 <> 4
+  UNION ALL SELECT 'gamma', match_id, event_id, minute - 0.5, type FROM match_events WHERE event_id % 9 <> 7),
+anchors AS (SELECT match_id, source, list(minute ORDER BY minute) AS a FROM streams WHERE type = 'goal' GROUP BY ALL),
+walk AS (SELECT s.match_id, s.source, r.a AS left_, o.a AS b, 0 AS i, []::DOUBLE[] AS diffs, NULL::STRUCT(d DOUBLE, x DOUBLE) AS pick FROM (SELECT DISTINCT match_id, source FROM streams WHERE source <> 'alpha') s
+    JOIN anchors r ON r.match_id = s.match_id AND r.source = 'alpha' JOIN anchors o ON o.match_id = s.match_id AND o.source = s.source
+  UNION ALL SELECT match_id, source, CASE WHEN near.d <= 5 THEN list_filter(left_, lambda v: v <> near.x) ELSE left_ END, b, i + 1, CASE WHEN near.d <= 5 THEN list_append(diffs, b[i + 1] - near.x) ELSE diffs END, near
+  FROM (SELECT *, list_sort(list_transform(left_, lambda v: {'d': abs(b[i + 1] - v), 'x': v}))[1] AS near FROM walk WHERE i < len(b))),
+offsets AS (SELECT s.match_id, s.source, coalesce((SELECT CASE WHEN len(diffs) = 0 THEN 0 ELSE round(list_median(diffs), 3) END FROM walk w WHERE w.match_id = s.match_id AND w.source = s.source AND i = len(b)), 0) AS "offset"
+  FROM (SELECT DISTINCT match_id, source FROM streams) s)"""
+
+
+@query("j11_clock_offsets", STREAMS + ' SELECT match_id, source, R("offset") AS "offset" FROM offsets', ("match_events",))
 def j11(spark, d):
     return U.clock_offsets(_streams(spark, d))
 
 
-@query("u01_aligned_timeline")
+@query("u01_aligned_timeline", STREAMS + ' SELECT match_id, event_id, source, type, R(round(minute - "offset", 3)) AS aligned_minute FROM streams JOIN offsets USING (match_id, source)', ("match_events",))
 def u01(spark, d):
     s = _streams(spark, d)
     return U.align(s, U.clock_offsets(s)).select("match_id", "event_id", "source", "type", "aligned_minute")

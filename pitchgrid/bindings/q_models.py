@@ -329,3 +329,12 @@ def a36(spark, d):
     rows = fixtures(spark, d).select(F.concat("league", "home").alias("coach"), F.when(h > a, "winning").when(h < a, "losing").otherwise("drawing").alias("context"), (h + a).alias("g"))
     p = N.coach_profile(rows, F.col("g"))
     return p.withColumn("philosophy", N.philosophy(F.when(F.col("winning") > 2.2, "hold").when(F.col("winning") <= 2.2, "retreat"), F.when(F.col("losing") > 2.4, "press").when(F.col("losing") <= 2.4, "hold")))
+
+
+@query("a17_multiclass_scores", NAIVE + """ SELECT seq, R((naive_h - (y = 0)::INT) ** 2 + (naive_d - (y = 1)::INT) ** 2 + (naive_a - (y = 2)::INT) ** 2) AS brier,
+  R(-ln(greatest(1e-15, CASE y WHEN 0 THEN naive_h WHEN 1 THEN naive_d ELSE naive_a END))) AS log_loss FROM naive""", FX)
+def a17(spark, d):
+    from pitchgrid.functions.scoring import multiclass_brier, multiclass_log_loss
+    p = [F.col("naive_h"), F.col("naive_d"), F.col("naive_a")]
+    return R.trailing_frequencies(fixtures(spark, d)).select("seq", multiclass_brier(p, F.col("actual")).alias("brier"),
+                                                             multiclass_log_loss(p, F.col("actual")).alias("log_loss"))

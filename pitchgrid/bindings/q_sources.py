@@ -302,3 +302,11 @@ def s22(spark, d):
     todo = tables.missing_only(stream, stored, ["match_id"])
     todo.write.mode("append").parquet(path)
     return spark.read.parquet(path).groupBy("match_id").agg(F.count("*").alias("n"))
+
+
+@query("g03_provider_interface", " SELECT source, count(*) AS n FROM (SELECT 'csv' AS source FROM fixtures WHERE cents % 19 <> 0 UNION ALL SELECT 'community' FROM fixtures WHERE cents % 13 <> 0) GROUP BY source", FX)
+def g03(spark, d):
+    registry = results.ProviderRegistry()
+    registry.add("csv", 0.9, lambda: results.results_records(_csv_rows(spark, d), "csv"))
+    registry.add("community", 0.8, lambda: _community(spark, d))
+    return registry.records().groupBy("source").agg(F.count("*").alias("n"))

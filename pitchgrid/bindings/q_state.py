@@ -179,3 +179,27 @@ def f19(spark, d):
 def f17(spark, d):
     return S.snapshots(match_events(spark, d), Params(regime_scale={"PRESSURE": 1.25, "END_GAME": 0.9})).select(
         "match_id", "minute", "regime", "lam_home")
+
+
+@query("j06_events_up_to_minute", PANEL + " SELECT match_id, t AS minute, n_events FROM panels", EV)
+def j06(spark, d):
+    """Events with minute <= t for every grid minute, without a range join."""
+    return _grid(spark, d).select("match_id", F.col("t").alias("minute"), "n_events")
+
+
+@query("j07_goal_in_window", SNAP + " SELECT match_id, t AS minute, happened::BIGINT AS happened FROM snaps", EV)
+def j07(spark, d):
+    return S.snapshots(match_events(spark, d)).select("match_id", "minute", "happened")
+
+
+@query("j17_previous_regime", PANEL + " SELECT match_id, t AS minute, previous_regime FROM panels", EV)
+def j17(spark, d):
+    return _panel(spark, d).select("match_id", "minute", "previous_regime")
+
+
+@query("g02_injected_scorer", PANEL + """ SELECT match_id, R(avg(lam_home * 90)) AS strength, R(abs(avg(lam_home * 90) - avg(momentum * 2))) AS divergence FROM panels GROUP BY match_id""", EV)
+def g02(spark, d):
+    """Perception and reality scorers are caller-supplied column expressions."""
+    from pitchgrid.plans.narrative import divergence_index
+    return divergence_index(_panel(spark, d), ["match_id"], perception=F.avg(F.col("momentum") * 2), reality=F.avg(F.col("lam_home") * 90)).select(
+        "match_id", F.col("reality").alias("strength"), "divergence")

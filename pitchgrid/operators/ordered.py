@@ -110,7 +110,7 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def mid_rank(df: DataFrame, keys: list[str], value: str, name: str, slots: int = 256) -> DataFrame:
+def mid_rank(df: DataFrame, keys: list[str], value: str, name: str, slots: int = 4096) -> DataFrame:
     """Percentile (below + ties / 2) / n of ``value`` inside its cohort.
 
     Values are first reduced to distinct value counts; counts are then accumulated over

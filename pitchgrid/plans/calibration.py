@@ -106,13 +106,18 @@ def best(scores: DataFrame, group_cols: list[str]) -> DataFrame:
     return first_by(ranked, group_cols, [F.col("ll_sum") / F.col("n"), F.col("candidate")])
 
 
+def _in_order(matches: DataFrame, order: list[str]) -> DataFrame:
+    """Position of every match along (date, id); a busy date is split by id prefix."""
+    bucket = F.struct(F.col(order[0]), *[F.substring(c, 1, 3) for c in order[1:]])
+    return numbered(matches, [], bucket, [F.col(c) for c in order], "rn", "total")
+
+
 def folds(matches: DataFrame, n_folds: int, order: list[str]) -> DataFrame:
     """Walk-forward block number per match: block 0 only trains, the tail is dropped.
 
-    ``order`` starts with a date-like column; numbering happens inside its values, only
-    the per-date counts are accumulated in one place.
+    ``order`` is a date column followed by text ids.
     """
-    ranked = numbered(matches, [], F.col(order[0]), [F.col(c) for c in order], "rn", "total")
+    ranked = _in_order(matches, order)
     size = F.floor(F.col("total") / (n_folds + 1))
     return (
         ranked.where(size > 0).withColumn("block", F.floor((F.col("rn") - 1) / size).cast("int"))
@@ -165,7 +170,7 @@ def recalibrate(scores: DataFrame) -> DataFrame:
 
 def holdout_parts(matches: DataFrame, order: list[str], share: float = 0.25) -> DataFrame:
     """The newest ``share`` of matches is held out."""
-    ranked = numbered(matches, [], F.col(order[0]), [F.col(c) for c in order], "rn", "total")
+    ranked = _in_order(matches, order)
     cut = F.greatest(F.lit(1), F.floor(F.col("total") * (1 - share)))
     return ranked.select("match_id", F.when(F.col("rn") <= cut, "train").otherwise("holdout").alias("part"))
 

@@ -23,7 +23,7 @@ def goal_sequence(events: DataFrame) -> DataFrame:
     """
     goals = events.where("type = 'goal'").select("match_id", "event_id", "minute", "team").withColumn(
         "delta", F.when(F.col("team") == "HOME", 1).otherwise(-1))
-    run = running_sums(goals, ["match_id"], F.floor("minute"), [F.col("minute"), F.col("event_id")],
+    run = running_sums(goals, ["match_id"], F.floor(F.col("minute") * 6), [F.col("minute"), F.col("event_id")],
                        {"diff": F.col("delta")})
     sign = lambda c: F.signum(c.cast("double")).cast("int")
     return run.withColumn("leader", sign(F.col("diff"))).withColumn("leader_before", sign(F.col("diff") - F.col("delta")))

@@ -62,3 +62,11 @@ def coach_profile(rows: DataFrame, metric: Column, contexts: tuple = ("winning",
 def philosophy(winning: Column, losing: Column) -> Column:
     return F.when((losing == "press") & (winning == "hold"), "OFFENSIVE").when(
         (losing == "hold") & (winning == "retreat"), "PRAGMATIC").otherwise("BALANCED")
+
+
+def divergence_index(rows: DataFrame, keys: list[str], perception: Column | None = None, reality: Column | None = None) -> DataFrame:
+    """Distance between two injected aggregate scorers per target; both default to 0."""
+    zero = F.max(F.lit(0.0))
+    scored = rows.groupBy(*keys).agg((perception if perception is not None else zero).alias("perception"),
+                                     (reality if reality is not None else zero).alias("reality"))
+    return scored.withColumn("divergence", divergence(F.col("perception"), F.col("reality")))

@@ -130,7 +130,7 @@ def on_off(lineups: DataFrame, changes: DataFrame, goals: DataFrame, ends: DataF
         F.struct(F.col("end").alias("minute"), F.lit(2).alias("kind")))).alias("m")).select(*scope, "player_id", "m.*")
     points = marks.unionByName(goals.select(*scope, F.lit(None).cast("string").alias("player_id"), "minute", F.lit(1).alias("kind")))
     points = points.withColumn("goal", (F.col("kind") == 1).cast("bigint"))
-    counted = running_sums(points, scope, F.floor("minute"), [F.col("minute"), F.col("kind")], {"upto": F.col("goal")})
+    counted = running_sums(points, scope, F.floor(F.col("minute") * 6), [F.col("minute"), F.col("kind")], {"upto": F.col("goal")})
     inside = counted.where("kind <> 1").groupBy(*scope, "player_id").agg(
         F.greatest(F.lit(0), F.sum(F.when(F.col("kind") == 2, F.col("upto")).otherwise(-F.col("upto")))).alias("goals_on"))
     total = goals.groupBy(*scope).agg(F.count("*").alias("team_goals"))

@@ -66,8 +66,7 @@ def _pmf(n: np.ndarray, p: np.ndarray, top: int) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(OUTCOME)
-def outcome(n: pd.Series, p_home: pd.Series, p_away: pd.Series, lead: pd.Series) -> pd.DataFrame:
+def _outcome_batch(n: pd.Series, p_home: pd.Series, p_away: pd.Series, lead: pd.Series) -> pd.DataFrame:
     """Result chances and the likeliest goal counts of both sides for a batch of states.
 
     Arrow-batched numpy: forty array operations per batch, where folding arrays row by row
@@ -87,6 +86,10 @@ def outcome(n: pd.Series, p_home: pd.Series, p_away: pd.Series, lead: pd.Series)
         "away_k": list(best_away), "away_p": list(np.take_along_axis(away, best_away, 1))})
 
 
+def outcome(slices, p_home, p_away, lead) -> Column:
+    return F.pandas_udf(_outcome_batch, OUTCOME)(slices, p_home, p_away, lead)
+
+
 def project(sliced: DataFrame) -> DataFrame:
     """Outcome distribution, expected goals and goal chances for the remaining time."""
     n = F.col("slices")

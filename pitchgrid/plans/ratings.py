@@ -18,9 +18,14 @@ from pitchgrid.settings import (
 LEAGUE = ["league", "season"]
 
 
+def _bucket() -> Column:
+    """Rises along (date, seq); splits a date that holds very many matches."""
+    return F.struct("date", F.floor(F.col("seq") / 100_000))
+
+
 def _before(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
     """Totals over strictly earlier rows in (date, seq) order, two-level over dates."""
-    return running_sums(df, keys, F.col("date"), [F.col("date"), F.col("seq")], sums, inclusive=False)
+    return running_sums(df, keys, _bucket(), [F.col("date"), F.col("seq")], sums, inclusive=False)
 
 
 def trailing_frequencies(fixtures: DataFrame) -> DataFrame:
@@ -80,7 +85,7 @@ def elo(fixtures: DataFrame, block_rows: int = 50_000, *, k: float = ELO_K, home
     Ordinary leagues fit the first block and need a single pass.
     """
     ranked = numbered(fixtures.select(*LEAGUE, "seq", "date", "home", "away", "home_goals", "away_goals"),
-                      LEAGUE, F.col("date"), [F.col("date"), F.col("seq")], "rn")
+                      LEAGUE, _bucket(), [F.col("date"), F.col("seq")], "rn")
     ranked = ranked.withColumn("block", F.floor((F.col("rn") - 1) / block_rows))
     out_schema = "league string, season string, seq long, team string, value double"
 

@@ -73,7 +73,7 @@ def thirds(events: DataFrame) -> DataFrame:
 def counters(events: DataFrame) -> DataFrame:
     """Own third to attacking third within ten seconds, consecutive located events of a side."""
     located = events.where("x IS NOT NULL").select("match_id", "team", "event_id", "minute", "x")
-    nxt = neighbour(located, ["match_id", "team"], F.floor("minute"), ["minute", "event_id"],
+    nxt = neighbour(located, ["match_id", "team"], F.floor(F.col("minute") * 6), ["minute", "event_id"],
                     {"next_minute": "minute", "next_x": "x"}, following=True)
     return nxt.where((F.col("x") < 100.0 / 3) & (F.col("next_x") > 200.0 / 3) & (F.col("next_minute") - F.col("minute") <= COUNTER_MINUTES))
 

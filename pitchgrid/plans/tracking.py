@@ -7,14 +7,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.operators.ordered import carried, neighbour, numbered
+from pitchgrid.operators.ordered import carried, neighbour, running_sums
 from pitchgrid.settings import CONF_HALF_LIFE, DRAG, MAX_GAP, MAX_SPEED
 
 KEY = ["entity"]
 ORDER = ["t", "seq"]
 
 
-def _slot(seconds: int = 60):
+def _slot(seconds: int = 10):
     return F.floor(F.col("t") / seconds)
 
 
@@ -81,11 +81,14 @@ def prediction_errors(observations: DataFrame, *, drag: float = DRAG, min_obs: i
 def evaluation(errors: DataFrame) -> DataFrame:
     """Mean, upper median and 90th of the errors beside the stay-put mean.
 
-    Ranks come from a two-level numbering over unit-wide error buckets.
+    Quantiles are exact: distinct error values are counted, the counts accumulated over
+    fine error ranges, and the first value past each rank is taken.
     """
-    ranked = numbered(errors, [], F.floor("error"), [F.col("error"), F.col("entity"), F.col("t"), F.col("seq")], "rn", "n")
-    at = lambda i: F.max(F.when(F.col("rn") == i + 1, F.col("error")))
-    return ranked.agg(
-        F.count("*").alias("n"), F.avg("error").alias("mean_error"), at(F.floor(F.col("n") / 2)).alias("median_error"),
-        at(F.floor(F.col("n") * 0.9)).alias("p90_error"), F.avg("static_error").alias("static_mean"),
+    means = errors.agg(
+        F.count("*").alias("n"), F.avg("error").alias("mean_error"), F.avg("static_error").alias("static_mean"),
         (F.avg("static_error") - F.avg("error")).alias("beats_static_by"), F.avg("gap").alias("mean_gap"))
+    values = errors.groupBy("error").agg(F.count("*").alias("c"))
+    upto = running_sums(values, [], F.floor(F.col("error") * 1000), [F.col("error")], {"upto": F.col("c")})
+    past = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col("error")))
+    marks = upto.join(F.broadcast(means.select("n"))).agg(past(0.5).alias("median_error"), past(0.9).alias("p90_error"))
+    return means.join(F.broadcast(marks))

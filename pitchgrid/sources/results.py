@@ -52,3 +52,19 @@ def community_records(docs: DataFrame, source: str, keep: list[str] = []) -> Dat
 def all_providers(*records: DataFrame) -> DataFrame:
     """One table of all providers; fields a provider lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), records)
+
+
+class ProviderRegistry:
+    """Providers by name: a trust prior and a reader returning the record schema."""
+
+    def __init__(self) -> None:
+        self._providers: dict = {}
+
+    def add(self, name: str, prior: float, reader) -> None:
+        self._providers[name] = (prior, reader)
+
+    def priors(self) -> dict[str, float]:
+        return {n: p for n, (p, _) in self._providers.items()}
+
+    def records(self) -> DataFrame:
+        return all_providers(*[reader() for _, (_, reader) in sorted(self._providers.items())])
