@@ -365,7 +365,7 @@ class MetricRegistry:
         out = []
         for name, fn in sorted(self._metrics.items()):
             try:
-                out.append(fn(events, params).select("match_id", "metric", F.col("value").cast("double").alias("value"), "summary"))
+                out.append(fn(events, params).select("match_id", F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"), "summary"))
             except Exception as exc:
                 out.append(events.sparkSession.createDataFrame(
                     [(None, name, None, f"error: {type(exc).__name__}")], "match_id string, metric string, value double, summary string"))
