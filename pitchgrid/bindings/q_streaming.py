@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pitchgrid.bindings import state_sql as Q
 from pitchgrid.bindings.registry import query
 from pitchgrid.bindings.tables import match_events
+from pitchgrid.functions.clock import naive_micros, naive_text
 from pitchgrid.operators.ordered import numbered
 from pitchgrid.plans import matches as M
 from pitchgrid.plans import snapshots as S
@@ -104,7 +105,7 @@ def k07(spark, d):
 def _event_stream(spark, d):
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     s = live.read_files(spark, d, schema, "events.parquet")
-    return s.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id")
+    return s.select(F.timestamp_micros(naive_micros(F.col("ts"))).alias("ts"), "event_type", "user_id")
 
 
 def _append_result(spark, frame):
@@ -120,14 +121,14 @@ CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
   WHERE s + INTERVAL 6 HOUR <= {CLOSED} GROUP BY ALL""")
 def t08(spark, d):
     out = _append_result(spark, live.windowed_counts(_event_stream(spark, d), "6 hours"))
-    return out.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    return out.select("event_type", F.substring(naive_text(F.col("w.start")), 1, 19).alias("start"), "n")
 
 
 @query("t08_sliding_counts", f""" SELECT event_type, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') - o * INTERVAL 6 HOUR AS s FROM events, unnest([0, 1]) u(o))
   WHERE s + INTERVAL 12 HOUR <= {CLOSED} GROUP BY ALL""")
 def t08_sliding(spark, d):
     out = _append_result(spark, live.windowed_counts(_event_stream(spark, d), "12 hours", "6 hours"))
-    return out.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    return out.select("event_type", F.substring(naive_text(F.col("w.start")), 1, 19).alias("start"), "n")
 
 
 @query("t08_session_counts", f""" SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (
@@ -135,4 +136,4 @@ def t08_sliding(spark, d):
   GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= {CLOSED}""")
 def t08_sessions(spark, d):
     out = _append_result(spark, live.session_counts(_event_stream(spark, d), "6 hours"))
-    return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    return out.select("user_id", F.substring(naive_text(F.col("w.start")), 1, 19).alias("start"), "n")

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchgrid.functions.clock import naive_micros
+
 START = "2024-01-01 00:00:00"
+START_MICROS = 1_704_067_200_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +38,7 @@ def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load(spark, sf_dir, "events")
     v = F.round(F.col("value") * 100).cast("bigint")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{START}', cast(ts as timestamp_ntz))")
+    micros = naive_micros(F.col("ts")) - F.lit(START_MICROS)
     minute = micros / F.lit(1e6) / F.lit(2592000.0) * F.lit(95.0)
     kind = (
         F.when(F.col("event_type") == "view", "shot").when(F.col("event_type") == "click", "shot_on_target")

@@ -11,6 +11,18 @@ from pitchgrid.settings import (
 )
 
 
+def naive_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp, whatever the session zone is."""
+    t = ts.cast("timestamp_ntz")
+    minutes = (F.unix_date(t.cast("date")).cast("bigint") * 24 + F.hour(t)) * 60 + F.minute(t)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+
+
+def naive_text(instant: Column) -> Column:
+    """Inverse of reading naive microseconds as an instant: yyyy-MM-dd HH:mm:ss text."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit("1970-01-01").cast("timestamp_ntz")).cast("string")
+
+
 def iso_date(text: Column) -> Column:
     """First ten characters as a date, null where they are not one."""
     return F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")

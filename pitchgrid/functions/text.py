@@ -65,20 +65,25 @@ def person_key(name: Column) -> Column:
     return F.array_join(F.filter(_words(name), lambda w: w != ""), " ")
 
 
-def apply_aliases(df: DataFrame, column: str, aliases: DataFrame | None) -> DataFrame:
-    """Replace ``column`` by its canonical spelling from ``aliases(alias, canonical)``.
+ALIAS_BROADCAST_ROWS = 50_000
 
-    The alias table is configuration written by people, so a plain equi-join lets the
-    planner broadcast it from its known size.
-    """
+
+def alias_lookup(aliases: DataFrame) -> DataFrame:
+    """The alias table, broadcast when a bounded count shows that it is small."""
+    lookup = aliases.select(F.col("alias").alias("__alias"), F.col("canonical").alias("__canonical"))
+    small = lookup.limit(ALIAS_BROADCAST_ROWS + 1).count() <= ALIAS_BROADCAST_ROWS
+    return F.broadcast(lookup) if small else lookup
+
+
+def apply_aliases(df: DataFrame, columns: list[str], aliases: DataFrame | None) -> DataFrame:
+    """Replace spellings by their canonical form from ``aliases(alias, canonical)``."""
     if aliases is None:
         return df
-    lookup = aliases.select(F.col("alias").alias("__alias"), F.col("canonical").alias("__canonical"))
-    return (
-        df.join(lookup, F.col(column) == F.col("__alias"), "left")
-        .withColumn(column, F.coalesce("__canonical", column))
-        .drop("__alias", "__canonical")
-    )
+    lookup = alias_lookup(aliases)
+    for column in columns:
+        df = df.join(lookup, F.col(column) == F.col("__alias"), "left").withColumn(
+            column, F.coalesce("__canonical", column)).drop("__alias", "__canonical")
+    return df
 
 
 def short_hash(text: Column) -> Column:

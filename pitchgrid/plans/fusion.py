@@ -20,7 +20,7 @@ def resolve(records: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     map-side-combined max_by, not a window.
     """
     keyed = records.withColumn("home_key", entity_key(F.col("home"))).withColumn("away_key", entity_key(F.col("away")))
-    keyed = apply_aliases(apply_aliases(keyed, "home_key", aliases), "away_key", aliases)
+    keyed = apply_aliases(keyed, ["home_key", "away_key"], aliases)
     rest = [c for c in keyed.columns if c not in (*FIXTURE, "source")]
     return keyed.groupBy(*FIXTURE, "source").agg(
         F.max_by(F.struct(*rest), "seq").alias("r")).select(*FIXTURE, "source", "r.*")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitchgrid.functions.clock import age_factor, age_on
 from pitchgrid.functions.scoring import clip, evidence_weight, ratio, unit_scale
 from pitchgrid.operators.ordered import first_by, mid_rank, numbered, running_sums
+from pitchgrid.shared import cut
 from pitchgrid.settings import (
     AVATAR_RANGES, COUNTERS, MIN_ACTIONS, MIN_DRIBBLES, PROGRESSIVE_MIN, REF_DISCIPLINE,
     REF_TURNOVER, VECTOR_RANGES,
@@ -123,8 +124,8 @@ def on_off(lineups: DataFrame, changes: DataFrame, goals: DataFrame, ends: DataF
     began = lineups.select(*scope, "player_id", F.lit(0.0).alias("start"), F.lit(0).alias("late")).unionByName(
         on.withColumn("late", F.lit(1)))
     began = began.groupBy(*scope, "player_id").agg(F.max_by("start", "late").alias("start"))
-    spells = began.join(off, [*scope, "player_id"], "left").join(ends, "match_id").withColumn(
-        "end", F.coalesce("off", "match_end"))
+    spells = cut(began.join(off, [*scope, "player_id"], "left").join(ends, "match_id").withColumn(
+        "end", F.coalesce("off", "match_end")))
     marks = spells.select(*scope, "player_id", F.explode(F.array(
         F.struct(F.col("start").alias("minute"), F.lit(0).alias("kind")),
         F.struct(F.col("end").alias("minute"), F.lit(2).alias("kind")))).alias("m")).select(*scope, "player_id", "m.*")
@@ -232,6 +233,7 @@ def scout_pool(player_profiles: DataFrame, bios: DataFrame, on: Column, *, min_a
 
 def scout_ranking(pool: DataFrame, cohort: list[str] = []) -> DataFrame:
     """Composite score from cohort percentiles, evidence and age; total order by id."""
+    pool = cut(pool)
     long = pool.unpivot(["player_id", *cohort], list(COMPONENTS), "component", "value")
     ranked = mid_rank(long, [*cohort, "component"], "value", "pct")
     wide = ranked.groupBy("player_id", *cohort).agg(*[

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchgrid.operators.ordered import carried, neighbour, running_sums
+from pitchgrid.shared import cut
 from pitchgrid.settings import CONF_HALF_LIFE, DRAG, MAX_GAP, MAX_SPEED
 
 KEY = ["entity"]
@@ -31,7 +32,7 @@ def velocities(observations: DataFrame) -> DataFrame:
     first = F.col("pt").isNull()
     v = F.when(first, F.struct(F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))).when(
         dt > 0, F.struct((vx * scale).alias("vx"), (vy * scale).alias("vy")))
-    return carried(o.withColumn("v0", v), KEY, _slot(), ORDER, "v0", "v").drop("v0")
+    return carried(cut(o.withColumn("v0", v)), KEY, _slot(), ORDER, "v0", "v").drop("v0")
 
 
 def _travel(dt, drag: float):
@@ -66,7 +67,7 @@ def estimate(observations: DataFrame, at: list[float], *, drag: float = DRAG, ha
 
 def prediction_errors(observations: DataFrame, *, drag: float = DRAG, min_obs: int = 4) -> DataFrame:
     """Motion-model and stay-put error at every observation after an entity's first."""
-    v = velocities(observations)
+    v = cut(velocities(observations))
     v = neighbour(v, KEY, _slot(), ORDER, {"pv": "v"})
     enough = observations.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= min_obs).select("entity")
     rows = v.where("pt IS NOT NULL").join(enough, "entity", "left_semi")
@@ -84,6 +85,7 @@ def evaluation(errors: DataFrame) -> DataFrame:
     Quantiles are exact: distinct error values are counted, the counts accumulated over
     fine error ranges, and the first value past each rank is taken.
     """
+    errors = cut(errors)
     means = errors.agg(
         F.count("*").alias("n"), F.avg("error").alias("mean_error"), F.avg("static_error").alias("static_mean"),
         (F.avg("static_error") - F.avg("error")).alias("beats_static_by"), F.avg("gap").alias("mean_gap"))

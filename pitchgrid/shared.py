@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,5 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise an intermediate that several later steps read (reliable checkpoint).
+
+    Two-level operators read their input twice; cutting between them keeps a chain of
+    such steps from re-reading its source a multiple of times, and lost executors only
+    recompute from the stored table.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -126,3 +126,21 @@ def test_scores_by_hand(spark):
 def test_regime_scale_leaves_thin_regimes_alone(events):
     df = events([("m", 5 + 3 * i, "HOME", "goal") for i in range(25)])
     assert {r.scale for r in C.fit_regime_scale(df, Params()).collect()} == {1.0}
+
+
+def test_a_hot_match_is_reduced_to_its_clock(spark):
+    """A third of all events in one match: at most one row per grid minute leaves a map task."""
+    from pitchgrid.operators.grid import game_cells
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("shot", "corner", "foul", "goal")]), (F.col("id") % 4 + 1).cast("int"))
+    side = F.when(F.col("id") % 3 == 0, "HOME").otherwise("AWAY")
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 1, "hot").otherwise(F.concat(F.lit("m"), (F.col("id") % 500).cast("string"))).alias("match_id"),
+        (F.col("id") * 7919 % 95_000 / 1000.0).alias("minute"), side.alias("team"), kind.alias("type"))
+    cells = game_cells(df, 1, (8.0,), {})
+    assert cells.where("match_id = 'hot'").count() <= 96
+    got = S.panel(df).where("match_id = 'hot' AND minute = 60").first()
+    rows = df.where("match_id = 'hot' AND minute <= 60").collect()
+    for name, want in (("HOME", got.pressure_home), ("AWAY", got.pressure_away)):
+        brute = math.fsum(EVENT_WEIGHTS.get(r.type, 0) * math.exp((r.minute - 60) / 8) for r in rows if r.team == name)
+        assert want == pytest.approx(brute, rel=1e-9)
+    assert got.n_events == len(rows)
