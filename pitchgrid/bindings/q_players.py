@@ -258,8 +258,8 @@ _PCT = "((rank() OVER (ORDER BY {c}) - 1 + 0.5 * count(*) OVER (PARTITION BY {c}
 @query("w16_scout_ranking", ROLL_SQL + "," + profile_sql("career") + "," + BIO + f""",
 pool AS (SELECT player_id, confidence, round((DATE '2003-06-30' - birth_date) / 365.2425::DOUBLE, 2) AS age, (goals + assists) / greatest(actions, 1) AS attack,
     key_pass_rate AS creation, progressive_pass_share AS progression, pass_accuracy - turnover_rate AS security FROM prof LEFT JOIN bios USING (player_id) WHERE actions >= 60),
-pct AS (SELECT *, {', '.join(f'round_even({_PCT.format(c=c)}, 3) AS p_{c}' for c in P.COMPONENTS)} FROM pool)
-SELECT player_id, R(age) AS age, R(perf) AS performance, R(af) AS age_factor, R(least(100, round_even(100 * perf * (0.5 + 0.5 * confidence) * af, 1))) AS score
+pct AS (SELECT *, {', '.join(f'{_PCT.format(c=c)} AS p_{c}' for c in P.COMPONENTS)} FROM pool)
+SELECT player_id, R(age) AS age, R(perf) AS performance, R(af) AS age_factor, R(least(100, 100 * perf * (0.5 + 0.5 * confidence) * af)) AS score
 FROM (SELECT *, (p_attack + p_creation + p_progression + p_security) / 4 AS perf, CASE WHEN age IS NULL THEN 1 WHEN age <= 19 THEN 1.15 WHEN age >= 32 THEN 0.85
   ELSE round(1.15 + (0.85 - 1.15) / 13 * (age - 19), 4) END::DOUBLE AS af FROM pct)""", PA)
 def w16(spark, d):

@@ -232,18 +232,21 @@ def scout_pool(player_profiles: DataFrame, bios: DataFrame, on: Column, *, min_a
 
 
 def scout_ranking(pool: DataFrame, cohort: list[str] = []) -> DataFrame:
-    """Composite score from cohort percentiles, evidence and age; total order by id."""
+    """Composite score from cohort percentiles, evidence and age, in full precision.
+
+    Order by (score desc, player_id) for the ranking; views round the score to one digit.
+    """
     pool = cut(pool)
     long = pool.unpivot(["player_id", *cohort], list(COMPONENTS), "component", "value")
     ranked = mid_rank(long, [*cohort, "component"], "value", "pct")
     wide = ranked.groupBy("player_id", *cohort).agg(*[
         F.max(F.when(F.col("component") == c, F.col("pct"))).alias(f"pct_{c}") for c in COMPONENTS])
     out = pool.join(wide, ["player_id", *cohort])
-    rounded = [F.bround(f"pct_{c}", 3) for c in COMPONENTS]
-    performance = sum(rounded[1:], rounded[0]) / len(COMPONENTS)
+    parts = [F.col(f"pct_{c}") for c in COMPONENTS]
+    performance = sum(parts[1:], parts[0]) / len(COMPONENTS)
     weight = 0.5 + 0.5 * clip(F.coalesce("confidence", F.lit(0.0)), 0.0, 1.0)
     return out.withColumn("performance", performance).withColumn("age_factor", age_factor(F.col("age"))).withColumn(
-        "score", F.least(F.lit(100.0), F.bround(100.0 * F.col("performance") * weight * F.col("age_factor"), 1)))
+        "score", F.least(F.lit(100.0), 100.0 * F.col("performance") * weight * F.col("age_factor")))
 
 
 def season_timeline(season_profiles: DataFrame, matches: DataFrame) -> DataFrame:
