@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.text import apply_aliases, content_id, entity_key, prefixed_id
+from pitchgrid.operators.skew import salted_join
 from pitchgrid.settings import FUSED_FIELDS
 
 FIXTURE = ["date", "home_key", "away_key"]
@@ -258,7 +259,7 @@ def clock_offsets(events: DataFrame, anchor: str = "goal", window: float = 5.0)
 
 def align(events: DataFrame, offsets: DataFrame) -> DataFrame:
     """All providers' events on the reference clock."""
-    return events.join(offsets, ["match_id", "source"]).withColumn(
+    return salted_join(events, offsets, ["match_id", "source"], ["minute", "type"]).withColumn(
         "aligned_minute", F.round(F.col("minute") - F.col("offset"), 3))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitchgrid.functions.scoring import ratio
 from pitchgrid.operators.grid import game_cells, game_grid
 from pitchgrid.operators.ordered import first_by, numbered, running_sums
+from pitchgrid.operators.skew import salted_join
 from pitchgrid.plans.snapshots import momentum, panel, percent
 from pitchgrid.settings import (
     CARD_TYPES, CHECKPOINTS, GOAL_BINS, SHOT_TYPES, VECTOR_SCALES, Params,
@@ -258,7 +259,7 @@ def what_if(events: DataFrame, requests: DataFrame, params: Params = Params()) -
     """Baseline and counterfactual panels from the removed event to full time."""
     targets = find_events(events, requests).select("match_id", F.col("event_id").alias("removed"), F.floor("minute").alias("from_minute"))
     ends = events.groupBy("match_id").agg(F.ceil(F.max("minute")).cast("int").alias("duration"))
-    base = events.join(targets.select("match_id"), "match_id", "left_semi")
+    base = salted_join(events, targets.select("match_id").distinct(), ["match_id"], ["event_id"], "left_semi")
     gone = targets.select("match_id", F.col("removed").alias("event_id"))
     other = base.join(gone, ["match_id", "event_id"], "left_anti").withColumn("match_id", F.concat("match_id", F.lit("#cf")))
     heads = ends.join(targets.select("match_id"), "match_id", "left_semi").select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitchgrid.functions.clock import age_factor, age_on
 from pitchgrid.functions.scoring import clip, evidence_weight, ratio, unit_scale
 from pitchgrid.operators.ordered import first_by, mid_rank, numbered, running_sums
+from pitchgrid.operators.skew import salted_join
 from pitchgrid.shared import cut
 from pitchgrid.settings import (
     AVATAR_RANGES, COUNTERS, MIN_ACTIONS, MIN_DRIBBLES, PROGRESSIVE_MIN, REF_DISCIPLINE,
@@ -166,7 +167,7 @@ def behaviour(player_profiles: DataFrame, events: DataFrame) -> DataFrame:
 
     ``player_profiles`` has player_id and profile columns, ``events`` the match events.
     """
-    e = events.join(first_conceded(events), ["match_id", "team"], "left")
+    e = salted_join(events, first_conceded(events), ["match_id", "team"], ["player_id", "minute"], "left")
     kind = F.col("type")
     per = e.groupBy("match_id", "team", "player_id").agg(
         F.count("*").alias("n"), F.count_if(kind == "foul").alias("fouls"),

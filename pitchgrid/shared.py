@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="pitchgrid-")
         spark.conf.set("spark.checkpoint.dir", base)
     if context.getCheckpointDir() is None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.clock import rescale_x, rescale_y
+from pitchgrid.operators.skew import salted_join
 
 # fixed values of the provider format
 ON_TARGET = ("Saved", "Saved to Post")
@@ -47,7 +48,7 @@ def with_side(raw: DataFrame, matches: DataFrame) -> DataFrame:
     names = matches.select("match_id", "home_team", "away_team")
     team = F.col("team.name")
     side = F.when(team == F.col("home_team"), "HOME").when(team == F.col("away_team"), "AWAY")
-    return raw.join(names, "match_id").withColumn("side", side).where("side IS NOT NULL")
+    return salted_join(raw, names, ["match_id"], ["event_no"]).withColumn("side", side).where("side IS NOT NULL")
 
 
 def _in_play() -> Column:
@@ -82,7 +83,7 @@ def ball_stream(raw: DataFrame, matches: DataFrame) -> DataFrame:
     """Dense timed on-ball stream; segment columns are null for point actions."""
     kind = F.col("type.name")
     home = matches.select("match_id", "home_team")
-    rows = raw.join(home, "match_id").where(kind.isin(*SEGMENTS, *POINTS) & (F.size("location") > 0))
+    rows = salted_join(raw, home, ["match_id"], ["event_no"]).where(kind.isin(*SEGMENTS, *POINTS) & (F.size("location") > 0))
     end = F.when(kind == "Pass", F.col("pass.end_location")).when(kind == "Carry", F.col("carry.end_location")).when(kind == "Shot", F.col("shot.end_location"))
     loc = F.col("location")
     return rows.select(
