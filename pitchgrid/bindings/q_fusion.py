@@ -71,15 +71,17 @@ def f01_exact(spark, d):
     return provider_records(spark, d).select("source", "seq", F.lower(X.fold_accents_exact(F.col("home"))).alias("folded"))
 
 
+PERSON_SQL = "trim(regexp_replace(lower(strip_accents(translate(home, '.-', '  '))), ' +', ' ', 'g'))"
+
+
 @query("f02_canonical_ids", f""" SELECT source, seq, 'team_' || substr(sha256({key_sql('home')}), 1, 16) AS home_team_id,
-  'player_' || substr(sha256(CASE WHEN seq % 3 = 0 THEN 'ext:Q' || seq WHEN seq % 3 = 1 THEN lower(strip_accents(replace(home, '.', ' '))) || '|' || date
-    ELSE 'name:' || trim(regexp_replace(lower(strip_accents(translate(home, '.-', '  '))), ' +', ' ', 'g')) END), 1, 16) AS player_id
-  FROM provider_records WHERE source <> 'beta'""", PR)
+  'player_' || substr(sha256(CASE WHEN seq % 3 = 0 THEN 'ext:Q' || seq WHEN seq % 3 = 1 THEN {PERSON_SQL} || '|' || date ELSE 'name:' || {PERSON_SQL} END), 1, 16) AS player_id
+  FROM provider_records""", PR)
 def f02(spark, d):
-    r = provider_records(spark, d).where("source <> 'beta'")
     m = F.pmod("seq", F.lit(3))
-    return r.select("source", "seq", X.prefixed_id("team", X.entity_key(F.col("home"))).alias("home_team_id"),
-                    X.player_id(F.col("home"), F.when(m == 1, F.col("date")), F.when(m == 0, F.concat(F.lit("Q"), F.col("seq").cast("string")))).alias("player_id"))
+    return provider_records(spark, d).select(
+        "source", "seq", X.prefixed_id("team", X.entity_key(F.col("home"))).alias("home_team_id"),
+        X.player_id(F.col("home"), F.when(m == 1, F.col("date")), F.when(m == 0, F.concat(F.lit("Q"), F.col("seq").cast("string")))).alias("player_id"))
 
 
 @query("j02_resolved_fixtures", RESOLVED + """ SELECT date::VARCHAR AS date, home_key, away_key, count(*) AS n_sources,
@@ -143,8 +145,8 @@ def x03(spark, d):
 
 @query("x01_tolerance_clusters", RESOLVED + """,
 wide AS (SELECT date, home_key, away_key, field, max(value) FILTER (source = 'alpha') AS a, max(value) FILTER (source = 'beta') AS b,
-  max(value) FILTER (source = 'gamma') AS g FROM facts WHERE field = 'corners_home' GROUP BY ALL)
-SELECT date::VARCHAR AS date, home_key, away_key, CASE
+  max(value) FILTER (source = 'gamma') AS g FROM facts GROUP BY ALL)
+SELECT date::VARCHAR AS date, home_key, away_key, field, CASE
     WHEN a IS NULL AND b IS NULL THEN R(g) WHEN a IS NULL AND g IS NULL THEN R(b) WHEN b IS NULL AND g IS NULL THEN R(a)
     WHEN g IS NULL THEN CASE WHEN abs(a - b) <= 1 THEN R((a + b) / 2) ELSE R(a) END
     WHEN b IS NULL THEN CASE WHEN abs(a - g) <= 1 THEN R((a + g) / 2) ELSE R(a) END
@@ -153,7 +155,8 @@ SELECT date::VARCHAR AS date, home_key, away_key, CASE
     WHEN abs(a - b) <= 1 THEN R((a + b) / 2) WHEN abs(a - g) <= 1 THEN R((a + g) / 2)
     WHEN abs(b - g) <= 1 THEN R((b + g) / 2) ELSE R(a) END AS value FROM wide""", PR)
 def x01_tol(spark, d):
-    return U.fuse(_resolved(spark, d), PRIORS, {"corners_home": 1.0}, ("corners_home",)).where("n_claims > 0").select(*U.FIXTURE, "value")
+    within_one = {f: 1.0 for f in FUSED_FIELDS}
+    return U.fuse(_resolved(spark, d), PRIORS, within_one).where("n_claims > 0").select(*U.FIXTURE, "field", "value")
 
 
 @query("s18_fused_upsert", CELLS + """,

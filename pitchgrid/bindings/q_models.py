@@ -114,8 +114,7 @@ def m13(spark, d):
 
 @query("m11_monte_carlo")
 def m11_mc(spark, d):
-    states = _sliced(spark, d).where(F.col("t") == 60)
-    return P.monte_carlo(states, 50, seed=7)
+    return P.monte_carlo(P.with_slices(P.lane_states(match_events(spark, d)), 60.0), 10, seed=7)
 
 
 # ratings ------------------------------------------------------------------- #

@@ -168,8 +168,9 @@ def monte_carlo(sliced: DataFrame, n_sims: int, seed: int = 0) -> DataFrame:
     def draw(side):
         return lambda k: (F.pmod(F.xxhash64(F.lit(seed), "match_id", "t", "sim", F.lit(side), k), F.lit(1 << 52)) / float(1 << 52))
     def goals(side, p):
-        return F.aggregate(F.sequence(F.lit(1), F.col("slices")), F.lit(0), lambda acc, k: acc + (draw(side)(k) < F.col(p)).cast("int"))
-    played = sims.where("slices > 0").select("match_id", "t", (F.col("home_goals") + goals("h", "p_home")).alias("h"), (F.col("away_goals") + goals("a", "p_away")).alias("a"))
+        scored = F.aggregate(F.sequence(F.lit(1), F.col("slices")), F.lit(0), lambda acc, k: acc + (draw(side)(k) < F.col(p)).cast("int"))
+        return F.when(F.col("slices") > 0, scored).otherwise(0)
+    played = sims.select("match_id", "t", (F.col("home_goals") + goals("h", "p_home")).alias("h"), (F.col("away_goals") + goals("a", "p_away")).alias("a"))
     return played.groupBy("match_id", "t").agg(
         F.avg((F.col("h") > F.col("a")).cast("double")).alias("home_win"), F.avg((F.col("h") == F.col("a")).cast("double")).alias("draw"),
         F.avg((F.col("h") < F.col("a")).cast("double")).alias("away_win"))
