@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import mixing, sharding, token_orc, url_rules
+from pitchgrid.llm import mixing, sharding, token_orc, url_rules, winnowing
 from pitchgrid.llm.common import load, words_of
 from pitchgrid.shared import new_folder
 
@@ -115,3 +115,37 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_orc.write_tokens(docs, path, tokenizer_path(), end_id=2)
     back = token_orc.token_digest(token_orc.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids"))
     return back.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document stands in 13-word windows of the benchmark."""
+    judged = winnowing.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLES["op4_winnowing"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), i AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') AS win
+  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS r(p) WHERE len(w) > 0
+), x AS (
+  SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT n FROM i), unnest(range(1, len(w) - n + 2)) AS r(p)
+), h AS (
+  SELECT doc_id, item_id, n, p FROM x JOIN i USING (n, win)
+), c AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, n, p FROM h), unnest(range(p, p + n)) AS r(q) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
