@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import mixing, sharding, token_orc, url_rules, winnowing
+from pitchgrid.llm import mixing, quality_knn, sharding, token_orc, toxicity, url_rules, winnowing
 from pitchgrid.llm.common import load, words_of
 from pitchgrid.shared import new_folder
 
@@ -149,3 +149,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+def scored(docs: DataFrame, folds: int, fold: int) -> DataFrame:
+    return docs.select(
+        "doc_id", quality_knn.held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by its nearest labelled examples; fold 0 of 5 is held out."""
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~quality_knn.held_out(F.col("doc_id"), 5, 0)))
+    return scored(toxicity.score_documents(docs, model, evidence=None), 5, 0)
+
+
+@query
+def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by votes of labelled neighbours; fold 1 of 3 is held out."""
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
+    model = quality_knn.fit(docs, labels.filter(~quality_knn.held_out(F.col("doc_id"), 3, 1)))
+    return scored(quality_knn.score_documents(docs, model), 3, 1)
