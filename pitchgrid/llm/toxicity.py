@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +17,43 @@ from pitchgrid.llm.common import arrow_session
 from pitchgrid.llm.quality_knn import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
+#: The term that every word counts for: with it, the same marks weigh less in a longer text.
+ANY = "*"
 #: Letters of the word beginnings that are terms beside the words themselves.
-STEM = 5
+STEMS = (4, 5)
 
 
-def terms_of(text: str) -> Counter:
-    """Terms of a whole text with their counts: lower-cased words, and beginnings of longer words marked with ``~``."""
+def terms_of(text: str, known: dict[str, int] | None = None) -> Counter:
+    """Terms of a whole text with their counts: lower-cased words, and beginnings of longer words marked with ``~``.
+
+    With ``known``, only its terms.
+    """
     words = Counter(WORD.findall(text.lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        if len(w) > STEM:
-            out[w[:STEM] + "~"] += n
+    out = Counter(words) if known is None else Counter({w: words[w] for w in words.keys() & known.keys()})
+    for n in STEMS:
+        for w, count in words.items():
+            if len(w) > n and (known is None or w[:n] + "~" in known):
+                out[w[:n] + "~"] += count
+    out[ANY] = sum(words.values())
+    return out
+
+
+def sketch_of(text: str, coordinates: int = 3) -> list[int]:
+    """Smallest hashes of the runs of three words: texts that share one are taken for copies of each other."""
+    words = WORD.findall(text.lower())
+    runs = {" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))}
+    return [min(crc32(f"{c} {r}".encode()) for r in runs) for c in range(coordinates)]
+
+
+def without_copies(sketches: list[list[int]]) -> list[int]:
+    """Numbers of the examples that share no sketch value with an earlier one that stayed."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for i, sketch in enumerate(sketches):
+        own = set(enumerate(sketch))
+        if not own & seen:
+            out.append(i)
+            seen |= own
     return out
 
 
@@ -43,12 +70,16 @@ class BlockMax:
     block_no: np.ndarray
     block_max: np.ndarray
     block_post: np.ndarray  # first posting of the block, one more at the end
+    post_in_block: np.ndarray  # per posting: place of the example in its block
+    place: np.ndarray  # per term and block: its number among the terms' blocks, -1 for none
     size: int
     block: int
 
     def query(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The index's terms in a text and their unit weights."""
-        own = sorted((i, n) for t, n in counts.items() if (i := self.terms.get(t)) is not None)
+        own = sorted((i, n) for t, n in counts.items() if n and (i := self.terms.get(t)) is not None)
+        if len(own) == 1 and self.terms.get(ANY) == own[0][0]:
+            own = []
         ids = np.array([i for i, _ in own], np.int64)
         weight = (1.0 + np.log(np.array([n for _, n in own], np.float64))) * self.idf[ids] if own else np.empty(0)
         norm = np.sqrt((weight ** 2).sum())
@@ -72,22 +103,23 @@ class BlockMax:
                 break
             score = np.zeros(self.block)
             for t, w in zip(ids, weight):
-                a, b = self.block_start[t], self.block_start[t + 1]
-                at = a + np.searchsorted(self.block_no[a:b], n)
-                if at < b and self.block_no[at] == n:
+                at = self.place[t, n]
+                if at >= 0:
                     p, q = self.block_post[at], self.block_post[at + 1]
-                    score[self.post_doc[p:q] - n * self.block] += w * self.post_weight[p:q]
-            hit = np.flatnonzero(score > 0)
-            docs, scores = np.concatenate([best_doc, hit + n * self.block]), np.concatenate([best, np.round(score[hit], 9)])
-            top = np.lexsort((docs, -scores))[:k]
-            best_doc, best = docs[top], scores[top]
+                    score[self.post_in_block[p:q]] += w * self.post_weight[p:q]
+            score = np.round(score, 9)
+            hit = np.flatnonzero(score >= best[-1] if len(best) >= k else score > 0)
+            if len(hit):
+                docs, scores = np.concatenate([best_doc, hit + n * self.block]), np.concatenate([best, score[hit]])
+                top = np.lexsort((docs, -scores))[:k]
+                best_doc, best = docs[top], scores[top]
         return best_doc, best
 
 
-def build_index(examples: list[Counter], terms: dict[str, int], idf: np.ndarray, block: int = 64) -> BlockMax:
+def build_index(examples: list[Counter], terms: dict[str, int], idf: np.ndarray, block: int = 128) -> BlockMax:
     """Index of the examples' unit vectors over ``terms``."""
     rows: list[tuple[int, int, float]] = []
-    empty = BlockMax(terms, idf, *(np.empty(0, np.int64),) * 7, len(examples), block)
+    empty = BlockMax(terms, idf, *(np.empty(0, np.int64),) * 9, len(examples), block)
     for d, counts in enumerate(examples):
         ids, weight = empty.query(counts)
         rows += zip(ids.tolist(), [d] * len(ids), weight.tolist())
@@ -98,9 +130,11 @@ def build_index(examples: list[Counter], terms: dict[str, int], idf: np.ndarray,
     new = np.ones(len(rows), bool)
     new[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
     first = np.flatnonzero(new)
+    place = np.full((len(terms), max(1, -(-len(examples) // block))), -1, np.int64)
+    place[term[first], own[first]] = np.arange(len(first))
     return BlockMax(
         terms, idf, np.searchsorted(term, edge), doc, weight, np.searchsorted(term[first], edge), own[first],
-        np.maximum.reduceat(weight, first) if len(first) else np.empty(0), np.append(first, len(rows)), len(examples), block)
+        np.maximum.reduceat(weight, first) if len(first) else np.empty(0), np.append(first, len(rows)), doc % block, place, len(examples), block)
 
 
 @dataclass(frozen=True)
@@ -117,7 +151,7 @@ class Toxicity:
 
     def judge(self, text: str) -> tuple[float, list[tuple[int, float, int]]]:
         """Score, and the neighbours (id, cosine, label) that voted."""
-        ids, weight = self.index.query(terms_of(text))
+        ids, weight = self.index.query(terms_of(text, self.index.terms))
         near, cosine = self.index.nearest(ids, weight, self.k) if len(ids) else (np.empty(0, np.int64), np.empty(0))
         if not len(near):
             return self.bare, []
@@ -126,8 +160,8 @@ class Toxicity:
         return min(max(score, 0.0), 1.0), list(zip(self.ids[near].tolist(), cosine.tolist(), self.labels[near].astype(int).tolist()))
 
 
-def choose_terms(examples: list[Counter], y: np.ndarray, most: int, least_docs: int = 3) -> list[str]:
-    """Terms that the labels set apart: chi-square of presence above 10.8 (one in a thousand by chance), largest first."""
+def choose_terms(examples: list[Counter], y: np.ndarray, most: int, least_docs: int = 5) -> list[str]:
+    """Terms that the labels set apart: chi-square of presence above 24 (one in a million by chance), largest first."""
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     counts: dict[str, list[int]] = {}
     for c, label in zip(examples, y):
@@ -139,9 +173,9 @@ def choose_terms(examples: list[Counter], y: np.ndarray, most: int, least_docs:
             n, c, d = n1 + n0, n1 - a, n0 - b
             chi = n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * n1 * n0, 1e-9)
             apart = (a / n1 + 1e-4) / (b / n0 + 1e-4)
-            if chi > 10.8 and not 1 / 3 < apart < 3:
+            if chi > 24 and not 1 / 3 < apart < 3:
                 scored.append((-chi, t))
-    return [t for _, t in sorted(scored)[:most]]
+    return [ANY, *(t for _, t in sorted(scored)[:most - 1] if t != ANY)]
 
 
 def _document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
@@ -153,9 +187,7 @@ def _document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.nd
         for batch in batches:
             total[-1] += len(batch)
             for text in batch.column(0):
-                found = set(WORD.findall((text.as_py() or "").lower()))
-                found |= {w[:STEM] + "~" for w in found if len(w) > STEM}
-                for t in found & known.keys():
+                for t in terms_of(text.as_py() or "", known):
                     total[known[t]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["term", "n"])
 
@@ -166,10 +198,11 @@ def _document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.nd
     return int(out[-1]), out[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample_rows: int = 4000, terms: int = 2000, k: int = 15, power: float = 2.0) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample_rows: int = 4000, terms: int = 2000, k: int = 15, power: float = 6.0) -> Toxicity:
     """Index over at most ``sample_rows`` labelled documents and ``terms`` terms (documented bounds).
 
-    Terms are those of the sample that its labels set apart; their document frequencies are counted over all of
+    Of copies among the examples one is kept, else what they share would look like a mark of their label. Terms are
+    those of the sample that its labels set apart; their document frequencies are counted over all of
     ``docs``. Only the sample's term counts and one number a term reach the driver.
     """
     arrow_session(docs.sparkSession)
@@ -178,13 +211,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample_rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [terms_of(t or "") for t in batch.column(2).to_pylist()]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            found = [terms_of(t) for t in texts]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
-                names=["doc_id", "label", "terms", "counts"])
+                batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32())),
+                pa.array([sketch_of(t) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "counts", "sketch"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
-    rows = sorted(chosen.mapInArrow(count, "doc_id long, label int, terms array<string>, counts array<int>").collect(), key=lambda r: r.doc_id)
+    rows = sorted(chosen.mapInArrow(count, "doc_id long, label int, terms array<string>, counts array<int>, sketch array<bigint>").collect(), key=lambda r: r.doc_id)
+    rows = [rows[i] for i in without_copies([r.sketch for r in rows])]
     examples = [Counter(dict(zip(r.terms, r.counts))) for r in rows]
     y = np.array([r.label for r in rows], np.float64)
     chosen_terms = {t: i for i, t in enumerate(sorted(choose_terms(examples, y, terms)))}
@@ -195,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample_rows
     prior = counts.get(1, 0) / total if total else 0.5
     own = y.mean() if len(y) else 0.5
     weights = np.where(y == 1, prior / max(own, 1e-9), (1 - prior) / max(1 - own, 1e-9))
-    bare = np.array([not any(t in chosen_terms for t in c) for c in examples], bool)
+    bare = np.array([not any(t in chosen_terms and t != ANY for t in c) for c in examples], bool)
     without = float((weights * y)[bare].sum() / weights[bare].sum()) if bare.any() else prior
     return Toxicity(index, y, np.array([r.doc_id for r in rows], np.int64), weights, without, k, power)
 
