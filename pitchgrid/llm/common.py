@@ -89,6 +89,20 @@ def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def merged(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of at least ``size`` bytes (the last may be smaller)."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply, shift, xor)."""
     with np.errstate(over="ignore"):
