@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import mixing, quality_knn, sharding, token_orc, toxicity, url_rules, winnowing
+from pitchgrid.llm import mixing, near_dup, quality_knn, sharding, token_orc, toxicity, url_rules, winnowing
 from pitchgrid.llm.common import load, words_of
 from pitchgrid.shared import new_folder
 
@@ -170,3 +170,10 @@ def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
     model = quality_knn.fit(docs, labels.filter(~quality_knn.held_out(F.col("doc_id"), 3, 1)))
     return scored(quality_knn.score_documents(docs, model), 3, 1)
+
+
+@query
+def op7_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates of all documents."""
+    groups = near_dup.duplicate_groups(load(spark, sf_dir, "documents"), percent=85)
+    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
