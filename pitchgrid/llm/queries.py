@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import mixing, near_dup, quality_knn, sharding, token_orc, toxicity, url_rules, winnowing
+from pitchgrid.llm import divergence, mixing, near_dup, quality_knn, sharding, token_orc, toxicity, url_rules, winnowing
 from pitchgrid.llm.common import load, words_of
 from pitchgrid.shared import new_folder
 
@@ -177,3 +177,73 @@ def op7_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates of all documents."""
     groups = near_dup.duplicate_groups(load(spark, sf_dir, "documents"), percent=85)
     return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query
+def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and Jensen-Shannon verdicts of every document."""
+    judged = divergence.judge_documents(load(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _class_sql(text: str) -> str:
+    keep = lambda pattern: f"length(regexp_replace({text}, '{pattern}', '', 'g'))"
+    upper, digit, space = keep(r"[^\p{Lu}]+"), keep(r"[^\p{Nd}]+"), f"(length({text}) - {keep(r'[\x20\x09-\x0D]+')})"
+    mark, sign = keep("""[^.,;:!?''"()-]+"""), keep(r"""[\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:!?''"()-]+""")
+    return f"[{upper}, {digit}, {space}, {mark}, {sign}, length({text}) - {upper} - {digit} - {space} - {mark} - {sign}]"
+
+
+def _distance_sql(own: str, other: str) -> str:
+    part = "CASE WHEN {a}[i] > 0 THEN {a}[i] * log2({a}[i] / (({a}[i] + {b}[i]) / 2)) ELSE 0 END"
+    return f"sqrt(greatest(list_sum(list_transform(range(1, len({own}) + 1), lambda i: ({part.format(a=own, b=other)} + {part.format(a=other, b=own)}) / 2)), 0))"
+
+
+ORACLES["op3_divergence"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents
+), l AS (
+  SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS letters,
+         regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, {_class_sql("text")} AS classes FROM d
+), n AS (
+  SELECT lang, CASE WHEN length(word) <= 6 THEN word ELSE '' END AS word, count(*) AS n FROM (SELECT lang, unnest(letters) AS word FROM l) GROUP BY ALL
+), m AS (
+  SELECT * FROM n WHERE lang <> '' UNION ALL SELECT '', word, sum(n) FROM n GROUP BY word
+), t AS (
+  SELECT lang, sum(n) AS total FROM m GROUP BY lang
+), k AS (
+  SELECT * FROM t WHERE lang = '' OR total * 1000 >= (SELECT total FROM t WHERE lang = '')
+), c AS (
+  SELECT lang, list(word ORDER BY word) AS words, list_append(list(n / total ORDER BY word), 1 - sum(n) / any_value(total)) AS word_shares
+  FROM m JOIN k USING (lang) WHERE word <> '' AND n * 125 >= total GROUP BY lang
+), h AS (
+  SELECT lang, i, sum(classes[i]) AS n FROM l, range(1, 7) AS r(i) GROUP BY ALL
+), g AS (
+  SELECT lang, list(n / greatest(s, 1) ORDER BY i) AS class_shares
+  FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS s FROM (SELECT * FROM h WHERE lang <> '' UNION ALL SELECT '', i, sum(n) FROM h GROUP BY i)) GROUP BY lang
+), r AS (
+  SELECT lang, coalesce(words, []) AS words, coalesce(word_shares, [1.0]) AS word_shares, class_shares FROM k LEFT JOIN c USING (lang) LEFT JOIN g USING (lang)
+), x AS (
+  SELECT l.*, words, word_shares, class_shares FROM l JOIN r ON r.lang = CASE WHEN l.lang IN (SELECT lang FROM r) THEN l.lang ELSE '' END
+), e AS (
+  SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (
+    SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, a, b, c) AS times FROM (
+      SELECT doc_id, p, w[p] AS a, w[p + 1] AS b, w[p + 2] AS c FROM l, unnest(range(1, len(w) - 1)) AS u(p))
+  ), unnest([p, p + 1, p + 2]) AS v(q) WHERE times > 1 GROUP BY doc_id
+), f AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(letters) AS n_letters,
+         list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, word_shares, class_shares,
+         list_transform(classes, lambda z: z / greatest(list_sum(classes), 1)) AS own_classes,
+         list_transform(words, lambda z: len(list_filter(letters, lambda y: y = z)) / greatest(len(letters), 1)) AS own
+  FROM x LEFT JOIN e USING (doc_id)
+), v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         list_append(own, CASE WHEN n_letters = 0 THEN 0 ELSE 1 - coalesce(list_sum(own), 0) END) AS own_words FROM f
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_words >= {divergence.MIN_CLASS_WORDS} AND {_distance_sql("own_classes", "class_shares")} > {divergence.MAX_CLASS_DISTANCE})
+       AND NOT (n_letters >= {divergence.MIN_COMMON_WORDS} AND {_distance_sql("own_words", "word_shares")} > {divergence.MAX_WORD_DISTANCE}) AS kept
+FROM v
+"""
