@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +14,27 @@ from pyspark.sql import functions as F
 from pitchgrid.llm.common import U64, Words, arrow_session, grams, mix, pieces, random_u64, space_words, stored, utf8
 from pitchgrid.llm.components import components
 
-#: Coordinates of a signature, min-hashes in each, and coordinates that a pair must share.
-#: At a similarity of 0.85 a coordinate agrees with probability 0.85^5 = 0.44: fewer than 3 of 40 agree in 1 pair of 10^7.
-COORDINATES, HASHES, MATCHES = 40, 5, 3
-SHINGLE = 3
+#: Coordinates of a signature and min-hashes in each: at a similarity of s a coordinate agrees with probability s^5.
+COORDINATES, HASHES = 40, 5
+#: Of the pairs just as similar as asked for, at most this share may agree in fewer coordinates than are asked for.
+MISSED = 1e-5
 #: Members of a block, and members of other blocks that stand in each.
 BLOCK, ANCHORS = 128, 16
 #: Ids (8 bytes each) up to which a checked list is broadcast; a longer one is joined.
 BROADCAST_IDS = 4_000_000
 
 
-def shingle_sets(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes | None]]]:
+def matches_for(percent: int) -> int:
+    """Coordinates that a pair must share: the most, up to three, that lose no more than MISSED."""
+    p = (percent / 100) ** HASHES
+    below = lambda m: sum(comb(COORDINATES, i) * p ** i * (1 - p) ** (COORDINATES - i) for i in range(m))
+    return max(m for m in (1, 2, 3) if m == 1 or below(m) <= MISSED)
+
+
+def shingle_sets(texts: pa.Array, words: Words, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes | None]]]:
     """Runs of texts: distinct shingle hashes (sorted within each text), first shingle of each text, keys of the word sequences.
 
-    Shingles are three lower-cased words in a row, or the whole of a shorter text; a text without words has none and no key.
+    Shingles are ``shingle`` lower-cased words in a row, or the whole of a shorter text; a text without words has none and no key.
     """
     data, offsets = utf8(texts)
     for i, j in pieces(offsets):
@@ -34,9 +42,9 @@ def shingle_sets(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np
         _, _, hashed, first = words.hashes(data[offsets[i]:offsets[j]], own)
         n = np.diff(first)
         row = np.repeat(np.arange(j - i), n)
-        runs = grams(hashed, SHINGLE)
-        whole = row[:len(runs)] == row[SHINGLE - 1:] if len(runs) else np.zeros(0, bool)
-        short = np.flatnonzero((n > 0) & (n < SHINGLE))
+        runs = grams(hashed, shingle)
+        whole = row[:len(runs)] == row[shingle - 1:] if len(runs) else np.zeros(0, bool)
+        short = np.flatnonzero((n > 0) & (n < shingle))
         extra = np.array([mix(grams(hashed[first[r]:first[r + 1]], int(n[r])) + U64(n[r]))[0] for r in short], np.uint64)
         values, rows = np.concatenate([runs[whole], extra]), np.concatenate([row[:len(runs)][whole], short])
         order = np.lexsort((values, rows))
@@ -65,7 +73,7 @@ def signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
+def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, words_key (null without words) and the signature's coordinates."""
     arrow_session(docs.sparkSession)
 
@@ -73,7 +81,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
         words = Words(space_words())
         for batch in batches:
             sizes, keys, coordinates = [], [], []
-            for values, first, own in shingle_sets(batch.column(1), words):
+            for values, first, own in shingle_sets(batch.column(1), words, shingle):
                 n = np.diff(first)
                 signed = iter(signatures(values, first))
                 coordinates += [next(signed).tobytes() if x else None for x in n]
@@ -85,9 +93,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, words_key binary, signature binary")
 
 
-def _posted(sketches: DataFrame) -> DataFrame:
-    """A row for each coordinate of the prefix: pairs that share MATCHES of all share one of these."""
-    prefix = COORDINATES - MATCHES + 1
+def _posted(sketches: DataFrame, matches: int) -> DataFrame:
+    """A row for each coordinate of the prefix: pairs that share ``matches`` of all share one of these."""
+    prefix = COORDINATES - matches + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +106,7 @@ def _posted(sketches: DataFrame) -> DataFrame:
     return sketches.select("doc_id", "signature").mapInArrow(run, "code long, doc long")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """The shingle sets of the documents in ``ids`` (id, one row each), from their whole texts."""
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
@@ -107,7 +115,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         words = Words(space_words())
         for batch in batches:
             sets, signs = [], []
-            for values, first, _ in shingle_sets(batch.column(1), words):
+            for values, first, _ in shingle_sets(batch.column(1), words, shingle):
                 signed = iter(signatures(values, first))
                 for a, b in zip(first[:-1], first[1:]):
                     sets.append(values[a:b].tobytes())
@@ -117,12 +125,12 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "id long, shingles binary, signature binary")
 
 
-def retained(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which pairs of rows of two blocks of signatures agree in MATCHES coordinates or more."""
+def retained(left: np.ndarray, right: np.ndarray, matches: int) -> np.ndarray:
+    """Which pairs of rows of two blocks of signatures agree in ``matches`` coordinates or more."""
     count = np.zeros((len(left), len(right)), np.int16)
     for c in range(COORDINATES):
         count += left[:, c, None] == right[None, :, c]
-    return count >= MATCHES
+    return count >= matches
 
 
 def confirmed(ids: list, signs: list, sets: list, group: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -137,7 +145,7 @@ def confirmed(ids: list, signs: list, sets: list, group: np.ndarray, side: np.nd
     sketch = np.frombuffer(b"".join(signs), np.uint64).reshape(-1, COORDINATES)
     values = [np.frombuffer(s, np.uint64) for s in sets]
     size = np.array([len(v) for v in values], np.int64)
-    near = retained(sketch, sketch)
+    near = retained(sketch, sketch, matches_for(percent))
     near &= (100 * size[:, None] >= percent * size[None, :]) & (100 * size[None, :] >= percent * size[:, None])
     near &= (group[:, None] != group[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
     parent = {g: g for g in group.tolist()}
@@ -190,7 +198,7 @@ def _block_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def duplicate_groups(docs: DataFrame, *, percent: int = 85) -> DataFrame:
+def duplicate_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of all documents: the smallest doc_id reachable over links of a Jaccard
     similarity of at least ``percent`` hundredths between shingle sets.
 
@@ -199,7 +207,7 @@ def duplicate_groups(docs: DataFrame, *, percent: int = 85) -> DataFrame:
        member; (member, smallest member) edges, not pairs, leave the postings. Their components, the cohorts, contain
        every pair that shares a posting.
     3. Cohorts are cut into blocks of about BLOCK members by a hash, each with up to ANCHORS of the members that most
-       postings name. In a block all pairs' agreeing coordinates are counted; those of MATCHES or more are confirmed on
+       postings name. In a block all pairs' agreeing coordinates are counted; those of enough matches (matches_for) are confirmed on
        full sets, skipping what is joined already; a spanning forest of links leaves the block.
     4. In cohorts of several blocks that are not one component yet, blocks of different components meet pairwise; blocks
        of one component do not. So a group of copies costs about its size, not its square, and no link is left out.
@@ -209,18 +217,18 @@ def duplicate_groups(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     gives an empty table. Other columns are not looked at.
     """
     docs = docs.filter("doc_id is not null").select("doc_id", "text")
-    sketches = stored(_sketched(docs), "sketches")
+    sketches = stored(_sketched(docs, shingle), "sketches")
     worded = sketches.filter("words_key is not null")
     classes = worded.groupBy("words_key").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
     reps = worded.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    posts = stored(_posted(reps), "posts")
+    posts = stored(_posted(reps, matches_for(percent)), "posts")
     shared = posts.groupBy("code").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     stars = posts.join(shared, "code").filter("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("collisions"))
     stars = stored(stars, "stars")
     cohorts = components(stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("cohort"))
     cohorts = stored(cohorts, "cohorts")
-    sets = stored(_full_sets(docs, cohorts.select("id")).dropDuplicates(["id"]), "shingle-sets")
+    sets = stored(_full_sets(docs, cohorts.select("id"), shingle).dropDuplicates(["id"]), "shingle-sets")
     sizes = stored(cohorts.groupBy("cohort").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long")), "cohort-sizes")
     members = cohorts.join(sizes, "cohort").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     named = stars.groupBy(F.col("pivot").alias("id")).agg(F.sum("collisions").alias("times")).join(members.filter("blocks > 1"), "id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import divergence, mixing, near_dup, quality_knn, sharding, token_orc, toxicity, url_rules, winnowing
+from pitchgrid.llm import divergence, mixing, near_dup, quality_knn, sharding, surrogates, token_orc, toxicity, url_rules, winnowing
 from pitchgrid.llm.common import load, words_of
 from pitchgrid.shared import new_folder
 
@@ -175,7 +175,7 @@ def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates of all documents."""
-    groups = near_dup.duplicate_groups(load(spark, sf_dir, "documents"), percent=85)
+    groups = near_dup.duplicate_groups(load(spark, sf_dir, "documents"), shingle=3, percent=85)
     return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
@@ -247,3 +247,14 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        AND NOT (n_letters >= {divergence.MIN_COMMON_WORDS} AND {_distance_sql("own_words", "word_shares")} > {divergence.MAX_WORD_DISTANCE}) AS kept
 FROM v
 """
+
+
+#: A key for the given tables; a user's own is a secret.
+SURROGATE_KEY = b"surrogates of the given tables"
+
+
+@query
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with surrogates for its personal data."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, SURROGATE_KEY).select("doc_id", "text", "n_entities")
