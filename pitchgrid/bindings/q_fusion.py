@@ -139,7 +139,7 @@ SKEWED = {"alpha": 0.90, "beta": 0.50, "gamma": 0.95}
 def x03(spark, d):
     rows = cut(_resolved(spark, d))
     before = U.fuse(rows, SKEWED)
-    after = U.fuse(rows, U.priors_dict(U.measured_reliability(before)))
+    after = U.fuse(rows, U.measured_reliability(before))
     return U.flips(before, after)
 
 

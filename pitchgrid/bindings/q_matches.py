@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pitchgrid.bindings import state_sql as Q
@@ -11,7 +13,7 @@ from pitchgrid.operators.nearest import nearest
 from pitchgrid.operators.ordered import multiset_digest, top_k
 from pitchgrid.plans import matches as M
 from pitchgrid.plans import snapshots as S
-from pitchgrid.settings import CHECKPOINTS, GOAL_BINS
+from pitchgrid.settings import CHECKPOINTS, GOAL_BINS, SHOT_TYPES
 
 EV = ("match_events",)
 EM = ("match_events", "matches")
@@ -145,7 +147,9 @@ ch AS (SELECT match_id, goals, lead_changes, goals_from_80, reds, least(1, 0.25
 def m18(spark, d):
     registry = M.MetricRegistry()
     registry.register("expected_chaos")(M.expected_chaos)
-    registry.register_python("first_shot", lambda pdf: (float(pdf[pdf["type"].isin(["shot", "shot_on_target"])]["minute"].min()), "first shot"))
+    registry.register_python(
+        "first_shot", init=lambda: math.inf, step=lambda first, rows: min([first, *rows.loc[rows["type"].isin(SHOT_TYPES), "minute"]]), merge=min,
+        finish=lambda first: (float(first), "first shot"))
     return registry.run(match_events(spark, d))
 
 
@@ -156,9 +160,7 @@ beats AS (SELECT match_id, t AS minute,
     CASE WHEN home_goals <> wh OR away_goals <> wa THEN 'goal ' || CASE WHEN home_goals <> wh THEN 'HOME' ELSE 'AWAY' END
       WHEN regime <> wr AND NOT echo THEN 'regime shift' WHEN (wm - 0.5) * (momentum - 0.5) < 0 AND abs(momentum - 0.5) > 0.2 THEN 'momentum swing' END AS headline,
     CASE WHEN home_goals <> wh OR away_goals <> wa THEN home_goals || '-' || away_goals
-      WHEN regime <> wr AND NOT echo THEN CASE regime WHEN 'NORMAL' THEN 'balanced game' WHEN 'PRESSURE' THEN side || ' is pressing hard' WHEN 'POST_GOAL' THEN 'both sides settle after the goal'
-        WHEN 'POST_RED_CARD' THEN 'a red card changed the game' WHEN 'DESPERATION' THEN side || ' pushes for a result' ELSE 'closing minutes' END
-      ELSE side || ' takes over' END AS detail
+      WHEN regime <> wr AND NOT echo THEN regime || ' ' || side ELSE side END AS detail
   FROM (SELECT *, CASE WHEN momentum >= 0.5 THEN 'HOME' ELSE 'AWAY' END AS side,
       (SELECT count(*) > 0 FROM match_events e WHERE e.match_id = st.match_id AND e.type = 'goal' AND round_even(e.minute, 0) = st.t) AS echo FROM st) WHERE wr IS NOT NULL),
 ends AS (SELECT match_id, max(t) AS minute, max_by(home_goals || '-' || away_goals, t) AS detail FROM st GROUP BY 1)"""

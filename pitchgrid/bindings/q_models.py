@@ -37,12 +37,13 @@ def pmf(n, p, k):
 
 
 def outcomes(src: str, name: str, keys: str) -> str:
-    """Score grid summed over both sides' goal counts."""
+    """Score grid summed over all goal counts of both sides, 0 to the number of slices."""
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
     return f"""
-{name}h AS (SELECT {keys}, home_goals - away_goals AS lead, k, {pmf('n', 'p_home', 'k')} AS p FROM {src}, unnest(range(0, 41)) u(k)),
-{name}a AS (SELECT {keys}, k, {pmf('n', 'p_away', 'k')} AS p FROM {src}, unnest(range(0, 41)) u(k)),
-{name} AS (SELECT {keys}, sum(h.p * a.p) FILTER (lead + h.k > a.k) AS hw, sum(h.p * a.p) FILTER (lead + h.k = a.k) AS dr
-  FROM {name}h h JOIN {name}a a USING ({keys}) GROUP BY {keys})"""
+{name}h AS (SELECT {keys}, home_goals - away_goals AS lead, n AS most, k, {pmf('n', 'p_home', 'k')} AS p FROM {src}, unnest(range(0, n + 1)) u(k)),
+{name}a AS (SELECT {keys}, k, p, sum(p) OVER (PARTITION BY {keys} ORDER BY k) AS upto FROM (SELECT {keys}, k, {pmf('n', 'p_away', 'k')} AS p FROM {src}, unnest(range(0, n + 1)) u(k))),
+{name} AS (SELECT {', '.join(f'h.{k}' for k in keys.split(', '))}, sum(h.p * coalesce(f.upto, 0)) AS hw, sum(h.p * coalesce(d.p, 0)) AS dr
+  FROM {name}h h LEFT JOIN {name}a d ON {same('h', 'd')} AND d.k = h.lead + h.k LEFT JOIN {name}a f ON {same('h', 'f')} AND f.k = least(h.lead + h.k - 1, h.most) GROUP BY ALL)"""
 
 
 OUT = STATES + "," + outcomes("sl", "oc", "match_id, t")
@@ -68,11 +69,12 @@ def w10(spark, d):
         for t in ("home", "away") for n in ("left", "central", "right")])).alias("x")).select("match_id", "minute", "x.*")
 
 
-@query("k03_top_scorelines", OUT + """ SELECT match_id, minute, rank, home, away, R(p) AS prob FROM (SELECT h.match_id, h.t AS minute, h.k::BIGINT AS home, a.k::BIGINT AS away, h.p * a.p AS p,
-  row_number() OVER (PARTITION BY h.match_id, h.t ORDER BY h.p * a.p DESC, h.k, a.k) AS rank FROM och h JOIN oca a USING (match_id, t) JOIN sl ON sl.match_id = h.match_id AND sl.t = h.t
-  WHERE n > 0 AND h.k < 15 AND a.k < 15) WHERE rank <= 6""", EV)
+@query("k03_top_scorelines", OUT + """, th AS (SELECT * FROM och QUALIFY row_number() OVER (PARTITION BY match_id, t ORDER BY p DESC, k) <= 6),
+ta AS (SELECT * FROM oca QUALIFY row_number() OVER (PARTITION BY match_id, t ORDER BY p DESC, k) <= 6)
+SELECT match_id, minute, rank, home, away, R(p) AS prob FROM (SELECT h.match_id, h.t AS minute, h.k::BIGINT AS home, a.k::BIGINT AS away, h.p * a.p AS p,
+  row_number() OVER (PARTITION BY h.match_id, h.t ORDER BY h.p * a.p DESC, h.k, a.k) AS rank FROM th h JOIN ta a USING (match_id, t) WHERE most > 0) WHERE rank <= 6""", EV)
 def k03(spark, d):
-    return P.scorelines(P.project(_sliced(spark, d)))
+    return P.scorelines(_sliced(spark, d))
 
 
 @query("k04_lane_windows", STATES + """ SELECT match_id, t AS minute, team, lane, R(p) AS probability, R(greatest(0, ceil(ln(1 - p / 2) / ln(1 - q)) - 1) * 15) AS eta_seconds FROM (
@@ -84,7 +86,7 @@ def k04(spark, d):
 
 APP = STATES + """,
 app AS (SELECT match_id, t, approach, home_goals, away_goals, n, least(1, lam_home * o * 0.25) AS p_home, least(1, lam_away * x * 0.25) AS p_away
-  FROM sl, (VALUES ('attack', 1.35, 1.18), ('control', 0.9, 0.8), ('defend', 0.72, 0.6), ('keep', 1.0, 1.0)) v(approach, o, x)),""" + outcomes("app", "ap", "match_id, t, approach")
+  FROM sl, (VALUES ('keep', 1.0, 1.0), ('attack', 1.35, 1.18), ('defend', 0.72, 0.6), ('control', 0.9, 0.8)) v(approach, o, x)),""" + outcomes("app", "ap", "match_id, t, approach")
 
 
 @query("m14_j15_decisions", APP + """, d AS (SELECT match_id, t, approach, coalesce(hw, 0) AS win, coalesce(dr, 0) AS draw FROM ap),
@@ -112,11 +114,6 @@ def m13(spark, d):
     return P.checkpoint_accuracy(P.project(states), truth, shares)
 
 
-@query("m11_monte_carlo")
-def m11_mc(spark, d):
-    return P.monte_carlo(P.with_slices(P.lane_states(match_events(spark, d)), 60.0), 10, seed=7)
-
-
 # ratings ------------------------------------------------------------------- #
 NAIVE = """
 naive AS (SELECT *, (count(*) OVER w)::BIGINT AS before, 1 + count(*) OVER w AS match_no, (1 + coalesce(sum((y = 0)::INT) OVER w, 0)) / (3 + count(*) OVER w) AS naive_h,
@@ -146,7 +143,7 @@ pois AS (SELECT seq, any_value(lh) AS lam_home, any_value(la) AS lam_away, sum(p
 @query("w25_attack_defence", POISSON + """ SELECT seq, R(lam_home) AS lam_home, R(lam_away) AS lam_away, R(coalesce(poisson_h, 0)) AS poisson_h, R(poisson_d) AS poisson_d,
   R(coalesce(poisson_a, 0)) AS poisson_a FROM pois""", FX)
 def w25(spark, d):
-    return R.attack_defence(fixtures(spark, d))
+    return R.attack_defence(fixtures(spark, d)).drop(*R.LEAGUE)
 
 
 _E = "1 / (1 + 10::DOUBLE ** (-(r[hi] + 60 - r[ai]) / 400))"
@@ -160,7 +157,7 @@ walk AS (SELECT DISTINCT league, season, 0::BIGINT AS rn, NULL::BIGINT AS seq, N
 
 @query("w26_elo", ELO + " SELECT seq, R(e) AS expected_home FROM walk WHERE seq IS NOT NULL", FX)
 def w26(spark, d):
-    return R.elo(fixtures(spark, d))
+    return R.elo(fixtures(spark, d)).drop(*R.LEAGUE)
 
 
 @query("m10_ratings_benchmark", NAIVE + "," + POISSON + "," + ELO + """,

@@ -140,20 +140,18 @@ def a35(spark, d):
     return _panel(spark, d).select("match_id", "minute", "n_events", "confidence")
 
 
-@query("f05_explanations", PANEL.rstrip() + f""" SELECT p.match_id, t AS minute,
-  CASE WHEN greatest(momentum, 1 - momentum) > 0.72 THEN CASE WHEN momentum >= 0.5 THEN home_team ELSE away_team END
-      || ' dominates with ' || {Q.PCT.format('greatest(momentum, 1 - momentum)')} || ' of recent momentum'
-    WHEN greatest(momentum, 1 - momentum) > 0.58 THEN CASE WHEN momentum >= 0.5 THEN home_team ELSE away_team END || ' has the edge'
-    ELSE 'evenly balanced' END AS control,
-  CASE WHEN 1 - exp(-lam * 10) >= 0.45 THEN 'goal likely soon, ' WHEN 1 - exp(-lam * 10) >= 0.25 THEN 'goal possible soon, '
-    ELSE 'quiet spell more likely, ' END || {Q.PCT.format('1 - exp(-lam * 10)')} AS outlook,
-  CASE WHEN lam_home / lam >= 0.5 THEN home_team ELSE away_team END || ' favoured for the next goal, '
-    || {Q.PCT.format('greatest(lam_home / lam, 1 - lam_home / lam)')} AS next_goal_line
-  FROM panels p JOIN matches m ON m.match_id = p.match_id""", ("match_events", "matches"))
+@query("f05_explanations", PANEL.rstrip() + f""" SELECT match_id, minute, control, CASE WHEN control <> 'even' THEN side END AS control_team, control_percent, outlook, outlook_percent,
+    next_goal_team, next_goal_percent FROM (SELECT p.match_id, t AS minute, CASE WHEN momentum >= 0.5 THEN home_team ELSE away_team END AS side,
+  CASE WHEN greatest(momentum, 1 - momentum) > 0.72 THEN 'dominant' WHEN greatest(momentum, 1 - momentum) > 0.58 THEN 'ahead' ELSE 'even' END AS control,
+  {Q.PCT.format('greatest(momentum, 1 - momentum)')} AS control_percent,
+  CASE WHEN 1 - exp(-lam * 10) >= 0.45 THEN 'likely' WHEN 1 - exp(-lam * 10) >= 0.25 THEN 'possible' ELSE 'quiet' END AS outlook,
+  {Q.PCT.format('1 - exp(-lam * 10)')} AS outlook_percent, CASE WHEN lam_home / lam >= 0.5 THEN home_team ELSE away_team END AS next_goal_team,
+  {Q.PCT.format('greatest(lam_home / lam, 1 - lam_home / lam)')} AS next_goal_percent
+  FROM panels p JOIN matches m ON m.match_id = p.match_id)""", ("match_events", "matches"))
 def f05(spark, d):
     names = matches(spark, d).select("match_id", F.col("home_team").alias("home"), F.col("away_team").alias("away"))
-    return S.plain_language(_panel(spark, d).join(names, "match_id")).select(
-        "match_id", "minute", "control", "outlook", "next_goal_line")
+    return S.reading_codes(_panel(spark, d).join(names, "match_id")).select(
+        "match_id", "minute", "control", "control_team", "control_percent", "outlook", "outlook_percent", "next_goal_team", "next_goal_percent")
 
 
 @query("m12_leakage_audit", """SELECT m.match_id, c::BIGINT AS minute, 1::BIGINT AS variants, 2::BIGINT AS n
@@ -164,9 +162,9 @@ def m12(spark, d):
 
 
 @query("f19_likely_causes", PANEL + """ SELECT match_id, t AS minute, concat_ws('|',
-  CASE WHEN n_events / greatest(t, 1) < 0.7 THEN 'receives fewer passes than usual' END,
-  CASE WHEN recent_shots >= 2 THEN 'tightly marked' END, CASE WHEN previous_regime <> regime THEN 'plays in another zone' END,
-  CASE WHEN momentum < 0.4 THEN 'midfield control lost' END) AS causes FROM panels""", EV)
+  CASE WHEN n_events / greatest(t, 1) < 0.7 THEN 'few_passes' END,
+  CASE WHEN recent_shots >= 2 THEN 'marked' END, CASE WHEN previous_regime <> regime THEN 'moved' END,
+  CASE WHEN momentum < 0.4 THEN 'midfield_lost' END) AS causes FROM panels""", EV)
 def f19(spark, d):
     p = _panel(spark, d)
     return p.select("match_id", "minute", S.likely_causes(

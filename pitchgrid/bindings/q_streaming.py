@@ -17,19 +17,20 @@ from pitchgrid.streaming import live
 EV = ("match_events",)
 
 
-def _landed(spark, d, files: int = 4):
-    """The match events as landed files in arrival order, ready to be streamed."""
+def _landed(spark, d, slices: int = 4):
+    """The match events as landed files, some for each slice of the clock, ready to be streamed; files in a slice."""
     path = new_folder(spark, "landed")
     ev = match_events(spark, d)
-    part = F.least(F.lit(files - 1), F.floor(F.col("minute") / 95.0 * files))
-    ev.withColumn("part", part).repartition(files, "part").drop("part").write.parquet(path)
-    return path, ev.schema
+    width = ev.rdd.getNumPartitions()
+    part = F.least(F.lit(slices - 1), F.floor(F.col("minute") / 95.0 * slices))
+    ev.repartition(slices * width, part, F.pmod(F.xxhash64("match_id"), F.lit(width))).write.parquet(path)
+    return path, ev.schema, width
 
 
 def _streamed(spark, d):
-    path, schema = _landed(spark, d)
+    path, schema, width = _landed(spark, d)
     folder = new_folder(spark, "live")
-    return live.stream_panels(spark, live.read_files(spark, path, schema, files_per_batch=1), folder), folder
+    return live.stream_panels(spark, live.read_files(spark, path, schema, files_per_batch=width), folder), folder
 
 
 PANEL_COLS = ["match_id", "minute", "home_goals", "away_goals", "n_events", "regime", "momentum", "recent_shots", "goal_next_10min", "confidence", "change_score"]
@@ -75,16 +76,16 @@ def _polls(spark, d, polls: int = 3):
     path = new_folder(spark, "polls")
     for p in range(polls):
         seen = ev.where(F.col("minute") < (p + 1) * 95.0 / polls + 1)
-        seen.select("match_id", "minute", "type", "team", F.when(F.lit(p) > 0, F.col("player_id")).alias("player_id"), F.lit(p).alias("poll")).coalesce(1).write.mode("append").parquet(path)
+        seen.select("match_id", "minute", "type", "team", F.when(F.lit(p) > 0, F.col("player_id")).alias("player_id"), F.lit(p).alias("poll")).write.mode("append").parquet(path)
     return path
 
 
-@query("t02_polled_observations", """ SELECT match_id, floor(minute)::DOUBLE AS minute, type, team, count(*) AS n FROM match_events WHERE type IN ('goal', 'yellow_card', 'red_card') GROUP BY ALL""", EV)
+@query("t02_polled_observations", """ SELECT match_id, floor(minute)::DOUBLE AS minute, type, team, player_id, count(*) AS n FROM match_events WHERE type IN ('goal', 'yellow_card', 'red_card') GROUP BY ALL""", EV)
 def t02(spark, d):
     path = _polls(spark, d)
     schema = "match_id string, minute double, type string, team string, player_id string, poll int"
-    log = live.feed_polls(spark, live.read_files(spark, path, schema, files_per_batch=1), new_folder(spark, "feed"))
-    return log.groupBy("match_id", "minute", "type", "team").agg(F.count("*").alias("n"))
+    log = live.feed_polls(spark, live.read_files(spark, path, schema), new_folder(spark, "feed"))
+    return log.groupBy("match_id", "minute", "type", "team", "player_id").agg(F.count("*").alias("n"))
 
 
 @query("t04_late_rows", """ SELECT late::BIGINT AS late, count(*) AS n FROM (SELECT ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY AS late FROM events) GROUP BY 1""")
@@ -104,7 +105,7 @@ def k07(spark, d):
 
 def _event_stream(spark, d):
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    s = live.read_files(spark, d, schema, "events.parquet")
+    s = live.read_table(spark, f"{d}/events.parquet", schema)
     return s.select(F.timestamp_micros(naive_micros(F.col("ts"))).alias("ts"), "event_type", "user_id")
 
 

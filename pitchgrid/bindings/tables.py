@@ -16,13 +16,8 @@ START_MICROS = 1_704_067_200_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; spread over the cores when its files offer too few splits.
-
-    Large tables have far more splits than cores, so they are read as they are.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table, as its files are laid out."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _mod(a, b) -> Column:

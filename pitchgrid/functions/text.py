@@ -65,14 +65,9 @@ def person_key(name: Column) -> Column:
     return F.array_join(F.filter(_words(name), lambda w: w != ""), " ")
 
 
-ALIAS_BROADCAST_ROWS = 50_000
-
-
 def alias_lookup(aliases: DataFrame) -> DataFrame:
-    """The alias table, broadcast when a bounded count shows that it is small."""
-    lookup = aliases.select(F.col("alias").alias("__alias"), F.col("canonical").alias("__canonical"))
-    small = lookup.limit(ALIAS_BROADCAST_ROWS + 1).count() <= ALIAS_BROADCAST_ROWS
-    return F.broadcast(lookup) if small else lookup
+    """The alias table, one row a spelling; Spark broadcasts it where its size allows."""
+    return aliases.select(F.col("alias").alias("__alias"), F.col("canonical").alias("__canonical"))
 
 
 def apply_aliases(df: DataFrame, columns: list[str], aliases: DataFrame | None) -> DataFrame:

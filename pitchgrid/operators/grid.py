@@ -72,6 +72,11 @@ def game_cells(events: DataFrame, step: int, taus: tuple, targets: dict, decayed
     )
 
 
+def growth(cell: Column, tau: float) -> Column:
+    """exp(cell / tau), refused where sums of it would leave the range of a double."""
+    return F.when(cell / tau > 650, F.raise_error(F.lit(f"tau = {tau} is too short for the length of the clock")).cast("double")).otherwise(F.exp(cell / tau))
+
+
 def game_grid(
     cells: DataFrame, step: int, taus: tuple, targets: dict, last: Column | None = None,
     headers: DataFrame | None = None, decayed: dict | None = None, local: dict | None = None,
@@ -108,7 +113,7 @@ def game_grid(
     cols += [F.sum(c).over(upto).alias(c) for c in sums]
     cols += [F.max(c).over(upto).alias(c) for c in ("last_goal", "last_red")]
     cols += [F.col(c).alias(f"__{c}") for c in here]
-    cols += [F.sum(F.col(c) * F.exp(F.col("cell") / tau)).over(upto).alias(c) for c, tau in fading.items()]
+    cols += [F.sum(F.col(c) * growth(F.col("cell"), tau)).over(upto).alias(c) for c, tau in fading.items()]
     for n in targets:
         cols.append(F.col(f"first_{n}").alias(f"__first_{n}"))
         cols.append(F.min(f"first_{n}").over(after).alias(f"next_{n}"))

@@ -40,31 +40,21 @@ def nearest(targets: DataFrame, candidates: DataFrame, k: int, *, same: bool = T
             block: int = 1000, slice_rows: int = 20_000) -> DataFrame:
     """The k most similar candidates of every target.
 
-    Both inputs have (id string, vec array<double>). Up to ``block`` targets: they are
-    read to the driver (their number is checked) and every candidate batch is compared
-    in place, without a shuffle. More targets: target blocks meet candidate slices in
-    bounded groups. Pairs are never materialised; each block emits k rows per target.
+    Both inputs have (id string, vec array<double>). Blocks of about ``block`` targets meet
+    slices of about ``slice_rows`` candidates in bounded groups, for any number of either:
+    one target block costs one exchange of the candidates. Pairs are never materialised;
+    each block emits k rows per target.
     """
-    few = targets.select("id", "vec").limit(block + 1).collect()
-    if len(few) <= block:
-        t_ids, t_unit = [r["id"] for r in few], _unit([r["vec"] for r in few])
-
-        def scan(batches):
-            for pdf in batches:
-                if len(pdf) and len(t_ids):
-                    yield _block_best(t_ids, t_unit, pdf["id"], _unit(pdf["vec"]), k, same)
-        best = candidates.select("id", "vec").mapInPandas(scan, SCHEMA)
-    else:
-        blocks = -(-targets.count() // block)
-        slices = max(1, -(-candidates.count() // slice_rows))
-        left = targets.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("tb"),
-                              F.explode(F.expr(f"sequence(0L, {slices - 1}L)")).alias("cs"))
-        right = candidates.select(F.col("id").alias("cid"), F.col("vec").alias("cvec"), F.pmod(F.xxhash64("id"), F.lit(slices)).alias("cs"),
-                                  F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("tb"))
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame(columns=["target", "candidate", "similarity"])
-            return _block_best(list(a["id"]), _unit(a["vec"]), b["cid"], _unit(b["cvec"]), k, same)
-        best = left.groupBy("tb", "cs").cogroup(right.groupBy("tb", "cs")).applyInPandas(meet, SCHEMA)
+    blocks = max(1, -(-targets.count() // block))
+    slices = max(1, -(-candidates.count() // slice_rows))
+    left = targets.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("tb"),
+                          F.explode(F.expr(f"sequence(0L, {slices - 1}L)")).alias("cs"))
+    right = candidates.select(F.col("id").alias("cid"), F.col("vec").alias("cvec"), F.pmod(F.xxhash64("id"), F.lit(slices)).alias("cs"),
+                              F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("tb"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["target", "candidate", "similarity"])
+        return _block_best(list(a["id"]), _unit(a["vec"]), b["cid"], _unit(b["cvec"]), k, same)
+    best = left.groupBy("tb", "cs").cogroup(right.groupBy("tb", "cs")).applyInPandas(meet, SCHEMA)
     return top_k(best, ["target"], [F.round("similarity", 12).desc(), F.col("candidate")], k)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pitchgrid.functions.scoring import clip, log_loss, prob_within, ratio, reliability_band, squared_error
 from pitchgrid.operators.ordered import first_by, numbered
+from pitchgrid.shared import cut
 from pitchgrid.plans.snapshots import (
     happened_within, lookup_scale, momentum, regime, snapshot_grid, unit_rates,
 )
@@ -107,9 +108,12 @@ def best(scores: DataFrame, group_cols: list[str]) -> DataFrame:
 
 
 def _in_order(matches: DataFrame, order: list[str]) -> DataFrame:
-    """Position of every match along (date, id); a busy date is split by id prefix."""
-    bucket = F.struct(F.col(order[0]), *[F.substring(c, 1, 3) for c in order[1:]])
-    return numbered(matches, [], bucket, [F.col(c) for c in order], "rn", "total")
+    """Position of every match along (date, id): ranges of the whole order, numbered by their offsets.
+
+    The ranges are drawn once and stored, so both levels of the numbering read the same ones.
+    """
+    ranges = cut(matches.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    return numbered(ranges, [], F.col("__range"), [F.col(c) for c in order], "rn", "total").drop("__range")
 
 
 def folds(matches: DataFrame, n_folds: int, order: list[str]) -> DataFrame:

@@ -33,22 +33,18 @@ def fixtures_seen(resolved: DataFrame) -> DataFrame:
         F.count("*").alias("n_sources"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
-def prior_column(source: Column, priors: dict[str, float] | None) -> Column:
-    if not priors:
-        return F.lit(1.0)
-    pairs = [F.lit(v) for kv in sorted(priors.items()) for v in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), source), F.lit(1.0))
-
-
-def priors_dict(measured: DataFrame, limit: int = 1000) -> dict[str, float]:
-    """One number per provider, read to the driver only after checking how many there are."""
-    rows = measured.select("source", "rate").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} providers")
-    return {r["source"]: float(r["rate"]) for r in rows}
-
-
-def fuse(resolved: DataFrame, priors: dict[str, float] | None = None,
+def with_prior(resolved: DataFrame, priors: dict[str, float] | DataFrame | None) -> DataFrame:
+    """``resolved`` with each source's ``prior`` (1 where none is known), from a caller's dict or a table (source, rate)."""
+    if priors is None or priors == {}:
+        return resolved.withColumn("__prior", F.lit(1.0))
+    if isinstance(priors, dict):
+        priors = resolved.sparkSession.createDataFrame(sorted(priors.items()), "source string, rate double")
+    table = priors.select(F.col("source").alias("__source"), F.col("rate").cast("double").alias("__prior"))
+    joined = resolved.join(table, F.col("source") == F.col("__source"), "left").drop("__source")
+    return joined.withColumn("__prior", F.coalesce("__prior", F.lit(1.0)))
+
+
+def fuse(resolved: DataFrame, priors: dict[str, float] | DataFrame | None = None,
          tolerance: dict[str, float] | None = None, fields: tuple = FUSED_FIELDS) -> DataFrame:
     """Weighted vote per (fixture, field).
 
@@ -58,9 +54,9 @@ def fuse(resolved: DataFrame, priors: dict[str, float] | None = None,
     weight, then the largest single prior, then the last source list in order.
     """
     keys = FIXTURE
-    row = F.struct(F.col("source"), prior_column(F.col("source"), priors).alias("prior"),
+    row = F.struct(F.col("source"), F.col("__prior").alias("prior"),
                    *[F.col(f).cast("double").alias(f) for f in fields])
-    met = resolved.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    met = with_prior(resolved, priors).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     def claims(f):
         present = F.filter("rows", lambda r: r[f].isNotNull())
         return F.transform(present, lambda r: F.struct(

@@ -70,16 +70,19 @@ def active_at(at: Column) -> Column:
         F.col("valid_to").isNull() | (at < F.col("valid_to")))
 
 
+def _with_dates(rows: DataFrame, dates: list[datetime.date]) -> DataFrame:
+    """``rows`` with the caller's cut-off dates, each once, in ``__dates``."""
+    one = rows.sparkSession.createDataFrame([(sorted(set(dates)),)], "__dates array<date>")
+    return rows.crossJoin(F.broadcast(one))
+
+
 def state_as_of(timeline: DataFrame, dates: list[datetime.date], keys: list[str] = KEY) -> DataFrame:
     """Winning version of every (kind, entity) at each date.
 
-    The dates are literals: a version is repeated only for the dates it covers and the
-    winner is a map-side-combined max_by, so there is no join and no per-key window.
+    The caller's dates travel as one broadcast row, however many there are: a version is
+    repeated only for the dates it covers and the winner is a map-side-combined max_by.
     """
-    if len(dates) > 1000:
-        raise ValueError("at most 1000 cut-off dates per call")
-    grid = F.array(*[F.lit(d).cast("date") for d in dates])
-    rows = timeline.withColumn("at", F.explode(F.filter(grid, lambda at: active_at(at))))
+    rows = _with_dates(timeline, dates).withColumn("at", F.explode(F.filter("__dates", lambda at: active_at(at)))).drop("__dates")
     return first_by(rows, [*keys, "at"], rank_columns(), largest=True)
 
 
@@ -106,11 +109,8 @@ def future_leaks(records: DataFrame, as_of: Column) -> DataFrame:
 def assemble_state(timeline: DataFrame, dates: list[datetime.date]) -> DataFrame:
     """Pre-match knowledge: only prior layers, only what was collected by the date."""
     prior = timeline.where(F.col("layer").isin(*PRIOR_LAYERS))
-    if len(dates) > 1000:
-        raise ValueError("at most 1000 cut-off dates per call")
-    grid = F.array(*[F.lit(d).cast("date") for d in dates])
-    known = F.filter(grid, lambda at: active_at(at) & (F.col("collected_at").isNull() | (F.col("collected_at") <= at)))
-    rows = prior.withColumn("at", F.explode(known))
+    known = F.filter("__dates", lambda at: active_at(at) & (F.col("collected_at").isNull() | (F.col("collected_at") <= at)))
+    rows = _with_dates(prior, dates).withColumn("at", F.explode(known)).drop("__dates")
     return first_by(rows, [*KEY, "at"], rank_columns(), largest=True)
 
 

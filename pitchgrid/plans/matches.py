@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from pitchgrid.operators.ordered import first_by, numbered, running_sums
 from pitchgrid.operators.skew import salted_join
 from pitchgrid.plans.snapshots import momentum, panel, percent
 from pitchgrid.settings import (
-    CARD_TYPES, CHECKPOINTS, GOAL_BINS, SHOT_TYPES, VECTOR_SCALES, Params,
+    CARD_STORM_CARDS, CARD_TYPES, CHAOS_LEVELS, CHAOS_WEIGHTS, CHECKPOINTS, COMEBACK_LEAD, GOAL_BINS, GOAL_FEST_GOALS,
+    LATE_DRAMA_MARGIN, SHOT_TYPES, VECTOR_SCALES, Params,
 )
 
 
@@ -54,15 +57,15 @@ def presets(facts: DataFrame) -> DataFrame:
     """Five cross-match queries in one pass: one row per (match, preset) that applies."""
     c = F.col
     diff = c("home_goals") - c("away_goals")
-    home_lost = (c("max_home_lead") >= 2) & (diff <= 0)
-    away_lost = (c("max_away_lead") >= 2) & (diff >= 0)
+    home_lost = (c("max_home_lead") >= COMEBACK_LEAD) & (diff <= 0)
+    away_lost = (c("max_away_lead") >= COMEBACK_LEAD) & (diff >= 0)
     rules = {
         "comebacks": home_lost | away_lost, "blown_leads": home_lost | away_lost,
-        "goal_fests": c("goals") >= 5,
-        "late_drama": (c("goals_from_85") > 0) & (F.abs(diff) <= 1), "card_storms": c("cards") >= 8,
+        "goal_fests": c("goals") >= GOAL_FEST_GOALS,
+        "late_drama": (c("goals_from_85") > 0) & (F.abs(diff) <= LATE_DRAMA_MARGIN), "card_storms": c("cards") >= CARD_STORM_CARDS,
     }
     stat = {
-        "comebacks": F.when(c("max_home_lead") >= 2, "AWAY").otherwise("HOME"),
+        "comebacks": F.when(c("max_home_lead") >= COMEBACK_LEAD, "AWAY").otherwise("HOME"),
         "blown_leads": F.when(home_lost, F.concat(F.lit("HOME +"), c("max_home_lead").cast("string"))).otherwise(
             F.concat(F.lit("AWAY +"), c("max_away_lead").cast("string"))),
         "goal_fests": c("goals").cast("string"), "late_drama": c("goals_from_85").cast("string"),
@@ -181,10 +184,10 @@ def expected_chaos(events: DataFrame, params: Params = Params()) -> DataFrame:
     swings = [F.abs(c(f"momentum_{b}") - c(f"momentum_{a}")) for a, b in zip(CHECKPOINTS, CHECKPOINTS[1:])]
     turbulence = sum(swings[1:], swings[0]) / len(swings)
     one = lambda e: F.least(e, F.lit(1.0))
-    value = F.least(F.lit(1.0), 0.25 * one(c("lead_changes") / 2) + 0.20 * one(c("goals_from_80") / 2) + 0.15 * one(c("reds") / 1)
-                    + 0.20 * one(c("goals") / 6) + 0.20 * one(turbulence / 0.25))
+    parts = [weight * one((turbulence if name == "turbulence" else c(name)) / full) for name, full, weight in CHAOS_WEIGHTS]
+    value = F.least(F.lit(1.0), sum(parts[1:], parts[0]))
     out = j.select("match_id", value.alias("value"), "goals", "lead_changes", "goals_from_80", "reds")
-    word = F.when(c("value") >= 0.7, "wild").when(c("value") >= 0.4, "lively").otherwise("calm")
+    word = F.when(c("value") >= CHAOS_LEVELS[1], "wild").when(c("value") >= CHAOS_LEVELS[0], "lively").otherwise("calm")
     return out.select("match_id", F.lit("expected_chaos").alias("metric"), "value", F.format_string(
         "%s: %d goals, %d lead changes, %d late, %d red", word, "goals", "lead_changes", "goals_from_80", "reds").alias("summary"))
 
@@ -192,14 +195,12 @@ def expected_chaos(events: DataFrame, params: Params = Params()) -> DataFrame:
 # --------------------------------------------------------------------------- #
 # Story
 # --------------------------------------------------------------------------- #
-REGIME_LINES = {
-    "NORMAL": "balanced game", "PRESSURE": "{side} is pressing hard", "POST_GOAL": "both sides settle after the goal",
-    "POST_RED_CARD": "a red card changed the game", "DESPERATION": "{side} pushes for a result", "END_GAME": "closing minutes",
-}
-
-
 def transition_beats(states: DataFrame, goal_minutes: DataFrame | None = None, step: str = "minute") -> DataFrame:
-    """Goal, regime shift or momentum handover between consecutive states of a match."""
+    """Goal, regime shift or momentum handover between consecutive states of a match.
+
+    ``detail`` is the score, the new regime with the side on top, or that side: codes, for
+    which a caller keeps sentences of their own.
+    """
     w = Window.partitionBy("match_id").orderBy(step)
     mom = F.col("momentum")
     s = states.select("*", *[F.lag(c).over(w).alias(f"was_{c}") for c in ("home_goals", "away_goals", "regime", "momentum")])
@@ -211,11 +212,6 @@ def transition_beats(states: DataFrame, goal_minutes: DataFrame | None = None, s
         s = s.withColumn("echo", F.lit(None).cast("boolean"))
     dh, da = F.col("home_goals") - F.col("was_home_goals"), F.col("away_goals") - F.col("was_away_goals")
     side = F.when(mom >= 0.5, "HOME").otherwise("AWAY")
-    phrase = F.lit("the pattern changed")
-    for name, text in REGIME_LINES.items():
-        before, _, after = text.partition("{side}")
-        line = F.lit(text) if "{side}" not in text else F.concat(F.lit(before), side, F.lit(after))
-        phrase = F.when(F.col("regime") == name, line).otherwise(phrase)
     handover = ((F.col("was_momentum") - 0.5) * (mom - 0.5) < 0) & (F.abs(mom - 0.5) > 0.2)
     shifted = (F.col("regime") != F.col("was_regime")) & F.col("echo").isNull()
     scored = (dh != 0) | (da != 0)
@@ -224,7 +220,7 @@ def transition_beats(states: DataFrame, goal_minutes: DataFrame | None = None, s
         "match_id", F.col(step).alias("minute"),
         F.when(scored, F.concat(F.lit("goal "), F.when(dh != 0, "HOME").otherwise("AWAY")))
         .when(shifted, "regime shift").when(handover, "momentum swing").alias("headline"),
-        F.when(scored, score).when(shifted, phrase).when(handover, F.concat(side, F.lit(" takes over"))).alias("detail"),
+        F.when(scored, score).when(shifted, F.concat_ws(" ", "regime", side)).when(handover, side).alias("detail"),
     ).where("headline IS NOT NULL")
 
 
@@ -340,25 +336,46 @@ class MetricRegistry:
             return fn
         return wrap
 
-    def register_python(self, name: str, fn, events_per_match: int = 100_000):
-        """A plain Python metric ``fn(pandas events) -> (value, summary)`` per match.
+    def register_python(self, name: str, init, step, merge, finish):
+        """A plain Python metric that is folded over each match, whatever its size.
 
-        Matches are bounded by the check below; larger ones report an error row.
+        ``init()`` makes a state, ``step(state, pandas rows)`` adds rows of one match in no
+        given order, ``merge(state, state)`` joins two states and ``finish(state)`` returns
+        (value, summary). Every task folds its own rows first, so one match is spread over
+        all tasks that hold rows of it and only states meet. A failing match becomes an
+        error row.
         """
         def metric(events: DataFrame, params: Params) -> DataFrame:
-            size = events.groupBy("match_id").agg(F.count("*").alias("__n"))
-            fits = events.join(size.where(F.col("__n") <= events_per_match).select("match_id"), "match_id", "left_semi")
-            def run(pdf):
-                import pandas as pd
+            def fold(batches):
+                held: dict = {}
+                for pdf in batches:
+                    for match_id, rows in pdf.groupby("match_id", sort=False, dropna=False):
+                        state = held.get(match_id)
+                        if isinstance(state, str):
+                            continue
+                        try:
+                            held[match_id] = step(init() if state is None else state, rows)
+                        except Exception as exc:
+                            held[match_id] = f"error: {exc}"
+                    if len(held) > 10_000:      # states move on, they are merged again later
+                        yield packed(held)
+                        held = {}
+                if held:
+                    yield packed(held)
+
+            def packed(held):
+                return pd.DataFrame({"match_id": list(held), "state": [pickle.dumps(s) for s in held.values()]}, dtype=object)
+
+            def close(pdf):
+                states = [pickle.loads(s) for s in pdf["state"]]
+                failed = next((s for s in states if isinstance(s, str) and s.startswith("error: ")), None)
                 try:
-                    value, summary = fn(pdf.sort_values("minute"))
-                except Exception as exc:  # a failing metric becomes data
+                    value, summary = (None, failed) if failed else finish(reduce(merge, states))
+                except Exception as exc:
                     value, summary = None, f"error: {exc}"
-                return pd.DataFrame([(pdf["match_id"].iloc[0], name, value, summary)], columns=["match_id", "metric", "value", "summary"])
-            done = fits.groupBy("match_id").applyInPandas(run, "match_id string, metric string, value double, summary string")
-            large = size.where(F.col("__n") > events_per_match).select(
-                "match_id", F.lit(name).alias("metric"), F.lit(None).cast("double").alias("value"), F.lit("error: too many events").alias("summary"))
-            return done.unionByName(large)
+                return pd.DataFrame([(pdf["match_id"].iloc[0], name, value, summary)], columns=["match_id", "metric", "value", "summary"], dtype=object)
+            states = events.mapInPandas(fold, "match_id string, state binary")
+            return states.groupBy("match_id").applyInPandas(close, "match_id string, metric string, value double, summary string")
         self._metrics[name] = metric
 
     def run(self, events: DataFrame, params: Params = Params()) -> DataFrame:

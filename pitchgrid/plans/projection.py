@@ -13,8 +13,8 @@ from pitchgrid.operators.grid import game_cells, game_grid
 from pitchgrid.plans.snapshots import read_state
 from pitchgrid.settings import APPROACHES, ATTACK_TYPES, LANES, RECOMMEND_MIN_GAIN, Params
 
-MAX_GOALS_AHEAD = 40     # P(more) is below 1e-12 for any rate the model produces
 TOP_COUNTS = 6
+GRID_CELLS = 500_000     # probabilities held at once by a task; wider states take fewer rows at a time
 
 
 def _lane_sums(tau: float) -> dict:
@@ -51,69 +51,75 @@ def with_slices(states: DataFrame, step_seconds: float = 15.0, mult: tuple[float
         "p_away", F.least(F.lit(1.0), F.col("lam_away") * mult[1] * step))
 
 
-OUTCOME = ("home_win double, draw double, home_k array<int>, home_p array<double>, "
+OUTCOME = ("home_win double, draw double, away_win double, home_k array<int>, home_p array<double>, "
            "away_k array<int>, away_p array<double>")
 
 
-def _pmf(n: np.ndarray, p: np.ndarray, top: int) -> np.ndarray:
-    """Rows of P(X = 0..top), X ~ Binomial(n, p), by the ratio of neighbours."""
-    k = np.arange(1, top + 1)
+def _pmf(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Rows of P(X = 0..max n), X ~ Binomial(n, p), summed up in logarithms."""
+    k = np.arange(1, n.max(initial=0) + 1)
     certain = p >= 1.0
     q = np.where(certain, 0.0, p)
-    ratio = np.maximum(0, n[:, None] - k + 1) / k * (q / (1.0 - q))[:, None]
-    out = np.cumprod(np.column_stack([(1.0 - q) ** n, ratio]), axis=1)
-    out[certain] = np.arange(top + 1) == n[certain][:, None]
+    with np.errstate(divide="ignore"):
+        step = np.log(np.maximum(0, n[:, None] - k + 1) / k) + (np.log(q) - np.log1p(-q))[:, None]
+    out = np.exp(np.column_stack([np.zeros(len(n)), np.cumsum(step, axis=1)]) + (n * np.log1p(-q))[:, None])
+    out[certain] = np.arange(len(k) + 1) == n[certain][:, None]
     return out
 
 
-def _outcome_batch(n: pd.Series, p_home: pd.Series, p_away: pd.Series, lead: pd.Series) -> pd.DataFrame:
-    """Result chances and the likeliest goal counts of both sides for a batch of states.
-
-    Arrow-batched numpy: forty array operations per batch, where folding arrays row by row
-    inside SQL expressions costs about a hundred times as much.
-    """
-    n, lead = n.to_numpy(np.int64), lead.to_numpy(np.int64)
-    home, away = _pmf(n, p_home.to_numpy(float), MAX_GOALS_AHEAD), _pmf(n, p_away.to_numpy(float), MAX_GOALS_AHEAD)
-    level = np.arange(MAX_GOALS_AHEAD + 1) + lead[:, None]     # away goals for a draw
-    inside = (level >= 0) & (level <= MAX_GOALS_AHEAD)
-    draw = (home * np.where(inside, np.take_along_axis(away, np.clip(level, 0, MAX_GOALS_AHEAD), 1), 0.0)).sum(axis=1)
-    below = np.cumsum(away, axis=1)
-    fewer = np.take_along_axis(below, np.clip(level - 1, 0, MAX_GOALS_AHEAD), 1)
-    win = (home * np.where(level >= 1, fewer, 0.0)).sum(axis=1)
-    best_home, best_away = (np.argsort(-m, axis=1, kind="stable")[:, :TOP_COUNTS].astype(np.int32) for m in (home, away))
+def _outcome_rows(n: np.ndarray, p_home: np.ndarray, p_away: np.ndarray, lead: np.ndarray, top: int) -> pd.DataFrame:
+    """Result chances and the likeliest goal counts of both sides, over every count that the slices allow."""
+    home, away = _pmf(n, p_home), _pmf(n, p_away)
+    most = home.shape[1] - 1
+    level = np.arange(most + 1) + lead[:, None]     # away goals for a draw
+    at = lambda m, k: np.where((k >= 0) & (k <= most), np.take_along_axis(m, np.clip(k, 0, most), 1), 0.0)
+    upto = np.cumsum(away, axis=1)
+    fewer = np.where(level > most, upto[:, -1:], at(upto, level - 1))
+    more = np.where(level < 0, upto[:, -1:], np.where(level >= most, 0.0, upto[:, -1:] - at(upto, level)))
+    best_home, best_away = (np.argsort(-m, axis=1, kind="stable")[:, :top].astype(np.int32) for m in (home, away))
     return pd.DataFrame({
-        "home_win": win, "draw": draw, "home_k": list(best_home), "home_p": list(np.take_along_axis(home, best_home, 1)),
+        "home_win": (home * fewer).sum(axis=1), "draw": (home * at(away, level)).sum(axis=1), "away_win": (home * more).sum(axis=1),
+        "home_k": list(best_home), "home_p": list(np.take_along_axis(home, best_home, 1)),
         "away_k": list(best_away), "away_p": list(np.take_along_axis(away, best_away, 1))})
 
 
-def outcome(slices, p_home, p_away, lead) -> Column:
-    return F.pandas_udf(_outcome_batch, OUTCOME)(slices, p_home, p_away, lead)
+def _outcome_batch(top: int):
+    """Arrow-batched numpy: some forty array operations per batch, where folding arrays row by row
+    inside SQL expressions costs about a hundred times as much."""
+    def run(n: pd.Series, p_home: pd.Series, p_away: pd.Series, lead: pd.Series) -> pd.DataFrame:
+        cols = n.to_numpy(np.int64), p_home.to_numpy(float), p_away.to_numpy(float), lead.to_numpy(np.int64)
+        rows = max(1, GRID_CELLS // (int(cols[0].max(initial=0)) + 1))
+        parts = [_outcome_rows(*(c[i:i + rows] for c in cols), top) for i in range(0, max(len(n), 1), rows)]
+        return pd.concat(parts, ignore_index=True)
+    return run
+
+
+def outcome(slices, p_home, p_away, lead, top: int = TOP_COUNTS) -> Column:
+    return F.pandas_udf(_outcome_batch(top), OUTCOME)(slices, p_home, p_away, lead)
 
 
-def project(sliced: DataFrame) -> DataFrame:
+def project(sliced: DataFrame, top: int = TOP_COUNTS) -> DataFrame:
     """Outcome distribution, expected goals and goal chances for the remaining time."""
     n = F.col("slices")
-    s = sliced.withColumn("o", outcome("slices", "p_home", "p_away", F.col("home_goals") - F.col("away_goals")))
+    s = sliced.withColumn("o", outcome("slices", "p_home", "p_away", F.col("home_goals") - F.col("away_goals"), top))
     none_home, none_away = F.pow(1.0 - F.col("p_home"), n), F.pow(1.0 - F.col("p_away"), n)
     return s.withColumn("home_win", F.col("o.home_win")).withColumn("draw", F.col("o.draw")).withColumn(
-        "away_win", F.greatest(F.lit(0.0), 1.0 - F.col("home_win") - F.col("draw"))).withColumn(
+        "away_win", F.col("o.away_win")).withColumn(
         "expected_home", n * F.col("p_home")).withColumn("expected_away", n * F.col("p_away")).withColumn(
         "goal_home", 1.0 - none_home).withColumn("goal_away", 1.0 - none_away).withColumn(
         "goal_any", 1.0 - none_home * none_away)
 
 
-def scorelines(projected: DataFrame, k: int = TOP_COUNTS) -> DataFrame:
+def scorelines(sliced: DataFrame, k: int = TOP_COUNTS) -> DataFrame:
     """The k likeliest remaining scorelines of each state.
 
     A scoreline in the top k combines goal counts that are each in the top k of their own
     side, so k x k cells are enough.
     """
-    if k > TOP_COUNTS:
-        raise ValueError(f"k is at most {TOP_COUNTS}")
     side = lambda s: F.arrays_zip(F.col(f"o.{s}_k").alias("k"), F.col(f"o.{s}_p").alias("p"))
     cells = F.flatten(F.transform(side("home"), lambda h: F.transform(side("away"), lambda a: F.struct(
         (-(h.p * a.p)).alias("np"), h.k.alias("home"), a.k.alias("away")))))
-    ranked = projected.where("slices > 0").select("match_id", "t", F.posexplode(F.slice(F.array_sort(cells), 1, k)).alias("rank", "c"))
+    ranked = project(sliced.where("slices > 0"), k).select("match_id", "t", F.posexplode(F.slice(F.array_sort(cells), 1, k)).alias("rank", "c"))
     return ranked.select("match_id", F.col("t").alias("minute"), (F.col("rank") + 1).alias("rank"), F.col("c.home").alias("home"),
                          F.col("c.away").alias("away"), (-F.col("c.np")).alias("prob"))
 
@@ -145,8 +151,7 @@ def rank_decisions(states: DataFrame, side: str, step_seconds: float = 15.0) ->
             "slices", F.least(F.lit(1.0), F.col("lam_home") * mh * step), F.least(F.lit(1.0), F.col("lam_away") * ma * step), lead))
 
     def chances(name):
-        home, draw = F.col(f"o_{name}.home_win"), F.col(f"o_{name}.draw")
-        away = F.greatest(F.lit(0.0), 1.0 - home - draw)
+        home, draw, away = (F.col(f"o_{name}.{c}") for c in ("home_win", "draw", "away_win"))
         win, loss = (home, away) if side == "HOME" else (away, home)
         return F.struct(F.lit(name).alias("approach"), win.alias("win"), draw.alias("draw"), loss.alias("loss"))
     s = s.select("match_id", "t", F.array(*[chances(n) for n, _, _ in APPROACHES]).alias("all"))
@@ -158,24 +163,6 @@ def rank_decisions(states: DataFrame, side: str, step_seconds: float = 15.0) ->
         "match_id", "minute", "a.*", (F.col("a.win") - F.col("keep_win")).alias("delta_win"), "recommended")
 
 
-def monte_carlo(sliced: DataFrame, n_sims: int, seed: int = 0) -> DataFrame:
-    """Optional simulation of the same process, reproducible under any partitioning.
-
-    Draws are hashes of (seed, match, minute, simulation, slice), never a stateful generator.
-    """
-    sims = sliced.select("match_id", "t", "slices", "p_home", "p_away", "home_goals", "away_goals",
-                         F.explode(F.sequence(F.lit(1), F.lit(n_sims))).alias("sim"))
-    def draw(side):
-        return lambda k: (F.pmod(F.xxhash64(F.lit(seed), "match_id", "t", "sim", F.lit(side), k), F.lit(1 << 52)) / float(1 << 52))
-    def goals(side, p):
-        scored = F.aggregate(F.sequence(F.lit(1), F.col("slices")), F.lit(0), lambda acc, k: acc + (draw(side)(k) < F.col(p)).cast("int"))
-        return F.when(F.col("slices") > 0, scored).otherwise(0)
-    played = sims.select("match_id", "t", (F.col("home_goals") + goals("h", "p_home")).alias("h"), (F.col("away_goals") + goals("a", "p_away")).alias("a"))
-    return played.groupBy("match_id", "t").agg(
-        F.avg((F.col("h") > F.col("a")).cast("double")).alias("home_win"), F.avg((F.col("h") == F.col("a")).cast("double")).alias("draw"),
-        F.avg((F.col("h") < F.col("a")).cast("double")).alias("away_win"))
-
-
 def checkpoint_accuracy(projected: DataFrame, truth: DataFrame, shares: DataFrame) -> DataFrame:
     """Projection against 'score persists' and constant baselines per checkpoint.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +50,10 @@ def attack_defence(fixtures: DataFrame, prior: float = PRIOR_MATCHES, max_goals:
         F.struct(F.lit("away").alias("side"), F.col("away").alias("team"), F.col("away_goals").alias("gf"), F.col("home_goals").alias("ga")))).alias("s")).select(
         *LEAGUE, "seq", "date", "s.*")
     form = _before(both, [*LEAGUE, "team"], {"scored": F.col("gf"), "conceded": F.col("ga"), "played": F.lit(1)})
-    wide = form.groupBy("seq").agg(*[
+    wide = form.groupBy(*LEAGUE, "seq").agg(*[
         F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("home", "away") for c in ("scored", "conceded", "played")])
     league = _before(fixtures, LEAGUE, {"sum_home": F.col("home_goals"), "sum_away": F.col("away_goals"), "n_before": F.lit(1)})
-    j = league.join(wide, "seq")
+    j = league.join(wide, [*LEAGUE, "seq"])
     n = F.col("n_before")
     home_avg = F.when(n == 0, LEAGUE_HOME_GOALS).otherwise(F.try_divide(F.col("sum_home"), n))
     away_avg = F.when(n == 0, LEAGUE_AWAY_GOALS).otherwise(F.try_divide(F.col("sum_away"), n))
@@ -63,15 +65,16 @@ def attack_defence(fixtures: DataFrame, prior: float = PRIOR_MATCHES, max_goals:
         return F.when(overall <= 0, 1.0).otherwise((raw * played + prior) / (played + prior))
     j = j.withColumn("lam_home", home_avg * strength("home", "scored") * strength("away", "conceded")).withColumn(
         "lam_away", away_avg * strength("away", "scored") * strength("home", "conceded"))
-    ks = F.sequence(F.lit(0), F.lit(max_goals))
-    j = j.withColumn("ph", F.transform(ks, lambda k: poisson_pmf(F.col("lam_home"), k))).withColumn(
-        "pa", F.transform(ks, lambda k: poisson_pmf(F.col("lam_away"), k)))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    draw = total(F.zip_with("ph", "pa", lambda x, y: x * y))
-    home = total(F.transform("ph", lambda p, i: p * total(F.slice("pa", F.lit(1), i))))
-    whole = total(F.col("ph")) * total(F.col("pa"))
+    # One column a goal count, so that the grid is sums of products in generated code.
+    counts = range(max_goals + 1)
+    j = j.withColumns({f"p{s}{k}": poisson_pmf(F.col(f"lam_{side}"), F.lit(k)) for s, side in (("h", "home"), ("a", "away")) for k in counts})
+    add = lambda cols: reduce(lambda x, y: x + y, cols, F.lit(0.0))
+    j = j.withColumns({f"below{k}": add(F.col(f"pa{i}") for i in range(k)) for k in range(max_goals + 2)})
+    draw = add(F.col(f"ph{k}") * F.col(f"pa{k}") for k in counts)
+    home = add(F.col(f"ph{k}") * F.col(f"below{k}") for k in counts)
+    whole = add(F.col(f"ph{k}") for k in counts) * F.col(f"below{max_goals + 1}")
     j = j.withColumn("d0", draw / whole).withColumn("h0", home / whole)
-    return j.select("seq", "lam_home", "lam_away", F.col("h0").alias("poisson_h"), F.col("d0").alias("poisson_d"),
+    return j.select(*LEAGUE, "seq", "lam_home", "lam_away", F.col("h0").alias("poisson_h"), F.col("d0").alias("poisson_d"),
                     (1.0 - F.col("h0") - F.col("d0")).alias("poisson_a"))
 
 
@@ -108,14 +111,14 @@ def elo(fixtures: DataFrame, block_rows: int = 50_000, *, k: float = ELO_K, home
     state = spark.createDataFrame([], "league string, season string, team string, value double")
     blocks = ranked.agg(F.max("block").alias("b")).first()["b"]
     if blocks is None:
-        return ranked.select("seq", F.lit(None).cast("double").alias("expected_home")).limit(0)
+        return ranked.select(*LEAGUE, "seq", F.lit(None).cast("double").alias("expected_home")).limit(0)
     done = None
     for b in range(int(blocks) + 1):
         step = ranked.where(F.col("block") == b).groupBy(*LEAGUE).cogroup(state.groupBy(*LEAGUE)).applyInPandas(walk, out_schema)
         if blocks > 0:
             step = step.checkpoint()
         state = step.where("team IS NOT NULL").select(*LEAGUE, "team", "value")
-        part = step.where("seq IS NOT NULL").select("seq", F.col("value").alias("expected_home"))
+        part = step.where("seq IS NOT NULL").select(*LEAGUE, "seq", F.col("value").alias("expected_home"))
         done = part if done is None else done.unionByName(part)
     return done
 
@@ -123,7 +126,7 @@ def elo(fixtures: DataFrame, block_rows: int = 50_000, *, k: float = ELO_K, home
 def predictions(fixtures: DataFrame) -> DataFrame:
     """All four models' probabilities beside the result, one row per match."""
     naive = trailing_frequencies(fixtures)
-    j = naive.join(attack_defence(fixtures), "seq").join(elo(fixtures), "seq")
+    j = naive.join(attack_defence(fixtures), [*LEAGUE, "seq"]).join(elo(fixtures), [*LEAGUE, "seq"])
     e, d = F.col("expected_home"), F.least(F.greatest(F.col("naive_d"), F.lit(0.0)), F.lit(0.9))
     odds = implied_probabilities([F.col("odds_h"), F.col("odds_d"), F.col("odds_a")])
     return j.select("*", (e * (1 - d)).alias("elo_h"), d.alias("elo_d"), ((1 - e) * (1 - d)).alias("elo_a"),

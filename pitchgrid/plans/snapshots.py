@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pitchgrid.functions.scoring import clip, geometric_confidence, prob_within
 from pitchgrid.operators.grid import game_cells, game_grid, with_recent_shots
 from pitchgrid.settings import (
-    LATE_MINUTE, POST_GOAL_MINUTES, POST_RED_MINUTES, RECENT_SHOT_MINUTES, REGIME_LOOKBACK,
+    CAUSE_LEVELS, CONTROL_LEVELS, LATE_MINUTE, OUTLOOK_LEVELS, POST_GOAL_MINUTES, POST_RED_MINUTES, RECENT_SHOT_MINUTES, REGIME_LOOKBACK,
     TRANSITION_INSTABILITY, Params,
 )
 
@@ -190,28 +190,24 @@ def panel(events: DataFrame, params: Params = Params(), *, step: int = 1, header
     return panel_from_grid(grid, params, step=step, expected_home=expected_home)
 
 
-def plain_language(panels: DataFrame) -> DataFrame:
-    """One control, outlook and next-goal sentence per panel row (needs home, away)."""
+def reading_codes(panels: DataFrame) -> DataFrame:
+    """What a panel row says, as codes and values (needs home, away); sentences are the caller's.
+
+    ``control`` and ``outlook`` are levels, ``control_team`` and ``next_goal_team`` the sides
+    they are about (none when even), the ``*_percent`` columns their displayed shares.
+    """
     mom = F.col("momentum")
     share = F.greatest(mom, 1 - mom)
-    side = F.when(mom >= 0.5, F.col("home")).otherwise(F.col("away"))
+    control = F.when(share > CONTROL_LEVELS[1], "dominant").when(share > CONTROL_LEVELS[0], "ahead").otherwise("even")
     p10 = F.col("goal_next_10min")
-    favoured = F.when(F.col("next_goal_home") >= 0.5, F.col("home")).otherwise(F.col("away"))
-    return panels.withColumn(
-        "control",
-        F.when(share > 0.72, F.concat(side, F.lit(" dominates with "), percent(share), F.lit(" of recent momentum")))
-        .when(share > 0.58, F.concat(side, F.lit(" has the edge")))
-        .otherwise("evenly balanced"),
-    ).withColumn(
-        "outlook",
-        F.when(p10 >= 0.45, F.concat(F.lit("goal likely soon, "), percent(p10)))
-        .when(p10 >= 0.25, F.concat(F.lit("goal possible soon, "), percent(p10)))
-        .otherwise(F.concat(F.lit("quiet spell more likely, "), percent(p10))),
-    ).withColumn(
-        "next_goal_line",
-        F.concat(favoured, F.lit(" favoured for the next goal, "),
-                 percent(F.greatest("next_goal_home", 1 - F.col("next_goal_home")))),
-    )
+    return panels.withColumns({
+        "control": control,
+        "control_team": F.when(control != "even", F.when(mom >= 0.5, F.col("home")).otherwise(F.col("away"))),
+        "control_percent": percent(share),
+        "outlook": F.when(p10 >= OUTLOOK_LEVELS[1], "likely").when(p10 >= OUTLOOK_LEVELS[0], "possible").otherwise("quiet"),
+        "outlook_percent": percent(p10),
+        "next_goal_team": F.when(F.col("next_goal_home") >= 0.5, F.col("home")).otherwise(F.col("away")),
+        "next_goal_percent": percent(F.greatest("next_goal_home", 1 - F.col("next_goal_home")))})
 
 
 def leakage_audit(events: DataFrame, cutoffs: list[int], params: Params = Params(), *, step: int = 1,
@@ -256,13 +252,10 @@ def player_aware_rate(rate: Column, lineup: Column, network: Column) -> Column:
 
 
 def likely_causes(passes_rel: Column, markers: Column, moved: Column, midfield: Column) -> Column:
-    """Triggered explanations in fixed order; null inputs trigger nothing."""
+    """Codes of the triggered causes in fixed order; null inputs trigger nothing."""
     return F.array_compact(F.array(
-        F.when(passes_rel < 0.7, "receives fewer passes than usual"),
-        F.when(markers >= 2, "tightly marked"),
-        F.when(moved, "plays in another zone"),
-        F.when(midfield < 0.4, "midfield control lost"),
-    ))
+        F.when(passes_rel < CAUSE_LEVELS["few_passes"], "few_passes"), F.when(markers >= CAUSE_LEVELS["marked"], "marked"),
+        F.when(moved, "moved"), F.when(midfield < CAUSE_LEVELS["midfield_lost"], "midfield_lost")))
 
 
-__all__ = ["clip", "snapshots", "snapshot_grid", "panel", "panel_from_grid", "plain_language", "leakage_audit"]
+__all__ = ["clip", "snapshots", "snapshot_grid", "panel", "panel_from_grid", "reading_codes", "leakage_audit"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchgrid.operators.grid import cell_aggregates, cell_of, game_grid
@@ -26,6 +26,15 @@ def read_files(spark: SparkSession, path: str, schema, pattern: str = "*.parquet
     return reader.parquet(path)
 
 
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """File stream over a table, be it a folder of part files or a single file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return read_files(spark, path, schema)
+    folder, _, name = path.rpartition("/")
+    return read_files(spark, folder, schema, name)
+
+
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Process everything landed so far and stop; progress is kept in ``checkpoint``."""
     query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -78,38 +87,43 @@ POLL_KEY = ["match_id", "minute", "type", "team"]
 
 
 def needed_occurrences(polls: DataFrame) -> DataFrame:
-    """How often each observation really happened: the most any one poll reports.
+    """Each observation that really happened: as many of a key as the poll with the most reports, with their players.
 
     The player is not part of the identity (providers fill it in later); two equal events
-    in one poll are two events. ``polls`` has poll and the key columns.
+    in one poll are two occurrences, numbered by player. Later polls name the player of an
+    occurrence. ``polls`` has poll, player_id and the key columns.
     """
     keyed = polls.withColumn("minute", F.round("minute", 3))
-    per_poll = keyed.groupBy(*POLL_KEY, "poll").agg(F.count("*").alias("n"), F.max("player_id").alias("player_id"))
-    return per_poll.groupBy(*POLL_KEY).agg(F.max("n").alias("n"), F.max_by("player_id", "poll").alias("player_id"))
+    same = Window.partitionBy(*POLL_KEY, "poll").orderBy(F.col("player_id").asc_nulls_last())
+    numbered_rows = keyed.withColumn("occurrence", F.row_number().over(same))
+    named = F.max_by(F.col("player_id"), F.when(F.col("player_id").isNotNull(), F.col("poll")))
+    return numbered_rows.groupBy(*POLL_KEY, "occurrence").agg(named.alias("player_id"))
+
+
+FEED_LOG = "match_id string, minute double, type string, team string, occurrence int, player_id string"
 
 
 def feed_polls(spark: SparkSession, polls: DataFrame, folder: str) -> DataFrame:
-    """Append only new occurrences of polled observations; a poll is one landed file.
+    """Log new occurrences of polled observations, and players that become known; one row an occurrence comes back.
 
-    A retried batch recomputes against the log without its own folder and replaces it.
+    The log begins as an empty table. A retried batch recomputes against the log without
+    its own folder and replaces it.
     """
     log = f"{folder}/observations"
+    write_batch(spark.createDataFrame([], FEED_LOG), log, -1)
+
+    def entries() -> DataFrame:
+        return spark.read.schema(FEED_LOG + ", batch int").parquet(log)
 
     def each(df: DataFrame, batch_id: int) -> None:
-        need = needed_occurrences(df)
-        try:
-            have = spark.read.parquet(log).where(F.col("batch") != batch_id)
-            have = have.groupBy(*POLL_KEY).agg(F.count("*").alias("have"))
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER" not in str(exc):
-                raise
-            have = need.limit(0).select(*POLL_KEY, F.lit(0).cast("bigint").alias("have"))
-        fresh = need.join(have, POLL_KEY, "left").withColumn("missing", F.col("n") - F.coalesce("have", F.lit(0)))
-        rows = fresh.where("missing > 0").select(
-            *POLL_KEY, "player_id", F.explode(F.expr("sequence(1L, missing)")).alias("occurrence"))
-        write_batch(rows.drop("occurrence"), log, batch_id)
+        have = entries().where(F.col("batch") != batch_id).groupBy(*POLL_KEY, "occurrence").agg(
+            F.lit(True).alias("known"), F.max_by("player_id", F.when(F.col("player_id").isNotNull(), F.col("batch"))).alias("was"))
+        need = needed_occurrences(df).join(have, [*POLL_KEY, "occurrence"], "left")
+        fresh = need.where(F.col("known").isNull() | (F.col("player_id").isNotNull() & ~F.col("player_id").eqNullSafe(F.col("was"))))
+        write_batch(fresh.select(*POLL_KEY, F.col("occurrence").cast("int").alias("occurrence"), "player_id"), log, batch_id)
     run_available(polls, each, f"{folder}/checkpoint")
-    return spark.read.parquet(log).drop("batch")
+    return entries().groupBy(*POLL_KEY, "occurrence").agg(
+        F.max_by("player_id", F.when(F.col("player_id").isNotNull(), F.col("batch"))).alias("player_id"))
 
 
 def live_clock(events: DataFrame) -> DataFrame:
