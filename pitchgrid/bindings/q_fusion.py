@@ -260,6 +260,19 @@ def j18(spark, d):
     return U.crosscheck(m, _cells(spark, d)).select("seq", "status")
 
 
+@query("j18_crosscheck_report", CELLS + """,
+fx AS (SELECT date, 'atletico ' || lower(league) || ' ' || lower(home) AS home_key, 'atletico ' || lower(league) || ' ' || lower(away) AS away_key, seq FROM fixtures),
+cf AS (SELECT date, home_key, away_key, count(*) FILTER (n_claims >= 2) AS compared, count(*) FILTER (n_claims > 0 AND agreed) AS agreed,
+  coalesce(string_agg(field, '|' ORDER BY field) FILTER (n_claims > 0 AND NOT agreed), '') AS conflicts FROM cells GROUP BY ALL),
+rs AS (SELECT date, home_key, away_key, count(DISTINCT source) AS providers, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, min(league) AS league FROM resolved GROUP BY ALL)
+SELECT seq, (rs.date IS NOT NULL AND cf.date IS NOT NULL)::BIGINT AS verified, coalesce(providers, 1) AS providers, sources, compared AS fields_compared, agreed AS fields_agreed, conflicts, rs.league AS league
+FROM fx LEFT JOIN rs ON rs.date = fx.date AND rs.home_key = fx.home_key AND rs.away_key = fx.away_key LEFT JOIN cf ON cf.date = fx.date AND cf.home_key = fx.home_key AND cf.away_key = fx.away_key""", PR)
+def j18_report(spark, d):
+    name = lambda c: F.concat_ws(" ", F.lit("Atlético"), "league", c)
+    m = fixtures(spark, d).select("seq", "date", name("home").alias("home"), name("away").alias("away"))
+    return U.crosscheck_report(m, _cells(spark, d), _resolved(spark, d))
+
+
 @query("p05_fused_list", CELLS + """, u AS (SELECT date, home_key, away_key, string_agg(field, '|' ORDER BY field) FILTER (NOT agreed) AS conflicts FROM cells GROUP BY ALL)
   SELECT date::VARCHAR AS date, home_key, away_key, conflicts FROM u WHERE conflicts IS NOT NULL AND contains(home_key, 'l1 ') ORDER BY u.date DESC, home_key, away_key LIMIT 100""", PR)
 def p05(spark, d):

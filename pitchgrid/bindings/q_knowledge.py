@@ -218,6 +218,18 @@ def a28(spark, d):
     return _edges(spark, d)
 
 
+@query("n08_faced_edges", """SELECT 'team:' || home AS src, 'team:' || away AS dst, count(*) AS n, min(date)::VARCHAR AS valid_from, max(date)::VARCHAR AS valid_to
+  FROM fixtures GROUP BY ALL""", ("fixtures",))
+def n08_faced(spark, d):
+    """Edges between teams that met, from records with both sides as context."""
+    from pitchgrid.bindings.tables import fixtures
+    none = F.lit(None).cast("string")
+    records = fixtures(spark, d).select(
+        "home", "away", F.lit("results").alias("source"), F.col("date").alias("valid_from"), F.col("date").alias("valid_to"),
+        none.alias("player_id"), none.alias("team"), none.alias("match_id"), none.alias("competition"))
+    return K.graph_edges(records).where("relation = 'faced'").select("src", "dst", "n", "valid_from", "valid_to")
+
+
 @query("u05_graph_nodes", EDGES + """ SELECT DISTINCT key, split_part(key, ':', 1) AS type FROM (
   SELECT src AS key FROM edges UNION ALL SELECT dst FROM edges)""", KN)
 def u05(spark, d):

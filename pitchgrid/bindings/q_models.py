@@ -77,9 +77,11 @@ def k03(spark, d):
     return P.scorelines(_sliced(spark, d))
 
 
-@query("k04_lane_windows", STATES + """ SELECT match_id, t AS minute, team, lane, R(p) AS probability, R(greatest(0, ceil(ln(1 - p / 2) / ln(1 - q)) - 1) * 15) AS eta_seconds FROM (
+@query("k04_lane_windows", STATES + """ SELECT match_id, minute, row_number() OVER (PARTITION BY match_id, minute ORDER BY round(p, 9) DESC, eta, team, lane) AS rank, team, lane,
+  R(p) AS probability, R(eta) AS eta_seconds, R(15) AS window_seconds FROM (
+  SELECT match_id, t AS minute, team, lane, p, greatest(0, ceil(ln(1 - p / 2) / ln(1 - q)) - 1) * 15 AS eta FROM (
   SELECT s.match_id, s.t, team, lane, q, 1 - (1 - q) ** n AS p FROM (SELECT sl.match_id, sl.t, n, team, lane, share * CASE team WHEN 'HOME' THEN p_home ELSE p_away END AS q
-    FROM sl JOIN shares USING (match_id, t) WHERE n > 0) s) WHERE p >= 0.05""", EV)
+    FROM sl JOIN shares USING (match_id, t) WHERE n > 0) s) WHERE p >= 0.05)""", EV)
 def k04(spark, d):
     return P.lane_windows(_sliced(spark, d))
 
@@ -97,6 +99,15 @@ def m14(spark, d):
     return P.rank_decisions(P.lane_states(match_events(spark, d)), "HOME")
 
 
+@query("m14_decisions_away", APP.replace("lam_home * o", "lam_home * x_").replace("lam_away * x *", "lam_away * o *").replace("lam_home * x_", "lam_home * x") + """,
+d AS (SELECT match_id, t, approach, 1 - coalesce(hw, 0) - coalesce(dr, 0) AS win, coalesce(dr, 0) AS draw FROM ap),
+b AS (SELECT match_id, t, max(win) FILTER (approach = 'keep') AS keep_win, max(win) AS top_win FROM d GROUP BY ALL)
+SELECT match_id, t AS minute, approach, R(win) AS win, R(draw) AS draw, R(1 - win - draw) AS loss, R(win - keep_win) AS delta_win,
+  CASE WHEN top_win - keep_win > 0.005 THEN (SELECT arg_max(approach, win) FROM d x WHERE x.match_id = b.match_id AND x.t = b.t) ELSE 'keep' END AS recommended FROM d JOIN b USING (match_id, t)""", EV)
+def m14_away(spark, d):
+    return P.rank_decisions(P.lane_states(match_events(spark, d)), "AWAY")
+
+
 @query("m13_checkpoint_accuracy", OUT + """,
 truth AS (SELECT match_id, CASE WHEN home_goals_final > away_goals_final THEN 0 WHEN home_goals_final = away_goals_final THEN 1 ELSE 2 END AS y FROM matches),
 sh AS (SELECT avg((y = 0)::INT) AS c0, avg((y = 1)::INT) AS c1, avg((y = 2)::INT) AS c2 FROM truth),

@@ -269,3 +269,19 @@ def crosscheck(matches: DataFrame, cells: DataFrame) -> DataFrame:
         "status", F.when(F.col("fused_home").isNull(), "unmatched").when(
             (F.col("fused_home") == F.col("home_goals")) & (F.col("fused_away") == F.col("away_goals")), "confirmed"
         ).otherwise("differs"))
+
+
+def crosscheck_report(matches: DataFrame, cells: DataFrame, resolved: DataFrame) -> DataFrame:
+    """What independent providers say about each stored match (seq, date, home, away): the providers, the fields that
+    several of them report, those on which all reports agree, the conflicts and the league. One provider without a
+    fused fixture is reported as not verified.
+    """
+    keyed = matches.select("seq", "date", entity_key(F.col("home")).alias("home_key"), entity_key(F.col("away")).alias("away_key"))
+    fields = cells.groupBy(*FIXTURE).agg(
+        F.count_if(F.col("n_claims") >= 2).alias("fields_compared"), F.count_if((F.col("n_claims") > 0) & F.col("agreed")).alias("fields_agreed"),
+        F.array_sort(F.collect_list(F.when((F.col("n_claims") > 0) & ~F.col("agreed"), F.col("field")))).alias("conflicts"))
+    seen = resolved.groupBy(*FIXTURE).agg(F.array_sort(F.collect_set("source")).alias("sources"), F.min("league").alias("league"))
+    found = keyed.join(fields.join(seen, FIXTURE), FIXTURE, "left")
+    return found.select(
+        "seq", F.col("sources").isNotNull().alias("verified"), F.greatest(F.size(F.coalesce("sources", F.array())), F.lit(1)).alias("providers"),
+        "sources", "fields_compared", "fields_agreed", "conflicts", "league")

@@ -39,16 +39,23 @@ def counters(actions: DataFrame) -> DataFrame:
         *[F.count_if(expr[c]).alias(c) for c in COUNTERS],
         F.count_distinct("match_id").alias("matches"),
         F.array_sort(F.collect_set("source")).alias("sources"),
-        *[F.max_by(c, "match_id").alias(c) for c in ("name", "team", "position")])
+        latest(actions).alias("latest")).select("*", "latest.*").drop("latest")
+
+
+def latest(actions: DataFrame) -> Column:
+    """Name, team and position of one row: the last by date, match and event number, as far as the table has them."""
+    who = ("name", "team", "position")
+    order = [c for c in ("date", "match_id", "event_id", *who) if c in actions.columns]
+    return F.max_by(F.struct(*who), F.struct(*order))
 
 
 def roll_up(season_counters: DataFrame) -> DataFrame:
     """Career counters: exact sums, union of sources, latest name and team."""
-    latest = F.struct("season", "competition")
+    latest_season = F.struct("season", "competition", "name", "team", "position")
     return season_counters.groupBy("player_id").agg(
         *[F.sum(c).alias(c) for c in (*COUNTERS, "matches")],
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
-        *[F.max_by(c, latest).alias(c) for c in ("name", "team", "position")])
+        F.max_by(F.struct("name", "team", "position"), latest_season).alias("l")).select("*", "l.*").drop("l")
 
 
 def label(actions: Column, shots: Column, assists: Column, dribbles: Column, shot_share: Column, key_rate: Column,

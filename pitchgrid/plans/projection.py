@@ -125,16 +125,21 @@ def scorelines(sliced: DataFrame, k: int = TOP_COUNTS) -> DataFrame:
 
 
 def lane_windows(sliced: DataFrame, step_seconds: float = 15.0, floor: float = 0.05) -> DataFrame:
-    """Chance that a lane opens before the end and the median time to it (geometric)."""
-    rows = sliced.where("slices > 0").select("match_id", "t", "slices", F.explode(F.array(*[F.struct(
-        F.lit(side.upper()).alias("team"), F.lit(n).alias("lane"),
-        (F.col(f"p_{side}") * F.col(f"share_{side}_{n}")).alias("q")) for side in ("home", "away") for n in LANES])).alias("l")).select(
-        "match_id", "t", "slices", "l.*")
-    prob = 1.0 - F.pow(1.0 - F.col("q"), F.col("slices"))
-    rows = rows.withColumn("probability", prob).where(F.col("probability") >= floor)
-    median = F.ceil(F.log(1.0 - F.col("probability") / 2) / F.log(1.0 - F.col("q"))) - 1
-    return rows.select("match_id", F.col("t").alias("minute"), "team", "lane", "probability",
-                       (F.greatest(F.lit(0), median) * step_seconds).alias("eta_seconds"))
+    """Chance that a lane opens before the end and the median time to it (geometric), likeliest and then soonest first.
+
+    The six windows of a state stand in its row, so ranking them needs no shuffle.
+    """
+    def opening(side, name):
+        q = F.col(f"p_{side}") * F.col(f"share_{side}_{name}")
+        prob = 1.0 - F.pow(1.0 - q, F.col("slices"))
+        median = F.greatest(F.lit(0), F.ceil(F.try_divide(F.log(1.0 - prob / 2), F.log(1.0 - q))) - 1) * step_seconds
+        return F.struct((-F.round(prob, 9)).alias("order"), median.cast("double").alias("eta_seconds"), F.lit(side.upper()).alias("team"),
+                        F.lit(name).alias("lane"), prob.alias("probability"))
+    every = F.array(*[opening(side, n) for side in ("home", "away") for n in LANES])
+    ranked = F.array_sort(F.filter(every, lambda w: w.probability >= floor))
+    rows = sliced.where("slices > 0").select("match_id", F.col("t").alias("minute"), F.posexplode(ranked).alias("place", "w"))
+    return rows.select("match_id", "minute", (F.col("place") + 1).alias("rank"), "w.team", "w.lane", "w.probability", "w.eta_seconds",
+                       F.lit(step_seconds).alias("window_seconds"))
 
 
 def rank_decisions(states: DataFrame, side: str, step_seconds: float = 15.0) -> DataFrame:
