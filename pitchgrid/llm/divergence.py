@@ -29,7 +29,7 @@ def class_counts(text: Column) -> Column:
     """Characters by class: upper-case letters, digits, white space, punctuation, signs, all others."""
     upper = kept_length(text, r"[^\p{Lu}]+")
     digit = kept_length(text, r"[^\p{Nd}]+")
-    space = F.length(text).cast("long") - kept_length(text, SPACE)
+    space = kept_length(text, r"[^\x20\x09-\x0D]+")
     punctuation = kept_length(text, r"""[^.,;:!?'"()-]+""")
     sign = kept_length(text, r"""[\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:!?'"()-]+""")
     return F.array(upper, digit, space, punctuation, sign, F.length(text).cast("long") - upper - digit - space - punctuation - sign)
@@ -37,39 +37,46 @@ def class_counts(text: Column) -> Column:
 
 def letter_words(text: Column) -> Column:
     """Lower-cased runs of letters."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """lang, words, word_shares (and the share of all other words last) and class_shares; lang '' is the whole corpus.
+def known_languages(totals: DataFrame) -> DataFrame:
+    """(lang, total) of the whole corpus, '', and of languages with at least 1 in LANGUAGES of its words."""
+    everything = totals.filter("lang = ''").select(F.col("total").alias("everything"))
+    known = totals.crossJoin(F.broadcast(everything)).filter((F.col("lang") == "") | (F.col("total") * LANGUAGES >= F.col("everything")))
+    return known.drop("everything")
+
+
+def word_references(docs: DataFrame) -> DataFrame:
+    """lang, words and word_shares (the share of all other words last) of each known language; lang '' is the whole corpus.
 
-    Counted over all documents: sums of class counts, and words of up to COMMON_LETTERS letters with partial sums per
-    task. The shares that make a word common and a language known bound the table, whatever the corpus holds.
+    Counted over all documents with partial sums per task; longer words count as others. The shares that make a word
+    common and a language known bound the table, whatever the corpus holds.
     """
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = rows.select("lang", F.explode(letter_words(F.col("text"))).alias("word"))
     sized = words.select("lang", F.when(F.length("word") <= COMMON_LETTERS, F.col("word")).otherwise("").alias("word"))
     counts = stored(sized.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
-    lengths = rows.select("lang", class_counts(F.col("text")).alias("c"))
-    classes = lengths.groupBy("lang").agg(*(F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(6)))
-    classes = stored(classes, "class-counts")
     every = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "word", "n")
     counts = counts.filter("lang <> ''").unionByName(every)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    everything = totals.filter("lang = ''").select(F.col("total").alias("everything"))
-    known = totals.crossJoin(F.broadcast(everything)).filter((F.col("lang") == "") | (F.col("total") * LANGUAGES >= F.col("everything"))).drop("everything")
-    common = counts.join(known, "lang").filter((F.col("word") != "") & (F.col("n") * COMMON >= F.col("total")))
+    known = known_languages(counts.groupBy("lang").agg(F.sum("n").alias("total")))
+    common = counts.join(F.broadcast(known), "lang").filter((F.col("word") != "") & (F.col("n") * COMMON >= F.col("total")))
     listed = common.groupBy("lang", "total").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("list"))
-    sums = [f"c{i}" for i in range(6)]
-    whole = classes.agg(*(F.sum(s).alias(s) for s in sums)).select(F.lit("").alias("lang"), *sums)
-    classes = classes.filter("lang <> ''").unionByName(whole)
     shares = F.transform(F.col("list"), lambda x: x["n"] / F.col("total"))
     rest = F.aggregate(F.col("list"), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    size = sum((F.col(s) for s in sums[1:]), F.col(sums[0]))
-    return stored(known.select("lang").join(listed, "lang", "left").join(classes, "lang", "left").select(
+    return stored(known.select("lang").join(listed, "lang", "left").select(
         "lang", F.coalesce(F.col("list.word"), F.array().cast("array<string>")).alias("words"),
-        F.when(F.col("list").isNull(), F.array(F.lit(1.0))).otherwise(F.concat(shares, F.array(1 - rest / F.col("total")))).alias("word_shares"),
-        F.array(*(F.col(s) / F.greatest(size, F.lit(1)) for s in sums)).alias("class_shares")), "references")
+        F.when(F.col("list").isNull(), F.array(F.lit(1.0))).otherwise(F.concat(shares, F.array(1 - rest / F.col("total")))).alias("word_shares")),
+        "word-references")
+
+
+def class_references(counted: DataFrame) -> DataFrame:
+    """lang and class_shares, from the documents' (lang, classes); lang '' is the whole corpus."""
+    sums = [f"c{i}" for i in range(6)]
+    by_lang = counted.groupBy("lang").agg(*(F.sum(F.col("classes")[i]).alias(s) for i, s in enumerate(sums)))
+    whole = counted.agg(*(F.sum(F.col("classes")[i]).alias(s) for i, s in enumerate(sums))).select(F.lit("").alias("lang"), *sums)
+    size = sum((F.col(s) for s in sums[1:]), F.col(sums[0]))
+    return by_lang.filter("lang <> ''").unionByName(whole).select("lang", F.array(*(F.col(s) / F.greatest(size, F.lit(1)) for s in sums)).alias("class_shares"))
 
 
 def distance(left: Column, right: Column) -> Column:
@@ -81,11 +88,17 @@ def distance(left: Column, right: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that stand in a three-word window found twice or more in the array."""
+def window_hashes(words: Column) -> Column:
+    """Hashes of all three-word windows, in order."""
     n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p")))
-    return F.when(n >= 3, runs).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(n >= 3, hashes).otherwise(F.array().cast("array<bigint>"))
+
+
+def placed(hashes: Column) -> Column:
+    """(hash, place) of all windows sorted by hash; nothing where all hashes differ, as in most texts."""
+    rows = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), rows).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
 
 
 def covered_words(runs: Column) -> Column:
@@ -109,35 +122,40 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     unknown or rare language is held against the whole corpus. Null and empty texts have no words and fail the base
     rule; repeated rows are judged one by one; an empty table gives an empty table; other columns are not looked at.
 
-    The references are a small table of bounded size that is broadcast; documents are never shuffled.
+    The references are small tables of bounded size that are broadcast; documents are never shuffled, and each text is
+    read twice: for the words of its language and for its own counts, from which the class references are summed.
     """
-    refs = references(docs)
+    refs = word_references(docs)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("doc_lang"), text.alias("text"))
-    whole = refs.filter("lang = ''").select(*(F.col(c).alias(f"all_{c}") for c in ("words", "word_shares", "class_shares")))
+    whole = refs.filter("lang = ''").select(F.col("words").alias("all_words"), F.col("word_shares").alias("all_word_shares"))
     joined = rows.join(F.broadcast(refs), F.col("doc_lang") == F.col("lang"), "left").join(F.broadcast(whole), F.lit(True), "left")
     split = joined.select(
-        "doc_id", "text", F.filter(F.split("text", SPACE), lambda w: w != "").alias("w"),
+        "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text", F.array_remove(F.split("text", SPACE), "").alias("w"),
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         letter_words(F.col("text")).alias("letters"), class_counts(F.col("text")).alias("classes"),
-        *(F.coalesce(c, f"all_{c}").alias(c) for c in ("words", "word_shares", "class_shares")))
+        F.coalesce("words", "all_words").alias("words"), F.coalesce("word_shares", "all_word_shares").alias("word_shares"))
     counted = split.select(
-        "doc_id", F.size("w").cast("long").alias("n_words"), kept_length(F.col("text"), SPACE).alias("word_chars"),
+        "doc_id", "lang", F.size("w").cast("long").alias("n_words"), (F.length("text") - F.col("classes")[2]).alias("word_chars"),
         kept_length(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(repeated_words(F.col("w"))).alias("runs"), F.size("letters").cast("long").alias("n_letters"),
-        F.filter("letters", lambda x: F.length(x) <= COMMON_LETTERS).alias("short"), "classes", "words", "word_shares", "class_shares")
-    found = counted.select(
-        *[c for c in counted.columns if c not in ("runs", "short")], covered_words(F.col("runs")).alias("n_repeat_words"),
+        window_hashes(F.col("w")).alias("windows"), F.size("letters").cast("long").alias("n_letters"),
+        F.filter("letters", lambda x: F.length(x) <= COMMON_LETTERS).alias("short"), "classes", "words", "word_shares")
+    runs = counted.select("*", placed(F.col("windows")).alias("runs"))
+    found = runs.select(
+        *[c for c in runs.columns if c not in ("windows", "runs", "short")], covered_words(F.col("runs")).alias("n_repeat_words"),
         F.transform("words", lambda c: (F.size("short") - F.size(F.array_remove(F.col("short"), c))).cast("long")).alias("common"))
     letters = F.greatest("n_letters", F.lit(1))
     rest = F.col("n_letters") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
     own_words = F.concat(F.transform("common", lambda n: n / letters), F.array(rest / letters))
+    compact = stored(found.select(
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "classes",
+        distance(own_words, F.col("word_shares")).alias("word_distance")), "rule-counts")
+    classes = class_references(compact).withColumnRenamed("lang", "class_lang")
     chars = F.greatest(F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
-    measured = found.select(
+    measured = compact.join(F.broadcast(classes), F.col("lang") == F.col("class_lang"), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        distance(F.transform("classes", lambda n: n / chars), F.col("class_shares")).alias("class_distance"),
-        distance(own_words, F.col("word_shares")).alias("word_distance"))
+        distance(F.transform("classes", lambda n: n / chars), F.col("class_shares")).alias("class_distance"), "word_distance")
     far = ((F.col("n_words") >= MIN_CLASS_WORDS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
         (F.col("n_letters") >= MIN_COMMON_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
     return measured.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("n_letters")
