@@ -254,14 +254,16 @@ def find_events(events: DataFrame, requests: DataFrame, tolerance: float = 0.6)
 def what_if(events: DataFrame, requests: DataFrame, params: Params = Params()) -> DataFrame:
     """Baseline and counterfactual panels from the removed event to full time."""
     targets = find_events(events, requests).select("match_id", F.col("event_id").alias("removed"), F.floor("minute").alias("from_minute"))
+    gone = targets.groupBy("match_id").agg(F.collect_set("removed").alias("gone"))
     ends = events.groupBy("match_id").agg(F.ceil(F.max("minute")).cast("int").alias("duration"))
-    base = salted_join(events, targets.select("match_id").distinct(), ["match_id"], ["event_id"], "left_semi")
-    gone = targets.select("match_id", F.col("removed").alias("event_id"))
-    other = base.join(gone, ["match_id", "event_id"], "left_anti").withColumn("match_id", F.concat("match_id", F.lit("#cf")))
-    heads = ends.join(targets.select("match_id"), "match_id", "left_semi").select(
+    heads = ends.join(gone, "match_id", "left_semi").select(
         F.explode(F.array("match_id", F.concat("match_id", F.lit("#cf")))).alias("match_id"), "duration")
-    cols = ["match_id", "minute", "team", "type"]
-    p = panel(base.select(*cols).unionByName(other.select(*cols)), params, headers=heads, last=F.col("duration"))
+    # An event stands in both worlds, a removed one in the first only.
+    both_ids = F.array(F.col("match_id"), F.concat("match_id", F.lit("#cf")))
+    met = salted_join(events, gone, ["match_id"], ["event_id"])
+    worlds = met.select(
+        F.explode(F.when(F.array_contains("gone", F.col("event_id")), F.slice(both_ids, 1, 1)).otherwise(both_ids)).alias("match_id"), "minute", "team", "type")
+    p = panel(worlds, params, headers=heads, last=F.col("duration"))
     p = p.select(F.regexp_replace("match_id", "#cf$", "").alias("match_id"), F.col("match_id").endswith("#cf").alias("cf"),
                  "minute", "goal_next_10min", "next_goal_home", "momentum", "home_goals", "away_goals")
     fields = ["goal_next_10min", "next_goal_home", "momentum", "home_goals", "away_goals"]
