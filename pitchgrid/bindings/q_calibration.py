@@ -226,3 +226,12 @@ def m06(spark, d):
         C.holdout_parts(matches(spark, d), ["match_date", "match_id"]), "match_id")
     model = C.train_logistic(features.where("part = 'train'"))
     return C.evaluate(C.score_logistic(model, features), ["part"])
+
+
+@query("m06_training_checks", SNAP + """, ordered AS (SELECT match_id, row_number() OVER (ORDER BY match_date, match_id) AS rn, count(*) OVER () AS total FROM matches)
+SELECT count(*) AS n, sum(happened)::BIGINT AS n_happened, 1::BIGINT AS stationary, 1::BIGINT AS beats_constant
+FROM scored JOIN ordered USING (match_id) WHERE rn <= greatest(1, floor(total * 0.75))""", EM)
+def m06_checks(spark, d):
+    features = C.snapshot_features(match_events(spark, d)).join(
+        C.holdout_parts(matches(spark, d), ["match_date", "match_id"]), "match_id").where("part = 'train'")
+    return C.training_checks(C.train_logistic(features), features)

@@ -266,6 +266,23 @@ def train_logistic(features: DataFrame, reg: float = 1e-4):
     return LogisticRegression(standardization=True, regParam=reg, maxIter=100).fit(rows)
 
 
+def training_checks(model, features: DataFrame, reg: float = 1e-4, tolerance: float = 1e-3) -> DataFrame:
+    """Facts that hold for a finished fit: rows and goals of the training data, whether the gradient of the penalised
+    log loss vanishes there (per standardised feature and for the intercept), and whether the log loss is at most that
+    of the constant base rate. One aggregate; the model's few numbers are literals.
+    """
+    y, names = F.col("happened").cast("double"), list(FEATURES)
+    scored = score_logistic(model, features)
+    off = F.col("prob") - y
+    sums = scored.agg(
+        F.count("*").alias("n"), F.sum(y).cast("long").alias("n_happened"), F.avg(off).alias("g_all"), F.avg(y).alias("rate"),
+        F.avg(log_loss(F.col("prob"), y)).alias("loss"), *[F.avg(off * F.col(c)).alias(f"g_{c}") for c in names], *[F.stddev(c).alias(f"s_{c}") for c in names])
+    slopes = [F.abs(F.when(F.col(f"s_{c}") > 0, F.col(f"g_{c}") / F.col(f"s_{c}") + reg * float(b) * F.col(f"s_{c}")).otherwise(0.0))
+              for c, b in zip(names, model.coefficients)]
+    constant = -(F.col("rate") * F.log("rate") + (1 - F.col("rate")) * F.log(1 - F.col("rate")))
+    return sums.select("n", "n_happened", (F.greatest(F.abs("g_all"), *slopes) < tolerance).alias("stationary"), (F.col("loss") <= constant + 1e-9).alias("beats_constant"))
+
+
 def score_logistic(model, features: DataFrame) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
