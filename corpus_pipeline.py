@@ -32,7 +32,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repetitions of documents that bring the sources to their target weights."""
-    return mixing.repeated(mixing.mix_sources(docs, size=words_of(F.col("text"))), docs.columns)
+    rows = docs.select("doc_id", "source", words_of(F.col("text")).alias("n_words"), F.struct("*").alias("document"))
+    return mixing.repeated(mixing.mix_sources(rows, size=F.col("n_words")), ["document"]).select("document.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

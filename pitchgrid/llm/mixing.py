@@ -57,9 +57,11 @@ def mix_sources(docs: DataFrame, *, size: Column, weights: tuple[int, ...] = (5,
     round's groups are at most 4096 a source and a source of any size is counted in parallel.
 
     Null sources are a source of their own; a null or empty text has size 0 and follows its order like the others;
-    rows that repeat a doc_id stand together in the order. An empty table gives an empty table. Other columns stay.
+    rows that repeat a doc_id stand together in the order. An empty table gives an empty table. Other columns stay,
+    those of the added names (and whole, prefix, with_last, mix_source) are replaced or dropped.
     """
-    rows = docs.withColumns({"size": F.coalesce(size, F.lit(0)).cast("long"), "mix_order": order_of(seed, F.col("doc_id"))})
+    rows = docs.withColumns({"size": F.coalesce(size, F.lit(0)).cast("long"), "mix_order": order_of(seed, F.col("doc_id"))}).drop(
+        "source_size", "target", "repeats", "mix_source", "whole", "prefix", "with_last")
     lean = stored(rows.select("doc_id", "source", "size", "mix_order"), "mix-sizes")
     sizes = lean.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = stored(source_weights(sizes, weights), "mix-sources")

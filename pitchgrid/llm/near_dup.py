@@ -264,5 +264,5 @@ def duplicate_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The row with the smallest doc_id of each group; columns as they are, rows without a doc_id stay."""
-    kept = duplicate_groups(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("copy_id"), "left_anti")
+    kept = duplicate_groups(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("near_dup_copy")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("near_dup_copy"), "left_anti")

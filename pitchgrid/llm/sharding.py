@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchgrid.llm.common import arrow_session, stored
 
@@ -43,8 +44,7 @@ def _binned(keys: DataFrame, probes: list[tuple[int, int]], columns: dict[str, l
                 [*batch.columns, pa.array(n, pa.int64()), *(pa.array(t[n], pa.int64()) for t in tables.values())],
                 names=[*batch.schema.names, "bin", *tables])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields)
-    return keys.mapInArrow(run, ", ".join([schema, "bin long", *(f"{k} long" for k in tables)]))
+    return keys.mapInArrow(run, T.StructType([*keys.schema.fields, *(T.StructField(k, T.LongType()) for k in ("bin", *tables))]))
 
 
 class _Known:
@@ -83,13 +83,15 @@ def histogram_shards(rows: DataFrame, shards: int, *, weight: str, sort_key: str
     Rows of one key stay together unless that key alone exceeds the tolerance; then its rows are divided by id, so a
     key that holds a third of all rows is spread as well. Keys and ids are longs; a null counts as the smallest long
     for both, a null weight as 0. Rows that tie in both columns share a bin; their order is open, not their number.
-    An empty table gives an empty table. Other columns are carried along.
+    An empty table gives an empty table. Other columns are carried along, whatever their names; columns called shard and
+    slot are replaced.
     """
     spark = rows.sparkSession
     arrow_session(spark)
     smallest = F.lit(-(2**63)).cast("long")
+    own = [f"row.`{c}`" for c in rows.columns if c not in ("shard", "slot")]
     keys = rows.select(
-        "*", F.coalesce(F.col(sort_key), smallest).alias("sort_key"), F.coalesce(F.col(sort_id), smallest).alias("sort_id"),
+        F.struct("*").alias("row"), F.coalesce(F.col(sort_key), smallest).alias("sort_key"), F.coalesce(F.col(sort_id), smallest).alias("sort_id"),
         F.coalesce(F.col(weight), F.lit(0)).cast("long").alias("sort_weight"))
     keys = stored(keys, "shard-keys")
     lean = keys.select("sort_key", "sort_id", "sort_weight")
@@ -98,7 +100,7 @@ def histogram_shards(rows: DataFrame, shards: int, *, weight: str, sort_key: str
         F.max(F.struct("sort_key", "sort_id")).alias("high"))
     whole = lean.agg(*measures, F.min("sort_id").alias("id_low"), F.max("sort_id").alias("id_high")).first()
     if not whole.n:
-        return keys.drop("sort_key", "sort_id", "sort_weight").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        return keys.select(*own, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     known = _Known(whole.w, whole.n, tuple(whole.low), tuple(whole.high), whole.id_low, whole.id_high)
     cuts = max(1, -(-whole.n // bin_rows))
     targets = [(0, i * whole.w / shards, tolerance * whole.w / shards) for i in range(1, shards)]
@@ -136,9 +138,8 @@ def histogram_shards(rows: DataFrame, shards: int, *, weight: str, sort_key: str
     slots = [r - start[s] for s, r in zip(shard_of, first_row)]
     placed = _binned(keys, [known.unpack(e) for e in edges], {"shard_no": shard_of, "first_slot": slots})
     order = Window.partitionBy("bin").orderBy("sort_key", "sort_id")
-    return placed.withColumns({
-        "slot": F.col("first_slot") + F.row_number().over(order) - 1, "shard": F.col("shard_no").cast("int"),
-    }).drop("sort_key", "sort_id", "sort_weight", "bin", "shard_no", "first_slot")
+    return placed.select(
+        "row", F.col("shard_no").cast("int").alias("shard"), (F.col("first_slot") + F.row_number().over(order) - 1).alias("slot")).select(*own, "shard", "slot")
 
 
 def _neighbours(points: dict, target: float, which: int) -> tuple[int, int]:

@@ -112,12 +112,14 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url:
     The canonical URL is ``.`` + host + path, so a rule for a host ends on a label border. Null, empty or malformed
     URLs have an empty host and path and get the default unless a rule fits that. Rows are judged one by one: nothing
     is shuffled and repeated rows or very common hosts cost no more than others. Rules travel with the task.
+    Columns of the added names are replaced, others stay.
     """
     arrow_session(pages.sparkSession)
     masks = compile_rules(rules)
     names = np.array([*(r.name for r in rules), None], object)
     verdicts = np.array([*(r.verdict for r in rules), default], object)
     host, path = split_url(F.col(f"`{url}`"))
+    pages = pages.drop("url_rule", "url_verdict")
     split = pages.withColumns({"url_host": host, "url_path": path})
     split = split.withColumn("url_canonical", F.concat(F.lit("."), "url_host", "url_path"))
     added = {"url_rule": "string", "url_verdict": "string"}

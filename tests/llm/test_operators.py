@@ -44,7 +44,7 @@ def no_docs(spark):
 
 # ------------------------------------------------------------------ 1 histogram sort
 def test_shards_are_even_and_slots_gapless(odd_docs, no_docs):
-    docs = odd_docs.dropDuplicates(["doc_id"]).select("doc_id", "text", "lang")
+    docs = odd_docs.dropDuplicates(["doc_id"])
     rows = sharding.text_shards(docs, 4, bin_rows=20).collect()
     assert len(rows) == docs.count()
     slots, sizes = defaultdict(list), Counter()
@@ -86,7 +86,7 @@ def test_automaton_matches_brute_force():
 
 def test_url_verdicts(spark):
     urls = [None, "", "nothing", "http://example.com", "http://example.com/en/x", "http://WWW.example.com/en/?q", "https://a.net/es/1", "https://net/fr/", "https://evilnet/es/", "http://x.org/a.net/es/", "http://b.example.com/EN/", "http://h.com?x=/en/", "http://é.com/" + "y" * 50_000]
-    pages = spark.createDataFrame([(i, u, "t") for i, u in enumerate(urls)], "page_id long, url string, url_rule string").drop("url_rule")
+    pages = spark.createDataFrame([(i, u, "t") for i, u in enumerate(urls)], "page_id long, url string, url_rule string")
     rules = [url_rules.host_rule(v, r) for v, r in URL_RULES]
     got = {r.page_id: (r.url_rule, r.url_verdict) for r in url_rules.judge_urls(pages, rules, "none").collect()}
     none = (None, "none")
@@ -205,7 +205,7 @@ def test_mixing_reaches_targets(spark, odd_docs, no_docs):
     again = {r.doc_id: r.repeats for r in mixing.mix_sources(docs.repartition(7), size=F.col("n")).collect()}
     assert again == {r.doc_id: r.repeats for r in rows}
     assert mixing.mix_sources(no_docs, size=common.words_of(F.col("text"))).collect() == []
-    odd = mixing.mix_sources(odd_docs, size=common.words_of(F.col("text")))
+    odd = mixing.mix_sources(odd_docs.withColumns({"target": F.lit("t"), "prefix": F.lit(1)}), size=common.words_of(F.col("text")))
     assert odd.count() == odd_docs.count() and odd.filter("repeats is null or target is null").count() == 0
 
 

@@ -94,3 +94,26 @@ def test_pipeline_against_a_plain_version(spark, sql):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert near_dup.matches_for(80) == 2
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing columns go through every stage; an empty table stays empty."""
+    text = " ".join(f"w{i % 37}{i}" for i in range(200))
+    rows = [(1, None, None, None, 1, "a"), (2, "", "en", "s", 2, "b"), (3, "x", "en", None, 3, "c"), (4, text, "en", "s", 4, "d"), (5, text, "en", "s", 5, "e"), (6, text.upper(), "en", "t", 6, "f"), (7, "y z", "en", "t", 7, "g"), (7, "y z", "en", "t", 7, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "y Z"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (docs, docs.limit(0)):
+        left = table
+        for name, stage in corpus_pipeline.STAGES:
+            done = stage(spark, left, str(tmp_path))
+            got = done.collect()
+            assert name == "token-id output" or done.columns == docs.columns
+            if table is docs and name == "minhash near-dedup":
+                assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 7, 7]
+            if table is docs and name == "benchmark decontamination":
+                assert sorted(r.doc_id for r in got) == [1, 2, 3, 4]
+            if table is docs and name == "mixing sources":
+                assert {r["size"] for r in got} <= set("abcd") and all(r.doc_id != 4 or r.text == text for r in got)
+            left = spark.createDataFrame(got, done.schema)
+        assert table is docs or got == []
