@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.common import arrow_session
+from pitchgrid.llm.common import arrow_session, stored
 from pitchgrid.llm.quality_knn import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -160,22 +160,19 @@ class Toxicity:
         return min(max(score, 0.0), 1.0), list(zip(self.ids[near].tolist(), cosine.tolist(), self.labels[near].astype(int).tolist()))
 
 
-def choose_terms(examples: list[Counter], y: np.ndarray, most: int, least_docs: int = 5) -> list[str]:
-    """Terms that the labels set apart: chi-square of presence above 24 (one in a million by chance), largest first."""
-    n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    counts: dict[str, list[int]] = {}
-    for c, label in zip(examples, y):
-        for t in c:
-            counts.setdefault(t, [0, 0])[int(label)] += 1
-    scored = []
-    for t, (b, a) in counts.items():
-        if a + b >= least_docs and n1 and n0:
-            n, c, d = n1 + n0, n1 - a, n0 - b
-            chi = n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * n1 * n0, 1e-9)
-            apart = (a / n1 + 1e-4) / (b / n0 + 1e-4)
-            if chi > 24 and not 1 / 3 < apart < 3:
-                scored.append((-chi, t))
-    return [ANY, *(t for _, t in sorted(scored)[:most - 1] if t != ANY)]
+def choose_terms(examples: DataFrame, n1: int, n0: int, most: int, least_docs: int = 5) -> list[str]:
+    """Terms that the labels set apart: chi-square of presence above 24 (one in a million by chance), largest first.
+
+    ``examples`` has label and terms; presence is counted by Spark and only the chosen terms reach the driver.
+    """
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    counts = examples.select("label", F.explode("terms").alias("term")).filter(F.col("term") != ANY).groupBy("term").agg(
+        F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).filter(F.col("a") + F.col("b") >= least_docs)
+    off = a * (n0 - b) - b * (n1 - a)
+    chi = (n1 + n0) * off * off / F.greatest((a + b) * ((n1 - a) + (n0 - b)) * n1 * n0, F.lit(1e-9))
+    apart = (a / n1 + 1e-4) / (b / n0 + 1e-4)
+    scored = counts.withColumn("chi", chi).filter((F.col("chi") > 24) & ((apart >= 3) | (apart <= 1 / 3)))
+    return [ANY, *(r.term for r in scored.orderBy(F.col("chi").desc(), "term").limit(most - 1).collect())]
 
 
 def _document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
@@ -203,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample_rows
 
     Of copies among the examples one is kept, else what they share would look like a mark of their label. Terms are
     those of the sample that its labels set apart; their document frequencies are counted over all of
-    ``docs``. Only the sample's term counts and one number a term reach the driver.
+    ``docs``. The driver gets the examples' sketches, the chosen terms, and the examples' counts of those.
     """
     arrow_session(docs.sparkSession)
     sample = labelled_sample(labels, label, sample_rows)
@@ -218,11 +215,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample_rows
                 pa.array([sketch_of(t) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "counts", "sketch"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
-    rows = sorted(chosen.mapInArrow(count, "doc_id long, label int, terms array<string>, counts array<int>, sketch array<bigint>").collect(), key=lambda r: r.doc_id)
-    rows = [rows[i] for i in without_copies([r.sketch for r in rows])]
-    examples = [Counter(dict(zip(r.terms, r.counts))) for r in rows]
-    y = np.array([r.label for r in rows], np.float64)
-    chosen_terms = {t: i for i, t in enumerate(sorted(choose_terms(examples, y, terms)))}
+    counted = stored(chosen.mapInArrow(count, "doc_id long, label int, terms array<string>, counts array<int>, sketch array<bigint>"), "toxicity-examples")
+    sketches = sorted(counted.select("doc_id", "label", "sketch").collect(), key=lambda r: r.doc_id)
+    kept = [sketches[i] for i in without_copies([r.sketch for r in sketches])]
+    y = np.array([r.label for r in kept], np.float64)
+    own_ids = docs.sparkSession.createDataFrame([(r.doc_id,) for r in kept], "doc_id long")
+    counted = counted.join(F.broadcast(own_ids), "doc_id")
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    chosen_terms = {t: i for i, t in enumerate(sorted(choose_terms(counted, n1, n0, terms)))} if n1 and n0 else {ANY: 0}
+
+    def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [[(t, n) for t, n in zip(*r) if t in chosen_terms] for r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([[t for t, _ in p] for p in pairs], pa.list_(pa.string())), pa.array([[n for _, n in p] for p in pairs], pa.list_(pa.int32()))],
+                names=["doc_id", "terms", "counts"])
+
+    marks = counted.select("doc_id", "terms", "counts").mapInArrow(only_chosen, "doc_id long, terms array<string>, counts array<int>")
+    examples = [Counter(dict(zip(r.terms, r.counts))) for r in sorted(marks.collect(), key=lambda r: r.doc_id)]
     n, df = _document_counts(docs, chosen_terms)
     idf = np.log1p(n / (1.0 + df))
     index = build_index(examples, chosen_terms, idf)
@@ -232,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample_rows
     weights = np.where(y == 1, prior / max(own, 1e-9), (1 - prior) / max(1 - own, 1e-9))
     bare = np.array([not any(t in chosen_terms and t != ANY for t in c) for c in examples], bool)
     without = float((weights * y)[bare].sum() / weights[bare].sum()) if bare.any() else prior
-    return Toxicity(index, y, np.array([r.doc_id for r in rows], np.int64), weights, without, k, power)
+    return Toxicity(index, y, np.array([r.doc_id for r in kept], np.int64), weights, without, k, power)
 
 
 def score_documents(docs: DataFrame, model: Toxicity, name: str = "score", evidence: str | None = "evidence") -> DataFrame:
