@@ -1,4 +1,4 @@
-"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity from the nearest labelled examples: exact cosine of label-weighted TF-IDF over a block-max inverted index."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +23,19 @@ WORD = re.compile(r"[^\W\d_]+")
 ANY = "*"
 #: Letters of the word beginnings that are terms beside the words themselves.
 STEMS = (4, 5)
+#: Words whose terms a task remembers.
+CACHED = 1 << 18
+#: Weight of a term that labels do not set apart, against 1, and the chi-square that goes half of the way.
+LEAST, HALF = 0.05, 24.0
 
 
-def terms_of(text: str, known: dict[str, int] | None = None) -> Counter:
-    """Terms of a whole text with their counts: lower-cased words, and beginnings of longer words marked with ``~``.
-
-    With ``known``, only its terms.
-    """
+def terms_of(text: str) -> Counter:
+    """Terms of a whole text with their counts: lower-cased words, and beginnings of longer words marked with ``~``."""
     words = Counter(WORD.findall(text.lower()))
-    out = Counter(words) if known is None else Counter({w: words[w] for w in words.keys() & known.keys()})
+    out = Counter(words)
     for n in STEMS:
         for w, count in words.items():
-            if len(w) > n and (known is None or w[:n] + "~" in known):
+            if len(w) > n:
                 out[w[:n] + "~"] += count
     out[ANY] = sum(words.values())
     return out
@@ -57,29 +60,52 @@ def without_copies(sketches: list[list[int]]) -> list[int]:
     return out
 
 
+def known_terms(text: str, known: dict[str, int], cache: dict[str, tuple[int, ...]]) -> dict[int, int]:
+    """Counts of a text's ``known`` terms by their numbers: ``terms_of`` without making the terms of each word again."""
+    words = Counter(WORD.findall(text.lower()))
+    out: dict[int, int] = {}
+    for w, count in words.items():
+        own = cache.get(w)
+        if own is None:
+            if len(cache) >= CACHED:
+                cache.clear()
+            own = cache[w] = tuple(known[t] for t in (w, *(w[:n] + "~" for n in STEMS if len(w) > n)) if t in known)
+        for i in own:
+            out[i] = out.get(i, 0) + count
+    if ANY in known and words:
+        out[known[ANY]] = sum(words.values())
+    return out
+
+
+def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each start to its end, and which of them each comes from."""
+    size = end - start
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) + (start - np.cumsum(size) + size)[which], which
+
+
 @dataclass(frozen=True)
 class BlockMax:
     """Inverted index of unit TF-IDF vectors. Postings of a term are grouped by block of examples, with the largest weight of each."""
 
     terms: dict[str, int]
     idf: np.ndarray
-    post_start: np.ndarray  # per term: first posting
     post_doc: np.ndarray
     post_weight: np.ndarray
     block_start: np.ndarray  # per term: first of its blocks
     block_no: np.ndarray
     block_max: np.ndarray
     block_post: np.ndarray  # first posting of the block, one more at the end
-    post_in_block: np.ndarray  # per posting: place of the example in its block
-    place: np.ndarray  # per term and block: its number among the terms' blocks, -1 for none
     size: int
     block: int
 
     def query(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The index's terms in a text and their unit weights."""
-        own = sorted((i, n) for t, n in counts.items() if n and (i := self.terms.get(t)) is not None)
-        if len(own) == 1 and self.terms.get(ANY) == own[0][0]:
-            own = []
+        return self.unit({i: n for t, n in counts.items() if n and (i := self.terms.get(t)) is not None})
+
+    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms by number and their unit weights; none if there is only the one that every word counts for."""
+        own = sorted(counts.items()) if len(counts) != 1 or self.terms.get(ANY) not in counts else []
         ids = np.array([i for i, _ in own], np.int64)
         weight = (1.0 + np.log(np.array([n for _, n in own], np.float64))) * self.idf[ids] if own else np.empty(0)
         norm = np.sqrt((weight ** 2).sum())
@@ -88,53 +114,54 @@ class BlockMax:
     def nearest(self, ids: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (smallest number first among equals), exact.
 
-        Blocks are scored by descending upper bound, the sum of the query's weights times the block's maxima, until
-        no bound reaches the k-th score.
+        The blocks of largest upper bound, the sum of the query's weights times the block's maxima, are scored first,
+        then all others whose bound reaches the k-th score.
         """
-        blocks = -(-self.size // self.block)
-        bound = np.zeros(blocks)
-        for t, w in zip(ids, weight):
-            a, b = self.block_start[t], self.block_start[t + 1]
-            bound[self.block_no[a:b]] += w * self.block_max[a:b]
+        at, which = spread(self.block_start[ids], self.block_start[ids + 1])
+        own = self.block_no[at]
+        bound = np.bincount(own, weight[which] * self.block_max[at], -(-self.size // self.block))
         order = np.argsort(-bound, kind="stable")
+        first = max(1, len(order) // 8)
         best_doc, best = np.empty(0, np.int64), np.empty(0)
-        for n in order:
-            if bound[n] <= 0 or len(best) >= k and bound[n] < best[-1] - 1e-9:
+        for blocks in (order[:first], order[first:]):
+            scored = np.zeros(len(bound), bool)
+            scored[blocks] = bound[blocks] > 0 if len(best) < k else bound[blocks] >= best[-1] - 1e-9
+            if not scored.any():
                 break
-            score = np.zeros(self.block)
-            for t, w in zip(ids, weight):
-                at = self.place[t, n]
-                if at >= 0:
-                    p, q = self.block_post[at], self.block_post[at + 1]
-                    score[self.post_in_block[p:q]] += w * self.post_weight[p:q]
-            score = np.round(score, 9)
+            use = scored[own]
+            post, part = spread(self.block_post[at[use]], self.block_post[at[use] + 1])
+            score = np.round(np.bincount(self.post_doc[post], weight[which[use]][part] * self.post_weight[post], self.size), 9)
             hit = np.flatnonzero(score >= best[-1] if len(best) >= k else score > 0)
             if len(hit):
-                docs, scores = np.concatenate([best_doc, hit + n * self.block]), np.concatenate([best, score[hit]])
+                docs, scores = np.concatenate([best_doc, hit]), np.concatenate([best, score[hit]])
+                if len(docs) > k:
+                    near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                    docs, scores = docs[near], scores[near]
                 top = np.lexsort((docs, -scores))[:k]
                 best_doc, best = docs[top], scores[top]
         return best_doc, best
 
 
-def build_index(examples: list[Counter], terms: dict[str, int], idf: np.ndarray, block: int = 128) -> BlockMax:
-    """Index of the examples' unit vectors over ``terms``."""
-    rows: list[tuple[int, int, float]] = []
-    empty = BlockMax(terms, idf, *(np.empty(0, np.int64),) * 9, len(examples), block)
-    for d, counts in enumerate(examples):
-        ids, weight = empty.query(counts)
-        rows += zip(ids.tolist(), [d] * len(ids), weight.tolist())
-    rows.sort()
-    term, doc, weight = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, np.int64, np.float64)))
-    edge = np.arange(len(terms) + 1)
-    own = doc // block
-    new = np.ones(len(rows), bool)
-    new[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
+def index_postings(doc: np.ndarray, term: np.ndarray, count: np.ndarray, size: int, terms: dict[str, int], idf: np.ndarray, block: int = 128) -> BlockMax:
+    """Index of the unit vectors of ``size`` examples, from how often each (example, term) stands."""
+    alone = (np.bincount(doc, minlength=size) == 1)[doc] & (term == terms.get(ANY, -1))
+    doc, term, count = (x[~alone] for x in (doc, term, count))
+    order = np.lexsort((doc, term))
+    doc, term, weight = doc[order], term[order], (1.0 + np.log(count[order])) * idf[term[order]]
+    norm = np.sqrt(np.bincount(doc, weight ** 2, size))
+    weight /= np.where(norm > 0, norm, 1.0)[doc]
+    new = np.ones(len(doc), bool)
+    new[1:] = (term[1:] != term[:-1]) | (doc[1:] // block != doc[:-1] // block)
     first = np.flatnonzero(new)
-    place = np.full((len(terms), max(1, -(-len(examples) // block))), -1, np.int64)
-    place[term[first], own[first]] = np.arange(len(first))
     return BlockMax(
-        terms, idf, np.searchsorted(term, edge), doc, weight, np.searchsorted(term[first], edge), own[first],
-        np.maximum.reduceat(weight, first) if len(first) else np.empty(0), np.append(first, len(rows)), doc % block, place, len(examples), block)
+        terms, idf, doc.astype(np.int32), weight, np.searchsorted(term[first], np.arange(len(terms) + 1)), (doc[first] // block).astype(np.int32),
+        np.maximum.reduceat(weight, first) if len(first) else np.empty(0), np.append(first, len(doc)), size, block)
+
+
+def build_index(examples: list[Counter], terms: dict[str, int], idf: np.ndarray, block: int = 128) -> BlockMax:
+    """Index of the examples' unit vectors over ``terms``."""
+    rows = [(d, terms[t], n) for d, counts in enumerate(examples) for t, n in counts.items() if n and t in terms]
+    return index_postings(*np.array(rows, np.int64).reshape(-1, 3).T, len(examples), terms, idf, block)
 
 
 @dataclass(frozen=True)
@@ -149,9 +176,9 @@ class Toxicity:
     k: int
     power: float
 
-    def judge(self, text: str) -> tuple[float, list[tuple[int, float, int]]]:
+    def judge(self, text: str, cache: dict[str, tuple[int, ...]] | None = None) -> tuple[float, list[tuple[int, float, int]]]:
         """Score, and the neighbours (id, cosine, label) that voted."""
-        ids, weight = self.index.query(terms_of(text, self.index.terms))
+        ids, weight = self.index.unit(known_terms(text, self.index.terms, {} if cache is None else cache))
         near, cosine = self.index.nearest(ids, weight, self.k) if len(ids) else (np.empty(0, np.int64), np.empty(0))
         if not len(near):
             return self.bare, []
@@ -160,49 +187,45 @@ class Toxicity:
         return min(max(score, 0.0), 1.0), list(zip(self.ids[near].tolist(), cosine.tolist(), self.labels[near].astype(int).tolist()))
 
 
-def choose_terms(examples: DataFrame, n1: int, n0: int, most: int, least_docs: int = 5) -> list[str]:
-    """Terms that the labels set apart: chi-square of presence above 24 (one in a million by chance), largest first.
+def label_weights(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Weight of terms that stand in ``a`` of n1 and ``b`` of n0 examples: LEAST for those that labels do not set apart.
 
-    ``examples`` has label and terms; presence is counted by Spark and only the chosen terms reach the driver.
+    It grows with the chi-square of presence (half of the way at HALF) and, up to threefold, with the ratio of the
+    rates. No term gets 0, so any shared word brings two texts nearer.
     """
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    counts = examples.select("label", F.explode("terms").alias("term")).filter(F.col("term") != ANY).groupBy("term").agg(
-        F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).filter(F.col("a") + F.col("b") >= least_docs)
     off = a * (n0 - b) - b * (n1 - a)
-    chi = (n1 + n0) * off * off / F.greatest((a + b) * ((n1 - a) + (n0 - b)) * n1 * n0, F.lit(1e-9))
-    apart = (a / n1 + 1e-4) / (b / n0 + 1e-4)
-    scored = counts.withColumn("chi", chi).filter((F.col("chi") > 24) & ((apart >= 3) | (apart <= 1 / 3)))
-    return [ANY, *(r.term for r in scored.orderBy(F.col("chi").desc(), "term").limit(most - 1).collect())]
-
+    chi = (n1 + n0) * off * off / np.maximum((a + b) * ((n1 - a) + (n0 - b)) * n1 * n0, 1e-9)
+    ratio = np.abs(np.log((a / max(n1, 1) + 1e-4) / (b / max(n0, 1) + 1e-4)))
+    return LEAST + (1 - LEAST) * chi / (chi + HALF) * np.minimum(ratio / np.log(3), 1.0)
 
-def _document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
-    """Number of all documents, and of those with each of the (bounded) terms."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
+def _document_counts(docs: DataFrame, shared: Broadcast) -> tuple[int, np.ndarray]:
+    """Number of all documents, and of those with each of the broadcast terms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(len(shared.value) + 1, np.int64), shared.value
+        known, cache = shared.value, {}
+        total = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             total[-1] += len(batch)
             for text in batch.column(0):
-                for t in terms_of(text.as_py() or "", known):
-                    total[known[t]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["term", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(terms) + 1, np.int64)
-    for r in rows:
-        out[r.term] = r.n
+                total[list(known_terms(text.as_py() or "", known, cache))] += 1
+        term = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(total[term])], names=["term", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(shared.value) + 1, np.int64)
+    out[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return int(out[-1]), out[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample_rows: int = 4000, terms: int = 2000, k: int = 15, power: float = 6.0) -> Toxicity:
-    """Index over at most ``sample_rows`` labelled documents and ``terms`` terms (documented bounds).
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample_rows: int = 4000, k: int = 15, power: float = 6.0) -> Toxicity:
+    """Index over all terms of at most ``sample_rows`` labelled documents (a documented bound).
 
-    Of copies among the examples one is kept, else what they share would look like a mark of their label. Terms are
-    those of the sample that its labels set apart; their document frequencies are counted over all of
-    ``docs``. The driver gets the examples' sketches, the chosen terms, and the examples' counts of those.
+    Of copies among the examples one is kept, else what they share would look like a mark of their label. Every term of
+    the examples is indexed; labels only weigh it, and its document frequency is counted over all of ``docs``. The
+    driver gets the examples' sketches, their terms, and numbers of how often each term stands in each.
     """
-    arrow_session(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_session(spark)
     sample = labelled_sample(labels, label, sample_rows)
     counts = {int(r[0]): r[1] for r in labels.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("int")).count().collect() if r[0] in (0, 1)}
 
@@ -219,28 +242,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample_rows
     sketches = sorted(counted.select("doc_id", "label", "sketch").collect(), key=lambda r: r.doc_id)
     kept = [sketches[i] for i in without_copies([r.sketch for r in sketches])]
     y = np.array([r.label for r in kept], np.float64)
-    own_ids = docs.sparkSession.createDataFrame([(r.doc_id,) for r in kept], "doc_id long")
+    own_ids = spark.createDataFrame([(r.doc_id, i) for i, r in enumerate(kept)], "doc_id long, example int")
     counted = counted.join(F.broadcast(own_ids), "doc_id")
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    chosen_terms = {t: i for i, t in enumerate(sorted(choose_terms(counted, n1, n0, terms)))} if n1 and n0 else {ANY: 0}
+    found = counted.select("label", F.explode("terms").alias("term")).filter(F.col("term") != ANY).groupBy("term").agg(
+        F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).toArrow()
+    known = {ANY: 0} | {t: i for i, t in enumerate(found["term"].to_pylist(), 1)}
+    strength = np.append(1.0, label_weights(found["a"].to_numpy().astype(np.float64), found["b"].to_numpy().astype(np.float64), n1, n0))
+    shared = spark.sparkContext.broadcast(known)
 
-    def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [[(t, n) for t, n in zip(*r) if t in chosen_terms] for r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            doc, terms, own = (batch.column(i) for i in range(3))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([[t for t, _ in p] for p in pairs], pa.list_(pa.string())), pa.array([[n for _, n in p] for p in pairs], pa.list_(pa.int32()))],
-                names=["doc_id", "terms", "counts"])
-
-    marks = counted.select("doc_id", "terms", "counts").mapInArrow(only_chosen, "doc_id long, terms array<string>, counts array<int>")
-    examples = [Counter(dict(zip(r.terms, r.counts))) for r in sorted(marks.collect(), key=lambda r: r.doc_id)]
-    n, df = _document_counts(docs, chosen_terms)
-    idf = np.log1p(n / (1.0 + df))
-    index = build_index(examples, chosen_terms, idf)
+                pa.array(np.repeat(doc.to_numpy(), pc.list_value_length(terms).to_numpy())), pa.array([shared.value[t] for t in terms.flatten().to_pylist()], pa.int32()), own.flatten()],
+                names=["example", "term", "n"])
+
+    posts = counted.select("example", "terms", "counts").mapInArrow(numbered, "example int, term int, n int").filter("n > 0").toArrow()
+    n, df = _document_counts(docs, shared)
+    idf = np.log1p(n / (1.0 + df)) * strength
+    post_doc = posts["example"].to_numpy()
+    index = index_postings(post_doc, posts["term"].to_numpy(), posts["n"].to_numpy(), len(kept), known, idf)
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     own = y.mean() if len(y) else 0.5
     weights = np.where(y == 1, prior / max(own, 1e-9), (1 - prior) / max(1 - own, 1e-9))
-    bare = np.array([not any(t in chosen_terms and t != ANY for t in c) for c in examples], bool)
+    bare = np.bincount(post_doc, minlength=len(kept)) == 0
     without = float((weights * y)[bare].sum() / weights[bare].sum()) if bare.any() else prior
     return Toxicity(index, y, np.array([r.doc_id for r in kept], np.int64), weights, without, k, power)
 
@@ -248,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample_rows
 def score_documents(docs: DataFrame, model: Toxicity, name: str = "score", evidence: str | None = "evidence") -> DataFrame:
     """``docs`` with ``name`` (0 to 1, higher: label 1 likelier) and the neighbours that voted (doc_id, cosine, label).
 
-    The nearest labelled examples by exact TF-IDF cosine vote with cosine to a power; a text without an indexed term
+    The nearest labelled examples by exact TF-IDF cosine vote with cosine to a power; a text without a word of any example
     (null and empty ones too) gets the share of label 1 among labelled rows without one. Every whole text is scored
     where it is read; nothing is shuffled. Columns of the added names are replaced.
     """
@@ -259,8 +286,9 @@ def score_documents(docs: DataFrame, model: Toxicity, name: str = "score", evide
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            judged = [shared.value.judge(t.as_py() or "") for t in batch.column(at)]
+            judged = [shared.value.judge(t.as_py() or "", cache) for t in batch.column(at)]
             columns = [*batch.columns, pa.array([s for s, _ in judged], pa.float64())]
             if evidence:
                 columns.append(pa.array([[dict(zip(("doc_id", "cosine", "label"), e)) for e in v] for _, v in judged], kind))

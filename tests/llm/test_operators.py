@@ -263,6 +263,17 @@ def test_toxicity_gives_evidence(spark):
     assert row.evidence and row.evidence[0].cosine > 0 and {e.label for e in row.evidence} <= {0, 1}
 
 
+def test_toxicity_finds_a_copy_by_words_of_few_examples(spark):
+    """Marks that stand in one example only, and too few labels to set any term apart."""
+    docs, labels = labelled(spark, random.Random(8))
+    rare = [(5000, "grobian zzyzx quuxly blargh"), (5001, "grobian zzyzx quuxly blargh")]
+    docs = docs.unionByName(spark.createDataFrame([(*r, "en", "s") for r in rare], DOCS))
+    for known in (labels, labels.filter("doc_id < 8")):
+        model = toxicity.fit(docs, known.unionByName(spark.createDataFrame([(5000, 1, 1)], "doc_id long, quality int, toxic int")), "toxic")
+        row = toxicity.score_documents(docs.filter("doc_id = 5001"), model).first()
+        assert row.evidence[0].doc_id == 5000 and row.evidence[0].cosine > 0.999999 and row.score > 0.5
+
+
 # ------------------------------------------------------------------ 7 near duplicates
 def brute_groups(docs, shingle, percent):
     sets = {}
