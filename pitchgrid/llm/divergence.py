@@ -13,8 +13,8 @@ from pitchgrid.llm.common import stored
 SPACE = r"[\x20\x09-\x0D]+"
 #: A common word makes at least 1 in COMMON of its language's words (so there are COMMON at most) and is short.
 COMMON, COMMON_LETTERS = 125, 6
-#: A language with less than 1 in LANGUAGES of all words takes the reference of the whole corpus (so there are LANGUAGES + 1 references at most).
-LANGUAGES = 1000
+#: A language has a reference of its own from so many words on, whatever other languages hold.
+LANGUAGE_WORDS = 5000
 #: Largest Jensen-Shannon distances, and the words a text must have for them to count.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.26
 MIN_CLASS_WORDS, MIN_COMMON_WORDS = 50, 100
@@ -41,17 +41,15 @@ def letter_words(text: Column) -> Column:
 
 
 def known_languages(totals: DataFrame) -> DataFrame:
-    """(lang, total) of the whole corpus, '', and of languages with at least 1 in LANGUAGES of its words."""
-    everything = totals.filter("lang = ''").select(F.col("total").alias("everything"))
-    known = totals.crossJoin(F.broadcast(everything)).filter((F.col("lang") == "") | (F.col("total") * LANGUAGES >= F.col("everything")))
-    return known.drop("everything")
+    """(lang, total) of the whole corpus, '', and of languages with at least LANGUAGE_WORDS words."""
+    return totals.filter((F.col("lang") == "") | (F.col("total") >= LANGUAGE_WORDS))
 
 
 def word_references(docs: DataFrame) -> DataFrame:
     """lang, words and word_shares (the share of all other words last) of each known language; lang '' is the whole corpus.
 
-    Counted over all documents with partial sums per task; longer words count as others. The shares that make a word
-    common and a language known bound the table, whatever the corpus holds.
+    Counted over all documents with partial sums per task; longer words count as others. A row is bounded by the share
+    that makes a word common; there are as many rows as languages of LANGUAGE_WORDS words.
     """
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = rows.select("lang", F.explode(letter_words(F.col("text"))).alias("word"))
@@ -59,8 +57,8 @@ def word_references(docs: DataFrame) -> DataFrame:
     counts = stored(sized.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
     every = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "word", "n")
     counts = counts.filter("lang <> ''").unionByName(every)
-    known = known_languages(counts.groupBy("lang").agg(F.sum("n").alias("total")))
-    common = counts.join(F.broadcast(known), "lang").filter((F.col("word") != "") & (F.col("n") * COMMON >= F.col("total")))
+    known = stored(known_languages(counts.groupBy("lang").agg(F.sum("n").alias("total"))), "known-languages")
+    common = counts.join(known, "lang").filter((F.col("word") != "") & (F.col("n") * COMMON >= F.col("total")))
     listed = common.groupBy("lang", "total").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("list"))
     shares = F.transform(F.col("list"), lambda x: x["n"] / F.col("total"))
     rest = F.aggregate(F.col("list"), F.lit(0).cast("long"), lambda a, x: a + x["n"])
@@ -118,25 +116,26 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 
     base_failed: fewer than 50 words, or more than half of the words in repeated three-word windows. Another text is
     kept unless its character classes are further than MAX_CLASS_DISTANCE from its language's (from MIN_CLASS_WORDS
-    words on) or its common words further than MAX_WORD_DISTANCE (from MIN_COMMON_WORDS letter words on). A null,
-    unknown or rare language is held against the whole corpus. Null and empty texts have no words and fail the base
+    words on) or its common words further than MAX_WORD_DISTANCE (from MIN_COMMON_WORDS letter words on). A text of
+    no language is held against the whole corpus; of one with less than LANGUAGE_WORDS words its classes are, and it
+    has no word_distance and is not rejected for its words. Null and empty texts have no words and fail the base
     rule; repeated rows are judged one by one; an empty table gives an empty table; other columns are not looked at.
 
-    The references are small tables of bounded size that are broadcast; documents are never shuffled, and each text is
-    read twice: for the words of its language and for its own counts, from which the class references are summed.
+    The references are stored, a row a language, and joined by language: Spark broadcasts them while they are small, so
+    documents are not shuffled then, and each text is read twice: for the words of its language and for its own counts, from which the class references are summed.
     """
     refs = word_references(docs)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("doc_lang"), text.alias("text"))
     whole = refs.filter("lang = ''").select(F.col("words").alias("all_words"), F.col("word_shares").alias("all_word_shares"))
-    joined = rows.join(F.broadcast(refs), F.col("doc_lang") == F.col("lang"), "left").join(F.broadcast(whole), F.lit(True), "left")
+    joined = rows.join(refs, F.col("doc_lang") == F.col("lang"), "left").join(F.broadcast(whole), F.lit(True), "left")
     split = joined.select(
-        "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text", F.array_remove(F.split("text", SPACE), "").alias("w"),
+        "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), ((F.col("doc_lang") != "") & F.col("lang").isNull()).alias("rare"), "text", F.array_remove(F.split("text", SPACE), "").alias("w"),
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         letter_words(F.col("text")).alias("letters"), class_counts(F.col("text")).alias("classes"),
         F.coalesce("words", "all_words").alias("words"), F.coalesce("word_shares", "all_word_shares").alias("word_shares"))
     counted = split.select(
-        "doc_id", "lang", F.size("w").cast("long").alias("n_words"), (F.length("text") - F.col("classes")[2]).alias("word_chars"),
+        "doc_id", "lang", "rare", F.size("w").cast("long").alias("n_words"), (F.length("text") - F.col("classes")[2]).alias("word_chars"),
         kept_length(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         window_hashes(F.col("w")).alias("windows"), F.size("letters").cast("long").alias("n_letters"),
         F.filter("letters", lambda x: F.length(x) <= COMMON_LETTERS).alias("short"), "classes", "words", "word_shares")
@@ -149,10 +148,10 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     own_words = F.concat(F.transform("common", lambda n: n / letters), F.array(rest / letters))
     compact = stored(found.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "classes",
-        distance(own_words, F.col("word_shares")).alias("word_distance")), "rule-counts")
-    classes = class_references(compact).withColumnRenamed("lang", "class_lang")
+        F.when(~F.col("rare"), distance(own_words, F.col("word_shares"))).alias("word_distance")), "rule-counts")
+    classes = stored(class_references(compact).withColumnRenamed("lang", "class_lang"), "class-references")
     chars = F.greatest(F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
-    measured = compact.join(F.broadcast(classes), F.col("lang") == F.col("class_lang"), "left").select(
+    measured = compact.join(classes, F.col("lang") == F.col("class_lang"), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         distance(F.transform("classes", lambda n: n / chars), F.col("class_shares")).alias("class_distance"), "word_distance")

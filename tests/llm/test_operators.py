@@ -117,6 +117,18 @@ def test_divergence_keeps_language_and_rejects_signs(spark):
     assert all(got[i] for i in range(60)) and not got[100] and not got[101]
 
 
+def test_divergence_keeps_rare_languages(spark):
+    rnd = random.Random(7)
+    own = ["".join(rnd.choice("qrstuvwxyz") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
+    rare = [(1000 + i, " ".join(rnd.choice(own) for _ in range(150)), "xx", "s") for i in range(3)]
+    pattern = " ".join(rnd.choice(["the", "of", "and", "to", *(words(rnd, 1, "abcdefghij") for _ in range(4))]) for _ in range(500))
+    common = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit(pattern + " "), 3).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    got = divergence.judge_documents(common.unionByName(spark.createDataFrame(rare, DOCS))).filter("doc_id >= 1000").collect()
+    assert len(got) == 3 and all(r.kept and r.word_distance is None for r in got)
+    totals = spark.createDataFrame([("", 9_000_000), ("en", 8_990_000), ("xx", 6000), ("yy", 4000)], "lang string, total long")
+    assert {r.lang for r in divergence.known_languages(totals).collect()} == {"", "en", "xx"}
+
+
 def test_divergence_plan_has_no_python(odd_docs):
     plan = divergence.judge_documents(odd_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
