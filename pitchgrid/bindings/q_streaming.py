@@ -71,20 +71,21 @@ def t05(spark, d):
 
 
 def _polls(spark, d, polls: int = 3):
-    """Each poll repeats everything so far; players are filled in from the second poll on."""
+    """Lands poll after poll and yields their folder: each repeats everything so far; players are filled in from the second on."""
     ev = match_events(spark, d).where("type IN ('goal', 'yellow_card', 'red_card')").withColumn("minute", F.floor("minute").cast("double"))
     path = new_folder(spark, "polls")
     for p in range(polls):
         seen = ev.where(F.col("minute") < (p + 1) * 95.0 / polls + 1)
         seen.select("match_id", "minute", "type", "team", F.when(F.lit(p) > 0, F.col("player_id")).alias("player_id"), F.lit(p).alias("poll")).write.mode("append").parquet(path)
-    return path
+        yield path
 
 
 @query("t02_polled_observations", """ SELECT match_id, floor(minute)::DOUBLE AS minute, type, team, player_id, count(*) AS n FROM match_events WHERE type IN ('goal', 'yellow_card', 'red_card') GROUP BY ALL""", EV)
 def t02(spark, d):
-    path = _polls(spark, d)
     schema = "match_id string, minute double, type string, team string, player_id string, poll int"
-    log = live.feed_polls(spark, live.read_files(spark, path, schema), new_folder(spark, "feed"))
+    folder = new_folder(spark, "feed")
+    for path in _polls(spark, d):
+        log = live.feed_polls(spark, live.read_files(spark, path, schema), folder)
     return log.groupBy("match_id", "minute", "type", "team", "player_id").agg(F.count("*").alias("n"))
 
 

@@ -91,39 +91,47 @@ def needed_occurrences(polls: DataFrame) -> DataFrame:
 
     The player is not part of the identity (providers fill it in later); two equal events
     in one poll are two occurrences, numbered by player. Later polls name the player of an
-    occurrence. ``polls`` has poll, player_id and the key columns.
+    occurrence; ``poll`` is the one that did. ``polls`` has poll, player_id and the key columns.
     """
     keyed = polls.withColumn("minute", F.round("minute", 3))
     same = Window.partitionBy(*POLL_KEY, "poll").orderBy(F.col("player_id").asc_nulls_last())
     numbered_rows = keyed.withColumn("occurrence", F.row_number().over(same))
-    named = F.max_by(F.col("player_id"), F.when(F.col("player_id").isNotNull(), F.col("poll")))
-    return numbered_rows.groupBy(*POLL_KEY, "occurrence").agg(named.alias("player_id"))
+    naming = F.when(F.col("player_id").isNotNull(), F.col("poll"))
+    return numbered_rows.groupBy(*POLL_KEY, "occurrence").agg(F.max_by("player_id", naming).alias("player_id"), F.max(naming).alias("poll"))
 
 
-FEED_LOG = "match_id string, minute double, type string, team string, occurrence int, player_id string"
+FEED_LOG = "match_id string, minute double, type string, team string, occurrence int, player_id string, poll long"
+FEED_COUNTS = "match_id string, minute double, type string, team string, player_id string, poll long, n long"
 
 
 def feed_polls(spark: SparkSession, polls: DataFrame, folder: str) -> DataFrame:
     """Log new occurrences of polled observations, and players that become known; one row an occurrence comes back.
 
-    The log begins as an empty table. A retried batch recomputes against the log without
-    its own folder and replaces it.
+    The files of a poll may come in any number of batches: reports are counted by poll, key and player over all of
+    them, and the whole poll is numbered again. The log begins as an empty table. A retried batch recomputes against
+    the log without its own folder and replaces it.
     """
-    log = f"{folder}/observations"
+    log, counts = f"{folder}/observations", f"{folder}/counts"
     write_batch(spark.createDataFrame([], FEED_LOG), log, -1)
+    latest = F.when(F.col("player_id").isNotNull(), F.struct("poll", "batch"))
 
     def entries() -> DataFrame:
         return spark.read.schema(FEED_LOG + ", batch int").parquet(log)
 
     def each(df: DataFrame, batch_id: int) -> None:
+        reports = df.select(*POLL_KEY[:1], F.round("minute", 3).alias("minute"), *POLL_KEY[2:], "player_id", F.col("poll").cast("long").alias("poll"))
+        write_batch(reports.groupBy(*reports.columns).agg(F.count("*").alias("n")), counts, batch_id)
+        known = spark.read.schema(FEED_COUNTS + ", batch int").parquet(counts)
+        touched = known.where(F.col("batch") == batch_id).select("poll").distinct()
+        whole = known.join(touched, "poll").withColumn("report", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
         have = entries().where(F.col("batch") != batch_id).groupBy(*POLL_KEY, "occurrence").agg(
-            F.lit(True).alias("known"), F.max_by("player_id", F.when(F.col("player_id").isNotNull(), F.col("batch"))).alias("was"))
-        need = needed_occurrences(df).join(have, [*POLL_KEY, "occurrence"], "left")
-        fresh = need.where(F.col("known").isNull() | (F.col("player_id").isNotNull() & ~F.col("player_id").eqNullSafe(F.col("was"))))
-        write_batch(fresh.select(*POLL_KEY, F.col("occurrence").cast("int").alias("occurrence"), "player_id"), log, batch_id)
+            F.lit(True).alias("known"), F.max_by("player_id", latest).alias("was"), F.max(latest)["poll"].alias("was_poll"))
+        need = needed_occurrences(whole).join(have, [*POLL_KEY, "occurrence"], "left")
+        named = F.col("player_id").isNotNull() & ~F.col("player_id").eqNullSafe(F.col("was")) & (F.col("poll") >= F.coalesce("was_poll", "poll"))
+        fresh = need.where(F.col("known").isNull() | named)
+        write_batch(fresh.select(*POLL_KEY, F.col("occurrence").cast("int").alias("occurrence"), "player_id", "poll"), log, batch_id)
     run_available(polls, each, f"{folder}/checkpoint")
-    return entries().groupBy(*POLL_KEY, "occurrence").agg(
-        F.max_by("player_id", F.when(F.col("player_id").isNotNull(), F.col("batch"))).alias("player_id"))
+    return entries().groupBy(*POLL_KEY, "occurrence").agg(F.max_by("player_id", latest).alias("player_id"))
 
 
 def live_clock(events: DataFrame) -> DataFrame:

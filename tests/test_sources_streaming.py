@@ -138,6 +138,16 @@ def test_polls_are_fed_once_and_braces_survive(spark, tmp_path):
     assert again.count() == 3
 
 
+def test_a_poll_in_several_batches_is_numbered_as_a_whole(spark, tmp_path):
+    schema = "match_id string, minute double, type string, team string, player_id string, poll int"
+    landed, folder = str(tmp_path / "in"), str(tmp_path / "s")
+    for poll in (0, 1):
+        for player in ("p9", "p7"):
+            _drop(spark, landed, [("m", 30.0, "goal", "HOME", player if poll else None, poll)], schema)
+    log = live.feed_polls(spark, live.read_files(spark, landed, schema, files_per_batch=1), folder)
+    assert sorted((r.occurrence, r.player_id) for r in log.collect()) == [(1, "p7"), (2, "p9")]
+
+
 def test_late_rows_are_routed(spark):
     import datetime as dt
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
