@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import divergence, mixing, near_dup, quality_knn, sharding, surrogates, token_orc, toxicity, url_rules, winnowing
+from pitchgrid.llm import divergence, infilling, mixing, near_dup, quality_knn, sharding, surrogates, token_orc, toxicity, url_rules, winnowing
 from pitchgrid.llm.common import load, words_of
 from pitchgrid.shared import new_folder
 
@@ -258,3 +258,31 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with surrogates for its personal data."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace_entities(docs, SURROGATE_KEY).select("doc_id", "text", "n_entities")
+
+
+@query
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut into prefix, middle and suffix, rearranged, and rebuilt from what was written."""
+    done = infilling.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(infilling.restore(F.col("form"), F.col("output"))).alias("restored_sha256"))
+
+
+ORACLES["op12_infilling"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), h AS (
+  SELECT *, len(u) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:n], ''), '') AS suffix FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(prefix || middle || suffix) AS restored_sha256
+FROM p
+"""
