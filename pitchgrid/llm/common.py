@@ -31,6 +31,13 @@ def arrow_session(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column of ``taken`` has it (case aside)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written once to the cluster's shared folder and read back: a cut of the lineage with known size."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

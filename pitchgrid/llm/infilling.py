@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.common import arrow_session
+from pitchgrid.llm.common import arrow_session, unused
 
 #: A unit of a text: a run of letters, or one other character.
 UNIT = r"[A-Za-z]+|[^A-Za-z]"
@@ -79,7 +79,7 @@ def fill_in_middle(
     added = [f.split()[0] for f in ADDED.split(", ")]
     kept = docs.drop(*added)
     # The id's decimal text stands at the end of the row, under a name that is not returned.
-    rows = kept.select(*(F.col(f"`{c}`") for c in kept.columns), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = kept.select(*(F.col(f"`{c}`") for c in kept.columns), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(unused("key", kept.columns)))
     at, names = kept.columns.index("text"), kept.columns
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), ADDED])
 
