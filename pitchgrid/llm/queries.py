@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import divergence, infilling, mixing, near_dup, quality_knn, sharding, surrogates, token_orc, toxicity, url_rules, winnowing
+from pitchgrid.llm import divergence, infilling, language_centroids, mixing, near_dup, quality_knn, sharding, surrogates, token_orc, toxicity, url_rules, winnowing, word_runs
 from pitchgrid.llm.common import load, words_of
 from pitchgrid.shared import new_folder
 
@@ -260,6 +260,16 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(docs, SURROGATE_KEY).select("doc_id", "text", "n_entities")
 
 
+@query
+def op11_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest language of every text; fold 0 of 5 is held out. ``rejected`` tells texts that lie too far from it."""
+    docs = load(spark, sf_dir, "documents")
+    test = quality_knn.held_out(F.col("doc_id"), 5, 0)
+    model = language_centroids.fit(docs.select("doc_id", "lang", "text").where(~test))
+    judged = language_centroids.identify(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", test.alias("held_out"), F.col("lang_nearest").alias("lang_pred"), F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 @query
 def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text cut into prefix, middle and suffix, rearranged, and rebuilt from what was written."""
@@ -286,3 +296,52 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefi
        sha256(prefix || middle || suffix) AS restored_sha256
 FROM p
 """
+
+
+@query
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every text, and the text without their repetitions; a tenth of the texts get a periodic end."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    done = word_runs.find_runs(docs, repeat_seed=F.when(h % 10 == 0, F.floor(h / 10)))
+    top = F.get("runs", F.col("top"))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))))
+    return done.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"), top["period"].alias("period"),
+        F.floor(1000 * top["length"] / top["period"]).alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+#: Stretches of equal 16-word grams at one distance are what a run's words repeat; the shortest distance of a stretch is its period.
+ORACLES["op13_word_runs"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) AS n,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))))) AS h
+  FROM documents
+), e AS (
+  SELECT *, (h // 10) % greatest(n, 1) AS a FROM d
+), f AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e
+), t AS (
+  SELECT id, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) ELSE w END AS w FROM f
+), g AS (
+  SELECT id, n, i, md5_number(array_to_string(w[i + 1:i + 16], ' ')) AS gram FROM t, unnest(range(n - 15)) AS r(i)
+), m AS (
+  SELECT x.id, x.i, y.i - x.i AS p FROM g x JOIN g y ON x.id = y.id AND x.gram = y.gram AND x.i < y.i AND 3 * (y.i - x.i) <= x.n
+), s AS (
+  SELECT id, p, min(i) AS a, max(i) + 16 + p AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY id, p ORDER BY i) AS island FROM m) GROUP BY id, p, island
+), r AS (
+  SELECT id, a, b - a AS len, min(p) AS p FROM s WHERE b - a >= greatest(24, 3 * p) GROUP BY id, a, b
+), o AS (
+  SELECT id, count(*) AS n_runs, arg_min({'start': a, 'length': len, 'period': p}, {'exponent': -len::DOUBLE / p, 'start': a, 'period': p}) AS top,
+         string_agg(a || ',' || len || ',' || p || chr(10), '' ORDER BY a, p) AS lines FROM r GROUP BY id
+), q AS (
+  SELECT DISTINCT id, unnest(range(a + p, a + len)) AS i FROM r
+), c AS (
+  SELECT id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT id, i, w[i + 1] AS word FROM t, unnest(range(n)) AS u(i)) ANTI JOIN q USING (id, i) GROUP BY id
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length, top.period::BIGINT AS period,
+       (1000 * top.length // top.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN o USING (id) LEFT JOIN c USING (id)
+"""
