@@ -16,7 +16,7 @@ from pitchgrid.operators.skew import salted_join
 from pitchgrid.plans.snapshots import momentum, panel, percent
 from pitchgrid.settings import (
     CARD_STORM_CARDS, CARD_TYPES, CHAOS_LEVELS, CHAOS_WEIGHTS, CHECKPOINTS, COMEBACK_LEAD, GOAL_BINS, GOAL_FEST_GOALS,
-    LATE_DRAMA_MARGIN, SHOT_TYPES, VECTOR_SCALES, Params,
+    LATE_DRAMA_MARGIN, SHOT_TYPES, SWING, VECTOR_SCALES, Params,
 )
 
 
@@ -212,7 +212,7 @@ def transition_beats(states: DataFrame, goal_minutes: DataFrame | None = None, s
         s = s.withColumn("echo", F.lit(None).cast("boolean"))
     dh, da = F.col("home_goals") - F.col("was_home_goals"), F.col("away_goals") - F.col("was_away_goals")
     side = F.when(mom >= 0.5, "HOME").otherwise("AWAY")
-    handover = ((F.col("was_momentum") - 0.5) * (mom - 0.5) < 0) & (F.abs(mom - 0.5) > 0.2)
+    handover = ((F.col("was_momentum") - 0.5) * (mom - 0.5) < 0) & (F.abs(mom - 0.5) > SWING)
     shifted = (F.col("regime") != F.col("was_regime")) & F.col("echo").isNull()
     scored = (dh != 0) | (da != 0)
     score = F.concat(F.col("home_goals").cast("string"), F.lit("-"), F.col("away_goals").cast("string"))

@@ -2,20 +2,22 @@
 
 State is the same per-(match, cell) aggregate the batch plans use, so a streamed panel
 equals the batch panel by construction, out-of-order events need no re-sorting, and a
-match's state is bounded by its clock.
+match's state is bounded by its clock and released when the match ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.operators.grid import cell_aggregates, cell_of, game_grid
+from pitchgrid.operators.grid import game_grid
 from pitchgrid.operators.ordered import first_by, numbered
 from pitchgrid.plans.snapshots import panel_from_grid
 from pitchgrid.settings import TICK, Params
+from pitchgrid.streaming.feed import OCCURRENCE, POLL_KEY, occurrences
+from pitchgrid.streaming.keyed import CELL_NAMES, READING, added_cells, keyed_state, open_cells, readings
 
 
 def read_files(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -41,23 +43,36 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, *by: str) -> None:
     """Idempotent sink: a retried batch replaces its own folder."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={batch_id}")
 
 
 # --------------------------------------------------------------------------- #
 # Cells and panels
 # --------------------------------------------------------------------------- #
-def live_cells(events: DataFrame, step: int = 1, taus: tuple = (8.0,)) -> DataFrame:
-    """Streaming aggregate per (match, cell); combined map-side, kept in the state store."""
-    return events.withColumn("cell", cell_of(F.col("minute"), step)).groupBy("match_id", "cell").agg(
-        *cell_aggregates(step, taus, {}))
+def follow_matches(spark: SparkSession, events: DataFrame, folder: str, params: Params = Params(), step: int = 1, **options) -> None:
+    """Run the available events through the keyed state of their matches; readings go to the folder's log.
 
+    ``options`` are those of :func:`pitchgrid.streaming.keyed.readings`. Open matches stay in the checkpoint's state store and the next
+    run goes on with them.
+    """
+    log = f"{folder}/readings"
+    write_batch(spark.createDataFrame([], READING), log, -1, "kind")
+    with keyed_state(spark):
+        run_available(readings(events, params, step=step, **options), lambda df, i: write_batch(df, log, i, "kind"), f"{folder}/checkpoint")
+
+
+def logged(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """Readings of one kind: ``panel``, ``late`` or, of released matches, ``cell``."""
+    return spark.read.schema(READING + ", batch int").parquet(f"{folder}/readings").where(F.col("kind") == kind)
 
-def latest_cells(log: DataFrame) -> DataFrame:
-    """Current state from the append-only log of updated cells: the last update wins."""
-    return first_by(log, ["match_id", "cell"], [F.col("batch")], largest=True).drop("batch")
+
+def current_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of all matches: the log's of those released, the state store's of those that are open."""
+    released = logged(spark, folder, "cell").select("match_id", "cell", *CELL_NAMES)
+    with keyed_state(spark):
+        return added_cells(released.unionByName(open_cells(spark, f"{folder}/checkpoint")))
 
 
 def panels_from_cells(cells: DataFrame, params: Params = Params(), step: int = 1) -> DataFrame:
@@ -70,68 +85,30 @@ def current_panels(panels: DataFrame) -> DataFrame:
     return first_by(panels, ["match_id"], [F.col("minute")], largest=True)
 
 
-def stream_panels(spark: SparkSession, events: DataFrame, folder: str, params: Params = Params(), step: int = 1) -> DataFrame:
-    """Run the available events through the stream and return the panels of its state.
+def stream_panels(spark: SparkSession, events: DataFrame, folder: str, params: Params = Params(), step: int = 1, **options) -> DataFrame:
+    """Run the available events through the stream and return the panels of its state and its log.
 
-    The log survives restarts: rebuilding from it gives the same state on any worker.
+    Both survive restarts: rebuilding from the folder gives the same panels on any worker.
     """
-    log = f"{folder}/cells"
-    run_available(live_cells(events, step, (params.tau,)), lambda df, i: write_batch(df, log, i), f"{folder}/checkpoint", "update")
-    return panels_from_cells(latest_cells(spark.read.parquet(log)), params, step)
+    follow_matches(spark, events, folder, params, step, **options)
+    return panels_from_cells(current_cells(spark, folder), params, step)
 
 
 # --------------------------------------------------------------------------- #
 # Polled feeds
 # --------------------------------------------------------------------------- #
-POLL_KEY = ["match_id", "minute", "type", "team"]
-
-
-def needed_occurrences(polls: DataFrame) -> DataFrame:
-    """Each observation that really happened: as many of a key as the poll with the most reports, with their players.
-
-    The player is not part of the identity (providers fill it in later); two equal events
-    in one poll are two occurrences, numbered by player. Later polls name the player of an
-    occurrence; ``poll`` is the one that did. ``polls`` has poll, player_id and the key columns.
-    """
-    keyed = polls.withColumn("minute", F.round("minute", 3))
-    same = Window.partitionBy(*POLL_KEY, "poll").orderBy(F.col("player_id").asc_nulls_last())
-    numbered_rows = keyed.withColumn("occurrence", F.row_number().over(same))
-    naming = F.when(F.col("player_id").isNotNull(), F.col("poll"))
-    return numbered_rows.groupBy(*POLL_KEY, "occurrence").agg(F.max_by("player_id", naming).alias("player_id"), F.max(naming).alias("poll"))
-
-
-FEED_LOG = "match_id string, minute double, type string, team string, occurrence int, player_id string, poll long"
-FEED_COUNTS = "match_id string, minute double, type string, team string, player_id string, poll long, n long"
-
-
 def feed_polls(spark: SparkSession, polls: DataFrame, folder: str) -> DataFrame:
     """Log new occurrences of polled observations, and players that become known; one row an occurrence comes back.
 
-    The files of a poll may come in any number of batches: reports are counted by poll, key and player over all of
-    them, and the whole poll is numbered again. The log begins as an empty table. A retried batch recomputes against
-    the log without its own folder and replaces it.
+    What has been reported is keyed state (:class:`pitchgrid.streaming.feed.Occurrences`), so a batch costs what it brings.
+    The log begins as an empty table; a retried batch replaces its own folder.
     """
-    log, counts = f"{folder}/observations", f"{folder}/counts"
-    write_batch(spark.createDataFrame([], FEED_LOG), log, -1)
-    latest = F.when(F.col("player_id").isNotNull(), F.struct("poll", "batch"))
-
-    def entries() -> DataFrame:
-        return spark.read.schema(FEED_LOG + ", batch int").parquet(log)
-
-    def each(df: DataFrame, batch_id: int) -> None:
-        reports = df.select(*POLL_KEY[:1], F.round("minute", 3).alias("minute"), *POLL_KEY[2:], "player_id", F.col("poll").cast("long").alias("poll"))
-        write_batch(reports.groupBy(*reports.columns).agg(F.count("*").alias("n")), counts, batch_id)
-        known = spark.read.schema(FEED_COUNTS + ", batch int").parquet(counts)
-        touched = known.where(F.col("batch") == batch_id).select("poll").distinct()
-        whole = known.join(touched, "poll").withColumn("report", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-        have = entries().where(F.col("batch") != batch_id).groupBy(*POLL_KEY, "occurrence").agg(
-            F.lit(True).alias("known"), F.max_by("player_id", latest).alias("was"), F.max(latest)["poll"].alias("was_poll"))
-        need = needed_occurrences(whole).join(have, [*POLL_KEY, "occurrence"], "left")
-        named = F.col("player_id").isNotNull() & ~F.col("player_id").eqNullSafe(F.col("was")) & (F.col("poll") >= F.coalesce("was_poll", "poll"))
-        fresh = need.where(F.col("known").isNull() | named)
-        write_batch(fresh.select(*POLL_KEY, F.col("occurrence").cast("int").alias("occurrence"), "player_id", "poll"), log, batch_id)
-    run_available(polls, each, f"{folder}/checkpoint")
-    return entries().groupBy(*POLL_KEY, "occurrence").agg(F.max_by("player_id", latest).alias("player_id"))
+    log = f"{folder}/observations"
+    write_batch(spark.createDataFrame([], OCCURRENCE), log, -1)
+    with keyed_state(spark):
+        run_available(occurrences(polls), lambda df, i: write_batch(df, log, i), f"{folder}/checkpoint")
+    entries = spark.read.schema(OCCURRENCE + ", batch int").parquet(log)
+    return entries.groupBy(*POLL_KEY, "occurrence").agg(F.max_by("player_id", "batch").alias("player_id"))
 
 
 def live_clock(events: DataFrame) -> DataFrame:
@@ -166,3 +143,23 @@ def windowed_counts(events: DataFrame, size: str, slide: str | None = None, dela
 
 def session_counts(events: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+
+
+#: A time after all events; a row with it closes all windows.
+END = "9999-01-01 00:00:00"
+
+
+def run_to_end(spark: SparkSession, events: DataFrame, counts: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Result of ``counts`` over a stream of ``events`` (ts, ...) with all windows closed, those still open at its end too.
+
+    What is available runs first; then an end marker lands in a second source of the same query, so that the
+    watermark passes every window, the last ones come out, and their state is released. ``folder`` is of no further use to a stream.
+    """
+    marker = spark.createDataFrame([], "ts timestamp")
+    marker.write.parquet(f"{folder}/end")
+    both = events.unionByName(spark.readStream.schema(marker.schema).parquet(f"{folder}/end"), allowMissingColumns=True)
+    each = lambda df, i: write_batch(df.where(F.col("w.start") < F.lit("9000-01-01").cast("timestamp")), f"{folder}/out", i)
+    run_available(counts(both), each, f"{folder}/checkpoint")
+    spark.sql(f"SELECT timestamp '{END}' AS ts").write.mode("append").parquet(f"{folder}/end")
+    run_available(counts(both), each, f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
