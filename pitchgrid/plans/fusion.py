@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import math
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.text import apply_aliases, content_id, entity_key, prefixed_id
@@ -200,57 +203,118 @@ def consensus(readings: DataFrame, keys: list[str]) -> DataFrame:
 # --------------------------------------------------------------------------- #
 # Clock alignment
 # --------------------------------------------------------------------------- #
-def _greedy_offset(ref, ref_n, other, other_n, window: float) -> float:
-    """Median shift over greedy nearest pairs; readings carry multiplicities."""
-    if ref is None or other is None or len(ref) == 0 or len(other) == 0:
-        return 0.0
-    ref, left = np.asarray(ref, float), np.asarray(ref_n, np.int64).copy()
-    shifts, counts = [], []
-    for minute, todo in zip(other, other_n):
-        while todo > 0:
-            open_ = np.flatnonzero(left)
-            if open_.size == 0:
-                break
-            gaps = np.abs(minute - ref[open_])
-            j = int(np.argmin(gaps))
-            if gaps[j] > window:
-                break
-            take = min(int(todo), int(left[open_[j]]))
-            left[open_[j]] -= take
-            todo -= take
-            shifts.append(minute - ref[open_[j]])
-            counts.append(take)
-    if not shifts:
-        return 0.0
-    order = np.argsort(shifts, kind="stable")
-    values, upto = np.asarray(shifts)[order], np.cumsum(np.asarray(counts)[order])
-    n = int(upto[-1])
-    def nth(i):
-        return values[int(np.searchsorted(upto, i + 1))]
-    return float(nth(n // 2) if n % 2 else (nth(n // 2 - 1) + nth(n // 2)) / 2)
+class Pairing:
+    """Greedy pairing of one source's anchors with the reference's, along the clock.
+
+    Each anchor, in order of its minute, takes the nearest free reference anchor (the earlier one of two as near) if it lies
+    within ``window``. An anchor is decided as soon as the clock is past it by the window, so only what lies within a
+    window of the clock is held, and every reading is put in and taken out once.
+    """
+
+    def __init__(self, window: float):
+        self.window = window
+        self.behind: deque[list] = deque()   # free reference readings up to the last decided anchor
+        self.ahead: deque[list] = deque()    # and those after it; used ones leave from the left
+        self.waiting: deque[tuple] = deque()
+
+    def reference(self, minute: float, n: int) -> None:
+        self.ahead.append([minute, n])
+
+    def anchor(self, minute: float, n: int) -> None:
+        self.waiting.append((minute, n))
+
+    def decided(self, clock: float) -> Iterator[tuple[float, int]]:
+        """(shift, number of pairs) of the anchors that nothing after ``clock`` can change."""
+        while self.waiting and self.waiting[0][0] + self.window < clock:
+            minute, todo = self.waiting.popleft()
+            while self.ahead and self.ahead[0][0] <= minute:
+                self.behind.append(self.ahead.popleft())
+            while self.behind and minute - self.behind[0][0] > self.window:
+                self.behind.popleft()
+            while todo:
+                back = minute - self.behind[-1][0] if self.behind else math.inf
+                front = self.ahead[0][0] - minute if self.ahead else math.inf
+                if min(back, front) > self.window:
+                    break
+                side, at = (self.behind, -1) if back <= front else (self.ahead, 0)
+                near = side[at]
+                take = min(todo, near[1])
+                near[1] -= take
+                todo -= take
+                yield minute - near[0], take
+                if not near[1]:
+                    side.pop() if at else side.popleft()
+
+
+def anchor_pairs(readings: DataFrame, sources: DataFrame, window: float) -> DataFrame:
+    """match_id, source, shift, n: the greedy pairs of each source's readings (match_id, source, minute, n) with the first source's.
+
+    ``sources`` has the sources of each match in order. Both sides meet in one pass over rows sorted by minute: the
+    reference's readings stand beside those of each other source. A task holds what lies within a window of the clock, whatever a match has.
+    """
+    ref = F.col("source") == F.col("sources")[0]
+    marked = readings.join(sources, "match_id").select(
+        "match_id", F.explode(F.when(ref, F.slice("sources", 2, F.size("sources"))).otherwise(F.array("source"))).alias("source"), "minute", "n", F.when(ref, 0).otherwise(1).alias("side"))
+    ordered = marked.repartition("match_id", "source").sortWithinPartitions("match_id", "source", "minute", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, out = None, None, []
+
+        def flush(least: int):
+            if len(out) > least:
+                yield pa.RecordBatch.from_pylist([dict(zip(("match_id", "source", "shift", "n"), r)) for r in out], PAIRS)
+                out.clear()
+
+        for batch in batches:
+            for match, source, minute, n, side in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (match, source) != key:
+                    out += [(*key, *pair) for pair in state.decided(math.inf)] if state else []
+                    key, state = (match, source), Pairing(window)
+                out += [(*key, *pair) for pair in state.decided(minute)]
+                (state.anchor if side else state.reference)(minute, n)
+            yield from flush(10_000)
+        if state:
+            out += [(*key, *pair) for pair in state.decided(math.inf)]
+        yield from flush(0)
+
+    return ordered.mapInArrow(run, "match_id string, source string, shift double, n long")
+
+
+PAIRS = pa.schema([("match_id", pa.string()), ("source", pa.string()), ("shift", pa.float64()), ("n", pa.int64())])
+
+
+def weighted_median(values: DataFrame, keys: list[str], value: str, n: str, name: str, slot: Column) -> DataFrame:
+    """Exact median of ``value`` with multiplicities per key.
+
+    Counts of value slots tell the one or two slots that hold the middle; only their values are ordered. ``slot`` must not
+    decrease with the value and have few settings.
+    """
+    counts = values.groupBy(*keys, value).agg(F.sum(n).alias("__n")).withColumn("__slot", slot)
+    along = Window.partitionBy(*keys).orderBy("__slot")
+    slots = counts.groupBy(*keys, "__slot").agg(F.sum("__n").alias("__s")).select(
+        *keys, "__slot", "__s", F.sum("__s").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("__to"), F.sum("__s").over(Window.partitionBy(*keys)).alias("__total"))
+    low, high = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
+    slots = slots.where((F.col("__to") > low) & (F.col("__to") - F.col("__s") <= high)).select(*keys, "__slot", (F.col("__to") - F.col("__s")).alias("__before"), "__total")
+    inside = Window.partitionBy(*keys, "__slot").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.join(slots, [*keys, "__slot"]).withColumn("__upto", F.col("__before") + F.sum("__n").over(inside))
+    middle = (F.min(F.when(F.col("__upto") > low, F.col(value))) + F.min(F.when(F.col("__upto") > high, F.col(value)))) / 2
+    return upto.groupBy(*keys).agg(middle.alias(name))
 
 
 def clock_offsets(events: DataFrame, anchor: str = "goal", window: float = 5.0) -> DataFrame:
-    """Offset of every (match, source) clock against the first source by name.
+    """Offset of every (match, source) clock against the first source by name: the median shift of its paired anchors, else 0.
 
-    Anchors are reduced to distinct clock readings with a count before they meet, so one
-    match's arrays are bounded by its clock, however many rows it has.
+    Anchors are reduced to distinct clock readings with a count before they are paired; a first source without anchors
+    aligns nothing.
     """
-    readings = events.where(F.col("type") == anchor).groupBy("match_id", "source", "minute").agg(F.count("*").alias("n"))
-    lists = readings.groupBy("match_id", "source").agg(F.array_sort(F.collect_list(F.struct("minute", "n"))).alias("a"))
-    sources = events.groupBy("match_id", "source").agg(F.lit(1).alias("one")).drop("one")
-    first = sources.groupBy("match_id").agg(F.min("source").alias("ref"))
-    table = sources.join(first, "match_id").join(lists, ["match_id", "source"], "left")
-    ref = lists.select("match_id", F.col("source").alias("ref"), F.col("a").alias("r"))
-    table = table.join(ref, ["match_id", "ref"], "left")
-
-    @F.pandas_udf("double")
-    def shift(ref: pd.Series, ref_n: pd.Series, other: pd.Series, other_n: pd.Series) -> pd.Series:
-        return pd.Series([_greedy_offset(a, b, c, d, window) for a, b, c, d in zip(ref, ref_n, other, other_n)])
-
-    value = F.when(F.col("source") == F.col("ref"), F.lit(0.0)).otherwise(
-        shift(F.col("r.minute"), F.col("r.n"), F.col("a.minute"), F.col("a.n")))
-    return table.select("match_id", "source", F.round(value, 3).alias("offset"))
+    minute = F.when(F.col("type") == anchor, F.col("minute"))
+    readings = events.groupBy("match_id", "source", minute.alias("minute")).agg(F.count("*").alias("n"))
+    sources = readings.groupBy("match_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    pairs = anchor_pairs(readings.where("minute IS NOT NULL"), sources, window)
+    median = weighted_median(pairs, ["match_id", "source"], "shift", "n", "median", F.floor(F.col("shift") * 16))
+    every = sources.select("match_id", F.explode("sources").alias("source"))
+    return every.join(median, ["match_id", "source"], "left").select(
+        "match_id", "source", F.round(F.coalesce("median", F.lit(0.0)), 3).alias("offset"))
 
 
 def align(events: DataFrame, offsets: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
 import datetime as dt
+import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +83,51 @@ def test_clock_offsets_match_pairwise_greedy(spark, a, b):
     assert got["a"] == 0.0 and got["b"] == pytest.approx(round(_greedy(a, b), 3))
 
 
+def _paired(a, b, window=5.0):
+    pairing, shifts = U.Pairing(window), []
+    for minute, side in sorted([(m, 0) for m in a] + [(m, 1) for m in b]):
+        shifts += [d for d, n in pairing.decided(minute) for _ in range(n)]
+        (pairing.anchor if side else pairing.reference)(minute, 1)
+    return shifts + [d for d, n in pairing.decided(math.inf) for _ in range(n)], pairing
+
+
+def test_pairing_along_the_clock_is_the_greedy_one():
+    rnd = random.Random(4)
+    for _ in range(2000):
+        a, b = ([rnd.choice([rnd.randint(0, 40), rnd.random() * 40]) for _ in range(rnd.randint(0, 12))] for _ in range(2))
+        window = rnd.choice([0.5, 2.0, 5.0])
+        shifts = sorted(_paired(a, b, window)[0])
+        m = len(shifts) // 2
+        got = 0.0 if not shifts else shifts[m] if len(shifts) % 2 else (shifts[m - 1] + shifts[m]) / 2
+        assert got == pytest.approx(_greedy(a, b, window)), (a, b, window)
+
+
+def test_a_match_with_a_million_anchors(spark):
+    """Half a million readings a source, out of step by 0.011 minutes: linear work, and a task holds a window of them."""
+    n = 500_000
+    base = spark.range(n).select(F.lit("m").alias("match_id"), (F.col("id") * 0.01).alias("minute"), F.lit("goal").alias("type"))
+    both = base.withColumn("source", F.lit("a")).unionByName(base.withColumn("minute", F.col("minute") + 0.001).withColumn("source", F.lit("b")))
+    got = {r.source: r.offset for r in U.clock_offsets(both).collect()}
+    assert got == {"a": 0.0, "b": 0.001}
+    pairing, most = U.Pairing(5.0), 0
+    for i in range(20_000):
+        for _ in pairing.decided(i * 0.01):
+            pass
+        pairing.reference(i * 0.01, 1)
+        pairing.anchor(i * 0.01, 1)
+        most = max(most, len(pairing.behind) + len(pairing.ahead) + len(pairing.waiting))
+    assert most < 2000
+
+
+def test_offsets_without_anchors_and_medians_of_many_values(spark):
+    rows = [("m", "a", 3.0, "foul"), ("m", "b", 4.0, "goal"), ("m", "c", None, "goal"), ("n", "a", 10.0, "goal"), ("n", "c", 12.5, "goal"), ("n", "c", 30.0, "goal")]
+    df = spark.createDataFrame(rows, "match_id string, source string, minute double, type string")
+    assert {(r.match_id, r.source): r.offset for r in U.clock_offsets(df).collect()} == {("m", "a"): 0.0, ("m", "b"): 0.0, ("m", "c"): 0.0, ("n", "a"): 0.0, ("n", "c"): 2.5}
+    values = [(k, random.Random(k + i).uniform(-5, 5), i % 3 + 1) for k in range(3) for i in range(20 + k)]
+    got = U.weighted_median(spark.createDataFrame(values, "k int, v double, n long"), ["k"], "v", "n", "median", F.floor(F.col("v") * 16)).collect()
+    assert {r.k: pytest.approx(r.median) for r in got} == {k: statistics.median([v for kk, v, n in values if kk == k for _ in range(n)]) for k in range(3)}
+
+
 VERSION = "seq long, id string, kind string, entity string, value string, layer string, source string, collected_at date, valid_from date, valid_to date, permanence string, confidence double"
 
 
