@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pitchgrid.bindings import state_sql as Q
 from pitchgrid.bindings.registry import query
 from pitchgrid.bindings.tables import load, match_events, matches
+from pitchgrid.operators.ordered import numbered
 from pitchgrid.plans import calibration as C
 from pitchgrid.plans import snapshots as S
 from pitchgrid.settings import BASE_RATE_GRID, REGIME_SCALE_GRID, TAU_GRID, Params
@@ -179,13 +180,30 @@ SELECT c.competition, x.id AS version, R(x.base_rate) AS base_rate, x.tau AS tau
 FROM (SELECT DISTINCT competition FROM v) c LEFT JOIN own USING (competition)
 JOIN v x ON x.id = coalesce(own.id, (SELECT max(id) FROM v WHERE promoted))""", ("fixtures",))
 def m08(spark, d):
+    v = _versions(spark, d)
+    return C.active_params(v, v.select("competition").distinct())
+
+
+def _versions(spark, d):
     o = load(spark, d, "orders")
     comp = F.pmod("o_custkey", F.lit(7))
-    v = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("C"), comp.cast("string")).alias("competition"),
-                 ((5 + F.pmod("o_orderkey", F.lit(20))) / 1000.0).alias("base_rate"),
-                 (4 + F.pmod("o_orderkey", F.lit(9))).cast("double").alias("tau"),
-                 ((F.col("o_orderstatus") == "F") & (comp < 5)).alias("promoted"))
-    return C.active_params(v, v.select("competition").distinct())
+    return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("C"), comp.cast("string")).alias("competition"),
+                    ((5 + F.pmod("o_orderkey", F.lit(20))) / 1000.0).alias("base_rate"),
+                    (4 + F.pmod("o_orderkey", F.lit(9))).cast("double").alias("tau"),
+                    ((F.col("o_orderstatus") == "F") & (comp < 5)).alias("promoted"))
+
+
+@query("p11_learning_runs", """v AS (
+  SELECT o_orderkey AS id, 'C' || (o_custkey % 7) AS competition, (5 + o_orderkey % 20)::DOUBLE / 1000.0::DOUBLE AS base_rate,
+    (4 + o_orderkey % 9)::DOUBLE AS tau, o_orderstatus = 'F' AND o_custkey % 7 < 5 AS promoted FROM orders),
+own AS (SELECT competition, max(id) AS id FROM v WHERE promoted GROUP BY 1),
+act AS (SELECT coalesce(own.id, (SELECT max(id) FROM v WHERE promoted)) AS id, count(*) AS serves FROM (SELECT DISTINCT competition FROM v) c LEFT JOIN own USING (competition) GROUP BY 1)
+SELECT row_number() OVER (ORDER BY id DESC) AS place, id, competition, R(base_rate) AS base_rate, tau, promoted::BIGINT AS promoted, coalesce(serves, 0)::BIGINT AS serves FROM v LEFT JOIN act USING (id)""", ("fixtures",))
+def p11(spark, d):
+    """The list as it is ordered: ``place`` numbers its rows, a part of the order after the other."""
+    v = _versions(spark, d)
+    runs = C.learning_runs(v, v.select("competition").distinct())
+    return numbered(runs, [], -F.floor(F.col("id") / 1000), [F.col("id").desc()], "place")
 
 
 TARGETS = {"corner": ("corner",), "card": ("yellow_card", "red_card")}

@@ -215,10 +215,28 @@ SELECT match_id, team, player_id, R(s) AS decision_stability, R(p) AS pressure_r
   concat_ws('|', CASE WHEN s IS NULL THEN 'decision_stability' END, CASE WHEN p IS NULL THEN 'pressure_resistance' END, CASE WHEN g IS NULL THEN 'aggression_control' END, CASE WHEN r IS NULL THEN 'resilience' END) AS abstained FROM idx""",
        ("player_actions", "match_events"))
 def a30(spark, d):
+    return _behaviour(spark, d).drop("reasons")
+
+
+def _behaviour(spark, d):
     prof = _career(spark, d).select("player_id", "actions", "pass_accuracy", "turnover_rate", "dribbles", "dribble_success", "confidence")
     return P.behaviour(prof, match_events(spark, d))
 
 
+@query("a30_abstention_reasons", ROLL_SQL + "," + profile_sql("career") + """,
+con AS (SELECT match_id, CASE WHEN team = 'HOME' THEN 'AWAY' ELSE 'HOME' END AS team, min(minute) AS conceded FROM match_events WHERE type = 'goal' GROUP BY ALL),
+per AS (SELECT e.match_id, e.team, e.player_id, min(conceded) AS conceded, count(*) FILTER (minute < conceded) AS b FROM match_events e LEFT JOIN con USING (match_id, team) GROUP BY ALL),
+why AS (SELECT match_id, per.team, player_id, unnest([
+    CASE WHEN pass_accuracy IS NULL OR turnover_rate IS NULL THEN 'decision_stability:no_shares' END,
+    CASE WHEN coalesce(dribbles, 0) < 5 THEN 'pressure_resistance:few_dribbles' WHEN dribble_success IS NULL THEN 'pressure_resistance:no_dribble_success' END,
+    CASE WHEN conceded IS NULL THEN 'resilience:nothing_conceded' WHEN b = 0 THEN 'resilience:no_action_before' END,
+    'leadership:no_conduct_signals', 'recovery:no_defensive_actions', 'tactical_discipline:no_role_positions']) AS reason FROM per JOIN prof USING (player_id))
+SELECT match_id, team, player_id, string_agg(reason, '|' ORDER BY reason) AS reasons FROM why GROUP BY ALL""", ("player_actions", "match_events"))
+def a30_reasons(spark, d):
+    said = F.transform(F.map_entries("reasons"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return _behaviour(spark, d).select("match_id", "team", "player_id", F.sort_array(said).alias("reasons"))
+
+
 @query("a31_involvement", """ SELECT g.match_id, g.player_id, (g.slot * 15)::BIGINT AS from_minute, count(e.event_id) AS actions FROM (SELECT match_id, player_id, unnest(range(0, last + 1)) AS slot FROM (
     SELECT match_id, player_id, floor(max(minute) / 15)::BIGINT AS last FROM match_events GROUP BY ALL)) g
   LEFT JOIN match_events e ON e.match_id = g.match_id AND e.player_id = g.player_id AND floor(e.minute / 15) = g.slot GROUP BY ALL""", EV)

@@ -9,7 +9,7 @@ from pitchgrid.bindings.tables import fixtures, load, match_events, matches
 from pitchgrid.plans import matches as M
 from pitchgrid.plans import players as P
 from pitchgrid.shared import new_folder
-from pitchgrid.sources import entities, match_detail, open_format, provider_events, results, tables
+from pitchgrid.sources import entities, match_detail, open_format, provider_events, results, tables, versions
 
 EV = ("match_events",)
 EM = ("match_events", "matches")
@@ -182,6 +182,18 @@ def s20(spark, d):
     return both.groupBy("source").agg(F.count("*").alias("n"), F.count("corners_home").alias("with_corners"), F.sum("home_goals").alias("goals"))
 
 
+@query("s20_three_providers", RAW + """, facts AS (SELECT m.match_id, coalesce(count(*) FILTER (kind = 'goal' AND period = 1 AND side IS NOT NULL), 0) AS ht FROM matches m LEFT JOIN raw USING (match_id) GROUP BY 1)
+SELECT 'csv' AS source, count(*) AS n, sum(home_goals)::BIGINT AS home_goals, NULL::BIGINT AS half_time_goals FROM fixtures WHERE cents % 19 <> 0 GROUP BY ALL
+UNION ALL SELECT 'community', count(*), sum(home_goals)::BIGINT, count(*) FILTER (cents % 2 = 0) FROM fixtures WHERE cents % 13 <> 0 GROUP BY ALL
+UNION ALL SELECT 'events', count(*), sum(home_goals_final)::BIGINT, (SELECT sum(ht) FROM facts)::BIGINT FROM matches""", ("match_events", "matches", "fixtures"))
+def s20_three(spark, d):
+    """Results files, community files and the records of the raw events as one table."""
+    third = provider_events.match_records(_raw(spark, d), matches(spark, d), "events")
+    every = results.all_providers(results.results_records(_csv_rows(spark, d), "csv"), _community(spark, d), third)
+    return every.groupBy("source").agg(
+        F.count("*").alias("n"), F.sum("home_goals").alias("home_goals"), F.sum(F.when(F.col("source") != "csv", F.col("ht_home") + F.col("ht_away"))).alias("half_time_goals"))
+
+
 # open formats ---------------------------------------------------------------- #
 def _open_rows(spark, d):
     ev = match_events(spark, d)
@@ -216,6 +228,16 @@ def s13(spark, d):
     return open_format.ingest(open_format.valid_rows(open_format.validate(_open_rows(spark, d))), existing).select("match_id", "home_goals_final", "away_goals_final", "n_events")
 
 
+@query("s13_custom_replace", OPEN + """ SELECT match_id, count(*) FILTER (type = 'goal' AND team = 'HOME') AS home_goals_final, count(*) FILTER (type = 'goal' AND team = 'AWAY') AS away_goals_final, count(*) AS n_events, 'custom' AS origin
+  FROM checked WHERE reject_reason IS NULL GROUP BY match_id
+  UNION ALL SELECT match_id, home_goals_final, away_goals_final, NULL, 'stored' FROM matches WHERE match_id NOT IN (SELECT match_id FROM checked WHERE reject_reason IS NULL)""", EM)
+def s13_replace(spark, d):
+    """Stored headers, replaced where a custom file brings the match."""
+    heads = matches(spark, d).select("match_id", "home_goals_final", "away_goals_final").withColumn("n_events", F.lit(None).cast("bigint")).withColumn("origin", F.lit("stored"))
+    new = open_format.ingest(open_format.valid_rows(open_format.validate(_open_rows(spark, d))), heads, replace=True).withColumn("origin", F.lit("custom"))
+    return tables.replace_keys(heads, new, ["match_id"])
+
+
 def _tracking(spark, d):
     ev = match_events(spark, d)
     m = F.pmod("event_id", F.lit(25))
@@ -265,6 +287,19 @@ def s14(spark, d):
     return spark.read.parquet(path).groupBy("competition").agg(F.count("*").alias("n"), F.max("minute").alias("last_minute"))
 
 
+@query("s14_replace_one_match", """ SELECT e.match_id, CASE WHEN m.match_no % 10 = 3 THEN 'moved' ELSE m.competition END AS competition, count(*) AS n, R(max(e.minute * CASE WHEN m.match_no % 10 IN (3, 7) THEN 2 ELSE 1 END)) AS last_minute
+  FROM match_events e JOIN matches m USING (match_id) GROUP BY ALL""", EM)
+def s14_match(spark, d):
+    """Some matches of each competition come again, some of them under another one; all others keep their rows."""
+    path = new_folder(spark, "match-table")
+    ev = match_events(spark, d).join(matches(spark, d).select("match_id", "competition"), "match_id").select("competition", "match_id", "match_no", "event_id", "minute")
+    versions.replace_matches(ev, path, ["competition"], buckets=8)
+    last = F.pmod("match_no", F.lit(10))
+    again = ev.where(last.isin(3, 7)).withColumn("minute", F.col("minute") * 2).withColumn("competition", F.when(last == 3, "moved").otherwise(F.col("competition")))
+    versions.replace_matches(again, path, ["competition"], buckets=8)
+    return versions.read(spark, path, ["competition"]).groupBy("match_id", "competition").agg(F.count("*").alias("n"), F.max("minute").alias("last_minute"))
+
+
 @query("s15_refresh_audit", """ SELECT competition, season, count(*) FILTER (match_no % 4 <> 0) AS matches_added, count(*) FILTER (match_no % 4 = 0) AS matches_skipped,
   count(*) FILTER (match_no % 4 <> 0 AND bad) AS issues, (count(*) FILTER (match_no % 4 <> 0 AND bad) = 0)::BIGINT AS quality_ok
   FROM (SELECT *, match_no % 25 = 0 AS bad FROM matches) GROUP BY ALL""", EM)
@@ -304,6 +339,27 @@ def s22(spark, d):
     return spark.read.parquet(path).groupBy("match_id").agg(F.count("*").alias("n"))
 
 
+@query("s22_rebuild_networks", RAW + """ SELECT match_id, team_name AS team, k::VARCHAR AS src, (k + 1)::VARCHAR AS dst, count(*) AS passes, 'v2' AS built_by
+  FROM raw WHERE name = 'Pass' AND k % 4 NOT IN (0, 1) GROUP BY ALL""", EM)
+def s22_networks(spark, d):
+    """Networks derived by an older code, some from rows that have changed since: stale matches are derived again, then nothing is stale."""
+    path = new_folder(spark, "networks")
+    raw = _raw(spark, d)
+    passes = provider_events.pass_records(raw).where("success")
+
+    def derive(marks, code):
+        todo = passes.join(marks, "match_id")
+        return todo.groupBy("match_id", "fingerprint", "team", "src", "dst").agg(F.count("*").alias("passes")).withColumn("built_by", F.lit(code))
+
+    fields = [F.col(c) for c in ("event_no", "team", "src", "dst")]
+    versions.replace_matches(derive(versions.fingerprints(passes, fields, "v1"), "v1"), path, [], buckets=8)
+    now = versions.fingerprints(passes, fields, "v2")
+    for half in (F.pmod(F.crc32("match_id"), F.lit(2)) == 0, F.lit(True)):  # the first run is cut short
+        todo = versions.stale(now, versions.read(spark, path, [])).where(half)
+        versions.replace_matches(derive(todo, "v2"), path, [], buckets=8)
+    return versions.read(spark, path, []).drop("fingerprint")
+
+
 @query("g03_provider_interface", " SELECT source, count(*) AS n FROM (SELECT 'csv' AS source FROM fixtures WHERE cents % 19 <> 0 UNION ALL SELECT 'community' FROM fixtures WHERE cents % 13 <> 0) GROUP BY source", FX)
 def g03(spark, d):
     registry = results.ProviderRegistry()

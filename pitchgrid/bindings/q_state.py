@@ -154,6 +154,20 @@ def f05(spark, d):
         "match_id", "minute", "control", "control_team", "control_percent", "outlook", "outlook_percent", "next_goal_team", "next_goal_percent")
 
 
+@query("f05_situation_codes", PANEL.rstrip() + f""" SELECT p.match_id, t AS minute, regime AS situation, CASE regime WHEN 'PRESSURE' THEN CASE WHEN momentum >= 0.5 THEN home_team ELSE away_team END
+    WHEN 'DESPERATION' THEN CASE WHEN p.home_goals > p.away_goals THEN away_team ELSE home_team END END AS situation_team,
+  'goal_next_10min ' || {Q.PCT.format('1 - exp(-lam * 10)')} AS header, CASE WHEN confidence <= 0.66 THEN 'tentative' END AS note
+  FROM panels p JOIN matches m ON m.match_id = p.match_id""", ("match_events", "matches"))
+def f05_situation(spark, d):
+    names = matches(spark, d).select("match_id", F.col("home_team").alias("home"), F.col("away_team").alias("away"))
+    return S.situation_codes(_panel(spark, d).join(names, "match_id"))
+
+
+@query("f05_log_lines", """ SELECT event_id, match_id, floor(minute)::BIGINT || ' ' || type || ' ' || team AS line FROM match_events WHERE type IN ('goal', 'yellow_card', 'red_card')""", ("match_events",))
+def f05_log(spark, d):
+    return S.log_lines(match_events(spark, d)).select("event_id", "match_id", "line")
+
+
 @query("m12_leakage_audit", """SELECT m.match_id, c::BIGINT AS minute, 1::BIGINT AS variants, 2::BIGINT AS n
   FROM matches m, unnest([10, 20, 30, 40, 50, 60, 70, 80, 90]) u(c)""", ("matches",))
 def m12(spark, d):

@@ -191,6 +191,12 @@ def active_params(versions: DataFrame, competitions: DataFrame, default: Params
         F.coalesce("own_tau", "any.tau", F.lit(default.tau)).alias("tau"))
 
 
+def learning_runs(versions: DataFrame, competitions: DataFrame) -> DataFrame:
+    """All learning runs, newest first, with the number of ``competitions`` that each one serves now."""
+    serving = active_params(versions, competitions).groupBy(F.col("version").alias("id")).agg(F.count("*").alias("serves"))
+    return versions.join(serving, "id", "left").withColumn("serves", F.coalesce("serves", F.lit(0))).orderBy(F.desc("id"))
+
+
 def cross_fit(scores: DataFrame) -> DataFrame:
     """Each competition's fitted candidate scored on every competition's data."""
     fitted = best(scores, ["competition"]).select(F.col("competition").alias("fitted_on"), "candidate", "base_rate", "tau")

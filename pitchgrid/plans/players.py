@@ -169,8 +169,14 @@ def first_conceded(events: DataFrame) -> DataFrame:
         F.min("minute").alias("conceded"))
 
 
+#: Indices that the events of a match cannot support, and the signals that they would need.
+NEVER_OBSERVED = (("leadership", "no_conduct_signals"), ("recovery", "no_defensive_actions"), ("tactical_discipline", "no_role_positions"))
+
+
 def behaviour(player_profiles: DataFrame, events: DataFrame) -> DataFrame:
-    """Four behaviour indices per (match, side, player); null = abstained, with a reason.
+    """Four behaviour indices per (match, side, player); null = abstained, with a reason (a code) in the map ``reasons``.
+
+    ``reasons`` also has the indices that match events can never support.
 
     ``player_profiles`` has player_id and profile columns, ``events`` the match events.
     """
@@ -197,7 +203,16 @@ def behaviour(player_profiles: DataFrame, events: DataFrame) -> DataFrame:
         "aggression_control": unit(1.0 - F.least(F.lit(1.0), rate / REF_DISCIPLINE)),
         "resilience": F.when(F.col("conceded").isNotNull() & (F.col("before") > 0), unit(F.try_divide(0.5 * after, before))),
     }
-    out = out.select("match_id", "team", "player_id", *[v.alias(k) for k, v in indices.items()], "confidence")
+    why = {
+        "decision_stability": F.lit("no_shares"),
+        "pressure_resistance": F.when(F.coalesce("dribbles", F.lit(0)) < MIN_DRIBBLES, "few_dribbles").otherwise("no_dribble_success"),
+        "aggression_control": F.lit("no_actions"),
+        "resilience": F.when(F.col("conceded").isNull(), "nothing_conceded").otherwise("no_action_before"),
+    }
+    missing = [F.when(v.isNull(), F.struct(F.lit(k).alias("key"), why[k].alias("value"))) for k, v in indices.items()]
+    always = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in NEVER_OBSERVED]
+    out = out.select("match_id", "team", "player_id", *[v.alias(k) for k, v in indices.items()], "confidence",
+                     F.map_from_entries(F.array_compact(F.array(*missing, *always))).alias("reasons"))
     return out.withColumn("abstained", F.array_compact(F.array(*[
         F.when(F.col(k).isNull(), F.lit(k)) for k in indices])))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pitchgrid.functions.scoring import clip, geometric_confidence, prob_within
 from pitchgrid.operators.grid import game_cells, game_grid, with_recent_shots
 from pitchgrid.settings import (
-    CAUSE_LEVELS, CONTROL_LEVELS, LATE_MINUTE, OUTLOOK_LEVELS, POST_GOAL_MINUTES, POST_RED_MINUTES, RECENT_SHOT_MINUTES, REGIME_LOOKBACK,
+    CARD_TYPES, CAUSE_LEVELS, CONTROL_LEVELS, LATE_MINUTE, OUTLOOK_LEVELS, POST_GOAL_MINUTES, POST_RED_MINUTES, RECENT_SHOT_MINUTES, REGIME_LOOKBACK,
     TRANSITION_INSTABILITY, Params,
 )
 
@@ -210,6 +210,28 @@ def reading_codes(panels: DataFrame) -> DataFrame:
         "next_goal_percent": percent(F.greatest("next_goal_home", 1 - F.col("next_goal_home")))})
 
 
+def situation_codes(panels: DataFrame, window: int = 10) -> DataFrame:
+    """The situation line, header and note of a panel row (needs home, away), as codes and values.
+
+    ``situation`` is the regime, ``situation_team`` the team that it is about: the one on top under pressure, the one
+    behind (the home team when level) in desperation, else none. ``header`` is the claim's share in percent for the next
+    ``window`` minutes, ``note`` is ``tentative`` at or below the firm confidence.
+    """
+    on_top = F.when(F.col("momentum") >= 0.5, F.col("home")).otherwise(F.col("away"))
+    behind = F.when(F.col("home_goals") > F.col("away_goals"), F.col("away")).otherwise(F.col("home"))
+    team = F.when(F.col("regime") == "PRESSURE", on_top).when(F.col("regime") == "DESPERATION", behind)
+    return panels.select(
+        "match_id", "minute", F.col("regime").alias("situation"), team.alias("situation_team"),
+        F.concat(F.lit(f"goal_next_{window}min "), percent(F.col(f"goal_next_{window}min"))).alias("header"),
+        F.when(F.col("confidence") <= FIRM_CONFIDENCE, "tentative").alias("note"))
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    """Goals and cards as log lines: whole minute, type and team."""
+    return events.where(F.col("type").isin("goal", *CARD_TYPES)).withColumn(
+        "line", F.concat_ws(" ", F.floor("minute").cast("string"), "type", "team"))
+
+
 def leakage_audit(events: DataFrame, cutoffs: list[int], params: Params = Params(), *, step: int = 1,
                   headers: DataFrame | None = None) -> DataFrame:
     """Panels at each cutoff computed from the full and from the truncated stream.

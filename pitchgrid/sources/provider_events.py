@@ -126,6 +126,16 @@ def match_facts(raw: DataFrame, matches: DataFrame, source: str) -> DataFrame:
         0, [f"{n}_{s}" for n in ("ht", "corners", "yellows", "reds") for s in ("home", "away")]).withColumn("source", F.lit(source))
 
 
+def match_records(raw: DataFrame, matches: DataFrame, source: str) -> DataFrame:
+    """The provider records of raw events, as the other providers give them: date, teams, final and half-time score, corners and cards.
+
+    ``matches`` has the headers with match_date and the final scores.
+    """
+    heads = matches.select("match_id", "home_team", "away_team", F.col("match_date").alias("date"), F.col("home_team").alias("home"), F.col("away_team").alias("away"),
+                           F.col("home_goals_final").alias("home_goals"), F.col("away_goals_final").alias("away_goals"))
+    return match_facts(raw, heads, source).drop("match_id", "home_team", "away_team")
+
+
 def player_actions(raw: DataFrame, matches: DataFrame, source: str) -> DataFrame:
     """Action rows for the player counters."""
     p = F.col("pass")
