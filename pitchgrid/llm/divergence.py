@@ -40,26 +40,26 @@ def letter_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
 
 
-def known_languages(totals: DataFrame) -> DataFrame:
-    """(lang, total) of the whole corpus, '', and of languages with at least LANGUAGE_WORDS words."""
-    return totals.filter((F.col("lang") == "") | (F.col("total") >= LANGUAGE_WORDS))
+def known_languages(totals: DataFrame, language_words: int = LANGUAGE_WORDS) -> DataFrame:
+    """(lang, total) of the whole corpus, '', and of languages with at least ``language_words`` words."""
+    return totals.filter((F.col("lang") == "") | (F.col("total") >= language_words))
 
 
-def word_references(docs: DataFrame) -> DataFrame:
+def word_references(docs: DataFrame, *, common: int = COMMON, common_letters: int = COMMON_LETTERS, language_words: int = LANGUAGE_WORDS) -> DataFrame:
     """lang, words and word_shares (the share of all other words last) of each known language; lang '' is the whole corpus.
 
     Counted over all documents with partial sums per task; longer words count as others. A row is bounded by the share
-    that makes a word common; there are as many rows as languages of LANGUAGE_WORDS words.
+    that makes a word common; there are as many rows as languages of ``language_words`` words.
     """
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = rows.select("lang", F.explode(letter_words(F.col("text"))).alias("word"))
-    sized = words.select("lang", F.when(F.length("word") <= COMMON_LETTERS, F.col("word")).otherwise("").alias("word"))
+    sized = words.select("lang", F.when(F.length("word") <= common_letters, F.col("word")).otherwise("").alias("word"))
     counts = stored(sized.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
     every = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "word", "n")
     counts = counts.filter("lang <> ''").unionByName(every)
-    known = stored(known_languages(counts.groupBy("lang").agg(F.sum("n").alias("total"))), "known-languages")
-    common = counts.join(known, "lang").filter((F.col("word") != "") & (F.col("n") * COMMON >= F.col("total")))
-    listed = common.groupBy("lang", "total").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("list"))
+    known = stored(known_languages(counts.groupBy("lang").agg(F.sum("n").alias("total")), language_words), "known-languages")
+    often = counts.join(known, "lang").filter((F.col("word") != "") & (F.col("n") * common >= F.col("total")))
+    listed = often.groupBy("lang", "total").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("list"))
     shares = F.transform(F.col("list"), lambda x: x["n"] / F.col("total"))
     rest = F.aggregate(F.col("list"), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     return stored(known.select("lang").join(listed, "lang", "left").select(
@@ -110,21 +110,25 @@ def covered_words(runs: Column) -> Column:
     return F.aggregate(places, start, step, lambda a: a["n"])
 
 
-def judge_documents(docs: DataFrame) -> DataFrame:
+def judge_documents(
+    docs: DataFrame, *, common: int = COMMON, common_letters: int = COMMON_LETTERS, language_words: int = LANGUAGE_WORDS, max_class_distance: float = MAX_CLASS_DISTANCE,
+    max_word_distance: float = MAX_WORD_DISTANCE, min_class_words: int = MIN_CLASS_WORDS, min_common_words: int = MIN_COMMON_WORDS,
+) -> DataFrame:
     """doc_id with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
     word_distance and kept, a row for each of ``docs``.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated three-word windows. Another text is
-    kept unless its character classes are further than MAX_CLASS_DISTANCE from its language's (from MIN_CLASS_WORDS
-    words on) or its common words further than MAX_WORD_DISTANCE (from MIN_COMMON_WORDS letter words on). A text of
-    no language is held against the whole corpus; of one with less than LANGUAGE_WORDS words its classes are, and it
+    kept unless its character classes are further than ``max_class_distance`` from its language's (from ``min_class_words``
+    words on) or its common words further than ``max_word_distance`` (from ``min_common_words`` letter words on). A common word
+    makes 1 in ``common`` of its language's words and has ``common_letters`` letters at most. A text of
+    no language is held against the whole corpus; of one with less than ``language_words`` words its classes are, and it
     has no word_distance and is not rejected for its words. Null and empty texts have no words and fail the base
     rule; repeated rows are judged one by one; an empty table gives an empty table; other columns are not looked at.
 
     The references are stored, a row a language, and joined by language: Spark broadcasts them while they are small, so
     documents are not shuffled then, and each text is read twice: for the words of its language and for its own counts, from which the class references are summed.
     """
-    refs = word_references(docs)
+    refs = word_references(docs, common=common, common_letters=common_letters, language_words=language_words)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("doc_lang"), text.alias("text"))
     whole = refs.filter("lang = ''").select(F.col("words").alias("all_words"), F.col("word_shares").alias("all_word_shares"))
@@ -138,14 +142,14 @@ def judge_documents(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "rare", F.size("w").cast("long").alias("n_words"), (F.length("text") - F.col("classes")[2]).alias("word_chars"),
         kept_length(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         window_hashes(F.col("w")).alias("windows"), F.size("letters").cast("long").alias("n_letters"),
-        F.filter("letters", lambda x: F.length(x) <= COMMON_LETTERS).alias("short"), "classes", "words", "word_shares")
+        F.filter("letters", lambda x: F.length(x) <= common_letters).alias("short"), "classes", "words", "word_shares")
     runs = counted.select("*", placed(F.col("windows")).alias("runs"))
     found = runs.select(
         *[c for c in runs.columns if c not in ("windows", "runs", "short")], covered_words(F.col("runs")).alias("n_repeat_words"),
-        F.transform("words", lambda c: (F.size("short") - F.size(F.array_remove(F.col("short"), c))).cast("long")).alias("common"))
+        F.transform("words", lambda c: (F.size("short") - F.size(F.array_remove(F.col("short"), c))).cast("long")).alias("counts"))
     letters = F.greatest("n_letters", F.lit(1))
-    rest = F.col("n_letters") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
-    own_words = F.concat(F.transform("common", lambda n: n / letters), F.array(rest / letters))
+    rest = F.col("n_letters") - F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    own_words = F.concat(F.transform("counts", lambda n: n / letters), F.array(rest / letters))
     compact = stored(found.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "classes",
         F.when(~F.col("rare"), distance(own_words, F.col("word_shares"))).alias("word_distance")), "rule-counts")
@@ -155,6 +159,6 @@ def judge_documents(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         distance(F.transform("classes", lambda n: n / chars), F.col("class_shares")).alias("class_distance"), "word_distance")
-    far = ((F.col("n_words") >= MIN_CLASS_WORDS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
-        (F.col("n_letters") >= MIN_COMMON_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
+    far = ((F.col("n_words") >= min_class_words) & (F.col("class_distance") > max_class_distance)) | (
+        (F.col("n_letters") >= min_common_words) & (F.col("word_distance") > max_word_distance))
     return measured.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("n_letters")

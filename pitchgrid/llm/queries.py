@@ -205,16 +205,16 @@ WITH d AS (
   SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS letters,
          regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, {_class_sql("text")} AS classes FROM d
 ), n AS (
-  SELECT lang, CASE WHEN length(word) <= 6 THEN word ELSE '' END AS word, count(*) AS n FROM (SELECT lang, unnest(letters) AS word FROM l) GROUP BY ALL
+  SELECT lang, CASE WHEN length(word) <= {divergence.COMMON_LETTERS} THEN word ELSE '' END AS word, count(*) AS n FROM (SELECT lang, unnest(letters) AS word FROM l) GROUP BY ALL
 ), m AS (
   SELECT * FROM n WHERE lang <> '' UNION ALL SELECT '', word, sum(n) FROM n GROUP BY word
 ), t AS (
   SELECT lang, sum(n) AS total FROM m GROUP BY lang
 ), k AS (
-  SELECT * FROM t WHERE lang = '' OR total * 1000 >= (SELECT total FROM t WHERE lang = '')
+  SELECT * FROM t WHERE lang = '' OR total >= {divergence.LANGUAGE_WORDS}
 ), c AS (
   SELECT lang, list(word ORDER BY word) AS words, list_append(list(n / total ORDER BY word), 1 - sum(n) / any_value(total)) AS word_shares
-  FROM m JOIN k USING (lang) WHERE word <> '' AND n * 125 >= total GROUP BY lang
+  FROM m JOIN k USING (lang) WHERE word <> '' AND n * {divergence.COMMON} >= total GROUP BY lang
 ), h AS (
   SELECT lang, i, sum(classes[i]) AS n FROM l, range(1, 7) AS r(i) GROUP BY ALL
 ), g AS (
@@ -223,7 +223,7 @@ WITH d AS (
 ), r AS (
   SELECT lang, coalesce(words, []) AS words, coalesce(word_shares, [1.0]) AS word_shares, class_shares FROM k LEFT JOIN c USING (lang) LEFT JOIN g USING (lang)
 ), x AS (
-  SELECT l.*, words, word_shares, class_shares FROM l JOIN r ON r.lang = CASE WHEN l.lang IN (SELECT lang FROM r) THEN l.lang ELSE '' END
+  SELECT l.*, words, word_shares, class_shares, l.lang <> '' AND l.lang NOT IN (SELECT lang FROM r) AS rare FROM l JOIN r ON r.lang = CASE WHEN l.lang IN (SELECT lang FROM r) THEN l.lang ELSE '' END
 ), e AS (
   SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (
     SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, a, b, c) AS times FROM (
@@ -233,7 +233,7 @@ WITH d AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(letters) AS n_letters,
          list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS lines,
-         coalesce(n_repeat_words, 0) AS n_repeat_words, word_shares, class_shares,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, word_shares, class_shares, rare,
          list_transform(classes, lambda z: z / greatest(list_sum(classes), 1)) AS own_classes,
          list_transform(words, lambda z: len(list_filter(letters, lambda y: y = z)) / greatest(len(letters), 1)) AS own
   FROM x LEFT JOIN e USING (doc_id)
@@ -244,7 +244,7 @@ WITH d AS (
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed AND NOT (n_words >= {divergence.MIN_CLASS_WORDS} AND {_distance_sql("own_classes", "class_shares")} > {divergence.MAX_CLASS_DISTANCE})
-       AND NOT (n_letters >= {divergence.MIN_COMMON_WORDS} AND {_distance_sql("own_words", "word_shares")} > {divergence.MAX_WORD_DISTANCE}) AS kept
+       AND NOT (NOT rare AND n_letters >= {divergence.MIN_COMMON_WORDS} AND {_distance_sql("own_words", "word_shares")} > {divergence.MAX_WORD_DISTANCE}) AS kept
 FROM v
 """
 

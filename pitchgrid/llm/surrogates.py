@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import hmac
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.common import arrow_session, stored
+from pitchgrid.llm.common import arrow_session, stored, unused
 
 DIGITS, LOWER, UPPER, HEX, KEYED = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CYRILLIC, GREEK = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+ALPHABETS = (DIGITS, LOWER, UPPER, CYRILLIC, CYRILLIC.upper(), GREEK, GREEK.upper())
 #: Rounds of re-keying before a surrogate that still collides is made longer.
 ATTEMPTS = 12
 
@@ -42,7 +47,8 @@ NUMBERS = re.compile(
     r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){1,6}(?!\w)|(?<![\w(])\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]))")
 KEYS = re.compile(r"(?P<aws>A(?:KIA|SIA)[0-9A-Z]{16})(?!\w)|(?P<secret>(?:gh[po]|xox[bp]|[sp]k)[_-][\w-]{16,})")
 IBAN = re.compile(r"[A-Z][A-Z][0-9][0-9](?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?!\w)")
-IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+#: Candidates with the usual hexadecimal groups, compressed or not; the address itself is checked afterwards.
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
 
 
 class Entity(NamedTuple):
@@ -56,6 +62,17 @@ def iban_valid(compact: str) -> bool:
     return int("".join(str(KEYED.index(c)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def full_address(written: str) -> str | None:
+    """All eight groups of an IPv6 address; None for what is none, or could as well be words or a time of day."""
+    groups = [g for g in written.split(":") if g]
+    if len(groups) < 2 or not any(c.isdigit() for c in written):
+        return None
+    try:
+        return ipaddress.IPv6Address(written).exploded
+    except ValueError:
+        return None
+
+
 def free(text: str, at: int) -> bool:
     """No letter, digit or underscore stands before place ``at``."""
     return at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")
@@ -79,11 +96,14 @@ def find_entities(text: str) -> list[Entity]:
             found.append(Entity(m.start(), m.end(), "iban", compact))
     if ":" in text:
         for m in IPV6.finditer(text):
-            found.append(Entity(m.start(), m.end(), "ipv6", m[0].lower()))
+            if full := full_address(m[0]):
+                found.append(Entity(m.start(), m.end(), "ipv6", full))
     for m in (m for run in NUMBER_RUN.finditer(text) if run.end() - run.start() > 6 for m in NUMBERS.finditer(text, max(0, run.start() - 2), run.end() + 2)):
         digits = re.sub(r"\D", "", m[0])
         if m.lastgroup == "ip" and any(int(x) > 255 for x in m[0].split(".")):
             continue
+        if m.lastgroup == "card" and luhn(digits[:-1]) != int(digits[-1]):
+            continue
         if m.lastgroup == "phone" and not 8 <= len(digits) <= 15:
             continue
         value = m[0] if m.lastgroup == "ip" else ("+" if m[0][0] == "+" else "") + digits
@@ -137,15 +157,38 @@ def permuted(size: int, value: int, key: bytes, tweak: str) -> int:
             return value
 
 
+@lru_cache(maxsize=4096)
+def letters_like(c: str) -> str:
+    """The characters that may stand for ``c``: of its case, script block and category; "" for signs and white space.
+
+    These sets divide all characters, so a permutation inside each is one-to-one.
+    """
+    for known in ALPHABETS:
+        if c in known:
+            return known
+    kind = unicodedata.category(c)
+    if c.isascii() or kind[0] not in "LN":
+        return ""
+
+    def alike(x: str) -> tuple:
+        other = x.upper() if kind == "Ll" else x.lower()
+        back = other.lower() if kind == "Ll" else other.upper()
+        return unicodedata.category(x), len(other) == 1 and back == x, unicodedata.normalize("NFC", x) == x
+
+    # Neighbours of the code chart belong to one script; 128 of them, but for those of a known alphabet, are one.
+    first, own = ord(c) & ~127, alike(c)
+    near = (chr(i) for i in range(first, first + 128))
+    return "".join(x for x in near if not x.isascii() and not any(x in known for known in ALPHABETS) and alike(x) == own)
+
+
 def same_shape(value: str, key: bytes, tweak: str, alphabet: str | None = None) -> str:
     """``value`` with its digits and letters permuted within their kind, all else in place: one-to-one among equal shapes."""
-    sets = [alphabet if alphabet and c in alphabet else DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else "" for c in value]
-    size = number = 0
-    size = 1
+    sets = [alphabet if alphabet and c in alphabet else letters_like(c) for c in value]
+    size, number = 1, 0
     for c, s in zip(value, sets):
         if s:
             size, number = size * len(s), number * len(s) + s.index(c)
-    shape = "".join({DIGITS: "9", LOWER: "a", UPPER: "A"}.get(s, "x") if s else c for c, s in zip(value, sets))
+    shape = "".join({DIGITS: "9", LOWER: "a", UPPER: "A"}.get(s, s[0] if s != alphabet else "x") if s else c for c, s in zip(value, sets))
     number = permuted(size, number, key, f"{tweak}|{shape}")
     out = []
     for c, s in zip(reversed(value), reversed(sets)):
@@ -186,10 +229,18 @@ def invented_name(kind: str, value: str, key: bytes, attempt: int) -> str:
 
 
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """The canonical surrogate of an entity; one-to-one among values of one kind and shape (names: almost)."""
+    """The canonical surrogate of an entity; one-to-one among values of one kind and shape (names: almost).
+
+    Where the shape has no free value, or nothing in it can be permuted, it is an opaque one.
+    """
+    if kind.startswith(("given", "surname")):
+        return invented_name(kind, value, key, attempt)
+    new = shaped(kind, value, key, attempt) if attempt <= ATTEMPTS else value
+    return opaque(kind, value, key, attempt) if value in new else new
+
+
+def shaped(kind: str, value: str, key: bytes, attempt: int) -> str:
     tweak = f"{kind}|{attempt}"
-    if attempt > ATTEMPTS and not kind.startswith(("given", "surname")):  # the shape has no free value: a longer one
-        return surrogate(kind, value, key) + str(attempt)
     if kind == "email":
         local, _, domain = value.partition("@")
         labels, dot, top = domain.rpartition(".")
@@ -206,17 +257,30 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         a, b, c, d = map(int, value.split("."))
         n = permuted(1 << 24, b << 16 | c << 8 | d, key, f"{tweak}|{a}")
         return f"{a}.{n >> 16}.{n >> 8 & 255}.{n & 255}"
-    if kind == "ipv6":
-        return same_shape(value, key, tweak, HEX)
+    if kind == "ipv6":  # groups of zeros stay, so that it can be written as short as before
+        return same_shape(value.replace("0000", "----"), key, tweak, HEX).replace("----", "0000")
     if kind == "aws":
         return value[:4] + same_shape(value[4:], key, tweak, KEYED)
     if kind == "iban":
         body = same_shape(value[4:], key, f"{tweak}|{value[:2]}")
         check = 98 - int("".join(str(KEYED.index(c)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{check:02d}{body}"
-    if kind == "secret":
-        return same_shape(value, key, tweak, HEX if set(value) <= set(HEX) else None)
-    return invented_name(kind, value, key, attempt)
+    return same_shape(value, key, tweak, HEX if set(value) <= set(HEX) else None)
+
+
+def opaque(kind: str, value: str, key: bytes, attempt: int) -> str:
+    """A surrogate that has nothing of ``value`` in it: digits or letters from a keyed hash, as long as needed to be free."""
+    number = _round(key, f"{kind}|{value}|{attempt}", 0, attempt)
+    figures = DIGITS if kind in ("card", "phone", "ssn", "iban", "ip") else LOWER
+    out = []
+    for _ in range(max(len(value), 8) + max(0, attempt - ATTEMPTS)):
+        number, d = divmod(number, len(figures))
+        number = number or _round(key, "more", len(out), len(value))
+        out.append(figures[d])
+    token = "".join(out)
+    if kind == "email":
+        return f"{token}@{token[::-1]}.{value.rpartition('.')[2]}"
+    return "-".join(token[i:i + 4] for i in range(0, len(token), 4)) if value in token else token
 
 
 def in_format(original: str, canonical: str, kind: str) -> str:
@@ -227,7 +291,15 @@ def in_format(original: str, canonical: str, kind: str) -> str:
         return out + "".join(rest)
     if kind.startswith(("given", "surname")):
         return canonical.upper() if original.isupper() and len(original) > 1 else canonical.capitalize()
-    if kind in ("email", "ipv6"):
+    if kind == "ipv6":
+        try:
+            address = ipaddress.IPv6Address(canonical)
+        except ValueError:  # an opaque one
+            return canonical
+        groups = canonical.split(":")
+        written = address.compressed if "::" in original else canonical if len(original) == 39 else ":".join(g.lstrip("0") or "0" for g in groups)
+        return written.upper() if original.isupper() else written
+    if kind == "email":
         if original.isupper():
             return canonical.upper()
         return "".join(c.upper() if i < len(original) and original[i].isupper() else c for i, c in enumerate(canonical))
@@ -302,9 +374,11 @@ def rekeyed(entities: DataFrame, key: bytes) -> DataFrame:
 def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with surrogates in ``text`` and their number in ``n_entities``.
 
-    Mail addresses, phone and card numbers, IBANs, social security numbers, IP addresses, access keys, passwords and
-    tokens, and names after a title or an introduction are replaced, the names' later mentions in the document too. The
-    same thing gets the same surrogate in the whole corpus under one key; different things get different ones, and none
+    Mail addresses, phone numbers, card numbers with a right check digit, IBANs, social security numbers, IP addresses (version 6
+    compressed too), access keys, passwords and tokens, and names after a title or an introduction are replaced, the
+    names' later mentions in the document too. Letters of any script are replaced by others of it. The same thing gets the
+    same surrogate in the whole corpus under one key (a name: the same part, given name or surname, of the same
+    gender); different things get different ones, no surrogate holds its original, and none
     is an original of the corpus: distinct originals (a small table) are checked by joins, and those that had to be
     re-keyed reach their documents by a join on the row, small unless the corpus fills a format. All others are
     computed from the key where the text is read, so texts need no exchange.
@@ -315,13 +389,14 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     spark = docs.sparkSession
     arrow_session(spark)
     docs = docs.drop("n_entities")
-    keyed = docs.withColumn("surrogate_row", F.xxhash64(F.col("doc_id"), F.col("text")))
-    found = stored(_found(keyed.select(F.col("surrogate_row").alias("row_key"), "text")), "entities")
+    row, note_row, noted_as = (unused(n, docs.columns) for n in ("surrogate_row", "note_row", "surrogate_notes"))
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id"), F.col("text")))
+    found = stored(_found(keyed.select(F.col(row).alias("row_key"), "text")), "entities")
     each = found.select("row_key", F.explode("entities").alias("e")).select("row_key", "e.kind", "e.value")
     changed = stored(rekeyed(stored(each.select("kind", "value").distinct(), "entity-values"), key), "rekeyed")
-    notes = each.distinct().join(changed, ["kind", "value"]).groupBy("row_key").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("surrogate_notes"))
-    notes = stored(notes.withColumnRenamed("row_key", "note_row"), "rekeyed-rows")
-    noted = keyed.join(notes, F.col("surrogate_row") == F.col("note_row"), "left").drop("surrogate_row", "note_row")
+    notes = each.distinct().join(changed, ["kind", "value"]).groupBy("row_key").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(noted_as))
+    notes = stored(notes.withColumnRenamed("row_key", note_row), "rekeyed-rows")
+    noted = keyed.join(notes, F.col(row) == F.col(note_row), "left").drop(row, note_row)
     at, last = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

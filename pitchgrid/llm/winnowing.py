@@ -131,7 +131,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, percent: int = 5) ->
     an item, or the whole of a shorter one; a document's words inside any occurrence of a window are hit, and it is
     contaminated if any is and they make at least ``percent`` of its words.
 
-    Items with equal words form a class. Both sides keep the smallest k-gram hash of each window of 9 5-grams (items
+    Items with equal words form a class, told by a 64-bit hash of them. Items without an item_id hit like others and count
+    together as one item that ``item_ids`` has no name for. Both sides keep the smallest k-gram hash of each window of 9 5-grams (items
     of n < 13 words: their n-gram; documents then keep their n-grams for those lengths), with the up to eight words on
     either side. A bit table of fixed size over the items' keys keeps document fingerprints without a counterpart out
     of the exchange; it may let more through as the benchmark grows, but drops none that matches. Distinct contexts
@@ -141,11 +142,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, percent: int = 5) ->
     Null, empty or wordless texts have no words and no hits, as documents and as items; repeated rows keep their
     number; tables may be empty; other columns of either table are not looked at.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).filter("item_text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("item_text")).filter("item_text is not null")
     canonical = F.array_join(F.regexp_extract_all(F.translate("item_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1)), " ")
-    items = stored(items.select("item_id", canonical.alias("words")).filter("words <> ''"), "benchmark-items")
-    classes = items.groupBy("words").agg(F.min("item_id").alias("class_id"))
-    members = items.join(classes, "words").select("class_id", "item_id").distinct()
+    items = items.select("item_id", canonical.alias("words")).filter("words <> ''")
+    items = stored(items.withColumn("class_id", F.xxhash64("words")), "benchmark-items")
+    classes = items.select("class_id", "words").dropDuplicates(["class_id"])
+    members = items.select("class_id", "item_id").distinct()
     prints = _fingerprints(classes, ["class_id"], "words", None, None)
     prints = stored(prints.select("class_id", F.explode("prints").alias("p")).select("class_id", "p.*").drop("place").distinct(), "benchmark-prints")
     spans = sorted(r.span for r in prints.select("span").distinct().collect())  # 13 values at most
@@ -169,15 +171,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, percent: int = 5) ->
         lambda acc: acc["n"])
     covered = spans_hit.groupBy("id", "row_key").agg(merged.alias("n_hit"), F.sort_array(F.collect_set(F.struct("from", "to"))).alias("hit_spans"))
     named = spans_hit.select("id", "row_key", "class_id").distinct().join(members, "class_id").groupBy("id", "row_key").agg(
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    named = named.select(F.col("id").alias("named_id"), F.col("row_key").alias("named_key"), "item_ids")
+        F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("item_id").isNull().cast("int")).alias("nameless"))
+    named = named.select(F.col("id").alias("named_id"), F.col("row_key").alias("named_key"), "item_ids", "nameless")
     outcome = covered.join(named, F.col("id").eqNullSafe(F.col("named_id")) & (F.col("row_key") == F.col("named_key"))).drop("named_id", "named_key")
     outcome = outcome.withColumnsRenamed({"id": "hit_id", "row_key": "hit_key"})
     judged = found.drop("prints").join(outcome, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("row_key") == F.col("hit_key")), "left").drop("hit_id", "hit_key")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return judged.select(
-        F.col("id").alias("doc_id"), "row_key", "n_words", n_hit.alias("n_hit"), F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"),
+        F.col("id").alias("doc_id"), "row_key", "n_words", n_hit.alias("n_hit"), (F.size(item_ids) + F.coalesce("nameless", F.lit(0))).cast("long").alias("n_items"), item_ids.alias("item_ids"),
         F.coalesce("hit_spans", F.array().cast("array<struct<from:bigint,to:bigint>>")).alias("hit_spans"),
         ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"))
 

@@ -183,6 +183,15 @@ def test_winnowing_of_empty_tables_and_repeated_rows(spark, odd_docs, no_docs):
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
+def test_winnowing_of_items_without_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, text), (None, text + " more"), ("b10", other), ("b9", other)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, text), (2, f"{text} {other}"), (3, "w1 w2"), (4, text)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, list(r.item_ids), r.contaminated) for r in winnowing.contamination(docs, bench).collect()}
+    assert got == {1: (40, 1, [], True), 2: (60, 3, ["b10", "b9"], True), 3: (0, 0, [], False), 4: (40, 1, [], True)}
+
+
 def test_winnowing_selects_in_every_window():
     rnd = np.random.default_rng(1)
     hashed, first = rnd.integers(0, 4, 500).astype(np.uint64), np.array([0, 200, 200, 212, 500])
@@ -420,5 +429,33 @@ def test_surrogates_over_a_table(spark, odd_docs):
     assert surrogates.replace_entities(odd_docs, KEY).count() == odd_docs.count()
 
 
+def test_no_surrogate_holds_its_original(spark):
+    """Other scripts, signs alone, compressed addresses, clashing column names."""
+    private = {
+        "email": ["иван@почта.рф", "λόγος@δοκιμή.gr", "x@y.org", "用户@例子.中国", "josé.Ñandú@Müller.de"],
+        "secret": ["пароль-секрет", "------", "密码密码密码", "!!??!!??", "k9k9k9k9k9", "ÀÉÎõü-ß-ÿ"],
+        "ipv6": ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:DB8::8A2E:370:7334"],
+        "card": ["4111 1111 1111 1111", "5500005555555559"]}
+    lead = {"secret": "password="}
+    rows = [(i, f"see; {lead.get(k, '')}{v}; and; {lead.get(k, '')}{v}; there", 3, "a", "b", [1]) for i, (k, v) in enumerate((k, v) for k, vs in private.items() for v in vs)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, surrogate_row int, note_row string, n_entities string, surrogate_notes array<int>")
+    got = surrogates.replace_entities(table, KEY)
+    assert got.columns == ["doc_id", "text", "surrogate_row", "note_row", "surrogate_notes", "n_entities"]
+    done = {r.doc_id: r for r in got.collect()}
+    for i, text, *_ in rows:
+        original = text.split("; ")[1]
+        one, two = done[i].text.split("; ")[1], done[i].text.split("; ")[3]
+        assert one == two and done[i].n_entities == 2 and done[i].surrogate_row == 3
+        assert original.removeprefix("password=").lower() not in done[i].text.lower()
+    assert {r.doc_id for r in done.values()} == set(range(len(rows)))
+    assert done[0].text.split("; ")[1].endswith(".рф") and re.fullmatch("[а-яё]{4}@[а-яё]{5}.рф", done[0].text.split("; ")[1])
+    assert "::" in done[11].text and "::" in done[12].text
+
+
+def test_what_is_no_card_and_no_address_stays(spark):
+    texts = ["order 9807915762804490 of 7086638319846192", "std::cout << a::b; 10:30::", "at 12:30:45 see abc::def", "dead::beef"]
+    assert all(surrogates.replaced(t, KEY, {}) == (t, 0) for t in texts)
+
+
 def test_items_digest_is_of_sorted_ids():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

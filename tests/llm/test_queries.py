@@ -1,5 +1,6 @@
 """The numbered queries against SQL, and the pipeline against a plain version, on the given tables."""
 
+import random
 import re
 import zlib
 from pathlib import Path
@@ -40,6 +41,25 @@ def test_same_rows_as_sql(spark, sql, name):
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(str, (tuple(r[names.index(c)] for c in cols) for r in cur.fetchall())))
 
 
+def test_divergence_sql_with_languages_on_either_side_of_the_bound(spark, tmp_path):
+    """A language of 9,000 words has a word reference, one of 3,000 has none and loses no text for its words."""
+    rnd = random.Random(3)
+    rows, word = [], lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9)))
+    for lang, letters, texts in (("aa", "abcdefg", 180), ("bb", "hijklmn", 60), ("cc", "opqrstu", 20), (None, "abhiop", 10)):
+        often, seldom = [word(letters)[:5] for _ in range(12)], [word(letters) for _ in range(900)]
+        rows += [(lang, " ".join(rnd.choice(often if rnd.random() < share else seldom) for _ in range(150))) for i in range(texts) for share in [0.5 if i % 9 else 0.02]]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cols = ["doc_id", "kept", "base_failed", "n_words"]
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES['op3_divergence']})").fetchall()
+    got = [tuple(r[c] for c in cols) for r in QUERIES["op3_divergence"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    lost = {rows[i][0] for i, kept, *_ in got if not kept}
+    assert {"aa", "bb"} <= lost and "cc" not in lost
+
+
 def test_groups_over_the_given_documents(spark, sql):
     docs = sql.execute("SELECT doc_id, text FROM documents").fetchall()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op7_signature_join"](spark, SF).collect()}
