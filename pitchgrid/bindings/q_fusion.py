@@ -8,14 +8,12 @@ from pitchgrid.bindings.registry import query
 from pitchgrid.bindings.tables import fixtures, match_events, provider_records
 from pitchgrid.functions import text as X
 from pitchgrid.plans import fusion as U
-from pitchgrid.shared import cut
-from pitchgrid.settings import FUSED_FIELDS
+from pitchgrid.settings import FUSED_FIELDS, STRUCTURAL_TOKENS
 
 PRIORS = {"alpha": 0.95, "beta": 0.90, "gamma": 0.80}
 PR = ("provider_records",)
 
-_NOISE = ", ".join(f"'{t}'" for t in (
-    "fc", "afc", "cf", "&", "ac", "acf", "as", "bc", "calcio", "cfc", "foot", "hsc", "ogc", "osc", "rc", "ss", "us"))
+_NOISE = ", ".join(f"'{t}'" for t in STRUCTURAL_TOKENS)
 
 
 def key_sql(col: str) -> str:
@@ -27,10 +25,11 @@ def key_sql(col: str) -> str:
 ALIAS_SQL = "CASE {k} WHEN 'atletico l0 t0' THEN 'athletic l0 t0' ELSE {k} END"
 _F = ", ".join(FUSED_FIELDS)
 RESOLVED = f"""
-keyed AS (SELECT source, seq, date, league, {ALIAS_SQL.format(k='hk')} AS home_key, {ALIAS_SQL.format(k='ak')} AS away_key, {_F}
-  FROM (SELECT *, {key_sql('home')} AS hk, {key_sql('away')} AS ak FROM provider_records)),
-resolved AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY date, home_key, away_key, source ORDER BY seq DESC) = 1),
-facts AS (UNPIVOT (SELECT date, home_key, away_key, source, {', '.join(f'{f}::DOUBLE AS {f}' for f in FUSED_FIELDS)} FROM resolved) ON {_F} INTO NAME field VALUE value)"""
+names AS MATERIALIZED (SELECT name, {ALIAS_SQL.format(k='k')} AS key FROM (SELECT name, {key_sql('name')} AS k FROM (SELECT home AS name FROM provider_records UNION SELECT away FROM provider_records))),
+keyed AS (SELECT source, seq, date, league, h.key AS home_key, a.key AS away_key, {_F}
+  FROM provider_records p JOIN names h ON h.name = p.home JOIN names a ON a.name = p.away),
+resolved AS MATERIALIZED (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY date, home_key, away_key, source ORDER BY seq DESC) = 1),
+facts AS MATERIALIZED (UNPIVOT (SELECT date, home_key, away_key, source, {', '.join(f'{f}::DOUBLE AS {f}' for f in FUSED_FIELDS)} FROM resolved) ON {_F} INTO NAME field VALUE value)"""
 
 
 def cells_sql(a="0.95", b="0.90", g="0.80", suffix="") -> str:
@@ -38,7 +37,7 @@ def cells_sql(a="0.95", b="0.90", g="0.80", suffix="") -> str:
     return f"""
 clusters{suffix} AS (SELECT date, home_key, away_key, field, value, sum({prior} ORDER BY source) AS weight, max({prior}) AS top,
     list(source ORDER BY source) AS sources FROM facts GROUP BY ALL),
-cells{suffix} AS (SELECT date, home_key, away_key, field, value, weight / sum(weight) OVER w AS confidence,
+cells{suffix} AS MATERIALIZED (SELECT date, home_key, away_key, field, value, weight / sum(weight) OVER w AS confidence,
     count(*) OVER w = 1 AS agreed, sources, sum(len(sources)) OVER w AS n_claims
   FROM clusters{suffix}
   WINDOW w AS (PARTITION BY date, home_key, away_key, field)
@@ -137,7 +136,7 @@ SKEWED = {"alpha": 0.90, "beta": 0.50, "gamma": 0.95}
   SELECT a.date::VARCHAR AS date, a.home_key, a.away_key, a.field, R(a.value) AS before, R(b.value) AS after
   FROM cells a JOIN cells2 b USING (date, home_key, away_key, field) WHERE a.value <> b.value""", PR)
 def x03(spark, d):
-    rows = cut(_resolved(spark, d))
+    rows = _resolved(spark, d)
     before = U.fuse(rows, SKEWED)
     after = U.fuse(rows, U.measured_reliability(before))
     return U.flips(before, after)

@@ -104,18 +104,14 @@ def provider_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fx.select("seq", F.col("date"), "league", "home", "away", "cents", *[e.alias(n) for n, e in stats.items()])
     def team(name, fmt):
         return F.format_string(fmt, F.col("league"), F.col(name))
-    alpha = base.select(F.lit("alpha").alias("source"), "seq", "date", "league", "cents",
-                        team("home", "Atlético %s %s FC").alias("home"), team("away", "Atlético %s %s FC").alias("away"), *stats)
-    beta = base.where(_mod(F.col("seq"), 4) != 0).select(
-        F.lit("beta").alias("source"), "seq", "date", "league", "cents",
-        team("home", "CF ATLETICO %s-%s 1907").alias("home"), team("away", "CF ATLETICO %s-%s 1907").alias("away"),
-        *[(F.col(n) + F.when(_mod(c + i, 17) == 0, 1).otherwise(0)).cast("int").alias(n) for i, n in enumerate(stats)])
-    gamma = base.where(_mod(F.col("seq"), 3) != 0).select(
-        F.lit("gamma").alias("source"), "seq", "date", "league", "cents",
-        team("home", "Atlètico %s.%s").alias("home"), team("away", "Atlètico %s.%s").alias("away"),
-        *[F.when(_mod(c + i, 5) != 0, F.col(n) + F.when(_mod(c + i, 11) == 0, 1).otherwise(0)).cast("int").alias(n)
-          for i, n in enumerate(stats)])
-    return alpha.unionByName(beta).unionByName(gamma)
+    def record(source, fmt, values):
+        return F.struct(F.lit(source).alias("source"), "seq", "date", "league", "cents", team("home", fmt).alias("home"), team("away", fmt).alias("away"), *values)
+    off = lambda i, every: F.when(_mod(c + i, every) == 0, 1).otherwise(0)
+    alpha = record("alpha", "Atlético %s %s FC", [F.col(n).cast("int").alias(n) for n in stats])
+    beta = record("beta", "CF ATLETICO %s-%s 1907", [(F.col(n) + off(i, 17)).cast("int").alias(n) for i, n in enumerate(stats)])
+    gamma = record("gamma", "Atlètico %s.%s", [F.when(_mod(c + i, 5) != 0, F.col(n) + off(i, 11)).cast("int").alias(n) for i, n in enumerate(stats)])
+    told = F.array_compact(F.array(alpha, F.when(_mod(F.col("seq"), 4) != 0, beta), F.when(_mod(F.col("seq"), 3) != 0, gamma)))
+    return base.select(F.explode(told).alias("r")).select("r.*")
 
 
 def player_actions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ range of sequence numbers), so a hot key is spread over its buckets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,24 +112,42 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def mid_rank(df: DataFrame, keys: list[str], value: str, name: str, slots: int = 4096) -> DataFrame:
+def _spread_join(df: DataFrame, table: DataFrame, keys: list[str], weight: str, extra: list[str], most: int = 1000) -> DataFrame:
+    """``df`` with the columns ``extra`` of ``table`` (one row a key, ``weight``: its rows in ``df``), whatever key is hot.
+
+    Keys that hold more than a ``most``-th of all rows are fewer than ``most``; they are broadcast. The rest meet in an equi-join, in
+    which rows that are served already have a key of their own each, so they are dealt evenly.
+    """
+    total = table.agg(F.sum(weight).alias("__all"))
+    marked = table.crossJoin(F.broadcast(total))  # one row
+    hot = marked.where(F.col(weight) * most > F.col("__all")).select(*keys, F.struct(*extra).alias("__hot"))
+    cold = marked.where(F.col(weight) * most <= F.col("__all")).select(*keys, F.struct(*extra).alias("__cold"), F.lit(-1).alias("__turn"))
+    left, right = df.alias("l"), F.broadcast(hot).alias("r")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    served = left.join(right, reduce(lambda x, y: x & y, same), "left").select("l.*", "r.__hot")
+    turn = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)).cast("int")).otherwise(-1)
+    joined = _join_back(served.withColumn("__turn", turn), cold, [*keys, "__turn"])
+    return joined.select(*df.columns, *[F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in extra])
+
+
+def mid_rank(df: DataFrame, keys: list[str], value: str, name: str, slots: int = 256) -> DataFrame:
     """Percentile (below + ties / 2) / n of ``value`` inside its cohort.
 
-    Values are first reduced to distinct value counts; counts are then accumulated over
-    ``slots`` equal-width value ranges and inside each range.
+    Values are first reduced to distinct value counts; counts are then accumulated over ``slots`` ranges with about as many distinct
+    values each (so an outlier does not draw all others into one) and inside each range. The percentile goes back to
+    the rows by value; a value that many rows share does not meet in one task.
     """
     known = df.where(F.col(value).isNotNull())
-    span = known.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"),
-                                    F.count("*").alias("__n"))
     counts = known.groupBy(*keys, value).agg(F.count("*").alias("__ties"))
+    marks = [(i + 1) / slots for i in range(slots - 1)]
+    span = counts.groupBy(*keys).agg(F.percentile_approx(value, marks, 10 * slots).alias("__marks"), F.sum("__ties").alias("__n"))
     counts = _join_back(counts, span, keys) if keys else counts.crossJoin(F.broadcast(span))
-    counts = counts.withColumn("__slot", F.coalesce(F.floor(F.try_divide(
-        (F.col(value) - F.col("__lo")) * (slots - 1), F.col("__hi") - F.col("__lo"))), F.lit(0)))
+    counts = counts.withColumn("__slot", F.size(F.filter("__marks", lambda m: m < F.col(value)))).drop("__marks")
     below = running_sums(counts, [*keys], F.col("__slot"), [F.col(value)],
                          {"__below": F.col("__ties")}, inclusive=False)
     table = below.select(
-        *keys, value, ((F.col("__below") + 0.5 * F.col("__ties")) / F.col("__n")).alias(name))
-    return _join_back(df, table, [*keys, value])
+        *keys, value, "__ties", ((F.col("__below") + 0.5 * F.col("__ties")) / F.col("__n")).alias(name))
+    return _spread_join(df, table, [*keys, value], "__ties", [name])
 
 
 def multiset_new(incoming: DataFrame, stored: DataFrame, key: list[str], order: list[Column],

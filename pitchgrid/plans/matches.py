@@ -303,7 +303,8 @@ def match_detail(matches: DataFrame, facts: DataFrame, digests: DataFrame) -> Da
 
 
 def named_events(events: DataFrame, names: DataFrame) -> DataFrame:
-    return events.join(names.select("player_id", "name"), "player_id", "left")
+    """Events with their players' names; a player's events are spread, however many they are."""
+    return salted_join(events, names.select("player_id", "name"), ["player_id"], ["match_id", "minute"], "left")
 
 
 def real_duration(events: DataFrame, stream: DataFrame | None = None) -> DataFrame:

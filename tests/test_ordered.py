@@ -1,6 +1,9 @@
 """Two-level ordered operators against plain Python."""
 
 import random
+from bisect import bisect_left, bisect_right
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -106,3 +109,25 @@ def test_nearest_paths_agree_with_brute_force(spark):
     for opts in ({}, {"block": 10, "slice_rows": 17}):
         got = {(r.target, r.rank): r.candidate for r in nearest(df, df, 4, **opts).collect()}
         assert got == want
+
+
+def test_percentiles_of_a_value_that_most_rows_share_and_an_outlier(spark):
+    """90 % of the rows hold one value, one value is far from all others, and cohorts may be null."""
+    rnd = random.Random(5)
+    rows = [("a" if i % 4 else None, 7.0 if rnd.random() < 0.9 else rnd.choice([1e12, rnd.random(), float(rnd.randint(0, 5))]), i) for i in range(4000)] + [("b", None, -1), ("b", 2.0, -2)]
+    df = spark.createDataFrame(rows, "cohort string, v double, i long")
+    got = {r.i: r.pct for r in O.mid_rank(df, ["cohort"], "v", "pct", slots=16).collect()}
+    assert len(got) == len(rows) and got[-1] is None and got[-2] == 0.5
+    for cohort in ("a", None):
+        own = sorted(v for c, v, i in rows if c == cohort)
+        for c, v, i in rows:
+            if c == cohort:
+                assert got[i] == pytest.approx((bisect_left(own, v) + 0.5 * (bisect_right(own, v) - bisect_left(own, v))) / len(own))
+    plain = {r.i: r.pct for r in O.mid_rank(df.drop("cohort"), [], "v", "pct").collect()}
+    assert plain[-1] is None and max(p for p in plain.values() if p) < 1
+
+
+def test_slots_follow_distinct_values_not_the_range(spark):
+    df = spark.range(5000).select(F.when(F.col("id") == 0, 1e15).otherwise(F.col("id").cast("double")).alias("v"))
+    plan = O.mid_rank(df, [], "v", "pct", slots=50)
+    assert plan.count() == 5000 and plan.agg(F.max("pct")).first()[0] == pytest.approx(4999.5 / 5000)
