@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import functions as F
 
+from pitchgrid.bindings import q_matches, q_models, q_players, q_state
 from pitchgrid.bindings import state_sql as Q
-from pitchgrid.bindings.registry import query
+from pitchgrid.bindings.registry import ORACLES, query
 from pitchgrid.bindings.tables import knowledge, load, match_events, matches
 from pitchgrid.operators.ordered import multiset_new
 from pitchgrid.plans import knowledge as K
 from pitchgrid.plans import snapshots as S
+from pitchgrid.shared import new_folder
 
 KN = ("knowledge",)
 CTX = ["competition", "season", "match_id", "team", "player_id", "minute"]
@@ -278,6 +281,54 @@ def n07(spark, d):
                   "prediction/poisson", ["match_id", "minute"], F.col("confidence"))
 
 
+def _lifted_sql() -> str:
+    """Number and mean of each field of each kind, from the SQL of the outputs that are lifted."""
+    fields = {
+        "m15_panel": [("pred_goal_next_5min", "", "goal_next_5min"), ("pred_goal_next_10min", "", "goal_next_10min"), ("pred_goal_before_half", "", "goal_before_half"),
+                      ("pred_next_goal", "home", "next_goal_home"), ("pred_next_goal", "away", "1 - next_goal_home"), ("pred_next_goal", "confidence", "confidence")],
+        "m11_outcome_projection": [("sim_outcome", "home", "home_win"), ("sim_outcome", "draw", "draw"), ("sim_outcome", "away", "away_win"), ("sim_expected_goals", "home", "expected_home"),
+                                   ("sim_expected_goals", "away", "expected_away"), ("sim_goal_prob", "any", "goal_any")],
+        "a04_a05_profiles": [("player_profile", "actions", "actions"), ("player_profile", "pass_accuracy", "pass_accuracy"), ("player_profile", "shot_share", "shot_share"), ("player_profile", "confidence", "confidence")],
+        "a30_behaviour_indices": [("behavioral_profile", c, c) for c in ("decision_stability", "pressure_resistance", "aggression_control", "resilience")],
+        "a23_a24_competition_summary": [("competition_strength", "", "goals_per_match")],
+        "f16_match_vectors": [("match_vector", "size", "dim + 1")],
+        "w14_schedule_context": [("team_context", "rest_days", "rest_days"), ("team_context", "congestion", "congestion")],
+    }
+    parts = [f"SELECT '{kind}' AS kind, '{field}' AS field, count({number}) AS n, round(avg({number}), 4) AS mean FROM ({ORACLES[of]})" for of, rows in fields.items() for kind, field, number in rows]
+    return " UNION ALL ".join(parts)
+
+
+def n07_all(spark, d):
+    """All outputs lifted into one table and read back in their types: number and mean of each field."""
+    context = q_matches.w14(spark, d).withColumn("venue", F.lit(None).cast("string"))
+    records = K.lift_outputs(
+        panels=q_state.m15(spark, d), projections=q_models.m11(spark, d), profiles=q_players.a04(spark, d), vectors=q_matches.M.match_vectors(match_events(spark, d)),
+        behaviours=q_players.behaviours(spark, d), contexts=context, strengths=q_matches.a24(spark, d), source_version="closed form")
+    records = stored_records(records)
+    fields = {"pred_next_goal": ("home", "away"), "sim_outcome": ("home", "draw", "away"), "sim_expected_goals": ("home", "away"), "sim_goal_prob": ("any",),
+              "player_profile": ("actions", "pass_accuracy", "shot_share"), "behavioral_profile": ("decision_stability", "pressure_resistance", "aggression_control", "resilience"),
+              "team_context": ("rest_days", "congestion")}
+    long = []
+    for kind in K.LIFTED:
+        rows = K.typed_values(records, kind)
+        values = [F.struct(F.lit(f).alias("field"), F.col(f"value.{f}").cast("double").alias("number")) for f in fields.get(kind, ())]
+        if kind in ("pred_next_goal", "player_profile"):
+            values.append(F.struct(F.lit("confidence").alias("field"), F.col("confidence").alias("number")))
+        if kind == "match_vector":  # every place of the vector counts once
+            values = [F.struct(F.lit("size").alias("field"), (F.col("place") + 1).cast("double").alias("number"))]
+            rows = rows.select("kind", F.posexplode("value").alias("place", "entry"))
+        values = values or [F.struct(F.lit("").alias("field"), F.col("value").cast("double").alias("number"))]
+        long.append(rows.select("kind", F.explode(F.array(*values)).alias("v")).select("kind", "v.*"))
+    every = reduce(lambda a, b: a.unionByName(b), long)
+    return every.groupBy("kind", "field").agg(F.count("number").alias("n"), F.round(F.avg("number"), 4).alias("mean"))
+
+
+def stored_records(records):
+    path = new_folder(records.sparkSession, "lifted")
+    records.write.partitionBy("kind").parquet(path)
+    return records.sparkSession.read.schema(records.schema).parquet(path)
+
+
 @query("j12_u03_t02_multiset_new", """ SELECT event_id FROM (
     SELECT event_id, match_id, type, team, floor(minute) AS m, row_number() OVER (PARTITION BY match_id, type, team, floor(minute) ORDER BY event_id) AS occ FROM match_events)
   LEFT JOIN (SELECT match_id, type, team, floor(minute) AS m, count(*) AS have FROM match_events WHERE event_id % 3 <> 0 GROUP BY ALL) USING (match_id, type, team, m)
@@ -286,3 +337,6 @@ def j12(spark, d):
     ev = match_events(spark, d).withColumn("m", F.floor("minute"))
     stored = ev.where(F.pmod("event_id", F.lit(3)) != 0)
     return multiset_new(ev, stored, ["match_id", "type", "team", "m"], [F.col("event_id")], F.floor(F.col("event_id") / 10000)).select("event_id")
+
+
+query("n07_lifted_outputs", _lifted_sql())(n07_all)

@@ -215,10 +215,10 @@ SELECT match_id, team, player_id, R(s) AS decision_stability, R(p) AS pressure_r
   concat_ws('|', CASE WHEN s IS NULL THEN 'decision_stability' END, CASE WHEN p IS NULL THEN 'pressure_resistance' END, CASE WHEN g IS NULL THEN 'aggression_control' END, CASE WHEN r IS NULL THEN 'resilience' END) AS abstained FROM idx""",
        ("player_actions", "match_events"))
 def a30(spark, d):
-    return _behaviour(spark, d).drop("reasons")
+    return behaviours(spark, d).drop("reasons")
 
 
-def _behaviour(spark, d):
+def behaviours(spark, d):
     prof = _career(spark, d).select("player_id", "actions", "pass_accuracy", "turnover_rate", "dribbles", "dribble_success", "confidence")
     return P.behaviour(prof, match_events(spark, d))
 
@@ -234,7 +234,7 @@ why AS (SELECT match_id, per.team, player_id, unnest([
 SELECT match_id, team, player_id, string_agg(reason, '|' ORDER BY reason) AS reasons FROM why GROUP BY ALL""", ("player_actions", "match_events"))
 def a30_reasons(spark, d):
     said = F.transform(F.map_entries("reasons"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
-    return _behaviour(spark, d).select("match_id", "team", "player_id", F.sort_array(said).alias("reasons"))
+    return behaviours(spark, d).select("match_id", "team", "player_id", F.sort_array(said).alias("reasons"))
 
 
 @query("a31_involvement", """ SELECT g.match_id, g.player_id, (g.slot * 15)::BIGINT AS from_minute, count(e.event_id) AS actions FROM (SELECT match_id, player_id, unnest(range(0, last + 1)) AS slot FROM (

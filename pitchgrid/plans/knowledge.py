@@ -8,6 +8,7 @@ the context columns competition, season, match_id, team, player_id, minute.
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -320,3 +321,80 @@ def lift(df: DataFrame, values: list[str], kind_prefix: str, layer: str, pipelin
     return long.select(
         *context, F.concat(F.lit(kind_prefix), "kind").alias("kind"), F.lit(layer).alias("layer"),
         "value", F.lit("engine").alias("source"), F.lit(pipeline).alias("pipeline_version"), "confidence")
+
+
+#: Where a lifted record belongs; columns that an output lacks are null.
+LIFT_CONTEXT = {"match_id": "string", "minute": "double", "team": "string", "player_id": "string", "competition": "string", "date": "date"}
+#: Per kind: layer, source, pipeline and the type of its value.
+LIFTED = {
+    "pred_goal_next_5min": ("probabilistic", "engine", "prediction/poisson", "double"),
+    "pred_goal_next_10min": ("probabilistic", "engine", "prediction/poisson", "double"),
+    "pred_goal_before_half": ("probabilistic", "engine", "prediction/poisson", "double"),
+    "pred_next_goal": ("probabilistic", "engine", "prediction/poisson", "struct<home:double,away:double>"),
+    "sim_outcome": ("simulated", "simulation", "simulation/closed-form", "struct<home:double,draw:double,away:double>"),
+    "sim_expected_goals": ("simulated", "simulation", "simulation/closed-form", "struct<home:double,away:double>"),
+    "sim_goal_prob": ("simulated", "simulation", "simulation/closed-form", "struct<home:double,away:double,any:double>"),
+    "player_profile": ("derived", "engine", "profiling/dna",
+                       "struct<actions:bigint,pass_accuracy:double,progressive_pass_share:double,key_pass_rate:double,shot_share:double,turnover_rate:double,label:string>"),
+    "match_vector": ("derived", "engine", "similarity/vector", "array<double>"),
+    "behavioral_profile": ("derived", "engine", "behavior/indices",
+                           "struct<decision_stability:double,pressure_resistance:double,aggression_control:double,resilience:double,reasons:map<string,string>>"),
+    "team_context": ("observed", "calendar", "context/schedule", "struct<venue:string,rest_days:bigint,congestion:bigint>"),
+    "competition_strength": ("derived", "engine", "context/competition_strength", "double"),
+}
+
+
+def lift_values(df: DataFrame, values: dict[str, Column], confidence: Column | None = None, source_version: str | None = None) -> DataFrame:
+    """Per row of ``df`` a record of each kind in ``values``: the row's context columns, and the value as a VARIANT of the kind's type; null values give none.
+
+    The id hashes kind, layer, source, context and value, so the same output lifted twice has the same ids. All kinds
+    leave one pass over the rows.
+    """
+    own = {c.lower() for c in df.columns}
+    context = [(F.col(c) if c in own else F.lit(None)).cast(t).alias(c) for c, t in LIFT_CONTEXT.items()]
+    # JSON keeps a lone number, a list or an object alike inside one field.
+    text = lambda kind, v: F.to_json(F.struct(v.cast(LIFTED[kind][3]).alias("v")), {"ignoreNullFields": "false"})
+    told = [F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), *(F.lit(x).alias(n) for n, x in zip(("layer", "source", "pipeline_version"), LIFTED[kind])), text(kind, v).alias("text")))
+            for kind, v in values.items()]
+    conf = (F.lit(None) if confidence is None else confidence).cast("double").alias("confidence")
+    rows = df.select(*context, conf, F.explode(F.array_compact(F.array(*told))).alias("r")).select("r.*", *LIFT_CONTEXT, "confidence")
+    key = content_id(*[F.col(c) for c in ("kind", "layer", "source", *LIFT_CONTEXT, "text")])
+    return rows.withColumns({
+        "source_version": F.lit(source_version).cast("string"), "id": key, "value": F.try_variant_get(F.parse_json("text"), "$.v", "variant")}).drop("text")
+
+
+def typed_values(records: DataFrame, kind: str) -> DataFrame:
+    """The records of one kind with ``value`` in that kind's own type."""
+    return records.where(F.col("kind") == kind).withColumn("value", F.variant_get("value", "$", LIFTED[kind][3]))
+
+
+def lift_outputs(
+    *, panels: DataFrame | None = None, projections: DataFrame | None = None, profiles: DataFrame | None = None, vectors: DataFrame | None = None,
+    behaviours: DataFrame | None = None, contexts: DataFrame | None = None, strengths: DataFrame | None = None, source_version: str | None = None,
+) -> DataFrame:
+    """The engine's outputs, as their plans give them, as records of one table; what is left out is not lifted.
+
+    Panels become predictions, projections simulated records, profiles, vectors and behaviour derived ones; a team's match
+    context is observed, a competition's strength derived. ``projections`` and ``panels`` are pinned to their minute.
+    """
+    out, conf = [], F.col("confidence")
+    if panels is not None:
+        told = {f"pred_{c}": F.col(c) for c in ("goal_next_5min", "goal_next_10min", "goal_before_half")}
+        told["pred_next_goal"] = F.struct(F.col("next_goal_home").alias("home"), (1.0 - F.col("next_goal_home")).alias("away"))
+        out.append(lift_values(panels, told, conf))
+    if projections is not None:
+        sides = {"sim_outcome": ("home_win", "draw", "away_win"), "sim_expected_goals": ("expected_home", "expected_away"), "sim_goal_prob": ("goal_home", "goal_away", "goal_any")}
+        out.append(lift_values(projections, {kind: F.struct(*columns) for kind, columns in sides.items()}, source_version=source_version))
+    if profiles is not None:
+        shares = ("actions", "pass_accuracy", "progressive_pass_share", "key_pass_rate", "shot_share", "turnover_rate", "label")
+        out.append(lift_values(profiles, {"player_profile": F.struct(*shares)}, conf))
+    if vectors is not None:
+        out.append(lift_values(vectors, {"match_vector": F.col("vec")}))
+    if behaviours is not None:
+        indices = ("decision_stability", "pressure_resistance", "aggression_control", "resilience", "reasons")
+        out.append(lift_values(behaviours, {"behavioral_profile": F.struct(*indices)}, conf))
+    if contexts is not None:
+        out.append(lift_values(contexts, {"team_context": F.struct("venue", "rest_days", "congestion")}))
+    if strengths is not None:
+        out.append(lift_values(strengths, {"competition_strength": F.col("goals_per_match")}))
+    return reduce(lambda a, b: a.unionByName(b), out)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.scoring import (
     implied_probabilities, multiclass_brier, multiclass_log_loss, outcome_index, poisson_pmf,
 )
-from pitchgrid.operators.ordered import numbered, running_sums
-from pitchgrid.shared import shared_folder
+from pitchgrid.operators.ordered import running_sums
 from pitchgrid.settings import (
     BURN_IN, ELO_BASE, ELO_HOME, ELO_K, LEAGUE_AWAY_GOALS, LEAGUE_HOME_GOALS, MAX_GOALS, PRIOR_MATCHES,
 )
@@ -78,49 +78,32 @@ def attack_defence(fixtures: DataFrame, prior: float = PRIOR_MATCHES, max_goals:
                     (1.0 - F.col("h0") - F.col("d0")).alias("poisson_a"))
 
 
-def elo(fixtures: DataFrame, block_rows: int = 50_000, *, k: float = ELO_K, home_adv: float = ELO_HOME,
-        base: float = ELO_BASE) -> DataFrame:
+def elo(fixtures: DataFrame, *, k: float = ELO_K, home_adv: float = ELO_HOME, base: float = ELO_BASE) -> DataFrame:
     """Home win expectation before every match, ratings updated after it.
 
-    A league season is inherently sequential; leagues run in parallel. A league is cut
-    into blocks of ``block_rows`` matches and only the ratings (one row per team) pass from
-    block to block, so a task never holds more than one block however large a league is.
-    Ordinary leagues fit the first block and need a single pass.
+    A league season is inherently sequential; leagues run in parallel. Each is one pass over its matches in order, which
+    stream through the task: it holds the ratings, a number a team, and a batch of rows, however long a league is.
     """
-    ranked = numbered(fixtures.select(*LEAGUE, "seq", "date", "home", "away", "home_goals", "away_goals"),
-                      LEAGUE, _bucket(), [F.col("date"), F.col("seq")], "rn")
-    ranked = ranked.withColumn("block", F.floor((F.col("rn") - 1) / block_rows))
-    out_schema = "league string, season string, seq long, team string, value double"
-
-    def walk(key, matches: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        rating = dict(zip(state["team"], state["value"]))
-        rows = []
-        matches = matches.sort_values("rn")
-        for seq, h, a, hg, ag in zip(matches["seq"], matches["home"], matches["away"], matches["home_goals"], matches["away_goals"]):
-            rh, ra = rating.get(h, base), rating.get(a, base)
-            expected = 1.0 / (1.0 + 10.0 ** (-(rh + home_adv - ra) / 400.0))
-            rows.append((*key, seq, None, expected))
-            delta = k * ((1.0 if hg > ag else 0.5 if hg == ag else 0.0) - expected)
-            rating[h] = rh + delta
-            rating[a] = rating.get(a, base) - delta
-        rows += [(*key, None, team, value) for team, value in rating.items()]
-        return pd.DataFrame(rows, columns=["league", "season", "seq", "team", "value"]).astype({"seq": "Int64"})
-
-    spark = fixtures.sparkSession
-    shared_folder(spark)
-    state = spark.createDataFrame([], "league string, season string, team string, value double")
-    blocks = ranked.agg(F.max("block").alias("b")).first()["b"]
-    if blocks is None:
-        return ranked.select(*LEAGUE, "seq", F.lit(None).cast("double").alias("expected_home")).limit(0)
-    done = None
-    for b in range(int(blocks) + 1):
-        step = ranked.where(F.col("block") == b).groupBy(*LEAGUE).cogroup(state.groupBy(*LEAGUE)).applyInPandas(walk, out_schema)
-        if blocks > 0:
-            step = step.checkpoint()
-        state = step.where("team IS NOT NULL").select(*LEAGUE, "team", "value")
-        part = step.where("seq IS NOT NULL").select(*LEAGUE, "seq", F.col("value").alias("expected_home"))
-        done = part if done is None else done.unionByName(part)
-    return done
+    ordered = fixtures.select(*LEAGUE, "date", "seq", "home", "away", "home_goals", "away_goals").repartition(*LEAGUE).sortWithinPartitions(*LEAGUE, "date", "seq")
+    rows = ordered.select(*LEAGUE, "seq", "home", "away", "home_goals", "away_goals")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        league, rating = None, {}
+        for batch in batches:
+            expectations = []
+            for *own, h, a, hg, ag in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6))):
+                if own != league:
+                    league, rating = own, {}
+                rh, ra = rating.get(h, base), rating.get(a, base)
+                expected = 1.0 / (1.0 + 10.0 ** (-(rh + home_adv - ra) / 400.0))
+                expectations.append(expected)
+                delta = k * ((1.0 if hg > ag else 0.5 if hg == ag else 0.0) - expected)
+                rating[h] = rh + delta
+                rating[a] = rating.get(a, base) - delta
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(expectations, pa.float64())], names=[*LEAGUE, "seq", "expected_home"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(walk, ", ".join([*(f"{c} {kinds[c]}" for c in (*LEAGUE, "seq")), "expected_home double"]))
 
 
 def predictions(fixtures: DataFrame) -> DataFrame:

@@ -205,3 +205,23 @@ def test_consensus_ties_and_zero_weight(spark):
     df = spark.createDataFrame([("a", "y", 1.0), ("a", "x", 1.0), ("b", "z", 0.0)], "k string, claim string, weight double")
     got = {r.k: (r.claim, r.agreement) for r in U.consensus(df, ["k"]).collect()}
     assert got == {"a": ("x", 0.5), "b": (None, 0.0)}
+
+
+def test_lifted_values_keep_type_context_and_identity(spark):
+    panels = spark.createDataFrame([("m", 10, 0.1, 0.2, None, 0.75, 0.9)], "match_id string, minute int, goal_next_5min double, goal_next_10min double, goal_before_half double, next_goal_home double, confidence double")
+    vectors = spark.createDataFrame([("m", [0.5, None, 1.0])], "match_id string, vec array<double>")
+    behaviours = spark.createDataFrame([("m", "HOME", "p", 0.4, None, 0.9, 0.3, 0.8, {"leadership": "no_conduct_signals"})],
+                                       "match_id string, team string, player_id string, decision_stability double, pressure_resistance double, aggression_control double, resilience double, confidence double, reasons map<string,string>")
+    strengths = spark.createDataFrame([("C", 2.5)], "competition string, goals_per_match double")
+    records = K.lift_outputs(panels=panels, vectors=vectors, behaviours=behaviours, strengths=strengths)
+    assert dict(records.dtypes)["value"] == "variant"
+    assert sorted(r.kind for r in records.select("kind").collect()) == [
+        "behavioral_profile", "competition_strength", "match_vector", "pred_goal_next_10min", "pred_goal_next_5min", "pred_next_goal"]  # a null prediction is none
+    one = lambda kind: K.typed_values(records, kind).first()
+    assert (one("pred_next_goal").value.home, one("pred_next_goal").value.away) == (0.75, 0.25) and one("pred_goal_next_5min").minute == 10.0
+    assert one("pred_next_goal").confidence == 0.9 and one("pred_next_goal").layer == "probabilistic" and one("match_vector").value == [0.5, None, 1.0]
+    b = one("behavioral_profile")
+    assert (b.value.pressure_resistance, b.value.reasons, b.team, b.player_id) == (None, {"leadership": "no_conduct_signals"}, "HOME", "p")
+    assert one("competition_strength").value == 2.5 and one("competition_strength").competition == "C"
+    ids = lambda r: sorted(x.id for x in r.select("id").collect())
+    assert ids(records) == ids(K.lift_outputs(strengths=strengths, panels=panels, behaviours=behaviours, vectors=vectors)) and len(set(ids(records))) == 6

@@ -65,17 +65,24 @@ def _fixtures(spark, n=40, seed=5):
     return rows, spark.createDataFrame(rows, FIX)
 
 
-def test_elo_blocks_equal_one_pass(spark):
+def test_elo_is_the_same_for_any_batches_and_split(spark):
     rows, df = _fixtures(spark)
+    other = df.withColumn("league", F.lit(None).cast("string")).withColumn("seq", F.col("seq") + 1000)
     rating, want = {}, {}
     for _, _, seq, _, h, a, hg, ag, *_ in rows:
         e = 1 / (1 + 10 ** (-(rating.get(h, 1500) + 60 - rating.get(a, 1500)) / 400))
         want[seq] = e
         delta = 20 * ((1 if hg > ag else 0.5 if hg == ag else 0) - e)
         rating[h], rating[a] = rating.get(h, 1500) + delta, rating.get(a, 1500) - delta
-    for size in (1000, 7):
-        got = {r.seq: r.expected_home for r in R.elo(df, block_rows=size).collect()}
+    want |= {seq + 1000: e for seq, e in want.items()}  # a league without a name goes its own way
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    for size in ("1000", "7"):
+        spark.conf.set(name, size)
+        got = {r.seq: r.expected_home for r in R.elo(df.unionByName(other).repartition(5)).collect()}
         assert got == pytest.approx(want)
+    spark.conf.set(name, was)
+    assert R.elo(df.limit(0)).collect() == []
 
 
 def test_attack_defence_reads_only_earlier_matches(spark):
