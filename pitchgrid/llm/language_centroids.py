@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.common import U64, arrow_session, mix, pieces, stored, utf8
+from pitchgrid.llm.common import U64, Lookup, arrow_session, letters_only, pieces, stored, utf8
 
 #: Code points of the n-grams: three of 21 bits are one exact key. Words stand between spaces, so a single letter is one too.
 GRAM = 3
@@ -26,18 +26,6 @@ PRODUCTS = 1 << 22
 # --------------------------------------------------------------------------- #
 # n-grams
 # --------------------------------------------------------------------------- #
-def letters_only(texts: pa.Array) -> pa.Array:
-    """Lower-cased texts whose words of letters (and their marks) stand between single spaces; without a letter: empty.
-
-    A run of other characters is one space, and one space stands before the first and after the last word.
-    """
-    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    spaced = pc.replace_substring_regex(low, r"[^\p{L}\p{M}]+", " ")
-    has = pc.match_substring_regex(spaced, r"\p{L}")
-    none, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
-    return pc.if_else(has, pc.binary_join_element_wise(none, pc.utf8_trim(spaced, " "), none, space), none)
-
-
 def gram_keys(clean: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs [i, j) of texts as of :func:`letters_only`: the row (from i) and the exact key of every n-gram."""
     data, offsets = utf8(clean)
@@ -52,41 +40,6 @@ def gram_keys(clean: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield i, j, row[:len(key)][whole], key[whole]
 
 
-class Lookup:
-    """Places of keys in a sorted vocabulary (-1: not there): two hash tables, the few keys that clash twice by search."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary = vocabulary
-        self.bits = max(8, int(np.ceil(np.log2(max(len(vocabulary), 1) * 8))))
-        self.tables, left = [], np.arange(len(vocabulary))
-        for seed in (1, 2):
-            table = np.full(1 << self.bits, -1, np.int32)
-            table[self._slot(vocabulary[left], seed)] = left
-            self.tables.append(table)
-            left = left[table[self._slot(vocabulary[left], seed)] != left]
-        self.rest = left
-
-    def _slot(self, keys: np.ndarray, seed: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys + U64(seed)) * U64(0x9E3779B97F4A7C15) >> U64(64 - self.bits)).astype(np.int64) if seed == 1 else (mix(keys) >> U64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.full(len(keys), -1, np.int64)
-        out = np.full(len(keys), -1, np.int64)
-        left = np.arange(len(keys))
-        for seed, table in zip((1, 2), self.tables):
-            place = table[self._slot(keys[left], seed)]
-            hit = (place >= 0) & (self.vocabulary[np.maximum(place, 0)] == keys[left])
-            out[left[hit]] = place[hit]
-            left = left[~hit]
-        if len(self.rest) and len(left):
-            at = np.minimum(np.searchsorted(self.vocabulary, keys[left]), len(self.vocabulary) - 1)
-            hit = self.vocabulary[at] == keys[left]
-            out[left[hit]] = at[hit]
-        return out
-
-
 def counted(clean: pa.Array, lookup: Lookup) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs [i, j) of texts: row, term and count of every distinct known n-gram, by row, then term; row and count of the others."""
     width = max(len(lookup.vocabulary), 1)

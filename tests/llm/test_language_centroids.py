@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pitchgrid.llm import common
 from pitchgrid.llm import language_centroids as centroids
 
 SYLLABLES = {"aa": "the ing tion and wh sh ed".split(), "bb": "ñor qué los ción el ar".split(), "cc": "щик ный ого это да ет".split()}
@@ -49,7 +50,7 @@ def test_cosines_match_a_plain_version(learnt):
     frequency = Counter(g for _, t in known for g in grams_of(t))
     place = {g: i for i, g in enumerate(grams)}
     texts = [t for _, _, t in rows[:60]]
-    names, score, _ = model.judge(pa.array(texts), centroids.Lookup(model.vocabulary))
+    names, score, _ = model.judge(pa.array(texts), common.Lookup(model.vocabulary))
     for text, name, own in zip(texts, names, score):
         vector, others = np.zeros(len(grams)), []
         for g, n in grams_of(text).items():
@@ -92,5 +93,5 @@ def test_nothing_to_learn_from(spark):
 def test_lookup_finds_every_key_and_no_other():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 2 ** 63, 30_000, dtype=np.uint64))
-    find = centroids.Lookup(keys[::2])
+    find = common.Lookup(keys[::2])
     assert (find(keys[::2]) == np.arange(len(keys[::2]))).all() and (find(keys[1::2]) == -1).all()

@@ -231,22 +231,57 @@ def test_mixing_reaches_targets(spark, odd_docs, no_docs):
 
 
 # ------------------------------------------------------------------ 6 and 9 classifiers
-def test_block_max_is_exact():
+def brute_terms(text):
+    found = re.findall(r"[^\W\d_]+", (text or "").lower())
+    out = Counter(found)
+    for n in toxicity.STEMS:
+        out.update(f"{w[:n]}~" for w in found if len(w) > n)
+    return out | Counter({"*": len(found)}) if found else out
+
+
+@pytest.mark.parametrize("dense", [2, 16, 10_000])
+def test_block_max_is_exact(dense):
+    """Cosines against a plain version over text terms, for lists of any density."""
     rnd = random.Random(4)
-    examples = [toxicity.terms_of(words(rnd, rnd.randint(1, 30), "abc")) for _ in range(700)] + [Counter()]
-    terms = {t: i for i, t in enumerate(sorted({t for e in examples for t in e}))}
-    idf = np.linspace(0.1, 3, len(terms))
-    index = toxicity.build_index(examples, terms, idf, block=32)
-    dense = np.zeros((len(examples), len(terms)))
-    for d, e in enumerate(examples):
-        ids, w = index.query(e)
-        dense[d, ids] = w
-    for _ in range(80):
-        ids, w = index.query(toxicity.terms_of(words(rnd, rnd.randint(1, 40), "abc")))
-        exact = np.round(dense[:, ids] @ w, 9)
-        order = [i for i in np.lexsort((np.arange(len(exact)), -exact)) if exact[i] > 0][:15]
-        near, cosine = index.nearest(ids, w, 15)
-        assert np.allclose(exact[order], cosine, atol=2e-9) and sum(a != b for a, b in zip(order, near)) <= 2
+    texts = [words(rnd, rnd.randint(1, 30), "abcé") + " éabcabc Éabcab" * rnd.randint(0, 1) for _ in range(300)] + ["", None, "12 !", "ab"]
+    found = toxicity.example_terms(pa.array(texts))
+    vocabulary, term = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    example = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
+    count = np.concatenate([f[1] for f in found])
+    df = np.bincount(term)
+    idf = np.log1p(len(texts) / (1.0 + df))
+    index = toxicity.build_index(example, term, count, len(texts), vocabulary, idf, block=32, dense=dense)
+    plain, often = [brute_terms(t) for t in texts], Counter(t for x in texts for t in brute_terms(x))
+    assert len(often) == len(vocabulary) and sorted(often.values()) == sorted(df.tolist())
+
+    def vector(counts):
+        w = {t: (1 + np.log(n)) * np.log1p(len(texts) / (1.0 + often[t])) for t, n in counts.items() if t in often}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()} if len(w) > 1 else {}
+
+    vectors = [vector(c) for c in plain]
+    lookup = common.Lookup(vocabulary)
+    asked = [words(rnd, rnd.randint(1, 40), "abcé") for _ in range(150)] + texts[-6:]
+    for i, j, row, own, n in toxicity.counted_terms(common.letters_only(pa.array(asked)), lookup):
+        any_term = int(lookup(np.array([toxicity.ANY], np.uint64))[0])
+        got = index.nearest(*toxicity.unit(row, own, n, j - i, idf, any_term), j - i, 15)
+        for text, (near, cosine) in zip(asked[i:j], got):
+            q = vector(brute_terms(text))
+            exact = np.round([sum(x * v.get(t, 0) for t, x in q.items()) for v in vectors], 9)
+            order = [e for e in np.lexsort((np.arange(len(exact)), -exact)) if exact[e] > 0][:15]
+            assert np.allclose(exact[order], cosine, atol=2e-6) and np.allclose(exact[near], cosine, atol=2e-6) and sum(a != b for a, b in zip(order, near)) <= 2
+
+
+def test_examples_that_share_a_line_are_no_copies():
+    """Only true copies with one label go: not texts that share a licence line, whatever their min-hashes."""
+    rnd = random.Random(6)
+    licence = " ".join(f"licence{'abcdefghijklmnopqrstuvwx'[i]}" for i in range(24))
+    texts = [f"{words(rnd, 12, 'abcdefgh')} {licence}" for _ in range(300)]
+    long = words(rnd, 200, "abcdefgh")
+    texts += [long, long + " end", long, "", "", words(rnd, 3), long]
+    labels = np.array([i % 2 for i in range(300)] + [1, 1, 0, 0, 0, 0, 0])
+    gone = toxicity.copies([f[2] for f in toxicity.example_terms(pa.array(texts))], labels)
+    assert np.flatnonzero(gone).tolist() == [301, 306]
 
 
 def labelled(spark, rnd):
