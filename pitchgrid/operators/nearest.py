@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchgrid.operators.ordered import top_k
+from pitchgrid.shared import cut
 
 SCHEMA = "target string, candidate string, similarity double"
 
@@ -36,25 +40,109 @@ def _block_best(t_ids, t_unit, c_ids, c_unit, k: int, same: bool) -> pd.DataFram
     return pd.DataFrame(rows, columns=["target", "candidate", "similarity"])
 
 
-def nearest(targets: DataFrame, candidates: DataFrame, k: int, *, same: bool = True,
-            block: int = 1000, slice_rows: int = 20_000) -> DataFrame:
-    """The k most similar candidates of every target.
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angles between unit vectors; a zero vector stands at a right angle to all, which keeps the triangle inequality."""
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0)) if len(a) and len(b) else np.zeros((len(a), len(b)))
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Pivots, and of the candidates nearest to each: their number and the smallest and largest angle to it."""
+
+    pivots: np.ndarray
+    counts: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def bounds(self, angles: np.ndarray) -> np.ndarray:
+        """Smallest angle that a candidate of each cell can have to vectors at ``angles`` to the pivots; infinite for empty cells."""
+        least = np.maximum(0.0, np.maximum(angles - self.high, self.low - angles))
+        return np.where(self.counts > 0, least, np.inf)
+
+    def first(self, angles: np.ndarray, need: int) -> np.ndarray:
+        """The cells of smallest bound that hold ``need`` candidates together, for each vector."""
+        bounds = self.bounds(angles)
+        order = np.lexsort((angles, bounds), axis=1)
+        held = np.cumsum(self.counts[order], axis=1)
+        out = np.zeros(bounds.shape, bool)
+        np.put_along_axis(out, order, (held - self.counts[order] < need) & (self.counts[order] > 0), axis=1)
+        return out
+
+
+def _cells(candidates: DataFrame, pivots: int) -> tuple[DataFrame, Cells]:
+    """The candidates (cid, cvec) with their cell, stored once, and the cells; ``pivots`` vectors reach the driver, picked by a hash of the id."""
+    known = cut(candidates.where(F.col("vec").isNotNull()).select("id", "vec"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    centres = _unit([r.vec for r in chosen])
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            angles = _angles(_unit(f["vec"]), centres)
+            f["cell"] = angles.argmin(axis=1).astype(np.int32) if len(f) else pd.Series([], dtype=np.int32)
+            f["angle"] = angles.min(axis=1) if len(f) else pd.Series([], dtype=float)
+            yield f
+
+    counts, low, high = np.zeros(len(chosen), np.int64), np.zeros(len(chosen)), np.zeros(len(chosen))
+    if not len(chosen):
+        return known.select(F.col("id").alias("cid"), F.col("vec").alias("cvec"), F.lit(0).alias("cell")), Cells(centres, counts, low, high)
+    placed = known.mapInPandas(place, "id string, vec array<double>, cell int, angle double")
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect():
+        counts[r.cell], low[r.cell], high[r.cell] = r.n, r.low, r.high
+    return placed.select(F.col("id").alias("cid"), F.col("vec").alias("cvec"), "cell"), Cells(centres, counts, low, high)
 
-    Both inputs have (id string, vec array<double>). Blocks of about ``block`` targets meet
-    slices of about ``slice_rows`` candidates in bounded groups, for any number of either:
-    one target block costs one exchange of the candidates. Pairs are never materialised;
-    each block emits k rows per target.
-    """
-    blocks = max(1, -(-targets.count() // block))
-    slices = max(1, -(-candidates.count() // slice_rows))
-    left = targets.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("tb"),
-                          F.explode(F.expr(f"sequence(0L, {slices - 1}L)")).alias("cs"))
-    right = candidates.select(F.col("id").alias("cid"), F.col("vec").alias("cvec"), F.pmod(F.xxhash64("id"), F.lit(slices)).alias("cs"),
-                              F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("tb"))
+
+def _meet(visits: DataFrame, placed: DataFrame, cells: Cells, k: int, same: bool, block: int, slice_rows: int) -> DataFrame:
+    """The k best of every visited (target, cell): about ``block`` targets meet about ``slice_rows`` candidates at a time."""
+    slices = F.element_at(F.array(*[F.lit(int(max(1, -(-n // slice_rows)))) for n in cells.counts]), F.col("cell") + 1)
+    blocks = visits.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row a pivot at most
+    left = visits.join(F.broadcast(blocks), "cell").select(
+        "id", "vec", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("tb"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("cs"))
+    right = placed.join(F.broadcast(blocks), "cell").select(
+        "cid", "cvec", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("tb"), F.pmod(F.xxhash64("cid"), slices).cast("int").alias("cs"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["target", "candidate", "similarity"])
         return _block_best(list(a["id"]), _unit(a["vec"]), b["cid"], _unit(b["cvec"]), k, same)
-    best = left.groupBy("tb", "cs").cogroup(right.groupBy("tb", "cs")).applyInPandas(meet, SCHEMA)
-    return top_k(best, ["target"], [F.round("similarity", 12).desc(), F.col("candidate")], k)
+
+    key = ["cell", "tb", "cs"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, SCHEMA)
+
+
+def visits(targets: DataFrame, cells: Cells, k: int, best: DataFrame | None = None) -> DataFrame:
+    """(id, vec, cell) to look at: first the cells of smallest bound that hold k candidates besides the target itself; with the
+    ``best`` of those, all other cells whose bound reaches the k-th similarity."""
+    rows = targets.where(F.col("vec").isNotNull()).select("id", "vec")
+    if best is not None:
+        kth = best.groupBy(F.col("target").alias("id")).agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(-1.0).alias("kth"))
+        rows = rows.join(kth, "id", "left")
+
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            angles = _angles(_unit(f["vec"]), cells.pivots)
+            open_ = cells.first(angles, k + 1) if len(f) else np.zeros((0, len(cells.counts)), bool)
+            if "kth" in f:
+                reach = np.arccos(np.clip(f["kth"].fillna(-1.0).to_numpy(float), -1.0, 1.0)) + 1e-6
+                open_ = ~open_ & (cells.bounds(angles) <= reach[:, None])
+            at, cell = np.nonzero(open_)
+            yield pd.DataFrame({"id": f["id"].to_numpy()[at], "vec": f["vec"].to_numpy()[at], "cell": cell.astype(np.int32)})
+
+    return rows.mapInPandas(go, "id string, vec array<double>, cell int")
+
+
+def nearest(targets: DataFrame, candidates: DataFrame, k: int, *, same: bool = True,
+            block: int = 1000, slice_rows: int = 20_000, pivots: int = 64) -> DataFrame:
+    """The k most similar candidates of every target; exact.
+
+    Both inputs have (id string, vec array<double>). Candidates are placed in cells around ``pivots`` of them. The
+    triangle inequality of angles bounds how near a cell can come to a target: the cells of smallest bound are looked
+    at first, then only those whose bound reaches the k-th similarity found there. Targets and candidates of a cell
+    meet in bounded groups, for any number of either; pairs are never materialised, each group emits k rows per target.
+    """
+    placed, cells = _cells(candidates, pivots)
+    if not len(cells.counts):
+        return targets.sparkSession.createDataFrame([], SCHEMA + ", rank int")
+    order = [F.round("similarity", 12).desc(), F.col("candidate")]
+    near = cut(top_k(_meet(visits(targets, cells, k), placed, cells, k, same, block, slice_rows), ["target"], order, k).drop("rank"))
+    rest = _meet(visits(targets, cells, k, near), placed, cells, k, same, block, slice_rows)
+    return top_k(near.unionByName(rest), ["target"], order, k)

@@ -3,10 +3,11 @@
 import random
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
+from pitchgrid.operators import nearest as N
 from pitchgrid.operators import ordered as O
 from pitchgrid.operators.nearest import nearest
 
@@ -111,6 +112,34 @@ def test_nearest_paths_agree_with_brute_force(spark):
         assert got == want
 
 
+def test_pruned_search_visits_few_cells_and_loses_nothing(spark):
+    """Clustered vectors, ties, zero and null vectors: brute force agrees, and most cells are never looked at."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 6))
+    rows = [(f"c{i:04d}", (centres[i % 20] + 0.05 * rng.normal(size=6)).tolist()) for i in range(1500)]
+    rows += [("zero", [0.0] * 6), ("same1", rows[3][1]), ("same2", rows[3][1]), ("none", None), ("far", (-centres[0]).tolist())]
+    df = spark.createDataFrame(rows, "id string, vec array<double>")
+    got = {}
+    for r in nearest(df, df, 4, block=100, slice_rows=50, pivots=40).collect():
+        got.setdefault(r.target, {})[r.rank] = (r.candidate, r.similarity)
+    known = [(i, np.array(v)) for i, v in rows if v is not None]
+    ids = np.array([i for i, _ in known])
+    unit = np.array([v / max(np.linalg.norm(v), 1e-300) for _, v in known])
+    assert set(got) == set(ids)
+    for t in [0, 3, 700, 1499, *range(1500, len(known))]:
+        sims = unit @ unit[t]
+        sims[t] = -9
+        want = sorted(zip(-np.round(sims, 12), ids))[:4]
+        assert [got[ids[t]][n + 1][0] for n in range(4)] == [i for _, i in want]
+    placed, cells = N._cells(df, 40)
+    targets = df.where("id like 'c%'")
+    first = N.visits(targets, cells, 4)
+    near = N._meet(first, placed, cells, 4, True, 1000, 1000)
+    share = (first.count() + N.visits(targets, cells, 4, near).count()) / (targets.count() * (cells.counts > 0).sum())
+    assert share < 0.3
+    assert nearest(df.limit(0), df, 3).collect() == [] and nearest(df, df.limit(0), 3).collect() == []
+
+
 def test_percentiles_of_a_value_that_most_rows_share_and_an_outlier(spark):
     """90 % of the rows hold one value, one value is far from all others, and cohorts may be null."""
     rnd = random.Random(5)
