@@ -340,4 +340,4 @@ def v06(spark, d):
 @query("v06_j14_all_nearest_blocked", EMB.format(targets="embeddings", k=3))
 def v06_all(spark, d):
     v = _vectors(spark, d)
-    return nearest(v, v, 3, block=200, slice_rows=300)
+    return nearest(v, v, 3)

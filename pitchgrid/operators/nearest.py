@@ -14,6 +14,8 @@ from pitchgrid.operators.ordered import top_k
 from pitchgrid.shared import cut
 
 SCHEMA = "target string, candidate string, similarity double"
+#: Similarities that a task holds at a time.
+SIMS = 2_000_000
 
 
 def _unit(vectors) -> np.ndarray:
@@ -24,20 +26,33 @@ def _unit(vectors) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _block_best(t_ids, t_unit, c_ids, c_unit, k: int, same: bool) -> pd.DataFrame:
-    """Top k candidates of one block per target; ties by candidate id."""
-    c_ids = np.asarray(c_ids, dtype=object)
+def _block_best(t_ids, t_unit, c_ids, c_unit, k: int, same: bool, least=None) -> pd.DataFrame:
+    """Top k candidates of one block per target, ties by candidate id; about SIMS similarities are held at a time.
+
+    ``least``: similarities below it can be left out, a number a target.
+    """
+    c_ids, t_ids = np.asarray(c_ids, dtype=object), np.asarray(t_ids, dtype=object)
     by_id = np.argsort(c_ids.astype(str), kind="stable")
-    c_ids, sims = c_ids[by_id], t_unit @ c_unit[by_id].T
-    rows = []
-    for t, s in zip(t_ids, sims):
+    c_ids, c_unit = c_ids[by_id], c_unit[by_id]
+    number = pd.factorize(np.concatenate([c_ids, t_ids]))[0]
+    step, parts = max(1, SIMS // max(len(c_ids), 1)), []
+    for i in range(0, len(t_ids), step):
+        sims = t_unit[i:i + step] @ c_unit.T
         if same:
-            s = np.where(c_ids == t, -np.inf, s)
-        # values equal after 12 digits count as ties, so blocking cannot reorder them
-        for j in np.argsort(-np.round(s, 12), kind="stable")[:k]:
-            if np.isfinite(s[j]):
-                rows.append((t, c_ids[j], float(s[j])))
-    return pd.DataFrame(rows, columns=["target", "candidate", "similarity"])
+            sims[number[len(c_ids) + i:len(c_ids) + i + step, None] == number[:len(c_ids)]] = -np.inf
+        floor = np.full(len(sims), -2.0) if least is None else np.asarray(least[i:i + step], float) - 1e-11
+        hit = sims >= floor[:, None]
+        open_ = np.flatnonzero(hit.sum(axis=1) > k)
+        if len(open_):  # values equal after 12 digits count as ties, so blocking cannot reorder them
+            near = np.round(sims[open_], 12)
+            edge = np.partition(near, -k, axis=1)[:, [-k]]
+            over, tie = near > edge, near == edge
+            hit[open_] = over | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k - over.sum(axis=1, keepdims=True)))
+        at, c = np.nonzero(hit)
+        order = np.lexsort((c, -np.round(sims[at, c], 12), at))
+        parts.append((i + at[order], c[order], sims[at, c][order]))
+    at, c, s = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, int), np.empty(0, int), np.empty(0))
+    return pd.DataFrame({"target": t_ids[at], "candidate": c_ids[c], "similarity": s})
 
 
 def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,22 +111,22 @@ def _meet(visits: DataFrame, placed: DataFrame, cells: Cells, k: int, same: bool
     slices = F.element_at(F.array(*[F.lit(int(max(1, -(-n // slice_rows)))) for n in cells.counts]), F.col("cell") + 1)
     blocks = visits.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row a pivot at most
     left = visits.join(F.broadcast(blocks), "cell").select(
-        "id", "vec", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("tb"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("cs"))
+        "id", "vec", "kth", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("tb"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("cs"))
     right = placed.join(F.broadcast(blocks), "cell").select(
         "cid", "cvec", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("tb"), F.pmod(F.xxhash64("cid"), slices).cast("int").alias("cs"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["target", "candidate", "similarity"])
-        return _block_best(list(a["id"]), _unit(a["vec"]), b["cid"], _unit(b["cvec"]), k, same)
+        return _block_best(list(a["id"]), _unit(a["vec"]), b["cid"], _unit(b["cvec"]), k, same, a["kth"].to_numpy(float))
 
     key = ["cell", "tb", "cs"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, SCHEMA)
 
 
 def visits(targets: DataFrame, cells: Cells, k: int, best: DataFrame | None = None) -> DataFrame:
-    """(id, vec, cell) to look at: first the cells of smallest bound that hold k candidates besides the target itself; with the
-    ``best`` of those, all other cells whose bound reaches the k-th similarity."""
+    """(id, vec, cell, kth) to look at: first the cells of smallest bound that hold k candidates besides the target itself; with the
+    ``best`` of those, all other cells whose bound reaches the k-th similarity ``kth`` (-1 before it is known)."""
     rows = targets.where(F.col("vec").isNotNull()).select("id", "vec")
     if best is not None:
         kth = best.groupBy(F.col("target").alias("id")).agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(-1.0).alias("kth"))
@@ -121,23 +136,26 @@ def visits(targets: DataFrame, cells: Cells, k: int, best: DataFrame | None = No
         for f in frames:
             angles = _angles(_unit(f["vec"]), cells.pivots)
             open_ = cells.first(angles, k + 1) if len(f) else np.zeros((0, len(cells.counts)), bool)
+            kth = f["kth"].fillna(-1.0).to_numpy(float) if "kth" in f else np.full(len(f), -1.0)
             if "kth" in f:
-                reach = np.arccos(np.clip(f["kth"].fillna(-1.0).to_numpy(float), -1.0, 1.0)) + 1e-6
+                reach = np.arccos(np.clip(kth, -1.0, 1.0)) + 1e-6
                 open_ = ~open_ & (cells.bounds(angles) <= reach[:, None])
             at, cell = np.nonzero(open_)
-            yield pd.DataFrame({"id": f["id"].to_numpy()[at], "vec": f["vec"].to_numpy()[at], "cell": cell.astype(np.int32)})
+            yield pd.DataFrame({"id": f["id"].to_numpy()[at], "vec": f["vec"].to_numpy()[at], "cell": cell.astype(np.int32), "kth": kth[at]})
 
-    return rows.mapInPandas(go, "id string, vec array<double>, cell int")
+    return rows.mapInPandas(go, "id string, vec array<double>, cell int, kth double")
 
 
 def nearest(targets: DataFrame, candidates: DataFrame, k: int, *, same: bool = True,
-            block: int = 1000, slice_rows: int = 20_000, pivots: int = 64) -> DataFrame:
+            block: int = 4000, slice_rows: int = 20_000, pivots: int = 64) -> DataFrame:
     """The k most similar candidates of every target; exact.
 
     Both inputs have (id string, vec array<double>). Candidates are placed in cells around ``pivots`` of them. The
     triangle inequality of angles bounds how near a cell can come to a target: the cells of smallest bound are looked
     at first, then only those whose bound reaches the k-th similarity found there. Targets and candidates of a cell
-    meet in bounded groups, for any number of either; pairs are never materialised, each group emits k rows per target.
+    meet in bounded groups, for any number of either; pairs are never materialised. A group emits k rows per target at most,
+    after the first cells only those that reach the k-th similarity. Vectors are copied once per ``block`` targets or
+    ``slice_rows`` candidates that they meet, so larger ones move less.
     """
     placed, cells = _cells(candidates, pivots)
     if not len(cells.counts):

@@ -160,3 +160,20 @@ def test_slots_follow_distinct_values_not_the_range(spark):
     df = spark.range(5000).select(F.when(F.col("id") == 0, 1e15).otherwise(F.col("id").cast("double")).alias("v"))
     plan = O.mid_rank(df, [], "v", "pct", slots=50)
     assert plan.count() == 5000 and plan.agg(F.max("pct")).first()[0] == pytest.approx(4999.5 / 5000)
+
+
+def test_the_second_look_of_nearest_sends_only_what_can_win(spark, monkeypatch):
+    """Cells looked at second give no rows below the k-th similarity, ties and copies included, however few similarities a task holds."""
+    rng = np.random.default_rng(7)
+    rows = [(f"r{i:04d}", rng.normal(size=8).round(1).tolist()) for i in range(800)] + [(f"copy{i}", [1.0] * 8) for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, vec array<double>")
+    placed, cells = N._cells(df, 16)
+    near = N.top_k(N._meet(N.visits(df, cells, 3), placed, cells, 3, True, 4000, 20000), ["target"], [F.round("similarity", 12).desc(), F.col("candidate")], 3).drop("rank")
+    second = N.visits(df, cells, 3, near)
+    assert N._meet(second, placed, cells, 3, True, 4000, 20000).count() < second.count()   # 3 a visit before
+    ids, unit = [r[0] for r in rows], N._unit([r[1] for r in rows])
+    whole = N._block_best(ids, unit, ids, unit, 3, True)
+    monkeypatch.setattr(N, "SIMS", 1000)
+    small = N._block_best(ids, unit, ids, unit, 3, True, np.full(len(ids), -1.0))
+    assert whole[["target", "candidate"]].equals(small[["target", "candidate"]]) and len(whole) == 3 * len(rows)
+    assert whole[whole.target == "copy0"].candidate.tolist() == ["copy1", "copy10", "copy11"]
