@@ -369,16 +369,43 @@ class MetricRegistry:
             def packed(held):
                 return pd.DataFrame({"match_id": list(held), "state": [pickle.dumps(s) for s in held.values()]}, dtype=object)
 
-            def close(pdf):
-                states = [pickle.loads(s) for s in pdf["state"]]
-                failed = next((s for s in states if isinstance(s, str) and s.startswith("error: ")), None)
+            def closed(match_id, state):
                 try:
-                    value, summary = (None, failed) if failed else finish(reduce(merge, states))
+                    value, summary = (None, state) if failed(state) else finish(state)
                 except Exception as exc:
                     value, summary = None, f"error: {exc}"
-                return pd.DataFrame([(pdf["match_id"].iloc[0], name, value, summary)], columns=["match_id", "metric", "value", "summary"], dtype=object)
-            states = events.mapInPandas(fold, "match_id string, state binary")
-            return states.groupBy("match_id").applyInPandas(close, "match_id string, metric string, value double, summary string")
+                return match_id, name, value, summary
+
+            def failed(state):
+                return isinstance(state, str) and state.startswith("error: ")
+
+            def joined(a, b):
+                if failed(a) or failed(b):
+                    return a if failed(a) else b
+                try:
+                    return merge(a, b)
+                except Exception as exc:
+                    return f"error: {exc}"
+
+            def close(batches):     # the states of a match stand together
+                columns, key, state, begun = ["match_id", "metric", "value", "summary"], None, None, False
+                for pdf in batches:
+                    out = []
+                    for match_id, packed_state in zip(pdf["match_id"], pdf["state"]):
+                        one = pickle.loads(packed_state)
+                        if begun and match_id == key:
+                            state = joined(state, one)
+                            continue
+                        if begun:
+                            out.append(closed(key, state))
+                        key, state, begun = match_id, one, True
+                    yield pd.DataFrame(out, columns=columns, dtype=object)
+                if begun:
+                    yield pd.DataFrame([closed(key, state)], columns=columns, dtype=object)
+            # a match's rows stand together in a task, so it is stepped over few times and its state moves once
+            states = events.sortWithinPartitions("match_id").mapInPandas(fold, "match_id string, state binary")
+            return states.repartition("match_id").sortWithinPartitions("match_id").mapInPandas(
+                close, "match_id string, metric string, value double, summary string")
         self._metrics[name] = metric
 
     def run(self, events: DataFrame, params: Params = Params()) -> DataFrame:

@@ -126,6 +126,25 @@ def test_metric_errors_become_rows(events):
     assert got["unplannable"].summary.startswith("error") and 0 <= got["chaos"].value <= 1
 
 
+def test_python_metrics_step_over_a_match_once_a_task(spark):
+    """Matches whose rows lie scattered over the batches are not stepped over batch by batch; null ids are a match."""
+    rows = spark.range(4000, numPartitions=2).select(F.when(F.col("id") % 40 > 0, F.concat(F.lit("m"), (F.col("id") % 40).cast("string"))).alias("match_id"), "id")
+    steps = spark.sparkContext.accumulator(0)
+
+    def step(n, pdf):
+        steps.add(1)
+        return n + len(pdf)
+    reg = M.MetricRegistry()
+    reg.register_python("rows", init=int, step=step, merge=lambda a, b: a + b, finish=lambda n: (n, ""))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = [(r.match_id, r.value) for r in reg.run(rows).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=str) == sorted([(None, 100.0), *((f"m{i}", 100.0) for i in range(1, 40))], key=str)
+    assert steps.value <= 2 * (40 + 20)     # 1,600 when every batch holds all matches
+
+
 def test_labels_confidence_and_style(spark):
     schema = "player_id string, name string, team string, position string, " + ", ".join(f"{c} long" for c in P.COUNTERS) + ", matches long"
     base = dict(zip(P.COUNTERS, [0] * 11))
