@@ -14,7 +14,7 @@ from pitchgrid.plans.snapshots import read_state
 from pitchgrid.settings import APPROACHES, ATTACK_TYPES, LANES, RECOMMEND_MIN_GAIN, Params
 
 TOP_COUNTS = 6
-GRID_CELLS = 500_000     # probabilities held at once by a task; wider states take fewer rows at a time
+GRID_CELLS = 100_000     # probabilities held at once by a task; wider states take fewer rows at a time
 
 
 def _lane_sums(tau: float) -> dict:
@@ -51,8 +51,8 @@ def with_slices(states: DataFrame, step_seconds: float = 15.0, mult: tuple[float
         "p_away", F.least(F.lit(1.0), F.col("lam_away") * mult[1] * step))
 
 
-OUTCOME = ("home_win double, draw double, away_win double, home_k array<int>, home_p array<double>, "
-           "away_k array<int>, away_p array<double>")
+RESULT = "home_win double, draw double, away_win double"
+OUTCOME = RESULT + ", home_k array<int>, home_p array<double>, away_k array<int>, away_p array<double>"
 
 
 def _pmf(n: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -67,20 +67,26 @@ def _pmf(n: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _outcome_rows(n: np.ndarray, p_home: np.ndarray, p_away: np.ndarray, lead: np.ndarray, top: int) -> pd.DataFrame:
-    """Result chances and the likeliest goal counts of both sides, over every count that the slices allow."""
-    home, away = _pmf(n, p_home), _pmf(n, p_away)
+def _result_chances(home: np.ndarray, away: np.ndarray, lead: np.ndarray) -> dict[str, np.ndarray]:
+    """Chances of the three results from the chances of every remaining goal count of both sides."""
     most = home.shape[1] - 1
     level = np.arange(most + 1) + lead[:, None]     # away goals for a draw
     at = lambda m, k: np.where((k >= 0) & (k <= most), np.take_along_axis(m, np.clip(k, 0, most), 1), 0.0)
     upto = np.cumsum(away, axis=1)
     fewer = np.where(level > most, upto[:, -1:], at(upto, level - 1))
     more = np.where(level < 0, upto[:, -1:], np.where(level >= most, 0.0, upto[:, -1:] - at(upto, level)))
-    best_home, best_away = (np.argsort(-m, axis=1, kind="stable")[:, :top].astype(np.int32) for m in (home, away))
-    return pd.DataFrame({
-        "home_win": (home * fewer).sum(axis=1), "draw": (home * at(away, level)).sum(axis=1), "away_win": (home * more).sum(axis=1),
-        "home_k": list(best_home), "home_p": list(np.take_along_axis(home, best_home, 1)),
-        "away_k": list(best_away), "away_p": list(np.take_along_axis(away, best_away, 1))})
+    return {"home_win": (home * fewer).sum(axis=1), "draw": (home * at(away, level)).sum(axis=1), "away_win": (home * more).sum(axis=1)}
+
+
+def _outcome_rows(n: np.ndarray, p_home: np.ndarray, p_away: np.ndarray, lead: np.ndarray, top: int) -> pd.DataFrame:
+    """Result chances and, unless ``top`` is 0, the likeliest goal counts of both sides, over every count that the slices allow."""
+    home, away = _pmf(n, p_home), _pmf(n, p_away)
+    out = _result_chances(home, away, lead)
+    if top:
+        for side, chances in (("home", home), ("away", away)):
+            best = np.argsort(-chances, axis=1, kind="stable")[:, :top].astype(np.int32)
+            out |= {f"{side}_k": list(best), f"{side}_p": list(np.take_along_axis(chances, best, 1))}
+    return pd.DataFrame(out)
 
 
 def _outcome_batch(top: int):
@@ -95,7 +101,7 @@ def _outcome_batch(top: int):
 
 
 def outcome(slices, p_home, p_away, lead, top: int = TOP_COUNTS) -> Column:
-    return F.pandas_udf(_outcome_batch(top), OUTCOME)(slices, p_home, p_away, lead)
+    return F.pandas_udf(_outcome_batch(top), OUTCOME if top else RESULT)(slices, p_home, p_away, lead)
 
 
 def project(sliced: DataFrame, top: int = TOP_COUNTS) -> DataFrame:
@@ -153,7 +159,7 @@ def rank_decisions(states: DataFrame, side: str, step_seconds: float = 15.0) ->
     for name, own, opp in APPROACHES:
         mh, ma = (own, opp) if side == "HOME" else (opp, own)
         s = s.withColumn(f"o_{name}", outcome(
-            "slices", F.least(F.lit(1.0), F.col("lam_home") * mh * step), F.least(F.lit(1.0), F.col("lam_away") * ma * step), lead))
+            "slices", F.least(F.lit(1.0), F.col("lam_home") * mh * step), F.least(F.lit(1.0), F.col("lam_away") * ma * step), lead, 0))
 
     def chances(name):
         home, draw, away = (F.col(f"o_{name}.{c}") for c in ("home_win", "draw", "away_win"))

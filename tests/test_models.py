@@ -145,6 +145,14 @@ def test_python_metrics_step_over_a_match_once_a_task(spark):
     assert steps.value <= 2 * (40 + 20)     # 1,600 when every batch holds all matches
 
 
+def test_decisions_ask_only_for_the_chances_of_results(spark):
+    rows = spark.createDataFrame([(380, 0.01, 0.02, 0), (0, 0.1, 0.1, 1), (7, 1.0, 0.0, -2)], "n int, h double, a double, lead int")
+    got = rows.select(J.outcome("n", "h", "a", "lead", 0).alias("few"), J.outcome("n", "h", "a", "lead").alias("all"))
+    assert got.schema["few"].dataType.names == ["home_win", "draw", "away_win"]
+    for r in got.collect():
+        assert tuple(r.few) == tuple(r["all"])[:3]
+
+
 def test_labels_confidence_and_style(spark):
     schema = "player_id string, name string, team string, position string, " + ", ".join(f"{c} long" for c in P.COUNTERS) + ", matches long"
     base = dict(zip(P.COUNTERS, [0] * 11))
