@@ -8,7 +8,7 @@ from pitchgrid.bindings.registry import query
 from pitchgrid.bindings.tables import fixtures, load, match_events, matches
 from pitchgrid.plans import matches as M
 from pitchgrid.plans import players as P
-from pitchgrid.shared import new_folder
+from pitchgrid.shared import cut, new_folder
 from pitchgrid.sources import entities, match_detail, open_format, provider_events, results, tables, versions
 
 EV = ("match_events",)
@@ -43,7 +43,9 @@ def _raw(spark, d):
         F.when(name == "Shot", F.struct(named(shot).alias("outcome"), (k / 100.0).alias("statsbomb_xg"), F.array(F.lit(120.0), F.lit(40.0)).alias("end_location"))).alias("shot"),
         F.when(name == "Pass", pass_).alias("pass"), F.when(name == "Foul Committed", F.struct(F.when(card.isNotNull(), named(card)).alias("card"))).alias("foul_committed"),
         F.when(name == "Bad Behaviour", F.struct(named(card).alias("card"))).alias("bad_behaviour"))
-    return provider_events.parse_raw(ev.select(F.to_json(doc).alias("json")))
+    # writing and parsing cost far more than reading, so the rows are spread over all cores whatever the size of the files
+    spread = ev.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id", "minute")
+    return provider_events.parse_raw(spread.select(F.to_json(doc).alias("json")))
 
 
 RAW = """
@@ -344,8 +346,7 @@ def s22(spark, d):
 def s22_networks(spark, d):
     """Networks derived by an older code, some from rows that have changed since: stale matches are derived again, then nothing is stale."""
     path = new_folder(spark, "networks")
-    raw = _raw(spark, d)
-    passes = provider_events.pass_records(raw).where("success")
+    passes = cut(provider_events.pass_records(_raw(spark, d)).where("success"))
 
     def derive(marks, code):
         todo = passes.join(marks, "match_id")
@@ -353,7 +354,7 @@ def s22_networks(spark, d):
 
     fields = [F.col(c) for c in ("event_no", "team", "src", "dst")]
     versions.replace_matches(derive(versions.fingerprints(passes, fields, "v1"), "v1"), path, [], buckets=8)
-    now = versions.fingerprints(passes, fields, "v2")
+    now = cut(versions.fingerprints(passes, fields, "v2"))
     for half in (F.pmod(F.crc32("match_id"), F.lit(2)) == 0, F.lit(True)):  # the first run is cut short
         todo = versions.stale(now, versions.read(spark, path, [])).where(half)
         versions.replace_matches(derive(todo, "v2"), path, [], buckets=8)

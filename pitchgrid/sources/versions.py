@@ -74,6 +74,8 @@ def replace_matches(rows: DataFrame, path: str, by: list[str], *, buckets: int =
     number = max(_numbers(spark, path, ""), default=-1) + 1
     new, touched, own = placed, None, [*by, BUCKET]
     if listed is not None and not listed.isEmpty():
+        placed = cut(placed)    # read for its matches, its parts and its rows
+        new = placed
         old = _rows(spark, path, listed, by)
         ids = placed.select("match_id", BUCKET).distinct()
         # Parts that hold one of the matches now, and those that will: a row a part.

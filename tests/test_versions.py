@@ -59,3 +59,17 @@ def test_changed_inputs_and_code_make_matches_stale(spark):
     assert stale(marks(rows, "v1")) == ["o"]
     assert stale(marks(rows.withColumn("v", F.when(F.col("match_id") == "n", 3).otherwise(F.col("v"))), "v1")) == ["n", "o"]
     assert stale(marks(rows, "v2")) == ["m", "n", "o"] == stale(marks(rows, "v1"), rebuild=True)
+
+
+def test_replacing_computes_its_rows_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    versions.replace_matches(frame(spark, [("a", f"m{i}", i) for i in range(6)]), path, ["competition"], buckets=2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        seen.add(1)
+        return x
+    new = frame(spark, [("a", "m1", 10), ("a", "m2", 20)]).withColumn("match_id", F.udf(same, "string")("match_id"))
+    versions.replace_matches(new, path, ["competition"], buckets=2)
+    assert seen.value == 2
+    assert content(spark, path) == [("a", "m0", 0), ("a", "m1", 10), ("a", "m2", 20), ("a", "m3", 3), ("a", "m4", 4), ("a", "m5", 5)]
