@@ -225,3 +225,25 @@ def test_lifted_values_keep_type_context_and_identity(spark):
     assert one("competition_strength").value == 2.5 and one("competition_strength").competition == "C"
     ids = lambda r: sorted(x.id for x in r.select("id").collect())
     assert ids(records) == ids(K.lift_outputs(strengths=strengths, panels=panels, behaviours=behaviours, vectors=vectors)) and len(set(ids(records))) == 6
+
+
+def test_flips_of_two_votes_in_one_row_equal_the_join_of_two_fusions(spark):
+    """Disputes, agreement, claims of one provider, nulls, ties, tolerance and unknown sources; nothing but disputes is voted on twice."""
+    rnd = random.Random(8)
+    rows = [(s, i, D, f"h{i % 40}", f"a{i % 40}", rnd.choice([None, 0, 1, 1, 2, 7])) for i in range(160) for s in ("a", "b", "c", "d") if rnd.random() < 0.8]
+    records = U.resolve(spark.createDataFrame(rows, "source string, seq long, date date, home string, away string, goals int"))
+    first, again = {"a": 0.9, "b": 0.5, "c": 0.95}, spark.createDataFrame([("a", 0.2), ("b", 0.99), ("c", 0.2), ("e", 1.0)], "source string, rate double")
+    for tolerance in (None, {"goals": 1.0}):
+        want = U.flips(U.fuse(records, first, tolerance, ("goals",)), U.fuse(records, again, tolerance, ("goals",)))
+        got = U.refuse_flips(records, first, again, tolerance, ("goals",))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+        assert "Join" not in got.drop("date")._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "")
+
+
+def test_votes_are_folded_only_for_cells_in_dispute(spark):
+    """Agreed and empty cells have the outcome of the fold without it."""
+    claim = "array<struct<source:string,value:double,prior:double>>"
+    cells = spark.createDataFrame([([],), ([("a", 2.0, 0.5)],), ([("a", 1.0, 0.5), ("b", 1.0, 0.0)],), ([("a", 1.0, 0.0)],), ([("a", 1.0, 0.5), ("b", 3.0, 0.5), ("c", 3.0, 0.25)],)], f"claims {claim}")
+    got = [tuple(r.v) for r in cells.select(U.vote(F.col("claims"), F.lit(0.0)).alias("v")).collect()]
+    assert got == [(None, 0.0, False, [], {}), (2.0, 1.0, True, ["a"], {}), (1.0, 1.0, True, ["a", "b"], {}), (1.0, 0.0, True, ["a"], {}),
+                   (3.0, 0.6, False, ["b", "c"], {"a": 1.0})]
