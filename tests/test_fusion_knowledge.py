@@ -247,3 +247,19 @@ def test_votes_are_folded_only_for_cells_in_dispute(spark):
     got = [tuple(r.v) for r in cells.select(U.vote(F.col("claims"), F.lit(0.0)).alias("v")).collect()]
     assert got == [(None, 0.0, False, [], {}), (2.0, 1.0, True, ["a"], {}), (1.0, 1.0, True, ["a", "b"], {}), (1.0, 0.0, True, ["a"], {}),
                    (3.0, 0.6, False, ["b", "c"], {"a": 1.0})]
+
+
+def test_lifted_records_are_stored_without_a_sort(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from pitchgrid.bindings import q_knowledge
+    name, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+
+    def parquet(self, path, **options):
+        seen.append(int(spark.conf.get(name)))
+        return write(self, path, **options)
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    was = spark.conf.get(name, None)
+    rows = spark.createDataFrame([(k, i) for i in range(50) for k in K.LIFTED], "kind string, i int")
+    got = q_knowledge.stored_records(rows)
+    assert min(seen) >= len(K.LIFTED) and spark.conf.get(name, None) == was     # one writer a time after a sort before
+    assert sorted(map(tuple, got.select("kind", "i").collect())) == sorted(map(tuple, rows.collect()))
