@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -40,19 +41,27 @@ class SnapshotReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
-    def names(self) -> list[str]:
+    def sizes(self) -> dict[str, int]:
+        """The landed files in the order of their names, with their bytes."""
         from pyarrow import fs
 
         system, path = _folder(self.options)
         found = system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
-        return sorted(i.path[len(path):].lstrip("/") for i in found if i.is_file and not i.base_name.startswith(("_", ".")))
-
-    def split(self, names: list[str]) -> list[Files]:
-        size = int(self.options.get("filesPerPartition", "16"))
-        return [Files(names[i:i + size]) for i in range(0, len(names), size)]
+        return dict(sorted((i.path[len(path):].lstrip("/"), i.size) for i in found if i.is_file and not i.base_name.startswith(("_", "."))))
+
+    def split(self, sizes: dict[str, int]) -> list[Files]:
+        files, most = int(self.options.get("filesPerPartition", "16")), int(self.options.get("bytesPerPartition", str(4 << 20)))
+        parts, held = [], 0
+        for name, size in sizes.items():
+            if not parts or len(parts[-1].names) >= files or held + size > most:
+                parts.append(Files([]))
+                held = 0
+            parts[-1].names.append(name)
+            held += size
+        return parts
 
     def partitions(self) -> list[Files]:
-        return self.split(self.names())
+        return self.split(self.sizes())
 
     def read(self, partition: Files) -> Iterator[tuple]:
         system, path = _folder(self.options)
@@ -70,17 +79,18 @@ class SnapshotStream(SnapshotReader, DataSourceStreamReader):
         return {"file": ""}
 
     def latestOffset(self) -> dict:
-        return {"file": max(self.names(), default="")}
+        return {"file": max(self.sizes(), default="")}
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
-        return self.split([n for n in self.names() if start["file"] < n <= end["file"]])
+        return self.split({n: size for n, size in self.sizes().items() if start["file"] < n <= end["file"]})
 
 
 class MatchSnapshots(DataSource):
     """``spark.read`` / ``spark.readStream`` ``.format("match_snapshots")`` over a folder of landed provider snapshots.
 
     Files are JSON lines, one match snapshot a line, and land once, under paths that ascend (a subfolder a poll, its number with
-    leading zeros, say) in a folder that every executor can reach. Option ``filesPerPartition`` (16) sets the work of a task.
+    leading zeros, say) in a folder that every executor can reach. Options ``filesPerPartition`` (16) and ``bytesPerPartition``
+    (4 MB; a larger file is a task of its own) bound the work of a task.
     """
 
     @classmethod
@@ -122,46 +132,55 @@ class Occurrences(StatefulProcessor):
 
     An observation has happened as often as the poll that reports it most often says; the occurrences of a poll are numbered by
     player, unnamed ones last, and the latest poll that names an occurrence wins. Rows of a poll may come in any number of
-    batches: the players reported by a poll under a key are kept until the match ends, and only keys that a batch reports
-    are read and written. New or newly named occurrences come out. A FULL_TIME row releases the match after the
-    rest of its batch.
+    batches: the players reported by a poll are kept until the match ends. A match's observations are one value and the reports
+    of a poll another, both as JSON, as a message to the state store and each of its fields cost more than the bytes: a batch reads
+    and writes what is known of its matches and the polls that it brings. New or newly named occurrences come out. A FULL_TIME row
+    releases the match after the rest of its batch.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "minute double, type string, team string", "names array<struct<poll:long,player:string>>")
-        self.reported = handle.getMapState("reported", "minute double, type string, team string, poll long", "players array<string>")
+        self.known = handle.getValueState("known", "names string")
+        self.reported = handle.getMapState("reported", "poll long", "players string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new: dict[tuple, dict[int, list]] = {}
+        new: dict[int, dict[tuple, list]] = {}
         ended = False
         for r in rows:
             if r.type == FULL_TIME:
                 ended = True
             else:
-                new.setdefault((r.minute, r.type, r.team), {}).setdefault(r.poll, []).append(r.player_id)
-        for what, polls in sorted(new.items(), key=str):
-            stored = self.known.getValue(what)
-            names = [tuple(x) for x in stored[0]] if stored else []
-            before = list(names)
-            for poll, players in sorted(polls.items()):
-                earlier = self.reported.getValue((*what, poll))
-                players = sorted([*(earlier[0] if earlier else []), *players], key=lambda p: (p is None, p or ""))
-                if not ended:
-                    self.reported.updateValue((*what, poll), (players,))
-                names += [(-1, None)] * (len(players) - len(names))
-                for i, player in enumerate(players):
+                new.setdefault(r.poll, {}).setdefault((r.minute, r.type, r.team), []).append(r.player_id)
+        known = _read(self.known.get())
+        before = {what: list(known.get(what, ())) for whats in new.values() for what in whats}
+        for poll, whats in sorted(new.items(), key=lambda x: (x[0] is not None, x[0])):
+            reported = _read(self.reported.getValue((poll,)))
+            for what, players in whats.items():
+                reported[what] = sorted([*reported.get(what, ()), *players], key=lambda p: (p is None, p or ""))
+                names = known.setdefault(what, [])
+                names += [[-1, None]] * (len(reported[what]) - len(names))
+                for i, player in enumerate(reported[what]):
                     if player is not None and poll >= names[i][0]:
-                        names[i] = (poll, player)
-            if names == before:
-                continue
+                        names[i] = [poll, player]
             if not ended:
-                self.known.updateValue(what, (names,))
-            for i, (poll, player) in enumerate(names):
-                if i >= len(before) or before[i] != names[i]:
+                self.reported.updateValue((poll,), (_written(reported),))
+        for what, was in sorted(before.items(), key=str):
+            for i, (poll, player) in enumerate(known[what]):
+                if i >= len(was) or was[i] != [poll, player]:
                     yield Row(match_id=key[0], minute=what[0], type=what[1], team=what[2], occurrence=i + 1, player_id=player, poll=poll)
         if ended:
             self.known.clear()
             self.reported.clear()
+        elif any(known[what] != was for what, was in before.items()):
+            self.known.update((_written(known),))
+
+
+def _written(values: dict[tuple, list]) -> str:
+    return json.dumps([[*what, value] for what, value in values.items()])
+
+
+def _read(stored: tuple | None) -> dict[tuple, list]:
+    """Values by (minute, type, team), as they were written."""
+    return {tuple(what): value for *what, value in json.loads(stored[0])} if stored else {}
 
 
 def occurrences(polls: DataFrame) -> DataFrame:
