@@ -9,11 +9,13 @@ rebuild any panel from the folder alone.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -30,14 +32,25 @@ CELL_NAMES = (*SUMS, *FADING, *LATEST)
 #: The cells of a match as they stand in its state, side by side in one value: a message to the state store costs more than the bytes.
 PACKED = np.dtype([("cell", "<i4"), *((c, "<i8") for c in SUMS), *((c, "<f8") for c in (*FADING, *LATEST))])
 NONE = math.nan
-#: The reading after the last observation, the goals, regime and momentum that the next beat is held against, the last arrival and the pending timer.
-STATE = ("clock double, n_events long, home_goals long, away_goals long, reds_home long, reds_away long, last_goal double, last_red double, "
-         "press_home double, press_away double, was_home_goals long, was_away_goals long, was_regime string, was_momentum double, arrived long, timer long, cells binary")
-ARRIVED, TIMER, PACK = 14, 15, 16
+#: In a state: the reading after the last observation, and the cells. Spark turns a state's value into a row field by field at each
+#: message, so both are packed, not a column a number.
+STATE = "reading binary, cells binary"
+#: clock, n_events, home and away goals, home and away reds, last_goal, last_red, home and away press; the goals, regime and momentum that
+#: the next beat is held against; the last arrival and the pending timer. Not-a-number stands for none.
+LAST = "<d5q4d2q16sd2q"
+ARRIVED, TIMER = 14, 15
 #: Before the first observation: 0-0, balanced.
-BASELINE = (0.0, 0, 0, 0, 0, 0, None, None, 0.0, 0.0, 0, 0, "NORMAL", 0.5, 0, 0, b"")
+BASELINE = (0.0, 0, 0, 0, 0, 0, None, None, 0.0, 0.0, 0, 0, "NORMAL", 0.5, 0, 0)
 OBSERVED = "match_id string, arrived timestamp, seq long, minute double, type string, team string"
 READING = "kind string, match_id string, seq long, minute double, regime string, momentum double, headline string, detail string, cell int, " + CELL
+#: A match's readings of a batch leave its state side by side in one value, too: a row of its own for each costs far more than its bytes.
+TOLD = "match_id string, readings binary"
+PACKED_READING = np.dtype([
+    ("kind", "S8"), ("numbered", "?"), ("seq", "<i8"), ("minute", "<f8"), ("regime", "S16"), ("momentum", "<f8"), ("headline", "S16"), ("detail", "S48"), *PACKED.descr])
+#: Which columns a kind of reading has; the others are null.
+HAS = {
+    "panel": ("seq", "minute", "regime", "momentum", "headline", "detail", "n_events", "home_goals", "away_goals", "reds_home", "reds_away", *FADING, "last_goal", "last_red"),
+    "late": ("seq", "minute"), "cell": ("cell", *CELL_NAMES)}
 
 
 @contextmanager
@@ -81,7 +94,7 @@ def newest(a: float | None, b: float | None) -> float | None:
 
 
 class LiveMatch(StatefulProcessor):
-    """State of one match, keyed by match_id, fed with OBSERVED rows in order of arrival; READING rows come out.
+    """State of one match, keyed by match_id, fed with OBSERVED rows in order of arrival; its readings come out, TOLD in one row a batch.
 
     kind ``panel``: the reading after an observation or tick, with the beat it caused (ticks cause none). ``late``: a row whose
     minute lies more than ``lateness`` before the match's clock; it changes nothing. ``cell``: on release, each clock cell of the
@@ -98,14 +111,13 @@ class LiveMatch(StatefulProcessor):
         self.match = handle.getValueState("match", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        own = list(self.match.get() or BASELINE)
-        cells = unpacked(own[PACK])
-        fresh = True
+        own, cells = restored(self.match.get())
+        fresh, out = True, []
         for r in sorted(rows, key=lambda r: (r.arrived, r.seq)):
             fresh = r.type in (FULL_TIME, RESET)
             if fresh:
                 if r.type == FULL_TIME:
-                    yield from cell_rows(key[0], cells)
+                    out += cell_rows(cells)
                 self._forget(own[TIMER])
                 own, cells = list(BASELINE), {}
                 continue
@@ -113,30 +125,30 @@ class LiveMatch(StatefulProcessor):
             if r.minute is None:
                 continue
             if self.lateness is not None and r.minute < own[0] - self.lateness:
-                yield reading("late", key[0], seq=r.seq, minute=r.minute)
+                out.append((b"late", r.seq is not None, r.seq or 0, r.minute, *BLANK))
                 continue
             self._into_cell(cells, r)
-            yield self._observed(key[0], own, r)
+            out.append(self._observed(own, r))
         if not fresh:
             if not own[TIMER]:
                 own[TIMER] = own[ARRIVED] + self.silence_ms
                 self.handle.registerTimer(own[TIMER])
-            own[PACK] = packed(cells)
-            self.match.update(tuple(own))
+            self.match.update((stored(own), packed(cells)))
+        yield from told(key[0], out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        own = list(self.match.get() or BASELINE)
+        own, cells = restored(self.match.get())
         quiet_from = own[ARRIVED] + self.silence_ms
         if quiet_from > expiredTimerInfo.getExpiryTimeInMs():  # it has spoken since
             own[TIMER] = quiet_from
             self.handle.registerTimer(quiet_from)
-            self.match.update(tuple(own))
+            self.match.update((stored(own), packed(cells)))
         else:
             self._forget(0)
-            yield from cell_rows(key[0], unpacked(own[PACK]))
+            yield from told(key[0], cell_rows(cells))
 
     # ---------------------------------------------------------------- state
-    def _observed(self, match_id: str, own: list, r: Row) -> Row:
+    def _observed(self, own: list, r: Row) -> tuple:
         tau, clock = self.params.tau, max(own[0], r.minute)
         fade = math.exp((own[0] - clock) / tau)
         own[0], own[8], own[9] = clock, own[8] * fade, own[9] * fade
@@ -159,9 +171,9 @@ class LiveMatch(StatefulProcessor):
         headline, detail = (None, None) if r.type == TICK else beat(own[2], own[3], regime, momentum, tuple(own[10:14]))
         if r.type != TICK:
             own[10:14] = own[2], own[3], regime, momentum
-        return reading(
-            "panel", match_id, seq=r.seq, minute=clock, regime=regime, momentum=momentum, headline=headline, detail=detail, n_events=own[1],
-            home_goals=own[2], away_goals=own[3], reds_home=own[4], reds_away=own[5], last_goal=own[6], last_red=own[7], press_home_0=own[8], press_away_0=own[9])
+        return (
+            b"panel", r.seq is not None, r.seq or 0, clock, regime, momentum, headline or b"", detail or b"", 0, own[1], own[2], own[3], own[4], own[5], 0, 0, own[8], own[9], NONE,
+            NONE if own[6] is None else own[6], NONE if own[7] is None else own[7])
 
     def _into_cell(self, cells: dict[int, list], r: Row) -> None:
         cell = math.ceil(r.minute / self.step) * self.step
@@ -182,6 +194,20 @@ class LiveMatch(StatefulProcessor):
         self.match.clear()
 
 
+def stored(own: list) -> bytes:
+    return struct.pack(LAST, *own[:6], *(NONE if x is None else x for x in own[6:8]), *own[8:12], own[12].encode(), *own[13:])
+
+
+def restored(state: tuple | None) -> tuple[list, dict[int, list]]:
+    """The last reading and the cells of a stored state, or those of a match that has none."""
+    if state is None:
+        return list(BASELINE), {}
+    own = list(struct.unpack(LAST, state[0]))
+    own[6:8] = (None if x != x else x for x in own[6:8])
+    own[12] = own[12].rstrip(b"\0").decode()
+    return own, unpacked(state[1])
+
+
 def packed(cells: dict[int, list]) -> bytes:
     return np.array([(cell, *values) for cell, values in sorted(cells.items())], PACKED).tobytes()
 
@@ -190,16 +216,41 @@ def unpacked(cells: bytes) -> dict[int, list]:
     return {cell: list(values) for cell, *values in np.frombuffer(cells, PACKED).tolist()}
 
 
-def cell_rows(match_id: str, cells: dict[int, list]) -> Iterator[Row]:
-    for cell, values in cells.items():
-        yield reading("cell", match_id, cell=cell, **{n: None if v != v else v for n, v in zip(CELL_NAMES, values)})
+#: What a late row has after its minute, and what a cell has before its number: nothing.
+BLANK = (b"", NONE, b"", b"", 0, *(0,) * len(SUMS), *(NONE,) * (len(FADING) + len(LATEST)))
+NO_READING = (False, 0, NONE, b"", NONE, b"", b"")
+
+
+def cell_rows(cells: dict[int, list]) -> list[tuple]:
+    return [(b"cell", *NO_READING, cell, *values) for cell, values in cells.items()]
+
+
+def told(match_id: str, out: list[tuple]) -> Iterator[Row]:
+    if out:
+        yield Row(match_id=match_id, readings=np.array(out, PACKED_READING).tobytes())
 
 
-READING_NAMES = tuple(f.split()[0] for f in READING.split(", "))
+def read_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """READING rows of TOLD ones."""
+    names = [f.split()[0] for f in READING.split(", ")]
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(1)).to_numpy() // PACKED_READING.itemsize
+        rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), PACKED_READING)
+        kinds = rows["kind"]
+        of = {kind: kinds == kind.encode() for kind in HAS}
 
+        def column(name: str) -> pa.Array:
+            if name == "match_id":
+                return batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
+            values = np.ascontiguousarray(rows[name])
+            text = values.dtype.kind == "S"
+            if name == "kind":
+                return pa.array(values.astype("U"), pa.string())
+            missing = ~np.logical_or.reduce([of[kind] for kind, has in HAS.items() if name in has])
+            missing |= ~rows["numbered"] if name == "seq" else values == b"" if text else values != values
+            return pa.array(values.astype("U"), pa.string(), mask=missing) if text else pa.array(values, mask=missing)
 
-def reading(kind: str, match_id: str, **values) -> Row:
-    return Row(**{**dict.fromkeys(READING_NAMES), "kind": kind, "match_id": match_id, **values})
+        yield pa.RecordBatch.from_arrays([column(n) for n in names], names=names)
 
 
 def observations(events: DataFrame) -> DataFrame:
@@ -219,7 +270,7 @@ def readings(events: DataFrame, params: Params = Params(), *, step: int = 1, lat
     """
     ms = int(events.sparkSession.sql(f"SELECT unix_millis(timestamp '1970-01-01 00:00:00Z' + INTERVAL {silence})").first()[0])
     marked = observations(events).withWatermark("arrived", delay)
-    return marked.groupBy("match_id").transformWithState(LiveMatch(params, step, lateness, ms), READING, "append", "EventTime")
+    return marked.groupBy("match_id").transformWithState(LiveMatch(params, step, lateness, ms), TOLD, "append", "EventTime").mapInArrow(read_out, READING)
 
 
 def added_cells(cells: DataFrame) -> DataFrame:
