@@ -177,3 +177,63 @@ def test_the_second_look_of_nearest_sends_only_what_can_win(spark, monkeypatch):
     small = N._block_best(ids, unit, ids, unit, 3, True, np.full(len(ids), -1.0))
     assert whole[["target", "candidate"]].equals(small[["target", "candidate"]]) and len(whole) == 3 * len(rows)
     assert whole[whole.target == "copy0"].candidate.tolist() == ["copy1", "copy10", "copy11"]
+
+
+def test_frames_of_nearest_do_not_grow_with_cells(spark, monkeypatch):
+    """No task hands on a frame of targets times cells: vectors that no cell tells apart made one of 2,500 x 64 rows before."""
+    rng = np.random.default_rng(11)
+    rows = [(f"n{i:04d}", v) for i, v in enumerate(rng.normal(size=(2500, 24)).tolist())]
+    df = spark.createDataFrame(rows, "id string, vec array<double>").coalesce(1)
+    kind, plain = type(df), type(df).mapInPandas
+
+    def bounded(self, f, schema, *args):
+        def spy(frames):
+            for out in f(frames):
+                assert len(out) <= 10_000, len(out)
+                yield out
+        return plain(self, spy, schema, *args)
+
+    monkeypatch.setattr(kind, "mapInPandas", bounded)
+    got = {}
+    for r in nearest(df, df, 3).collect():
+        got.setdefault(r.target, {})[r.rank] = r.candidate
+    ids, unit = [r[0] for r in rows], N._unit([r[1] for r in rows])
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -9)
+    for t in range(0, 2500, 50):
+        assert [got[ids[t]][n] for n in (1, 2, 3)] == [ids[c] for c in np.lexsort((ids, -np.round(sims[t], 12)))[:3]]
+    assert len(got) == 2500
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_similarities_too_close_for_single_precision(monkeypatch, few):
+    """Vectors that differ by a billionth are ranked in double precision, however many reach the k-th similarity."""
+    monkeypatch.setattr(N, "FEW", few)
+    rng = np.random.default_rng(4)
+    vecs = np.concatenate([rng.normal(size=(300, 16)), rng.normal(size=16) + 1e-9 * rng.normal(size=(200, 16)), np.zeros((2, 16))])
+    ids, unit = [f"v{i:03d}" for i in range(len(vecs))], N._unit(vecs)
+    got = N._block_best(ids, unit, ids, unit, 3, True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -9)
+    want = np.sort(np.round(sims, 12), axis=1)[:, :-4:-1]
+    assert np.allclose(got["similarity"].to_numpy().reshape(-1, 3), want, rtol=0, atol=2e-12)
+    known = N._block_best(ids, unit, ids, unit, 3, True, want[:, 2])
+    assert known[["target", "candidate"]].equals(got[["target", "candidate"]])
+
+
+def test_nearest_of_ids_that_repeat_or_are_null_and_vectors_without_a_cosine(spark):
+    """Rows of one id share its k places, an id is not its own neighbour, null ids are one id, and vectors with nulls or NaN take no part."""
+    rng = np.random.default_rng(9)
+    rows = [(f"d{i % 40:02d}", rng.normal(size=5).tolist()) for i in range(120)] + [(None, rng.normal(size=5).tolist()) for _ in range(3)]
+    odd = [("nan", [float("nan")] + [1.0] * 4), ("gap", [None] + [1.0] * 4), ("inf", [float("inf")] + [1.0] * 4), ("none", None)]
+    df = spark.createDataFrame(rows + odd, "id string, vec array<double>")
+    got = {}
+    for r in nearest(df, df, 4, block=20, slice_rows=50, pivots=8).collect():
+        got.setdefault(r.target, {})[r.rank] = (r.candidate, round(r.similarity, 10))
+    unit = N._unit([v for _, v in rows])
+    sims = unit @ unit.T
+    assert set(got) == {i for i, _ in rows}
+    for t in got:
+        own = [i for i, r in enumerate(rows) if r[0] == t]
+        want = sorted(((-round(sims[i, c], 12), r[0] or "", round(sims[i, c], 10)) for i in own for c, r in enumerate(rows) if r[0] != t))[:4]
+        assert [(got[t][n + 1][0] or "", got[t][n + 1][1]) for n in range(4)] == [w[1:] for w in want]
