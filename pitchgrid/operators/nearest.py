@@ -23,8 +23,12 @@ BLOCK_BYTES = 8_000_000
 FEW = 64
 
 
+def _matrix(vectors) -> np.ndarray:
+    return vectors if isinstance(vectors, np.ndarray) and vectors.ndim == 2 else np.asarray([np.asarray(v, dtype=float) for v in vectors], dtype=float)
+
+
 def _unit(vectors) -> np.ndarray:
-    m = np.asarray([np.asarray(v, dtype=float) for v in vectors], dtype=float)
+    m = _matrix(vectors)
     if m.size == 0:
         return m.reshape(0, 0)
     length = np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -156,10 +160,6 @@ def _decode(raw: bytes, shape: tuple[int, int]) -> np.ndarray:
     return np.frombuffer(raw, np.float32 if len(raw) == 4 * shape[0] * shape[1] else np.float64).astype(float).reshape(shape)
 
 
-def _matrix(vectors) -> np.ndarray:
-    return np.asarray([np.asarray(v, dtype=float) for v in vectors], dtype=float)
-
-
 def _cells(candidates: DataFrame, pivots: int) -> tuple[DataFrame, Cells]:
     """The candidates (id, vec: bytes) with their cell, and the cells; ``pivots`` vectors reach the driver, picked by a hash of the id."""
     known = _known(candidates)
@@ -264,16 +264,20 @@ def _look(left: DataFrame, right: DataFrame, cells: Cells, k: int, same: bool, s
                     t_unit, kth = _unit(_decode(r.vec, (n, dim))), np.frombuffer(r.kth)
                     open_ = np.unpackbits(np.frombuffer(r.open, np.uint8), count=n * wide).reshape(n, wide).astype(bool)
                     top = np.full((n, k), -2.0)  # the similarities found, in rising order
-                rows = np.flatnonzero(open_[:, r.has].any(axis=1))
                 c_unit, cell = _unit(_decode(r.cvec, (len(r.cids), dim))), np.frombuffer(r.cell, np.int32)
-                got = _block_best(t_ids[rows], t_unit[rows], r.cids, c_unit, k, same, np.maximum(kth, top[:, 0])[rows], cell, open_[rows])
-                if len(got):
+                if (kth > -1.0).all():
+                    parts = [(np.flatnonzero(open_[:, r.has].any(axis=1)), np.arange(len(cell)), cell)]
+                else:  # cell by cell, where bounds are to be found in open cells
+                    parts = [(np.flatnonzero(open_[:, c]), np.flatnonzero(cell == c), None) for c in r.has if open_[:, c].any()]
+                for rows, cols, of in parts:
+                    got = _block_best(t_ids[rows], t_unit[rows], r.cids[cols], c_unit[cols], k, same, np.maximum(kth, top[:, 0])[rows], of, open_[rows])
                     at = got.pop("row").to_numpy()
-                    new = np.full((n, k), -2.0)
-                    new[rows[at], _turn(at)] = got["similarity"]
-                    hit = rows[np.unique(at)]
-                    top[hit] = np.sort(np.concatenate([top[hit], new[hit]], axis=1), axis=1)[:, -k:]
-                    yield got
+                    if len(at):
+                        new = np.full((n, k), -2.0)
+                        new[rows[at], _turn(at)] = got["similarity"]
+                        hit = rows[np.unique(at)]
+                        top[hit] = np.sort(np.concatenate([top[hit], new[hit]], axis=1), axis=1)[:, -k:]
+                        yield got
 
     few = left.coalesce(4 * left.sparkSession.sparkContext.defaultParallelism)
     other = right.coalesce(slices).select(F.col("ids").alias("cids"), F.col("vec").alias("cvec"), "cell", "has")
